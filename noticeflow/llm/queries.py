@@ -5,21 +5,117 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from noticeflow.llm.exact_dedup import exact_dedup
+from noticeflow.llm.fingerprints import fingerprint_edits
+from noticeflow.llm.license_scan import TEMPLATES, license_scan, template_bigrams
 from noticeflow.llm.near_dedup import near_dedup
+from noticeflow.llm.piece_bpe import encode_pieces
+from noticeflow.llm.tokens import vocabulary
+from noticeflow.llm.url_filter import judge_urls
+from noticeflow.llm.warc import round_trip
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge_urls(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
+
+
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan(table(spark, sf_dir, "documents"))
+
+
 def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup(table(spark, sf_dir, "documents"), shingle=3, percent=85)
 
 
+def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = encode_pieces(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"), ids=False)
+    return found.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
+
+
+def op5_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint_edits(table(spark, sf_dir, "documents"))
+
+
+def op6_warc_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return round_trip(table(spark, sf_dir, "pages"), least=0)
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
+#: Canonical links and refreshes are reached with the same patterns in RE2.
+OP1_SQL = r"""
+WITH RECURSIVE tags AS (
+  SELECT url, unnest(list_concat(
+      list_filter(regexp_extract_all(html, '(?i)<link\b[^>]*>'), lambda t: regexp_matches(t, '(?i)\brel\s*=\s*["'']?canonical\b')),
+      list_filter(regexp_extract_all(html, '(?i)<meta\b[^>]*>'), lambda t: regexp_matches(t, '(?i)\bhttp-equiv\s*=\s*["'']?refresh\b')))) AS tag
+  FROM pages WHERE url IS NOT NULL
+), raws AS (
+  SELECT url, replace(CASE WHEN regexp_matches(tag, '(?i)<meta\b') THEN regexp_extract(tag, '(?i)\burl\s*=\s*[''"]?([^"''>\s]+)', 1)
+              ELSE regexp_extract(tag, '(?i)\bhref\s*=\s*["'']?([^"''>\s]+)', 1) END, '&amp;', '&') AS raw
+  FROM tags
+), targets AS (
+  SELECT url, CASE WHEN contains(raw, '://') THEN raw
+                   WHEN raw LIKE '//%' THEN regexp_extract(url, '(?s)^(.*?)://', 1) || ':' || raw
+                   WHEN raw LIKE '/%' THEN regexp_extract(url, '(?s)^(.*?://[^/?#]*)', 1) || raw
+                   ELSE regexp_extract(url, '(?s)^(.*?://[^/?#]*)', 1) ||
+                        coalesce(nullif(regexp_replace(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '[^/]*$', ''), ''), '/') || raw END AS target
+  FROM raws WHERE raw <> ''
+), all_urls AS (
+  SELECT DISTINCT u FROM (SELECT url AS u FROM pages UNION ALL SELECT target FROM targets)
+), parts AS (
+  SELECT u, lower_ascii AS host, path, lower_ascii || path || rest AS address FROM (
+    SELECT u, translate(coalesce(regexp_extract(u, '(?s)^.*?://([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS lower_ascii,
+           coalesce(regexp_extract(u, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path,
+           coalesce(regexp_extract(u, '(?s)^.*?://[^/?#]*[^?#]*(\??[^#]*)', 1), '') AS rest
+    FROM all_urls)
+), rules(verdict, h, p) AS (
+  VALUES ('allow', 'org', '/'), ('block', 'example.org', '/es/'), ('block', 'example.org', '/en/1'), ('allow', 'com', '/fr/'), ('block', 'com', '/de/')
+), fits AS (
+  SELECT u, max_by(h || p, length(h || p)) AS rule, max_by(verdict, length(h || p)) AS verdict
+  FROM parts JOIN rules ON (host = h OR host LIKE '%.' || h) AND starts_with(path, p) GROUP BY u
+), edges AS (
+  SELECT DISTINCT a.address AS a, b.address AS b FROM targets t JOIN parts a ON a.u = t.url JOIN parts b ON b.u = t.target WHERE a.address <> '' AND b.address <> ''
+), both_ways AS (SELECT a, b FROM edges UNION SELECT b, a FROM edges),
+reach AS (SELECT a, b FROM both_ways UNION SELECT r.a, e.b FROM reach r JOIN both_ways e ON r.b = e.a),
+tainted AS (
+  SELECT DISTINCT r.a FROM reach r JOIN parts p ON p.address = r.b JOIN fits f ON f.u = p.u WHERE f.verdict = 'block'
+)
+SELECT page_id, coalesce(p.host, '') AS host, coalesce(p.path, '') AS path, f.rule AS rule,
+       coalesce(f.verdict, CASE WHEN t.a IS NOT NULL THEN 'block' ELSE 'allow' END) AS verdict
+FROM pages LEFT JOIN parts p ON p.u = pages.url LEFT JOIN fits f ON f.u = pages.url LEFT JOIN tainted t ON t.a = p.address
+"""
+
+
+def _op2_sql() -> str:
+    quote = lambda s: "'" + s.replace("'", "''") + "'"
+    rows = ",\n    ".join(
+        f"({i}, {quote(name)}, [{', '.join(map(quote, template_bigrams(text)))}])" for i, (name, text) in enumerate(TEMPLATES)
+    )
+    return rf"""
+WITH templates(t, license_id, grams) AS (VALUES
+    {rows}
+), units AS (
+  SELECT doc_id, unnest(list_distinct(list_concat(string_split(coalesce(text, ''), chr(10)),
+                                                  regexp_split_to_array(coalesce(text, ''), '\n[ \t\r]*\n')))) AS unit FROM documents
+), words AS (
+  SELECT doc_id, row_number() OVER () AS u,
+         string_split(trim(regexp_replace(translate(unit, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^a-z0-9]+', ' ', 'g')), ' ') AS w
+  FROM units
+), grams AS (
+  SELECT doc_id, u, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS g FROM words WHERE len(w) BETWEEN 2 AND 300
+), scored AS (
+  SELECT doc_id, u, license_id, 2.0 * len(list_intersect(g, grams)) / (len(g) + len(grams)) AS dice
+  FROM grams JOIN templates ON len(g) BETWEEN len(grams) / 1.5 - 1 AND len(grams) * 1.5 + 1
+)
+SELECT doc_id, license_id, max(dice)::DOUBLE AS dice, count(*) AS units FROM scored WHERE dice >= 0.8 GROUP BY ALL
+"""
+
+
 OP7_SQL = r"""
 WITH d AS (
   SELECT doc_id, length(coalesce(text, '')) AS chars,
@@ -37,10 +133,15 @@ SELECT doc_id, keep_id, group_size, place = 1 AS kept, text_sha256 FROM r
 
 def queries() -> dict:
     return {
+        "op1_url_filter": op1_url_filter,
+        "op2_license_scan": op2_license_scan,
         "op3_minhash_near_dedup": op3_minhash_near_dedup,
+        "op4_sentencepiece": op4_sentencepiece,
+        "op5_winnowing": op5_winnowing,
+        "op6_warc_chunks": op6_warc_chunks,
         "op7_exact_dedup": op7_exact_dedup,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_exact_dedup": OP7_SQL}
+    return {"op1_url_filter": OP1_SQL, "op2_license_scan": _op2_sql(), "op7_exact_dedup": OP7_SQL}

@@ -5,6 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -74,16 +76,11 @@ def range_bounds(df: DataFrame, key: str, ranges: int) -> list:
 
 def range_of(key: str, bounds: list):
     """Range number of a key, ascending: the number of bounds below it; a null key goes to range 0."""
-    import pandas as pd
-    from pyspark.sql.functions import pandas_udf
-
     if not bounds:
         return F.lit(0)
 
-    @pandas_udf("int")
+    @F.pandas_udf("int")
     def place(values: pd.Series) -> pd.Series:
-        import numpy as np
-
         low = values.isna()
         return pd.Series(np.where(low, 0, np.searchsorted(np.asarray(bounds), values.fillna(bounds[0]).to_numpy(), side="left")).astype("int32"))
 
