@@ -8,7 +8,11 @@ from noticeflow.llm.exact_dedup import exact_dedup
 from noticeflow.llm.fingerprints import fingerprint_edits
 from noticeflow.llm.license_scan import TEMPLATES, license_scan, template_bigrams
 from noticeflow.llm.near_dedup import near_dedup
+from noticeflow.llm.packing import pack_documents
 from noticeflow.llm.piece_bpe import encode_pieces
+from noticeflow.llm.quality import fit_quality, score_quality, training_sample
+from noticeflow.llm.shared import Scratch
+from noticeflow.llm.token_orc import span_checksums, token_spans, write_token_orc
 from noticeflow.llm.tokens import vocabulary
 from noticeflow.llm.url_filter import judge_urls
 from noticeflow.llm.warc import round_trip
@@ -47,6 +51,21 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op8_pattern_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), end_id=0, capacity=2048).drop("ids")
+
+
+def op9_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = Scratch(spark, "token-orc").path("files")
+    write_token_orc(table(spark, sf_dir, "documents"), folder, vocabulary("word_bpe_49k.json"), end_id=1)
+    return span_checksums(token_spans(spark, folder))
+
+
+def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return score_quality(docs, fit_quality(training_sample(docs, table(spark, sf_dir, "labels"))))
+
+
 #: Canonical links and refreshes are reached with the same patterns in RE2.
 OP1_SQL = r"""
 WITH RECURSIVE tags AS (
@@ -140,6 +159,9 @@ def queries() -> dict:
         "op5_winnowing": op5_winnowing,
         "op6_warc_chunks": op6_warc_chunks,
         "op7_exact_dedup": op7_exact_dedup,
+        "op8_pattern_packing": op8_pattern_packing,
+        "op9_token_orc": op9_token_orc,
+        "op10_quality_classifier": op10_quality_classifier,
     }
 
 
