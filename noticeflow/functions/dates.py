@@ -18,7 +18,7 @@ def parse_date(c: Column) -> Column:
     """A date found in text: M/D/YYYY, YYYY-MM-DD, M/D/YY (20YY), 'June 1, 2024'; the first form that is a real date wins."""
 
     def part(pattern: str, *order: int) -> list[Column]:
-        return [F.nullif(F.regexp_extract(c, pattern, i), F.lit("")) for i in order]
+        return [F.regexp_extract(c, pattern, i) for i in order]
 
     us, iso, short, words = r"(\d{1,2})/(\d{1,2})/(\d{4})", r"(\d{4})-(\d{2})-(\d{2})", r"(\d{1,2})/(\d{1,2})/(\d{2})(?!\d)", r"([A-Za-z]+)\s+(\d{1,2}),?\s+(\d{4})"
     y2, m2, d2 = part(short, 3, 1, 2)
@@ -26,7 +26,7 @@ def parse_date(c: Column) -> Column:
     names = F.array(*map(F.lit, MONTHS))
     shorts = F.array(*[F.lit(m[:3]) for m in MONTHS])
     low = F.lower(name)
-    month = F.nullif(F.greatest(F.array_position(names, low), F.array_position(shorts, low)), F.lit(0))
+    month = F.greatest(F.array_position(names, low), F.array_position(shorts, low))
     return F.coalesce(_day(*part(us, 3, 1, 2)), _day(*part(iso, 1, 2, 3)), _day(F.concat(F.lit("20"), y2), m2, d2), _day(y4, month.cast("string"), d4))
 
 
@@ -81,6 +81,10 @@ def fmt_date(c: Column) -> Column:
     return F.coalesce(F.date_format(c, "yyyy-MM-dd"), F.lit(""))
 
 
+def fmt_date_or_null(c: Column) -> Column:
+    return F.date_format(c, "yyyy-MM-dd")
+
+
 def fmt_bool(c: Column) -> Column:
     return F.when(c, "TRUE").otherwise("FALSE")
 

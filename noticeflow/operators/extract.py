@@ -51,7 +51,9 @@ TEXT_PATTERNS = {
     "remarks": [r"remarks?\s*[:\-]\s*" + _MORE, r"comments?\s*[:\-]\s*" + _MORE, r"additional\s*(?:information|info)\s*[:\-]\s*" + _MORE, r"notes?\s*[:\-]\s*" + _MORE],
     "done_for": [r"done\s*for\s*[:\-]\s*([^\n]+)", r"work\s*(?:done\s*)?for\s*[:\-]\s*([^\n]+)", r"for\s*company\s*[:\-]\s*([^\n]+)"],
 }
-MENTION_PATTERNS = [r"(?i)utility[:\s]+([^\n]+)", r"(?i)([A-Za-z\s&,]+(?:electric|gas|water|sewer|telecom|cable|fiber)[A-Za-z\s&,]*)\s*[:\-]"]
+MENTION_LABEL = r"(?i)utility[:\s]+([^\n]+)"
+MENTION_RUN = r"(?<![A-Za-z\s&,])([A-Za-z\s&,]++)[:\-]"
+MENTION_TRADES = r"(?is)^.+(?:electric|gas|water|sewer|telecom|cable|fiber)"
 KEY_FIELDS = ["ticket_number", "county", "call_date", "expiration_date", "excavator_name"]
 DATE_FIELDS = ("call_date", "legal_start_date", "expiration_date")
 CANCEL_WORDS = ["cancelled", "canceled", "void"]
@@ -249,7 +251,9 @@ def page_details(pages: DataFrame, key: str = "page_id", html: str = "html") ->
 
 def _first(text: Column, patterns: list[str]) -> Column:
     """The first pattern's first capture that is not blank, trimmed."""
-    return F.coalesce(*[F.nullif(F.trim(F.regexp_replace(F.regexp_extract(text, f"(?im){p}", 1), r"^\s+|\s+$", "")), F.lit("")) for p in patterns])
+    found = F.array(*[F.regexp_extract(text, f"(?im){p}", 1) for p in patterns])
+    tidy = F.transform(found, lambda x: F.regexp_replace(x, r"^\s+|\s+$", ""))
+    return F.try_element_at(F.filter(tidy, lambda x: x != ""), F.lit(1))
 
 
 def extract_fields(docs: DataFrame, text_col: str = "text", county_hint: str = "") -> DataFrame:
@@ -280,7 +284,9 @@ def extract_fields(docs: DataFrame, text_col: str = "text", county_hint: str = "
 def extract_mentions(text: Column, most: int = 20) -> Column:
     """Utilities that a text names: at most 100 characters each, longer than two, first spelling of each, the first 20."""
     given = F.coalesce(text, F.lit(""))
-    found = F.concat(*[F.regexp_extract_all(given, F.lit(p), 1) for p in MENTION_PATTERNS])
+    # a run of letters before a colon or hyphen that names a trade after its first character: found at run starts only, in linear time
+    runs = F.filter(F.regexp_extract_all(given, F.lit(MENTION_RUN), 1), lambda m: m.rlike(MENTION_TRADES))
+    found = F.concat(F.regexp_extract_all(given, F.lit(MENTION_LABEL), 1), runs)
     tidy = F.filter(F.transform(found, lambda m: F.left(F.trim(F.regexp_replace(m, r"^\s+|\s+$", "")), F.lit(100))), lambda m: F.char_length(m) > 2)
     return F.slice(first_seen_distinct(tidy, ignore_case=True), 1, most)
 
