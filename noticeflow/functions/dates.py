@@ -92,6 +92,6 @@ def fmt_bool(c: Column) -> Column:
 def fmt_size(c: Column) -> Column:
     return (
         F.when(c < 1024, F.format_string("%d B", c.cast("long")))
-        .when(c < 1024 * 1024, F.format_string("%.1f KB", c / 1024.0))
-        .otherwise(F.format_string("%.1f MB", c / (1024.0 * 1024.0)))
+        .when(c < 1024 * 1024, F.format_string("%.1f KB", F.bround(c / 1024.0, 1)))
+        .otherwise(F.format_string("%.1f MB", F.bround(c / (1024.0 * 1024.0), 1)))
     )
