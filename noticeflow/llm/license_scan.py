@@ -77,7 +77,7 @@ def license_scan(docs: DataFrame, templates=TEMPLATES, threshold: float = 0.8, i
     """
     known = [(name, template_bigrams(text)) for name, text in templates]
     known = [(name, grams) for name, grams in known if grams]
-    low, high = threshold / (2 - threshold), (2 - threshold) / threshold
+    low, high = threshold / (2 - threshold) - 1e-9, (2 - threshold) / threshold + 1e-9
     least, most = min(len(g) for _, g in known) * low, max(len(g) for _, g in known) * high
     text = F.coalesce(F.col(text_col), F.lit(""))
     units = F.array_distinct(F.concat(F.split(text, "\n"), F.split(text, r"\n[ \t\r]*\n")))
