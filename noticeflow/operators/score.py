@@ -46,12 +46,12 @@ def any_text(columns: Sequence[str]) -> Column:
     return F.concat_ws(" ", *texts, *lists)
 
 
-def rule_matches(rule: Rule, columns: Sequence[str]) -> Column:
+def rule_matches(rule: Rule, columns: Sequence[str], searched: Column | None = None) -> Column:
     """Whether a rule fires; an unknown field or a bad pattern is an error before any data is read."""
     if rule.field != "any" and rule.field not in (*ANY_FIELDS, *ANY_LISTS):
         raise ValueError(f"rule {rule.id}: field {rule.field!r} cannot be searched")
     if rule.field == "any":
-        text = any_text(columns)
+        text = any_text(columns) if searched is None else searched
     elif rule.field not in columns:
         return F.lit(False)
     else:
@@ -70,10 +70,17 @@ def rule_matches(rule: Rule, columns: Sequence[str]) -> Column:
     return (text != "") & hit
 
 
-def _weights(matches: Sequence[tuple[Rule, Column]]) -> Column:
+def _with_hits(df: DataFrame, rules: Ruleset) -> tuple[DataFrame, list[tuple[Rule, str]]]:
+    """The searched text and each rule's verdict as columns of their own, so that each is computed once a row."""
+    base = df.withColumn("__any", any_text(df.columns))
+    named = [(r, f"__hit{i}") for i, r in enumerate(rules.rules)]
+    return base.withColumns({name: rule_matches(r, df.columns, F.col("__any")) for r, name in named}), named
+
+
+def _weights(hits: Sequence[tuple[Rule, str]]) -> Column:
     total = F.lit(0.0)
-    for rule, hit in matches:
-        total = total + F.when(hit, F.lit(abs(rule.weight))).otherwise(F.lit(0.0))
+    for rule, name in hits:
+        total = total + F.when(F.col(name), F.lit(abs(rule.weight))).otherwise(F.lit(0.0))
     return total
 
 
@@ -84,40 +91,41 @@ def score(df: DataFrame, rules: Ruleset, key: str = "ticket_number") -> DataFram
     is kept within 0 and 1.  A listed contractor doing listed work is lifted to
     the threshold.  Excluded keys score 0 and included ones 1, whatever the rules say.
     """
-    hits = [(r, rule_matches(r, df.columns)) for r in rules.rules]
-    plus = [(r, h) for r, h in hits if not r.negative]
-    minus = [(r, h) for r, h in hits if r.negative]
-    final = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.least(_weights(plus), F.lit(1.0)) - _weights(minus)))
-    fired = [F.when(h, F.lit(f"{'-' if r.negative else '+'}{r.id}(w={'-' if r.negative else ''}{abs(r.weight):.2f})")) for r, h in plus + minus]
+    hit, named = _with_hits(df, rules)
+    plus, minus = [x for x in named if not x[0].negative], [x for x in named if x[0].negative]
+    raw = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.least(_weights(plus), F.lit(1.0)) - _weights(minus)))
     lift = F.lit(False)
     if rules.contractors and rules.work_keywords:
-        who, what = normalize_text(F.col("excavator_name")), normalize_text(F.concat_ws(" ", *[c for c in ("work_type", "remarks") if c in df.columns]))
+        hit = hit.withColumns({
+            "__who": normalize_text(F.col("excavator_name")),
+            "__what": normalize_text(F.concat_ws(" ", *[c for c in ("work_type", "remarks") if c in df.columns])),
+        })
         by = work = F.lit(False)
         for k in rules.contractors:
-            by = by | who.contains(k.lower())
+            by = by | F.col("__who").contains(k.lower())
         for k in rules.work_keywords:
-            work = work | what.contains(k.lower())
+            work = work | F.col("__what").contains(k.lower())
         lift = by & work
-    lifted = (F.col("__raw") < rules.threshold) & lift
-    scored = df.withColumn("__raw", final).withColumn("__final", F.when(lifted, F.lit(rules.threshold)).otherwise(F.col("__raw")))
-    reasons = F.array_compact(F.array(*fired, F.when(lifted, F.lit("+contractor_rule_match")))) if fired else F.array().cast("array<string>")
-    upper = F.upper(F.col(key).cast("string"))
-    out = upper.isin([k.upper() for k in rules.exclude]) if rules.exclude else F.lit(False)
-    put = upper.isin([k.upper() for k in rules.include]) if rules.include else F.lit(False)
-    return scored.withColumns({
-        "relevance_score": F.when(out, 0.0).when(put, 1.0).otherwise(F.bround("__final", 4)),
-        "is_relevant": F.when(out, False).when(put, True).otherwise(F.col("__final") >= rules.threshold),
-        "relevance_reasons": F.when(out, F.array(F.lit("manual_exclude_override"))).when(put, F.array(F.lit("manual_include_override"))).otherwise(reasons),
-    }).drop("__raw", "__final")
+    out = F.upper(F.col(key).cast("string")).isin([k.upper() for k in rules.exclude]) if rules.exclude else F.lit(False)
+    put = F.upper(F.col(key).cast("string")).isin([k.upper() for k in rules.include]) if rules.include else F.lit(False)
+    scored = hit.withColumns({"__raw": raw, "__lift": lift, "__out": out, "__put": put}).withColumn("__lifted", (F.col("__raw") < rules.threshold) & F.col("__lift"))
+    scored = scored.withColumn("__final", F.when(F.col("__lifted"), F.lit(rules.threshold)).otherwise(F.col("__raw")))
+    fired = [F.when(F.col(name), F.lit(f"{'-' if r.negative else '+'}{r.id}(w={'-' if r.negative else ''}{abs(r.weight):.2f})")) for r, name in plus + minus]
+    reasons = F.array_compact(F.array(*fired, F.when(F.col("__lifted"), F.lit("+contractor_rule_match"))))
+    given = lambda excluded, included, other: F.when(F.col("__out"), excluded).when(F.col("__put"), included).otherwise(other)
+    done = scored.withColumns({
+        "relevance_score": given(F.lit(0.0), F.lit(1.0), F.bround("__final", 4)),
+        "is_relevant": given(F.lit(False), F.lit(True), F.col("__final") >= rules.threshold),
+        "relevance_reasons": given(F.array(F.lit("manual_exclude_override")), F.array(F.lit("manual_include_override")), reasons),
+    })
+    return done.drop("__any", "__who", "__what", "__raw", "__lift", "__out", "__put", "__lifted", "__final", *[name for _, name in named])
 
 
 def explain(df: DataFrame, rules: Ruleset, key: str = "ticket_number") -> DataFrame:
     """One row per rule that fires: key, rule_id, weight (negative for negative rules)."""
-    fired = [
-        F.when(rule_matches(r, df.columns), F.struct(F.lit(r.id).alias("rule_id"), F.lit(-abs(r.weight) if r.negative else abs(r.weight)).alias("weight")))
-        for r in rules.rules
-    ]
-    return df.select(F.col(key), F.inline(F.array_compact(F.array(*fired))))
+    hit, named = _with_hits(df, rules)
+    fired = [F.when(F.col(name), F.struct(F.lit(r.id).alias("rule_id"), F.lit(-abs(r.weight) if r.negative else abs(r.weight)).alias("weight"))) for r, name in named]
+    return hit.select(F.col(key), F.inline(F.array_compact(F.array(*fired))))
 
 
 def rescore(current: DataFrame, rules: Ruleset, key: str = "ticket_number") -> DataFrame:
@@ -141,8 +149,8 @@ def rescore_diff(rescored: DataFrame) -> DataFrame:
 
 
 def rescore_samples(rescored: DataFrame, n: int = 5, key: str = "ticket_number") -> DataFrame:
-    """The n smallest keys of each change."""
+    """The n smallest keys of each change, unchanged ones too (a filter on change would compute every score twice)."""
     from pyspark.sql import Window
 
     place = F.row_number().over(Window.partitionBy("change").orderBy(key))
-    return rescored.where("change <> 'unchanged'").withColumn("place", place).where(F.col("place") <= n).select("change", "place", key, "old_score", "relevance_score")
+    return rescored.withColumn("place", place).where(F.col("place") <= n).select("change", "place", key, "old_score", "relevance_score")

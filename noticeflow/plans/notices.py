@@ -351,20 +351,21 @@ def package_rows(spark, sf):
     return views.package_rows(packages(spark, sf))
 
 
-@query(ctes(TICKETS_SQL) + "SELECT ticket_number, work_type FROM tickets WHERE k % 50 < 25")
+@query(ctes(TICKETS_SQL) + "SELECT ticket_number, work_type FROM tickets")
 def viewer_sort(spark, sf):
-    return views.viewer_sort(tickets(spark, sf).where("k % 50 < 25"), "work_type").select("ticket_number", "work_type")
+    return views.viewer_sort(tickets(spark, sf), "work_type").select("ticket_number", "work_type")
 
 
 # -- change capture ------------------------------------------------------------
 
 
 def _incoming(spark, sf):
+    """All notices arrive; the stored state lacks some of them and differs in others."""
     t = tickets(spark, sf).select("ticket_number", "k", "county", "work_type", "done_for")
-    return t.where("k % 10 <> 0"), t.where("k % 7 <> 0").withColumn("done_for", F.when(F.col("k") % 11 == 0, "moved").otherwise(F.col("done_for")))
+    return t, t.where("k % 7 <> 0").withColumn("done_for", F.when(F.col("k") % 11 == 0, "moved").otherwise(F.col("done_for")))
 
 
-_CHANGES = "SELECT t.k, CASE WHEN t.k % 7 = 0 THEN 'new' WHEN t.k % 11 = 0 THEN 'changed' ELSE 'unchanged' END AS change FROM tickets t WHERE t.k % 10 <> 0"
+_CHANGES = "SELECT t.k, CASE WHEN t.k % 7 = 0 THEN 'new' WHEN t.k % 11 = 0 THEN 'changed' ELSE 'unchanged' END AS change FROM tickets t"
 
 
 @query(ctes(TICKETS_SQL) + f"SELECT k, change FROM ({_CHANGES})")
@@ -381,7 +382,7 @@ def run_stats(spark, sf):
     return cdc.run_stats(cdc.capture_changes(incoming, stored, "ticket_number", now()))
 
 
-@query(ctes(TICKETS_SQL) + """SELECT ticket_number, CASE WHEN k % 10 = 0 AND k % 11 = 0 THEN 'moved' ELSE done_for END AS done_for, k % 10 <> 0 AND (k % 7 = 0 OR k % 11 = 0) AS touched FROM tickets WHERE k % 10 <> 0 OR k % 7 <> 0""")
+@query(ctes(TICKETS_SQL) + "SELECT ticket_number, done_for, k % 7 = 0 OR k % 11 = 0 AS touched FROM tickets")
 def upsert_current(spark, sf):
     incoming, stored = _incoming(spark, sf)
     stored = stored.withColumn("latest_content_hash", cdc.content_hash(stored)).withColumns({"created_at": F.lit("2001-01-01").cast("timestamp"), "updated_at": F.lit("2001-01-01").cast("timestamp")})
@@ -494,8 +495,40 @@ def format_functions(spark, sf):
     )
 
 
-@query("SELECT p_name, min(p_partkey) AS first_part, count(*) AS n FROM part GROUP BY 1")
+@query("""WITH n AS (SELECT DISTINCT p_name FROM part), c AS (SELECT p_name, seed, left(md5(p_name || '|' || seed), 6) AS h FROM n, range(65) r(seed)),
+rgb AS (SELECT *, ('0x' || h[1:2])::INT AS r, ('0x' || h[3:4])::INT AS g, ('0x' || h[5:6])::INT AS b FROM c),
+reserved(x, y, z) AS (VALUES (255, 0, 0), (255, 165, 0), (0, 0, 255), (128, 128, 128), (0, 255, 0), (255, 255, 0), (255, 69, 0), (139, 0, 0), (128, 0, 128), (255, 255, 255), (0, 0, 0)),
+far AS (SELECT p_name, seed, h FROM rgb, reserved GROUP BY ALL HAVING min((r - x) ** 2 + (g - y) ** 2 + (b - z) ** 2) >= 6400)
+SELECT p_name, '33' || h[5:6] || h[3:4] || h[1:2] AS color FROM (SELECT p_name, arg_min(h, seed) AS h FROM far GROUP BY 1)""")
 def name_colors(spark, sf):
-    """Names with a stable colour; the colour is dropped after it proves to be six digits."""
-    named = table(spark, sf, "part").groupBy("p_name").agg(F.min("p_partkey").alias("first_part"), F.count("*").alias("n"))
-    return named.withColumn("color", S.apply_alpha(S.stable_color(F.col("p_name")), 0.2)).where(F.col("color").rlike("^33[0-9a-f]{6}$")).drop("color")
+    """The stable colour of every distinct name, with a new alpha."""
+    return table(spark, sf, "part").select("p_name").distinct().select("p_name", S.apply_alpha(S.stable_color(F.col("p_name")), 0.2).alias("color"))
+
+
+@query("""SELECT l_orderkey, arg_max(l_shipmode, (l_shipdate, l_linenumber, l_partkey, l_suppkey)) AS last_response, count(*)::INT AS response_count FROM (SELECT *, l_returnflag || l_linestatus AS l_shipmode FROM lineitem) GROUP BY 1""")
+def latest_response(spark, sf):
+    """The last entry of each order's history of responses, and its length."""
+    li = table(spark, sf, "lineitem")
+    entry = F.struct("l_shipdate", "l_linenumber", "l_partkey", "l_suppkey", F.concat("l_returnflag", "l_linestatus").alias("said"))
+    lists = li.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(entry)).alias("h"))
+    return lists.select("l_orderkey", U.latest_response(F.transform("h", lambda x: x["said"])).alias("r")).select("l_orderkey", "r.*")
+
+
+@query(ctes(TICKETS_SQL, HITS_SQL) + f"""SELECT change, place::INT AS place, ticket_number, old_score, relevance_score FROM (SELECT *, row_number() OVER (PARTITION BY change ORDER BY ticket_number) AS place FROM (
+  SELECT *, CASE WHEN NOT was_relevant AND is_relevant THEN 'newly_relevant' WHEN was_relevant AND NOT is_relevant THEN 'no_longer_relevant' WHEN abs(relevance_score - old_score) > 1e-6 THEN 'score_moved' ELSE 'unchanged' END AS change
+  FROM (SELECT *, {_OLD} FROM scored))) WHERE place <= 5""")
+def rescore_samples(spark, sf):
+    """Five samples of each change: the limit is its feature."""
+    old = score.score(tickets(spark, sf), RULES)
+    third = lambda a, b, c: F.when(F.col("k") % 3 == 0, a).when(F.col("k") % 3 == 1, b).otherwise(F.col(c))
+    before = old.withColumns({"relevance_score": third(0.0, 0.9, "relevance_score"), "is_relevant": third(False, True, "is_relevant")})
+    return score.rescore_samples(score.rescore(before, RULES))
+
+
+@query()
+def work_groups(spark, sf):
+    """Active relevant notices in groups of like parties; sequential by nature, checked in the tests."""
+    from noticeflow.operators import cluster
+
+    t = scored(spark, sf).where(filters.active_relevant()).withColumns({c: F.lit(None).cast("string") for c in ("probable_company", "probable_work_group", "location_text")})
+    return cluster.work_groups(t).select("ticket_number", "leader", "probable_company", "probable_work_group")

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from noticeflow.operators import extract, policy, spatial, views
-from noticeflow.plans.adapters import RULES, TAGS_SQL, TICKETS_SQL, now, packages, project_tags, table, tickets, today
+from noticeflow.plans.adapters import PACKAGES_SQL, TAGS_SQL, TICKETS_SQL, now, packages, project_tags, table, tickets, today
 from noticeflow.plans.notices import HITS_SQL, rolled, scored
 from noticeflow.plans.registry import ctes, query
 from noticeflow.scratch import shared_dir
@@ -94,9 +94,9 @@ def haversine(spark, sf):
 
 
 @query(ctes(TICKETS_SQL) + """SELECT ticket_number, i::INT AS vertex, round(longitude + 25 / 111320.0::DOUBLE / cos(radians(latitude)) * cos(2 * pi() * (i % 32) / 32), 8) AS x, round(latitude + 25 / 111320.0::DOUBLE * sin(2 * pi() * (i % 32) / 32), 8) AS y
-FROM tickets, range(33) r(i) WHERE latitude IS NOT NULL AND k % 97 = 1""")
+FROM tickets, range(33) r(i) WHERE latitude IS NOT NULL""")
 def circle_ring(spark, sf):
-    t = tickets(spark, sf).where("latitude IS NOT NULL AND k % 97 = 1")
+    t = tickets(spark, sf).where("latitude IS NOT NULL")
     ring = t.select("ticket_number", F.posexplode(spatial.circle(F.col("latitude"), F.col("longitude"))).alias("vertex", "p"))
     return ring.select("ticket_number", "vertex", F.round("p.x", 8).alias("x"), F.round("p.y", 8).alias("y"))
 
@@ -115,6 +115,12 @@ def feature_counts(spark, sf):
     return spatial.feature_layers(project_lines(spark, sf), counts, F.lit("all"), "packages").select("project_id", "tickets")
 
 
+@query(ctes(PACKAGES_SQL) + " UNION ALL ".join(f"SELECT project_id, {i}::INT AS pos, '{n}' AS label, coalesce({c}::VARCHAR, '') AS value FROM packages" for i, (n, c) in enumerate(
+    [("Project", "project_name"), ("Owner", "owner"), ("Department", "NULL"), ("Facility", "NULL"), ("Type", "NULL"), ("Status", "status"), ("Act Start", "act_start_date"), ("Act End", "act_end_date")], 1)))
+def conflict_rows(spark, sf):
+    return views.conflict_rows(packages(spark, sf))
+
+
 # -- pages and texts -----------------------------------------------------------
 
 
@@ -186,6 +192,16 @@ def enrich_tickets(spark, sf):
     return policy.enrich(t, matches).select("ticket_number", F.size("matches").alias("matches"))
 
 
+@query(ctes(TICKETS_SQL, TAGS_SQL) + """SELECT ticket_number, CASE WHEN project_name IS NULL THEN '' ELSE 'near:' || project_name END || CASE WHEN NOT is_cancelled AND county = 'NATION_3' THEN (CASE WHEN project_name IS NULL THEN '' ELSE ',' END) || 'own:C3' ELSE '' END AS matches FROM tagged""")
+def provider_enrichers(spark, sf):
+    """Two registered enrichers, attached side by side."""
+    policy.register_enricher("near", lambda t, customer: t.where("project_name IS NOT NULL").select("ticket_number", F.col("project_name").alias("project_id")))
+    policy.register_enricher("own", lambda t, customer: t.where(F.col("county") == customer).where("NOT is_cancelled").select("ticket_number", F.lit("C3").alias("project_id")))
+    out = policy.enrich_all(project_tags(tickets(spark, sf)), "NATION_3")
+    said = F.transform("matches", lambda m: F.concat(m["provider"], F.lit(":"), m["project_id"]))
+    return out.select("ticket_number", F.array_join(F.array_sort(said), ",").alias("matches"))
+
+
 @query(ctes(TICKETS_SQL, TAGS_SQL) + """SELECT ticket_number, 'county' AS name, county AS value, 'public' AS classification FROM tagged UNION ALL SELECT ticket_number, 'work_type', work_type, 'public' FROM tagged
 UNION ALL SELECT ticket_number, 'project_id', project_name, 'customer_private' FROM tagged WHERE project_name IS NOT NULL""")
 def classified_values(spark, sf):
