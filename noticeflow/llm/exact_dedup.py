@@ -13,7 +13,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from noticeflow.llm.shared import Scratch, spread_join, text_or_empty
+from noticeflow.llm.shared import IdFilter, Scratch, spread_join, text_or_empty
 
 SPACES = " \t\n\x0b\x0c\r"
 
@@ -87,15 +87,19 @@ def exact_dedup(docs: DataFrame, index_path: str | None = None, buckets: int = 6
 
 def keep_first_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The input's rows and columns without the rows that `exact_dedup` drops."""
-    found = exact_dedup(docs, id_col=id_col, text_col=text_col)
+    scratch = Scratch(docs.sparkSession, "exact-kept")
+    found = scratch.save(exact_dedup(docs, id_col=id_col, text_col=text_col), "found")
+    # ids with a row that goes; only their rows are looked at again, and only those are shuffled
+    ids = scratch.save(found.where("NOT kept").select("doc_id").distinct(), "ids")
+    maybe, sure = IdFilter(ids, scratch).split(docs, id_col)
     keys = ["__nf_id", "__nf_sha"]
-    kept = found.where("kept").select(F.col("doc_id").alias(keys[0]), F.col("text_sha256").alias(keys[1]))
     sha = F.sha2(F.translate(text_or_empty(text_col), SPACES, "").cast("binary"), 256)
-    rows = docs.withColumns({keys[0]: F.col(id_col), keys[1]: sha})
-    same = (rows[keys[1]] == kept[keys[1]]) & rows[keys[0]].eqNullSafe(kept[keys[0]])
-    stay = rows.join(kept, same, "left_semi")
-    # one id with several rows of one text: only those need a look at more than the row itself
+    rest = maybe.withColumns({keys[0]: F.col(id_col), keys[1]: sha})
+    kept = found.where("kept").select(F.col("doc_id").alias(keys[0]), F.col("text_sha256").alias(keys[1]))
+    same = (rest[keys[1]] == kept[keys[1]]) & rest[keys[0]].eqNullSafe(kept[keys[0]])
+    stay = rest.join(kept, same, "left_semi")
+    # one id with several rows of one text, of which one stays
     again = found.groupBy("doc_id", "text_sha256").agg(F.count("*").alias("n"), F.max(F.col("kept").cast("int")).alias("k")).where("n > 1 AND k = 1")
     if not again.isEmpty():
         stay = stay.dropDuplicates(keys)
-    return stay.drop(*keys)
+    return sure.unionByName(stay.drop(*keys))

@@ -21,11 +21,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from noticeflow.llm.graph import connected_components
-from noticeflow.llm.shared import Scratch, shuffle_parts, spread_join
+from noticeflow.llm.shared import IdFilter, Scratch, drop_ids, spread_join
 
 BINS = 1 << 22
 #: Members of a block; a bucket of m members is compared in (m / BLOCK)**2 / 2 pairs of blocks.
-BLOCK = 256
+BLOCK = 512
 #: A signature estimate this far below the threshold drops a candidate (over four standard errors at 140 coordinates).
 SLACK = 0.13
 
@@ -77,7 +77,7 @@ def _signatures(docs: DataFrame, id_col: str, text_col: str, shingle: int, bands
                 for r in range(rows):
                     h = mix(h * np.uint64(3) + sig[r::rows].astype(np.uint64))
                 band_keys.append(mix(h + np.arange(1, bands + 1, dtype=np.uint64)).view(np.int64))
-                short.append(sig.astype("<u2").tobytes())
+                short.append(sig.astype(np.uint8).tobytes())
             yield pa.RecordBatch.from_arrays(
                 [ids, pa.array(counts, pa.int64()), pa.array(keys, pa.binary()), pa.array(band_keys, pa.list_(pa.int64())), pa.array(short, pa.binary())],
                 ["doc_id", "n_shingles", "set_key", "bands", "sig"],
@@ -87,8 +87,11 @@ def _signatures(docs: DataFrame, id_col: str, text_col: str, shingle: int, bands
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(work, schema)
 
 
-def _sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
-    """(rep, items): the full shingle sets of the representatives in `wanted` (column rep)."""
+def _sets(docs: DataFrame, wanted: IdFilter, id_col: str, text_col: str, shingle: int) -> DataFrame:
+    """(rep, items): the full shingle sets of the representatives in `wanted` (column rep), and of a few more.
+
+    Made where the texts are read: a bounded id filter passes over the others, so no text is shuffled.
+    """
 
     def work(batches):
         import pyarrow as pa
@@ -99,8 +102,8 @@ def _sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, shingl
             items = [x.tobytes() for x in shingle_sets(batch.column(1), shingle)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(items, pa.binary())], ["rep", "items"])
 
-    texts = docs.select(F.col(id_col).cast("long").alias("rep"), F.col(text_col).alias("text")).join(wanted, "rep", "left_semi")
-    return texts.mapInArrow(work, "rep long, items binary")
+    texts = docs.select(F.col(id_col).cast("long").alias("rep"), F.col(text_col).alias("text"))
+    return wanted.split(texts, "rep")[0].mapInArrow(work, "rep long, items binary")
 
 
 def _estimates(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
@@ -114,7 +117,7 @@ def _estimates(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
 
         for batch in batches:
             x, y = batch.column(2).to_pylist(), batch.column(3).to_pylist()
-            same = np.array([(np.frombuffer(p, "<u2") == np.frombuffer(q, "<u2")).mean() for p, q in zip(x, y)]) if x else np.zeros(0)
+            same = np.array([(np.frombuffer(p, np.uint8) == np.frombuffer(q, np.uint8)).mean() for p, q in zip(x, y)]) if x else np.zeros(0)
             yield batch.select(["a", "b"]).filter(pa.array(same >= percent / 100 - SLACK))
 
     return near.select("a", "b", "sig_a", "sig_b").mapInArrow(work, "a long, b long")
@@ -147,12 +150,12 @@ def _block_pairs(members: DataFrame) -> DataFrame:
     return dealt.select("bucket", "rep", "comp", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block")
 
 
-def _survivors(dealt: DataFrame, nodes: DataFrame, percent: int, parts: int) -> DataFrame:
+def _survivors(dealt: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     """Members of block pairs that some member of another component may match, by size and signature."""
     rows = spread_join(dealt, nodes.select("rep", "n", "sig"), "rep")
 
     def work(pdf):
-        sig, n = np.stack([np.frombuffer(x, "<u2") for x in pdf["sig"]]), pdf["n"].to_numpy()
+        sig, n = np.stack([np.frombuffer(x, np.uint8) for x in pdf["sig"]]), pdf["n"].to_numpy()
         comp, block = pdf["comp"].to_numpy(), pdf["block"].to_numpy()
         own = (pdf["i"] == pdf["j"]).iloc[0]
         hit = np.zeros(len(pdf), bool)
@@ -214,12 +217,12 @@ def near_dedup(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col: str
     spark = docs.sparkSession
     scratch = Scratch(spark, "near-dedup")
     bands, rows = band_plan(percent)
-    found = scratch.save(_signatures(docs, id_col, text_col, shingle, bands, rows), "signatures")
+    wide = scratch.save(_signatures(docs, id_col, text_col, shingle, bands, rows), "signatures")
+    found = scratch.save(wide.select("doc_id", "n_shingles", "set_key"), "keys")
     sets_of = found.where("n_shingles > 0")
-    groups = scratch.save(
-        sets_of.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("sig").alias("sig")),
-        "groups",
-    )
+    first = [F.first(c).alias(c) for c in ("bands", "sig")]
+    groups = scratch.save(wide.where("n_shingles > 0").groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), *first), "groups")
+    scratch.drop("signatures")
     nodes = groups.select("rep", "n", "sig")
     entries = groups.select("rep", F.explode("bands").alias("bucket"))
 
@@ -231,9 +234,11 @@ def near_dedup(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col: str
     members = scratch.save(spread_join(entries, crowded, "bucket"), "members")
     pairs = members.where("rep <> leader").select(F.least("rep", "leader").alias("a"), F.greatest("rep", "leader").alias("b")).distinct()
     candidates = scratch.save(_estimates(pairs, nodes, percent), "candidates")
+    scratch.drop("buckets")
     ends = candidates.select(F.col("a").alias("rep")).union(candidates.select("b")).distinct()
-    sets = scratch.save(_sets(docs, ends, id_col, text_col, shingle), "sets").dropDuplicates(["rep"])
+    sets = scratch.save(_sets(docs, IdFilter(ends, scratch, "ends"), id_col, text_col, shingle), "sets").dropDuplicates(["rep"])
     links = scratch.save(_verified(candidates, sets, percent), "links")
+    scratch.drop("sets", "candidates")
     stars = scratch.save(connected_components(links, scratch, "star-cc"), "stars")
 
     # block round: buckets that still hold several components
@@ -246,8 +251,8 @@ def near_dedup(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col: str
     # buckets of several bands often hold the same members: one of them is enough
     open_buckets = scratch.save(open_buckets.groupBy("content", "m").agg(F.min("bucket").alias("bucket")).select("bucket"), "open")
     dealt = _block_pairs(spread_join(placed, open_buckets, "bucket"))
-    left = scratch.save(_survivors(dealt, nodes, percent, shuffle_parts(spark)), "survivors")
-    more_sets = scratch.save(_sets(docs, left.select("rep").distinct(), id_col, text_col, shingle), "more-sets").dropDuplicates(["rep"])
+    left = scratch.save(_survivors(dealt, nodes, percent), "survivors")
+    more_sets = scratch.save(_sets(docs, IdFilter(left.select("rep").distinct(), scratch, "left"), id_col, text_col, shingle), "more-sets").dropDuplicates(["rep"])
     more = scratch.save(_block_links(left, more_sets, percent), "more-links")
     joined = connected_components(links.unionByName(more), scratch, "all-cc") if not more.isEmpty() else stars
 
@@ -262,5 +267,6 @@ def near_dedup(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col: str
 
 def keep_one_of_each(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The input's rows and columns without the documents that repeat another of their component."""
-    gone = near_dedup(docs, shingle, percent, id_col, text_col).where("NOT kept").select(F.col("doc_id").alias("__nf_id"))
-    return docs.join(gone, docs[id_col] == gone["__nf_id"], "left_anti")
+    scratch = Scratch(docs.sparkSession, "near-kept")
+    gone = near_dedup(docs, shingle, percent, id_col, text_col).where("NOT kept").select("doc_id")
+    return drop_ids(docs, scratch.save(gone, "gone"), id_col, scratch)

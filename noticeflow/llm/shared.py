@@ -2,63 +2,61 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, else a local one (tests)."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="noticeflow-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return base.rstrip("/")
+from noticeflow.scratch import Scratch, shared_dir, spread_join  # noqa: F401
 
 
 def shuffle_parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 
 
-class Scratch:
-    """Tables written once to the shared folder, so that lost executors cost no recomputation.
-
-    They go when `drop` is called, and at the latest when the driver's JVM ends.
-    """
-
-    def __init__(self, spark: SparkSession, label: str):
-        self.spark = spark
-        self.root = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex[:12]}"
-        path = spark._jvm.org.apache.hadoop.fs.Path(self.root)
-        self._fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
-        self._fs.deleteOnExit(path)
-
-    def path(self, name: str) -> str:
-        return f"{self.root}/{name}"
+#: Bits of an id filter at most (32 MB): its size never grows beyond this with the data.
+FILTER_BITS = 1 << 28
 
-    def save(self, df: DataFrame, name: str) -> DataFrame:
-        df.write.parquet(self.path(name))
-        return self.spark.read.schema(df.schema).parquet(self.path(name))
 
-    def drop(self, *names: str) -> None:
-        for name in names:
-            self._fs.delete(self.spark._jvm.org.apache.hadoop.fs.Path(self.path(name)), True)
+class IdFilter:
+    """A bounded bitmap of hashed ids: tells rows whose id is surely not in a table from those that may be.
 
+    It is made of Spark's bitmap aggregates, of about 64 bits an id up to
+    FILTER_BITS; beyond that it lets more rows through, and stays correct.  Its
+    chunks, at most 8192 of 4 KB, are broadcast.
+    """
 
-def spread_join(many: DataFrame, one: DataFrame, key: str, how: str = "inner") -> DataFrame:
-    """Join rows with a table that has one row a key, where a key may hold a third of `many`.
-
-    The second join key makes Spark exchange both sides for this join (an
-    aggregate's own partitioning would be reused otherwise), and only such
-    exchanges does AQE split when a partition is skewed.
+    def __init__(self, ids: DataFrame, scratch: Scratch, name: str = "id-filter"):
+        column = ids.columns[0]
+        count, bits = ids.count(), 1 << 15
+        while bits < 64 * count and bits < FILTER_BITS:
+            bits *= 2
+        self.bits = bits
+        place = ids.select(self._place(column).alias("p"))
+        chunks = place.groupBy(F.bitmap_bucket_number("p").alias("__nf_chunk")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("__nf_bits"))
+        self.chunks = scratch.save(chunks, name)
+
+    def _place(self, column: str):
+        return F.pmod(F.xxhash64(column), F.lit(self.bits)) + 1
+
+    def split(self, rows: DataFrame, column: str) -> tuple[DataFrame, DataFrame]:
+        """(rows that may be in the table, rows that are not)."""
+        at = F.bitmap_bit_position(self._place(column))
+        marked = rows.withColumns({"__nf_chunk": F.bitmap_bucket_number(self._place(column)), "__nf_at": at})
+        joined = marked.join(F.broadcast(self.chunks), "__nf_chunk", "left")
+        byte = F.conv(F.hex(F.expr("substring(__nf_bits, cast(__nf_at div 8 as int) + 1, 1)")), 16, 10).cast("int")
+        held = F.coalesce(F.getbit(byte, (F.col("__nf_at") % 8).cast("int")) == 1, F.lit(False))
+        return joined.where(held).select(*rows.columns), joined.where(~held).select(*rows.columns)
+
+
+def drop_ids(rows: DataFrame, ids: DataFrame, id_col: str, scratch: Scratch) -> DataFrame:
+    """Rows whose id is not in `ids` (one column), by an exact anti-join of the few rows that the filter can't clear.
+
+    The others, with all their texts, are never shuffled.
     """
-    left = many.withColumn("__spread", F.xxhash64(key))
-    right = one.withColumn("__spread", F.xxhash64(key))
-    return left.join(right, [key, "__spread"], how).drop("__spread")
+    gone = ids.toDF("__nf_gone")
+    maybe, sure = IdFilter(ids, scratch, "gone-filter").split(rows, id_col)
+    return sure.unionByName(maybe.join(gone, maybe[id_col].eqNullSafe(gone["__nf_gone"]), "left_anti"))
 
 
 def text_or_empty(column: str = "text"):
@@ -85,3 +83,16 @@ def range_of(key: str, bounds: list):
         return pd.Series(np.where(low, 0, np.searchsorted(np.asarray(bounds), values.fillna(bounds[0]).to_numpy(), side="left")).astype("int32"))
 
     return place(F.col(key))
+
+
+def deal_ranges(rows: DataFrame, parts: int, number: str = "range") -> DataFrame:
+    """Shuffle rows so that each of `parts` range numbers has a partition of its own.
+
+    Hashing the numbers themselves would put several into one partition; so each
+    is dealt by a key that hashes to its own place.
+    """
+    spark = rows.sparkSession
+    keys = spark.range(64 * parts).select("id", F.pmod(F.hash("id"), F.lit(parts)).alias("place")).groupBy("place").agg(F.min("id").alias("id"))
+    found = {r["place"]: r["id"] for r in keys.collect()}  # one a partition
+    key = F.element_at(F.array(*[F.lit(found.get(i, i)).cast("long") for i in range(parts)]), F.col(number) + 1)
+    return rows.withColumn("__nf_key", key).repartition(parts, "__nf_key").drop("__nf_key")
