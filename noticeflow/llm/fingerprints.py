@@ -11,7 +11,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from noticeflow.llm.shared import range_bounds, range_of, shuffle_parts
+from noticeflow.llm.shared import deal_ranges, range_bounds, range_of, shuffle_parts
 
 GRAM, WINDOW = 16, 48
 
@@ -113,7 +113,7 @@ def fingerprint_edits(docs: DataFrame, gram: int = GRAM, window: int = WINDOW, i
         lone = rows.where("doc_id IS NULL").agg(F.min("text").alias("text")).select(F.lit(None).cast("long").alias("doc_id"), F.lit(guest_of[None]).alias("range"), "text")
         first = first.unionByName(lone)
     both = placed.withColumn("guest", F.lit(0)).unionByName(first.withColumn("guest", F.lit(1)).select("doc_id", "text", "range", "guest"))
-    dealt = both.repartition(parts, "range").sortWithinPartitions(F.col("range"), F.col("guest"), F.col("doc_id").desc_nulls_last(), F.col("text"))
+    dealt = deal_ranges(both, parts).sortWithinPartitions(F.col("range"), F.col("guest"), F.col("doc_id").desc_nulls_last(), F.col("text"))
 
     def work(batches):
         import hashlib

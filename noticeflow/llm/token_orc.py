@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from noticeflow.llm.shared import range_bounds, range_of, shuffle_parts
+from noticeflow.llm.shared import deal_ranges, range_bounds, range_of, shuffle_parts
 
 SCHEMA = "doc_id long, ids array<int>, n_tokens long, range_start long, range int"
 
@@ -29,7 +29,7 @@ def write_token_orc(
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     parts = shuffle_parts(spark)
     placed = rows.withColumn("range", range_of("doc_id", range_bounds(rows, "doc_id", parts)))
-    dealt = placed.repartition(parts, "range").sortWithinPartitions("range", "doc_id", "text")
+    dealt = deal_ranges(placed, parts).sortWithinPartitions("range", "doc_id", "text")
 
     def work(batches):
         import numpy as np

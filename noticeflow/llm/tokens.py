@@ -4,6 +4,8 @@ Both vocabularies cut a text into pre-tokens that are merged on their own, and a
 pre-token never reaches from a character into the white space after it.  So a
 text is cut before white space into segments, each distinct segment is encoded
 by the library once per worker, and a text's ids are its segments' ids joined.
+Plain words go to the library's merge step at once, without its normaliser and
+pattern, which do nothing to them but lower-case.
 """
 
 from __future__ import annotations
@@ -31,16 +33,40 @@ def vocabulary(name: str, folder: str | None = None) -> str:
     return public_tokenizers.path(name)
 
 
+#: A word of Latin-1 letters, with or without a space before it, and the punctuation behind it: two pre-tokens at most.
+PLAIN = re.compile(r"( ?[A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]*)")
+
+
 class SegmentEncoder:
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
         from tokenizers import Tokenizer
-
-        self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.segments = re.compile(f"[{WHITE}]*[^{WHITE}]+|[{WHITE}]+").findall
+        from tokenizers.pre_tokenizers import ByteLevel
+
+        self.library = lib = Tokenizer.from_file(path)
+        lib.encode_special_tokens = True  # their strings in a text are ordinary text
+        ids = lambda text: lib.encode(text, add_special_tokens=False).ids
+        self.lowers, self.drops_space = ids("Word") == ids("word"), ids(" word") == ids("word") and not ids(" ")
+        show = ByteLevel(add_prefix_space=False, use_regex=False)
+        # how each byte is written in the vocabulary: letters up to U+00FF, punctuation and the space need no more
+        self.shown = {chr(c): show.pre_tokenize_str(chr(c))[0][0] for c in (*range(32, 127), *range(0xC0, 0x100))}
+        self.white = re.compile(f"[^{WHITE}]+" if self.drops_space else f"[{WHITE}]*[^{WHITE}]+|[{WHITE}]+").findall
+        self.odd = re.compile("[\x1c-\x1f]").search  # white space for str.split, but not for the library
         self.cache: dict[str, bytes] = {}
 
+    def segments(self, text: str) -> list[str]:
+        return text.split() if self.drops_space and not self.odd(text) else self.white(text)
+
+    def pre_token(self, word: str) -> bytes:
+        """Ids of one pre-token by the library's merges alone."""
+        import numpy as np
+
+        found = self.cache.get(word)
+        if found is None:
+            shown = "".join(map(self.shown.__getitem__, word.lower() if self.lowers else word))
+            found = self.cache[word] = np.array([t.id for t in self.library.model.tokenize(shown)], "<u4").tobytes()
+        return found
+
     def encode_batch(self, texts: list[str]) -> list[bytes]:
         """Ids as little-endian unsigned 32-bit integers, without special tokens."""
         import numpy as np
@@ -49,9 +75,17 @@ class SegmentEncoder:
             self.cache.clear()
         cut = [self.segments(t) for t in texts]
         cache = self.cache
-        new = list(set().union(*cut).difference(cache)) if cut else []
-        for at in range(0, len(new), 5000):
-            part = new[at : at + 5000]
+        new, rest = set().union(*cut).difference(cache) if cut else (), []
+        for segment in new:
+            plain = PLAIN.fullmatch(segment)
+            if not plain:
+                rest.append(segment)
+            elif plain[2]:
+                cache[segment] = self.pre_token(plain[1]) + self.pre_token(plain[2])
+            else:
+                self.pre_token(segment)
+        for at in range(0, len(rest), 5000):
+            part = rest[at : at + 5000]
             for segment, found in zip(part, self.library.encode_batch_fast(part, add_special_tokens=False)):
                 cache[segment] = np.array(found.ids, "<u4").tobytes()
         get = cache.__getitem__
