@@ -57,6 +57,28 @@ def template_bigrams(text: str) -> list[str]:
     return sorted({f"{a} {b}" for a, b in zip(words, words[1:])})
 
 
+#: Words too common to tell a notice by.
+COMMON = {"the", "a", "of", "to", "and", "or", "in", "is", "by", "under", "this", "that", "for", "as", "are", "be", "with", "any", "not", "on", "it", "you", "may", "can", "at", "so", "if", "do"}
+
+
+def telling_words(known: list[tuple[str, list[str]]], threshold: float) -> list[str]:
+    """Words of which every unit that reaches the threshold holds at least one.
+
+    Such a unit shares at least t/(2-t) of a template's bigrams, so it shares
+    one of any larger-than-the-rest selection; the selection is made of the
+    bigrams that few, long, uncommon words cover.
+    """
+    words: set[str] = set()
+    for _, grams in known:
+        need = len(grams) - int(len(grams) * threshold / (2 - threshold) - 1e-9)
+        pairs = [set(g.split(" ")) for g in grams]
+        for word in sorted({w for p in pairs for w in p}, key=lambda w: (w in COMMON or w.isdigit(), -len(w), w)):
+            if sum(bool(p & words) for p in pairs) >= need:
+                break
+            words.add(word)
+    return sorted(words)
+
+
 def bigrams(words: Column) -> Column:
     pairs = F.zip_with(words, F.slice(words, F.lit(2), F.size(words)), lambda a, b: F.concat(a, F.lit(" "), b))
     return F.array_distinct(F.slice(pairs, F.lit(1), F.size(words) - 1))
@@ -82,7 +104,9 @@ def license_scan(docs: DataFrame, templates=TEMPLATES, threshold: float = 0.8, i
     text = F.coalesce(F.col(text_col), F.lit(""))
     units = F.array_distinct(F.concat(F.split(text, "\n"), F.split(text, r"\n[ \t\r]*\n")))
     clean = lambda u: F.trim(F.regexp_replace(F.translate(u, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), "[^a-z0-9]+", " "))
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.explode(units).alias("unit"))
+    # documents, then units, without a telling word go before anything is cut or normalised
+    telling = f"(?i)(?<![a-z0-9])(?:{'|'.join(telling_words(known, threshold))})(?![a-z0-9])"
+    rows = docs.where(F.col(text_col).rlike(telling)).select(F.col(id_col).alias("doc_id"), F.explode(units).alias("unit")).where(F.col("unit").rlike(telling))
     rows = rows.select("doc_id", F.split(clean(F.col("unit")), " ").alias("words"))
     # distinct bigrams are at most words - 1: short units go before any bigram is built
     rows = rows.where(F.size("words") - 1 >= F.lit(least)).select("doc_id", bigrams(F.col("words")).alias("grams"))
