@@ -142,6 +142,25 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return spread_join(spread_join(pairs, left, "a"), right, "b").select("a", "b", "x", "y").mapInArrow(work, "a long, b long")
 
 
+def _merged(members: DataFrame) -> DataFrame:
+    """Merge open buckets of one dominant component where that is less work: (bucket, size, rep, comp).
+
+    The bands of one large group give many buckets of nearly the same members.
+    Their union, once, compares every pair that any of them holds; it is taken
+    where its square is less than the sum of theirs.
+    """
+    counts = members.groupBy("bucket", "comp").agg(F.count("*").alias("n"), F.first("size").alias("size"))
+    main = counts.groupBy("bucket").agg(F.max_by("comp", F.struct("n", "comp")).alias("main"), F.first("size").cast("double").alias("m"))
+    tagged = spread_join(members, main, "bucket")
+    union = tagged.select("main", "rep", "comp").distinct()
+    cost = main.groupBy("main").agg(F.sum(F.col("m") * F.col("m")).alias("apart"))
+    sizes = union.groupBy("main").agg(F.count("*").alias("u")).join(cost, "main").withColumn("join", F.col("u").cast("double") * F.col("u") < F.col("apart"))
+    whole = spread_join(union, sizes.where("join").select("main", F.col("u").alias("size")), "main")
+    whole = whole.select(F.xxhash64("main", F.lit("merged")).alias("bucket"), "size", "rep", "comp")
+    apart = spread_join(tagged, sizes.where("NOT join").select("main"), "main").select("bucket", "size", "rep", "comp")
+    return whole.unionByName(apart)
+
+
 def _block_pairs(members: DataFrame) -> DataFrame:
     """Deal (bucket, rep, comp, size) into pairs of blocks: adds (i, j, side of the member)."""
     count = F.ceil(F.col("size") / F.lit(float(BLOCK))).cast("int")
@@ -250,7 +269,8 @@ def near_dedup(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col: str
     open_buckets = placed.groupBy("bucket").agg(state.alias("open"), mark, F.count("*").alias("m")).where("open")
     # buckets of several bands often hold the same members: one of them is enough
     open_buckets = scratch.save(open_buckets.groupBy("content", "m").agg(F.min("bucket").alias("bucket")).select("bucket"), "open")
-    dealt = _block_pairs(spread_join(placed, open_buckets, "bucket"))
+    unsettled = scratch.save(spread_join(placed, open_buckets, "bucket"), "unsettled")
+    dealt = _block_pairs(_merged(unsettled))
     left = scratch.save(_survivors(dealt, nodes, percent), "survivors")
     more_sets = scratch.save(_sets(docs, IdFilter(left.select("rep").distinct(), scratch, "left"), id_col, text_col, shingle), "more-sets").dropDuplicates(["rep"])
     more = scratch.save(_block_links(left, more_sets, percent), "more-links")
