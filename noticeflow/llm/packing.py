@@ -187,8 +187,8 @@ def cut_documents(docs: DataFrame, path: str, end_id: int, capacity: int, ids: b
         enc, tail = encoder(path), np.array([end_id], "<u4").tobytes()
         names = ["doc_id", "piece", "start", "length", "ids_crc32", "ids"]
         for whole in batches:
-            for at in range(0, whole.num_rows, 500):
-                batch = whole.slice(at, 500)
+            for at in range(0, whole.num_rows, 200):
+                batch = whole.slice(at, 200)
                 rows = []
                 for doc_id, body in zip(batch.column(0).to_pylist(), enc.encode_batch([t or "" for t in batch.column(1).to_pylist()])):
                     body += tail

@@ -40,8 +40,8 @@ def write_token_orc(
         enc, tail = encoder(path), np.array([end_id], "<u4").tobytes()
         now, total = None, 0
         for whole in batches:
-            for at in range(0, whole.num_rows, 500):
-                batch = whole.slice(at, 500)
+            for at in range(0, whole.num_rows, 200):
+                batch = whole.slice(at, 200)
                 arrays = [np.frombuffer(b + tail, "<i4") for b in enc.encode_batch(batch.column(1).to_pylist())]
                 ranges, starts = batch.column(2).to_pylist(), []
                 for r, a in zip(ranges, arrays):

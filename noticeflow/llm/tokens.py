@@ -17,8 +17,8 @@ from functools import lru_cache
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Segments that a worker keeps (about 150 bytes each); a full cache starts anew.
-CACHE = 1_000_000
+#: Segments that a worker keeps (about 200 bytes each); a full cache starts anew.
+CACHE = 400_000
 #: The characters with Unicode's White_Space property.
 WHITE = "\\t\\n\\x0b\\x0c\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 
@@ -33,8 +33,8 @@ def vocabulary(name: str, folder: str | None = None) -> str:
     return public_tokenizers.path(name)
 
 
-#: A word of Latin-1 letters, with or without a space before it, and the punctuation behind it: two pre-tokens at most.
-PLAIN = re.compile(r"( ?[A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]*)")
+#: A line end, a word of Latin-1 letters with or without a space before it, and the punctuation behind it: a pre-token each.
+PLAIN = re.compile(r"(\n?)( ?[A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]*)")
 
 
 class SegmentEncoder:
@@ -49,7 +49,7 @@ class SegmentEncoder:
         self.lowers, self.drops_space = ids("Word") == ids("word"), ids(" word") == ids("word") and not ids(" ")
         show = ByteLevel(add_prefix_space=False, use_regex=False)
         # how each byte is written in the vocabulary: letters up to U+00FF, punctuation and the space need no more
-        self.shown = {chr(c): show.pre_tokenize_str(chr(c))[0][0] for c in (*range(32, 127), *range(0xC0, 0x100))}
+        self.shown = {chr(c): show.pre_tokenize_str(chr(c))[0][0] for c in (10, *range(32, 127), *range(0xC0, 0x100))}
         self.white = re.compile(f"[^{WHITE}]+" if self.drops_space else f"[{WHITE}]*[^{WHITE}]+|[{WHITE}]+").findall
         self.odd = re.compile("[\x1c-\x1f]").search  # white space for str.split, but not for the library
         self.cache: dict[str, bytes] = {}
@@ -80,10 +80,8 @@ class SegmentEncoder:
             plain = PLAIN.fullmatch(segment)
             if not plain:
                 rest.append(segment)
-            elif plain[2]:
-                cache[segment] = self.pre_token(plain[1]) + self.pre_token(plain[2])
             else:
-                self.pre_token(segment)
+                cache[segment] = b"".join(self.pre_token(part) for part in plain.groups() if part)
         for at in range(0, len(rest), 5000):
             part = rest[at : at + 5000]
             for segment, found in zip(part, self.library.encode_batch_fast(part, add_special_tokens=False)):
