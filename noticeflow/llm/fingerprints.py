@@ -2,7 +2,9 @@
 
 Every run of GRAM code points is hashed; of each WINDOW consecutive hashes the
 least is chosen, the rightmost of equal ones, with its position.  Two texts that
-share a passage of GRAM + WINDOW - 1 code points share a chosen hash.
+share a passage of GRAM + WINDOW - 1 code points share a chosen hash.  Short
+texts keep every run, of several lengths (SHORT_GRAMS), so that they share
+hashes with an edit of themselves, too.
 """
 
 from __future__ import annotations
@@ -13,15 +15,26 @@ from pyspark.sql import functions as F
 
 from noticeflow.llm.shared import deal_ranges, range_bounds, range_of, shuffle_parts
 
-GRAM, WINDOW = 16, 48
+GRAM, WINDOW = 16, 8
+#: A text of n < 4 * GRAM code points keeps every run of each of these lengths g with g <= n < 4 * g.  As they double, one
+#: of them is at most two thirds and more than a quarter of n: an edit that keeps two thirds of a text shares its runs.
+SHORT_GRAMS = (2, 4, 8, GRAM)
 
 
-def winnow(text: str, gram: int = GRAM, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
+def winnow(text: str, gram: int | None = None, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
     """(hashes, positions) chosen from a text, by position.
 
-    A text shorter than `gram` is one run; an empty one has none; with fewer
-    runs than a window there is one window.
+    Without `gram` runs are of GRAM code points, and a text of less than
+    4 * GRAM keeps all its runs of SHORT_GRAMS (positions repeat then).  With a
+    `gram` all texts have runs of that length, a shorter one is one run, and
+    with fewer runs than a window there is one window.  An empty text has none.
     """
+    if gram is None and 2 <= len(text) < 4 * GRAM:
+        found = [winnow(text, g, 1) for g in SHORT_GRAMS if g <= len(text) < 4 * g]
+        hashes, at = (np.concatenate(x) for x in zip(*found))
+        order = np.argsort(at, kind="stable")
+        return hashes[order], at[order]
+    gram = gram or GRAM
     from noticeflow.llm.text_arrays import mix, span_hashes
 
     points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
@@ -55,7 +68,7 @@ def likeness(a: np.ndarray, b: np.ndarray) -> float:
     return both / total if total else 1.0
 
 
-def fingerprint_documents(docs: DataFrame, gram: int = GRAM, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def fingerprint_documents(docs: DataFrame, gram: int | None = None, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: doc_id, n_chars, fingerprint, hashes, positions.
 
     hashes and positions are in order of position (a hash may occur again).
@@ -87,7 +100,7 @@ def fingerprint_documents(docs: DataFrame, gram: int = GRAM, window: int = WINDO
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(work, schema)
 
 
-def fingerprint_edits(docs: DataFrame, gram: int = GRAM, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def fingerprint_edits(docs: DataFrame, gram: int | None = None, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Fingerprints of every text, of its edit with the next document, and their likeness.
 
     The next document is the one before it by doc_id (the last one's is the

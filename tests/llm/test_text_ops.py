@@ -151,6 +151,18 @@ def test_fingerprint_edits(spark, docs, plain):
     assert len(spans["hashes"]) == len(spans["positions"])
 
 
+def test_winnow_shares_hashes_with_every_edit():
+    """Texts of any length share a hash with an edit that keeps two thirds, also if the edit is shorter."""
+    rnd = random.Random(5)
+    noise = lambda n: "".join(rnd.choice("abcdefghij ") for _ in range(n))
+    for n in [*range(1, 130), 400]:
+        for other in ("", noise(n)):
+            text = noise(n)
+            edited = text[: n - n // 3] + other[: n // 3]
+            mine, theirs = (np.unique(fingerprints.winnow(t)[0]) for t in (text, edited))
+            assert fingerprints.likeness(mine, theirs) > 0, n
+
+
 @pytest.mark.parametrize("least", [0, 10])
 def test_warc_round_trip(spark, least):
     rows = [(-5, "u\r\nX: 1", None), (7, "u2", ""), (None, None, "abc"), (9, "u", "é" * 700_000), (10, "u", "é" * 700_000), (11, "v", "small"), (12, "v", "small"), (12, "v", "small")]
