@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 
 #: Labelled documents a class for fitting at most (half for dictionaries, half for calibration), and code points a document there at most.
 SAMPLE, SAMPLE_CHARS = 2000, 20_000
-DICTIONARY_BYTES = 256 * 1024
+#: Bytes of a dictionary at most, and of the pieces by which a text that exceeds its share of them is taken.
+DICTIONARY_BYTES, PIECE_BYTES = 256 * 1024, 256
 LEVEL = 3
 THRESHOLD = 0.3
 
@@ -35,6 +36,36 @@ def training_sample(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, ch
     return texts.join(F.broadcast(ids), "doc_id").select("doc_id", "text", "quality").toPandas().sort_values(["doc_id", "text"]).reset_index(drop=True)
 
 
+def dictionary(ids, texts, most: int = DICTIONARY_BYTES, piece: int = PIECE_BYTES) -> bytes:
+    """At most `most` bytes of all texts: equal shares, where shorter texts leave theirs to longer ones.
+
+    A text within its share is taken whole, another by one piece of each of as
+    many equal parts as its share has pieces; where in the part, differs from
+    text to text.  Texts follow each other by the hash of their id, so that no
+    range of ids is nearest to the end; if there are more texts than pieces, the
+    first by that hash are taken.
+    """
+    import zlib
+
+    raws = [(zlib.crc32(str(i).encode()), t.encode("utf-8", "surrogatepass")) for i, t in zip(ids, texts)]
+    raws = [raw for _, raw in sorted(r for r in raws if r[1])][: max(1, most // (piece + 1))]
+    share, room, left = most, most, len(raws)
+    for n in sorted(len(raw) + 1 for raw in raws):  # with its line feed
+        share = room // left
+        if n > share:
+            break
+        room, left = room - n, left - 1
+    out = []
+    for k, raw in enumerate(raws):
+        if len(raw) + 1 > share:
+            size = min(piece, share - 1)
+            count = (share - 1) // size
+            part = len(raw) / count
+            raw = b"".join(raw[(at := int(i * part + (part - size) * (k * 0.618034 % 1))) : at + size] for i in range(count))
+        out.append(raw)
+    return b"\n".join(out)
+
+
 def compressors(model: dict):
     import zstandard
 
@@ -67,8 +98,8 @@ def fit_quality(sample: pd.DataFrame) -> dict:
     if len(sample) < 20 or not 0 < share < 1:
         return model
     for name, q in (("good", 1), ("bad", 0)):
-        blob = b"\n".join(t.encode("utf-8", "surrogatepass")[:4096] for t in sample.loc[half & (sample["quality"] == q), "text"])
-        model[name] = blob[-DICTIONARY_BYTES:]
+        mine = sample[half & (sample["quality"] == q)]
+        model[name] = dictionary(mine["doc_id"], mine["text"])
     rest = sample[~half]
     y = rest["quality"].to_numpy(float)
     if len(set(y)) < 2 or not model["good"] or not model["bad"]:

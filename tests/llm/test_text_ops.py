@@ -261,6 +261,20 @@ def test_quality_on_held_out_rows(spark):
     assert kept.columns == docs.columns and 0.7 * docs.count() < kept.count() < docs.count()
 
 
+def test_dictionaries_are_made_of_all_texts():
+    sample = pd.DataFrame({"doc_id": range(4000), "text": [f"<{i}>" * 900 for i in range(4000)], "quality": [i // 2 % 2 for i in range(4000)]})
+    model = quality.fit_quality(sample)
+    for name, q in (("good", 1), ("bad", 0)):
+        ids = sample.doc_id[(sample.index % 2 == 0) & (sample.quality == q)]
+        assert all(f"<{i}>".encode() in model[name] for i in ids) and len(ids) == 1000
+        assert 0.9 * quality.DICTIONARY_BYTES < len(model[name]) <= quality.DICTIONARY_BYTES
+    places = "".join(f"({i:05})" for i in range(2800))
+    got = sorted({int(x) for x in re.findall(rb"\((\d{5})\)", quality.dictionary(range(1000), [places] * 1000))})
+    assert got[0] < 50 and got[-1] > 2750 and max(np.diff(got)) < 50
+    assert sorted(quality.dictionary([1, 2, 3], ["a", "", "b" * 5000]).split(b"\n")) == [b"a", b"b" * 5000]
+    assert quality.dictionary([], []) == b""
+
+
 def test_quality_without_labels(spark, docs):
     none = table(spark, SF, "labels").where("false")
     model = quality.fit_quality(quality.training_sample(docs, none))
