@@ -33,31 +33,34 @@ def text_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 class DigestIndex:
-    """Digests seen so far with the row that stays: (text_sha256, keep_id, keep_row, group_size)."""
+    """Digests seen so far with the row that stays: (text_sha256, keep_id, keep_row, group_size, batch).
+
+    Row numbers begin anew in each batch: keep_row is a row of `batch` only.
+    """
 
     def __init__(self, spark: SparkSession, path: str, buckets: int = 64):
         self.spark, self.path, self.buckets = spark, path, buckets
         self.name = f"digest_index_{uuid.uuid4().hex[:12]}"
         spark.sql(
-            f"CREATE TABLE {self.name} (text_sha256 STRING, keep_id BIGINT, keep_row BIGINT, group_size BIGINT) USING parquet "
+            f"CREATE TABLE {self.name} (text_sha256 STRING, keep_id BIGINT, keep_row BIGINT, group_size BIGINT, batch STRING) USING parquet "
             f"CLUSTERED BY (text_sha256) SORTED BY (text_sha256) INTO {buckets} BUCKETS LOCATION '{path}'"
         )
 
     def table(self) -> DataFrame:
         return self.spark.table(self.name)
 
-    def append(self, digests: DataFrame) -> DataFrame:
+    def append(self, digests: DataFrame, batch: str | None = None) -> DataFrame:
         """Add the digests that the index lacks, and return them.
 
         Of equal texts in one batch the row with most code points, then the
         smallest id, then the first row stays.  What the index has already
         stays as it is: a later batch never displaces it.  An empty batch
-        changes nothing.
+        changes nothing.  `batch` names this batch (no name is given twice).
         """
         best = F.max(F.struct("chars", (-F.col("doc_id")).alias("i"), (-F.col("row")).alias("r"))).alias("best")
         groups = digests.groupBy("text_sha256").agg(best, F.count("*").alias("group_size"))
         new = groups.join(self.table(), "text_sha256", "left_anti").select(
-            "text_sha256", (-F.col("best.i")).alias("keep_id"), (-F.col("best.r")).alias("keep_row"), "group_size"
+            "text_sha256", (-F.col("best.i")).alias("keep_id"), (-F.col("best.r")).alias("keep_row"), "group_size", F.lit(batch or uuid.uuid4().hex).alias("batch")
         )
         (
             new.repartition(self.buckets, "text_sha256")
@@ -73,16 +76,17 @@ def exact_dedup(docs: DataFrame, index_path: str | None = None, buckets: int = 6
     Texts are equal when identical without the characters of [\\x20\\x09-\\x0D];
     all empty or null texts are one group.  Rows repeated outright form a group
     like others: one of them stays.  An empty table gives an empty result.  With
-    an existing `index_path`, texts already indexed lose to the indexed row.
+    an existing `index_path`, texts already indexed lose to the indexed row: a batch that
+    is read again keeps none.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "exact-dedup")
     digests = scratch.save(text_digests(docs, id_col, text_col), "digests")
     index = DigestIndex(spark, index_path or scratch.path("index"), buckets)
-    index.append(digests)
-    return spread_join(digests, index.table(), "text_sha256").select(
-        "doc_id", "keep_id", "group_size", (F.col("row") == F.col("keep_row")).alias("kept"), "text_sha256"
-    )
+    batch = uuid.uuid4().hex
+    index.append(digests, batch)
+    first = (F.col("row") == F.col("keep_row")) & F.col("batch").eqNullSafe(F.lit(batch))
+    return spread_join(digests, index.table(), "text_sha256").select("doc_id", "keep_id", "group_size", first.alias("kept"), "text_sha256")
 
 
 def keep_first_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -147,3 +147,11 @@ def test_index_persists(spark, tmp_path):
     assert again.table().count() == 3
     late = {r["doc_id"]: r["keep_id"] for r in exact_dedup(frame(spark, [(6, "c"), (7, "d")]), path, 4).collect()}
     assert late == {6: 5, 7: 7} and new.columns[0] == "text_sha256"
+
+
+def test_indexed_rows_stay_only_once(spark, tmp_path):
+    path, docs = f"file://{tmp_path}/index", frame(spark, [(1, "a"), (2, "b"), (3, "b"), (None, "c")]).coalesce(1)
+    assert sum(r["kept"] for r in exact_dedup(docs, path, 4).collect()) == 3
+    assert not any(r["kept"] for r in exact_dedup(docs, path, 4).collect())
+    later = exact_dedup(frame(spark, [(7, "a"), (8, "d")]).coalesce(1), path, 4).collect()
+    assert {r["doc_id"]: (r["keep_id"], r["kept"]) for r in later} == {7: (1, False), 8: (8, True)}
