@@ -54,6 +54,11 @@ def band_plan(percent: int) -> tuple[int, int]:
     return int(np.ceil(np.log(1.2e-5) / np.log(1 - share))), rows
 
 
+def _row_key(id_col: str, text_col: str):
+    """64-bit hash of a row's id and text: the number of a row, also where ids are null or repeat."""
+    return F.xxhash64(F.col(id_col).cast("long"), F.col(text_col))
+
+
 def _signatures(docs: DataFrame, id_col: str, text_col: str, shingle: int, bands: int, rows: int) -> DataFrame:
     def work(batches):
         import hashlib
@@ -79,12 +84,13 @@ def _signatures(docs: DataFrame, id_col: str, text_col: str, shingle: int, bands
                 band_keys.append(mix(h + np.arange(1, bands + 1, dtype=np.uint64)).view(np.int64))
                 short.append(sig.astype(np.uint8).tobytes())
             yield pa.RecordBatch.from_arrays(
-                [ids, pa.array(counts, pa.int64()), pa.array(keys, pa.binary()), pa.array(band_keys, pa.list_(pa.int64())), pa.array(short, pa.binary())],
-                ["doc_id", "n_shingles", "set_key", "bands", "sig"],
+                [ids, batch.column(2), pa.array(counts, pa.int64()), pa.array(keys, pa.binary()), pa.array(band_keys, pa.list_(pa.int64())), pa.array(short, pa.binary())],
+                ["doc_id", "row_key", "n_shingles", "set_key", "bands", "sig"],
             )
 
-    schema = "doc_id long, n_shingles long, set_key binary, bands array<long>, sig binary"
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(work, schema)
+    schema = "doc_id long, row_key long, n_shingles long, set_key binary, bands array<long>, sig binary"
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), _row_key(id_col, text_col).alias("row_key"))
+    return texts.mapInArrow(work, schema)
 
 
 def _sets(docs: DataFrame, wanted: IdFilter, id_col: str, text_col: str, shingle: int) -> DataFrame:
@@ -102,7 +108,7 @@ def _sets(docs: DataFrame, wanted: IdFilter, id_col: str, text_col: str, shingle
             items = [x.tobytes() for x in shingle_sets(batch.column(1), shingle)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(items, pa.binary())], ["rep", "items"])
 
-    texts = docs.select(F.col(id_col).cast("long").alias("rep"), F.col(text_col).alias("text"))
+    texts = docs.select(_row_key(id_col, text_col).alias("rep"), F.col(text_col).alias("text"))
     return wanted.split(texts, "rep")[0].mapInArrow(work, "rep long, items binary")
 
 
@@ -229,18 +235,29 @@ def near_dedup(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col: str
     Documents are linked when 100 * |A & B| >= percent * |A | B| over their sets
     of word shingles; component_id is the smallest doc_id reachable over links.
     Null, empty and wordless texts have an empty set and are linked with nothing;
-    a text of fewer words than a shingle is one shingle.  Rows that repeat a
-    doc_id share its component if their texts are linked.  An empty table gives
-    an empty result; columns besides id and text are not read.
+    a text of fewer words than a shingle is one shingle.  One row of a component
+    is kept: one with its smallest doc_id.  Rows that repeat a doc_id with
+    different texts are judged apart, and so are rows without a doc_id (a
+    component of such rows only has a null component_id); only rows repeated
+    outright, id and text, are kept together.  An empty table gives an empty
+    result; columns besides id and text are not read.
     """
+    return near_rows(docs, shingle, percent, id_col, text_col).drop("row_key")
+
+
+def near_rows(docs: DataFrame, shingle: int, percent: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """`near_dedup` with the row_key of each row."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "near-dedup")
     bands, rows = band_plan(percent)
     wide = scratch.save(_signatures(docs, id_col, text_col, shingle, bands, rows), "signatures")
-    found = scratch.save(wide.select("doc_id", "n_shingles", "set_key"), "keys")
+    found = scratch.save(wide.select("doc_id", "row_key", "n_shingles", "set_key"), "keys")
     sets_of = found.where("n_shingles > 0")
     first = [F.first(c).alias(c) for c in ("bands", "sig")]
-    groups = scratch.save(wide.where("n_shingles > 0").groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), *first), "groups")
+    # a set's row to keep has its smallest id; the row's key is the set's node
+    best = F.min(F.struct(F.col("doc_id").isNull().alias("lone"), "doc_id", F.col("row_key").alias("rep"))).alias("best")
+    groups = wide.where("n_shingles > 0").groupBy("set_key").agg(best, F.first("n_shingles").alias("n"), *first)
+    groups = scratch.save(groups.select("set_key", "best", "best.rep", "n", "bands", "sig"), "groups")
     scratch.drop("signatures")
     nodes = groups.select("rep", "n", "sig")
     entries = groups.select("rep", F.explode("bands").alias("bucket"))
@@ -276,17 +293,33 @@ def near_dedup(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col: str
     more = scratch.save(_block_links(left, more_sets, percent), "more-links")
     joined = connected_components(links.unionByName(more), scratch, "all-cc") if not more.isEmpty() else stars
 
-    # rows that repeat one doc_id with different texts are several nodes with one number
-    reps = groups.select("set_key", "rep")
-    label = reps.join(joined.withColumnRenamed("node", "rep"), "rep", "left").select("set_key", F.coalesce("component", "rep").alias("component_id"))
-    linked = spread_join(sets_of.select("doc_id", "n_shingles", "set_key"), scratch.save(label, "labels"), "set_key")
-    alone = found.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    out = linked.select("doc_id", "n_shingles", "component_id").unionByName(alone)
-    return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    # of a component, the row with the smallest id stays
+    homes = groups.select("set_key", "best", "rep").join(joined.withColumnRenamed("node", "rep"), "rep", "left")
+    homes = scratch.save(homes.select("set_key", "best", F.coalesce("component", "rep").alias("component")), "homes")
+    least = homes.groupBy("component").agg(F.min("best").alias("least"))
+    label = spread_join(homes.select("set_key", "component"), least, "component")
+    label = label.select("set_key", F.col("least.doc_id").alias("component_id"), F.col("least.rep").alias("keep_key"))
+    linked = spread_join(sets_of, scratch.save(label, "labels"), "set_key").withColumn("kept", F.col("row_key") == F.col("keep_key"))
+    alone = found.where("n_shingles = 0").withColumns({"component_id": F.col("doc_id"), "kept": F.lit(True)})
+    names = ["doc_id", "row_key", "n_shingles", "component_id", "kept"]
+    return linked.select(*names).unionByName(alone.select(*names))
 
 
 def keep_one_of_each(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The input's rows and columns without the documents that repeat another of their component."""
+    """The input's rows and columns without the rows that repeat another of their component.
+
+    Rows go by their own key, never by their id; of rows repeated outright one
+    stays.  Rows with an empty shingle set all stay.
+    """
     scratch = Scratch(docs.sparkSession, "near-kept")
-    gone = near_dedup(docs, shingle, percent, id_col, text_col).where("NOT kept").select("doc_id")
-    return drop_ids(docs, scratch.save(gone, "gone"), id_col, scratch)
+    rows = scratch.save(near_rows(docs, shingle, percent, id_col, text_col).select("row_key", "n_shingles", "kept"), "rows")
+    keyed = docs.withColumn("__nf_key", _row_key(id_col, text_col))
+    stay = drop_ids(keyed, scratch.save(rows.where("NOT kept").select("row_key").distinct(), "gone"), "__nf_key", scratch)
+    again = rows.where("kept AND n_shingles > 0").groupBy("row_key").agg(F.count("*").alias("n")).where("n > 1").select("row_key")
+    again = scratch.save(again, "again")
+    if not again.isEmpty():
+        maybe, sure = IdFilter(again, scratch, "again-filter").split(stay, "__nf_key")
+        repeats = maybe.join(again, maybe["__nf_key"] == again["row_key"], "left_semi").dropDuplicates(["__nf_key"])
+        others = maybe.join(again, maybe["__nf_key"] == again["row_key"], "left_anti")
+        stay = sure.unionByName(others).unionByName(repeats)
+    return stay.drop("__nf_key")

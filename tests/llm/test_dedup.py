@@ -155,3 +155,18 @@ def test_indexed_rows_stay_only_once(spark, tmp_path):
     assert not any(r["kept"] for r in exact_dedup(docs, path, 4).collect())
     later = exact_dedup(frame(spark, [(7, "a"), (8, "d")]).coalesce(1), path, 4).collect()
     assert {r["doc_id"]: (r["keep_id"], r["kept"]) for r in later} == {7: (1, False), 8: (8, True)}
+
+
+def test_near_dedup_decides_by_row(spark):
+    rnd = random.Random(12)
+    text = lambda: " ".join(f"w{rnd.randrange(10**6)}" for _ in range(60))
+    one, two, three, four, five = (text() for _ in range(5))
+    near = lambda t: t + " more"
+    rows = [(1, one), (None, one), (None, two), (5, three), (5, four), (3, near(three)), (8, five), (8, near(five)), (None, None)]
+    df = frame(spark, rows + [(9, "x y z u v w"), (9, "x y z u v w")])
+    found = {(r["doc_id"], r["component_id"], r["kept"]) for r in near_dedup(df).collect()}
+    assert {(1, 1, True), (None, 1, False), (None, None, True), (3, 3, True), (5, 3, False), (5, 5, True)} <= found
+    kept = [(r["doc_id"], r["text"]) for r in keep_one_of_each(df).collect()]
+    fives = [t for i, t in kept if i == 8]
+    assert len(fives) == 1 and fives[0] in (five, near(five))
+    assert sorted((i or 0, t or "") for i, t in kept if i != 8) == sorted([(1, one), (0, two), (5, four), (3, near(three)), (0, ""), (9, "x y z u v w")])
