@@ -147,10 +147,13 @@ def score_quality(docs: DataFrame, model: dict, threshold: float = THRESHOLD, id
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The input's rows and columns without the documents whose score is below the threshold."""
+    """The input's rows and columns without the documents whose score is below the threshold.
+
+    Labels that no classifier can be fitted on, too few or of one class, reject nothing.
+    """
     model = fit_quality(training_sample(docs, labels))
     if model["weights"] is None:
-        return docs if model["share"] >= threshold else docs.where("false")
+        return docs
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("double")

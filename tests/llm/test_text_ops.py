@@ -279,3 +279,9 @@ def test_quality_without_labels(spark, docs):
     none = table(spark, SF, "labels").where("false")
     model = quality.fit_quality(quality.training_sample(docs, none))
     assert {r["score"] for r in quality.score_quality(docs, model).collect()} == {0.5} and quality.keep_good(docs, none).count() == docs.count()
+
+
+def test_quality_that_cannot_be_fitted_keeps_all(spark, docs):
+    ids = docs.select("doc_id").where("doc_id IS NOT NULL").distinct()
+    for labels in (ids.withColumn("quality", F.lit(0)), ids.withColumn("quality", F.lit(1)), ids.limit(5).withColumn("quality", F.lit(0))):
+        assert quality.keep_good(docs, labels).count() == docs.count()
