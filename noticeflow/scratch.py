@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
 
@@ -9,15 +10,35 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Rows and bytes of an Arrow batch between the JVM and Python while a scratch table is written: what both sides hold of the texts at a time.
+BATCH_ROWS, BATCH_BYTES = 2000, 8 << 20
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, else (tests) a local folder."""
+    """The folder of spark.checkpoint.dir; a local folder only for a local master (tests), where nothing else needs to reach it."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="noticeflow-")
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")
 
 
+@contextlib.contextmanager
+def small_batches(spark: SparkSession):
+    """Arrow batches of at most BATCH_ROWS rows and BATCH_BYTES bytes for what runs inside; the session's settings come back after it."""
+    wanted = {"spark.sql.execution.arrow.maxRecordsPerBatch": BATCH_ROWS, "spark.sql.execution.arrow.maxBytesPerBatch": BATCH_BYTES}
+    before = {k: spark.conf.get(k) for k in wanted}
+    for k, v in wanted.items():
+        spark.conf.set(k, str(v))
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 class Scratch:
     """Tables written once to the shared folder, so that lost executors cost no recomputation.
 
@@ -35,7 +56,8 @@ class Scratch:
         return f"{self.root}/{name}"
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
-        df.write.parquet(self.path(name))
+        with small_batches(self.spark):
+            df.write.parquet(self.path(name))
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
     def drop(self, *names: str) -> None:
