@@ -13,7 +13,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from noticeflow.llm.shared import deal_ranges, range_bounds, range_of, shuffle_parts
+from noticeflow.llm.shared import deal_ranges, give_back, range_bounds, range_of, shuffle_parts
 
 GRAM, WINDOW = 16, 8
 #: A text of n < 4 * GRAM code points keeps every run of each of these lengths g with g <= n < 4 * g.  As they double, one
@@ -94,6 +94,7 @@ def fingerprint_documents(docs: DataFrame, gram: int | None = None, window: int
                     ],
                     ["doc_id", "n_chars", "fingerprint", "hashes", "positions"],
                 )
+        give_back()
 
     kind = docs.schema[id_col].dataType.simpleString()
     schema = f"doc_id {kind}, n_chars long, fingerprint string, hashes array<long>, positions array<long>"
@@ -163,6 +164,7 @@ def fingerprint_edits(docs: DataFrame, gram: int | None = None, window: int = WI
                     out = []
         if out:
             yield emit()
+        give_back()
 
     schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
     return dealt.select("doc_id", "text", "range").mapInArrow(work, schema)

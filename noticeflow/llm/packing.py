@@ -16,7 +16,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from noticeflow.llm.shared import Scratch, shuffle_parts
+from noticeflow.llm.shared import Scratch, give_back, shuffle_parts
 
 #: Fitted patterns that are used at most; the residual packing takes the rest, so that the plan stays small.
 MAX_PATTERNS = 20_000
@@ -184,23 +184,26 @@ def cut_documents(docs: DataFrame, path: str, end_id: int, capacity: int, ids: b
 
         from noticeflow.llm.tokens import encoder
 
-        enc, tail = encoder(path), np.array([end_id], "<u4").tobytes()
+        enc = encoder(path)
         names = ["doc_id", "piece", "start", "length", "ids_crc32", "ids"]
-        for whole in batches:
-            for at in range(0, whole.num_rows, 200):
-                batch = whole.slice(at, 200)
-                rows = []
-                for doc_id, body in zip(batch.column(0).to_pylist(), enc.encode_batch([t or "" for t in batch.column(1).to_pylist()])):
-                    body += tail
-                    n = len(body) // 4
-                    start, piece = 0, 0
-                    while start < n:
-                        length = min(n, capacity) if start else ((n - 1) % capacity + 1)
-                        part = body[4 * start : 4 * (start + length)]
-                        rows.append((doc_id, piece, start, length, zlib.crc32(part), np.frombuffer(part, "<i4") if ids else None))
-                        start, piece = start + length, piece + 1
-                kinds = [whole.schema.field(0).type, pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32())]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
+        for batch in batches:
+            for first, last, tokens, at in enc.encode_batch(batch.column(1), (end_id,)):
+                n = np.diff(at)
+                pieces = -(-n // capacity)
+                doc = np.repeat(np.arange(last - first), pieces)
+                piece = np.arange(len(doc)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+                head = (n - 1) % capacity + 1
+                start = np.where(piece == 0, 0, head[doc] + (piece - 1) * capacity)
+                length = np.where(piece == 0, head[doc], capacity)
+                begin = at[doc] + start  # the pieces follow each other in the tokens
+                sums = [zlib.crc32(tokens[i : i + k]) for i, k in zip(begin.tolist(), length.tolist())]
+                lists = pa.ListArray.from_arrays(pa.array(np.append(begin, len(tokens)).astype(np.int32)), pa.array(tokens.view(np.int32)))
+                columns = [
+                    batch.column(0)[first:last].take(pa.array(doc)), pa.array(piece.astype(np.int32)), pa.array(start.astype(np.int64)),
+                    pa.array(length.astype(np.int64)), pa.array(sums, pa.int64()), lists if ids else pa.nulls(len(doc), lists.type),
+                ]
+                yield pa.RecordBatch.from_arrays(columns, names)
+        give_back()
 
     kind = docs.schema[id_col].dataType.simpleString()
     schema = f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, ids array<int>"

@@ -8,10 +8,11 @@ statistics, and row groups by the Bloom filter.
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from noticeflow.llm.shared import deal_ranges, range_bounds, range_of, shuffle_parts
+from noticeflow.llm.shared import give_back, shuffle_parts
 
 SCHEMA = "doc_id long, ids array<int>, n_tokens long, range_start long, range int"
 
@@ -22,41 +23,33 @@ def write_token_orc(
     """Tokenise whole texts, append the end id, and write them in ascending doc_id order.
 
     Texts move once, to ranges of doc_id, and are encoded there in order.  Null
-    texts count as empty (the end id alone); rows that repeat a doc_id are
-    ordered by text; a null doc_id comes first; an empty table gives no files.
+    texts count as empty (the end id alone); rows that repeat a doc_id, nulls
+    (which come first) included, are ordered by a hash of the text, so that a
+    doc_id of very many rows may take several ranges; an empty table gives no
+    files; columns besides id and text are not read.
     """
-    spark = docs.sparkSession
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    parts = shuffle_parts(spark)
-    placed = rows.withColumn("range", range_of("doc_id", range_bounds(rows, "doc_id", parts)))
-    dealt = deal_ranges(placed, parts).sortWithinPartitions("range", "doc_id", "text")
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("h"))
+    order = ["doc_id", "h", "text"]
+    dealt = rows.repartitionByRange(shuffle_parts(docs.sparkSession), "doc_id", "h").sortWithinPartitions(*order)
+    dealt = dealt.select("doc_id", "text", F.spark_partition_id().alias("range"))  # ranges are numbered in ascending order
 
     def work(batches):
-        import numpy as np
         import pyarrow as pa
 
         from noticeflow.llm.tokens import encoder
 
-        enc, tail = encoder(path), np.array([end_id], "<u4").tobytes()
-        now, total = None, 0
-        for whole in batches:
-            for at in range(0, whole.num_rows, 200):
-                batch = whole.slice(at, 200)
-                arrays = [np.frombuffer(b + tail, "<i4") for b in enc.encode_batch(batch.column(1).to_pylist())]
-                ranges, starts = batch.column(2).to_pylist(), []
-                for r, a in zip(ranges, arrays):
-                    total = total if r == now else 0
-                    now = r
-                    starts.append(total)
-                    total += len(a)
-                lengths = pa.array([len(a) for a in arrays], pa.int64())
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), pa.array(arrays, pa.list_(pa.int32())), lengths, pa.array(starts, pa.int64()), batch.column(2)],
-                    ["doc_id", "ids", "n_tokens", "range_start", "range"],
-                )
+        enc, total = encoder(path), 0  # a task has one range
+        for batch in batches:
+            for first, last, ids, at in enc.encode_batch(batch.column(1), (end_id,)):
+                lists = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(ids.view(np.int32)))
+                columns = [batch.column(0)[first:last], lists, pa.array(np.diff(at)), pa.array(at[:-1] + total), batch.column(2)[first:last]]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "ids", "n_tokens", "range_start", "range"])
+                total += int(at[-1])
+        give_back()
 
     (
-        dealt.select("doc_id", "text", "range").mapInArrow(work, SCHEMA).write.partitionBy("range")
+        dealt.mapInArrow(work, SCHEMA).write.partitionBy("range")
         .option("orc.bloom.filter.columns", "doc_id").option("orc.bloom.filter.fpp", "0.01")
         .option("orc.stripe.size", str(stripe_mb << 20)).option("orc.row.index.stride", str(index_stride)).option("compression", "zstd")
         .orc(folder)
@@ -82,14 +75,14 @@ def span_checksums(spans: DataFrame) -> DataFrame:
     def work(batches):
         import zlib
 
-        import numpy as np
         import pyarrow as pa
 
         for batch in batches:
             ids = batch.column(3)
-            values, at = ids.values.to_numpy(zero_copy_only=False).astype("<i4"), np.asarray(ids.offsets)
+            values, at = ids.values.to_numpy(zero_copy_only=False).astype("<i4", copy=False), ids.offsets.to_pylist()
             sums = [zlib.crc32(values[a:b]) for a, b in zip(at[:-1], at[1:])]
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(sums, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
+        give_back()
 
     return spans.mapInArrow(work, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
