@@ -20,12 +20,12 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from noticeflow.llm.graph import connected_components
-from noticeflow.llm.shared import IdFilter, Scratch, drop_ids, spread_join
+from noticeflow.graph import connected_components
+from noticeflow.llm.shared import IdFilter, Scratch, drop_ids, give_back, shuffle_parts, spread_join
 
 BINS = 1 << 22
-#: Members of a block; a bucket of m members is compared in (m / BLOCK)**2 / 2 pairs of blocks.
-BLOCK = 512
+#: Members and shingles of a block, about; a bucket of b blocks is compared in b * b / 2 pairs of blocks.
+BLOCK, BLOCK_SHINGLES = 512, 1 << 20
 #: A signature estimate this far below the threshold drops a candidate (over four standard errors at 140 coordinates).
 SLACK = 0.13
 
@@ -87,6 +87,7 @@ def _signatures(docs: DataFrame, id_col: str, text_col: str, shingle: int, bands
                 [ids, batch.column(2), pa.array(counts, pa.int64()), pa.array(keys, pa.binary()), pa.array(band_keys, pa.list_(pa.int64())), pa.array(short, pa.binary())],
                 ["doc_id", "row_key", "n_shingles", "set_key", "bands", "sig"],
             )
+        give_back()
 
     schema = "doc_id long, row_key long, n_shingles long, set_key binary, bands array<long>, sig binary"
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), _row_key(id_col, text_col).alias("row_key"))
@@ -107,11 +108,17 @@ def _sets(docs: DataFrame, wanted: IdFilter, id_col: str, text_col: str, shingle
         for batch in batches:
             items = [x.tobytes() for x in shingle_sets(batch.column(1), shingle)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(items, pa.binary())], ["rep", "items"])
+        give_back()
 
     texts = docs.select(_row_key(id_col, text_col).alias("rep"), F.col(text_col).alias("text"))
     return wanted.split(texts, "rep")[0].mapInArrow(work, "rep long, items binary")
 
 
+def _matrix(signatures) -> np.ndarray:
+    """Short signatures of an Arrow array, one a row."""
+    return np.frombuffer(b"".join(signatures.to_pylist()), np.uint8).reshape(len(signatures), -1)
+
+
 def _estimates(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) whose sizes and signatures allow the threshold."""
     left = nodes.select(F.col("rep").alias("a"), F.col("n").alias("n_a"), F.col("sig").alias("sig_a"))
@@ -122,9 +129,9 @@ def _estimates(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
         import pyarrow as pa
 
         for batch in batches:
-            x, y = batch.column(2).to_pylist(), batch.column(3).to_pylist()
-            same = np.array([(np.frombuffer(p, np.uint8) == np.frombuffer(q, np.uint8)).mean() for p, q in zip(x, y)]) if x else np.zeros(0)
-            yield batch.select(["a", "b"]).filter(pa.array(same >= percent / 100 - SLACK))
+            if batch.num_rows:
+                same = (_matrix(batch.column(2)) == _matrix(batch.column(3))).mean(axis=1)
+                yield batch.select(["a", "b"]).filter(pa.array(same >= percent / 100 - SLACK))
 
     return near.select("a", "b", "sig_a", "sig_b").mapInArrow(work, "a long, b long")
 
@@ -148,33 +155,43 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return spread_join(spread_join(pairs, left, "a"), right, "b").select("a", "b", "x", "y").mapInArrow(work, "a long, b long")
 
 
+def _blocks(rows, shingles):
+    """Blocks of a bucket: none has many more than BLOCK members or BLOCK_SHINGLES shingles."""
+    return F.ceil(F.greatest(rows / F.lit(float(BLOCK)), shingles / F.lit(float(BLOCK_SHINGLES)))).cast("int")
+
+
 def _merged(members: DataFrame) -> DataFrame:
-    """Merge open buckets of one dominant component where that is less work: (bucket, size, rep, comp).
+    """Merge open buckets of one dominant component where that is less work: (bucket, blocks, rep, comp).
 
     The bands of one large group give many buckets of nearly the same members.
     Their union, once, compares every pair that any of them holds; it is taken
     where its square is less than the sum of theirs.
     """
-    counts = members.groupBy("bucket", "comp").agg(F.count("*").alias("n"), F.first("size").alias("size"))
-    main = counts.groupBy("bucket").agg(F.max_by("comp", F.struct("n", "comp")).alias("main"), F.first("size").cast("double").alias("m"))
-    tagged = spread_join(members, main, "bucket")
-    union = tagged.select("main", "rep", "comp").distinct()
+    counts = members.groupBy("bucket", "comp").agg(F.count("*").alias("k"), F.sum("n").alias("w"))
+    main = counts.groupBy("bucket").agg(F.max_by("comp", F.struct("k", "comp")).alias("main"), F.sum("k").cast("double").alias("m"), F.sum("w").alias("w"))
+    tagged = spread_join(members, main.select("bucket", "main", _blocks(F.col("m"), F.col("w")).alias("blocks")), "bucket")
+    union = tagged.select("main", "rep", "comp", "n").distinct()
     cost = main.groupBy("main").agg(F.sum(F.col("m") * F.col("m")).alias("apart"))
-    sizes = union.groupBy("main").agg(F.count("*").alias("u")).join(cost, "main").withColumn("join", F.col("u").cast("double") * F.col("u") < F.col("apart"))
-    whole = spread_join(union, sizes.where("join").select("main", F.col("u").alias("size")), "main")
-    whole = whole.select(F.xxhash64("main", F.lit("merged")).alias("bucket"), "size", "rep", "comp")
-    apart = spread_join(tagged, sizes.where("NOT join").select("main"), "main").select("bucket", "size", "rep", "comp")
+    sizes = union.groupBy("main").agg(F.count("*").cast("double").alias("u"), F.sum("n").alias("w")).join(cost, "main").withColumn("join", F.col("u") * F.col("u") < F.col("apart"))
+    whole = spread_join(union, sizes.where("join").select("main", _blocks(F.col("u"), F.col("w")).alias("blocks")), "main")
+    whole = whole.select(F.xxhash64("main", F.lit("merged")).alias("bucket"), "blocks", "rep", "comp")
+    apart = spread_join(tagged, sizes.where("NOT join").select("main"), "main").select("bucket", "blocks", "rep", "comp")
     return whole.unionByName(apart)
 
 
 def _block_pairs(members: DataFrame) -> DataFrame:
-    """Deal (bucket, rep, comp, size) into pairs of blocks: adds (i, j, side of the member)."""
-    count = F.ceil(F.col("size") / F.lit(float(BLOCK))).cast("int")
-    block = F.pmod(F.xxhash64("rep", "bucket"), count.cast("long")).cast("int")
-    dealt = members.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), count - 1)))
+    """Deal (bucket, blocks, rep, comp) into pairs of blocks: (bucket, rep, comp, i, j, block of the member)."""
+    block = F.pmod(F.xxhash64("rep", "bucket"), F.col("blocks").cast("long")).cast("int")
+    dealt = members.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     return dealt.select("bucket", "rep", "comp", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block")
 
 
+def _by_block_pair(rows: DataFrame):
+    """Groups of block pairs over all shuffle partitions: their work is the square of their size, so AQE must not put them together by bytes."""
+    keys = ["bucket", "i", "j"]
+    return rows.repartition(shuffle_parts(rows.sparkSession), *keys).groupBy(*keys)
+
+
 def _survivors(dealt: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     """Members of block pairs that some member of another component may match, by size and signature."""
     rows = spread_join(dealt, nodes.select("rep", "n", "sig"), "rep")
@@ -192,8 +209,7 @@ def _survivors(dealt: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
             hit[k] = len(at) > 0 and bool(((sig[at] == sig[k]).mean(axis=1) >= percent / 100 - SLACK).any())
         return pdf.loc[hit, ["bucket", "i", "j", "rep", "comp", "block"]]
 
-    keys = ["bucket", "i", "j"]
-    return rows.groupBy(*keys).applyInPandas(work, "bucket long, i int, j int, rep long, comp long, block int")
+    return _by_block_pair(rows).applyInPandas(work, "bucket long, i int, j int, rep long, comp long, block int")
 
 
 def _block_links(survivors: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -211,7 +227,7 @@ def _block_links(survivors: DataFrame, sets: DataFrame, percent: int) -> DataFra
         owner = np.repeat(np.arange(len(lists)), n)
         use = times[column] > 1
         owner, column = owner[use], shared[column[use]]
-        both = np.zeros((len(lists), len(lists)), np.float32)
+        both = np.zeros((len(lists), len(lists)))
         order = np.argsort(column, kind="stable")
         owner, column = owner[order], column[order]
         width = 4096
@@ -226,7 +242,7 @@ def _block_links(survivors: DataFrame, sets: DataFrame, percent: int) -> DataFra
         out = pd.DataFrame({"a": np.minimum(reps[x], reps[y]), "b": np.maximum(reps[x], reps[y]), "p": np.minimum(comp[x], comp[y]), "q": np.maximum(comp[x], comp[y])})
         return out.drop_duplicates(["p", "q"])[["a", "b"]]
 
-    return rows.groupBy("bucket", "i", "j").applyInPandas(work, "a long, b long")
+    return _by_block_pair(rows).applyInPandas(work, "a long, b long")
 
 
 def near_dedup(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -260,12 +276,12 @@ def near_rows(docs: DataFrame, shingle: int, percent: int, id_col: str = "doc_id
     groups = scratch.save(groups.select("set_key", "best", "best.rep", "n", "bands", "sig"), "groups")
     scratch.drop("signatures")
     nodes = groups.select("rep", "n", "sig")
-    entries = groups.select("rep", F.explode("bands").alias("bucket"))
+    entries = groups.select("rep", "n", F.explode("bands").alias("bucket"))
 
     # star round: each bucket draws a leader, every member is checked against it
     drawn = F.min(F.struct(F.xxhash64("rep", "bucket").alias("h"), "rep")).alias("leader")
     crowded = scratch.save(
-        entries.groupBy("bucket").agg(drawn, F.count("*").alias("size")).where("size > 1").select("bucket", F.col("leader.rep").alias("leader"), "size"), "buckets"
+        entries.groupBy("bucket").agg(drawn, F.count("*").alias("size")).where("size > 1").select("bucket", F.col("leader.rep").alias("leader")), "buckets"
     )
     members = scratch.save(spread_join(entries, crowded, "bucket"), "members")
     pairs = members.where("rep <> leader").select(F.least("rep", "leader").alias("a"), F.greatest("rep", "leader").alias("b")).distinct()
@@ -279,7 +295,7 @@ def near_rows(docs: DataFrame, shingle: int, percent: int, id_col: str = "doc_id
 
     # block round: buckets that still hold several components
     placed = members.join(stars.withColumnRenamed("node", "rep"), "rep", "left").select(
-        "bucket", "size", "rep", F.coalesce("component", "rep").alias("comp")
+        "bucket", "rep", "n", F.coalesce("component", "rep").alias("comp")
     )
     state = F.min("comp") != F.max("comp")
     mark = F.expr("bit_xor(xxhash64(rep))").alias("content")

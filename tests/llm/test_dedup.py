@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from noticeflow.llm.exact_dedup import DigestIndex, exact_dedup, keep_first_copies, text_digests
-from noticeflow.llm.graph import connected_components
+from noticeflow.graph import connected_components
 from noticeflow.llm.near_dedup import band_plan, keep_one_of_each, near_dedup
 from noticeflow.llm.shared import IdFilter, Scratch, drop_ids
 
