@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from noticeflow.llm.shared import Scratch, shuffle_parts, spread_join
+from noticeflow.llm.shared import IdFilter, Scratch, give_back, shuffle_parts, spread_join
 
 CHUNK = 256 * 1024
 #: Record ids are UUIDs whose low half is the page id.
@@ -68,13 +68,13 @@ def base32_sha1(payload) -> str:
 
 
 def plan_revisits(pages: DataFrame, scratch: Scratch, least: int, id_col: str, html_col: str) -> DataFrame:
-    """(page_id, refers_to) of the records that revisit another's payload of at least `least` bytes."""
+    """(page_id, sha1, refers_to) of the records that revisit another's payload of at least `least` bytes."""
     payload = F.coalesce(F.col(html_col), F.lit("")).cast("binary")
     digests = pages.select(F.col(id_col).cast("long").alias("page_id"), F.sha1(payload).alias("sha1"), F.length(payload).cast("long").alias("bytes"))
     digests = scratch.save(digests.where(F.col("bytes") >= least), "digests")
     groups = digests.groupBy("sha1", "bytes").agg(F.min("page_id").alias("refers_to"), F.count("*").alias("n")).where("n > 1").drop("n", "bytes")
     again = spread_join(digests, groups, "sha1").where("page_id <> refers_to")
-    return scratch.save(again.select("page_id", "refers_to").distinct(), "revisits")
+    return scratch.save(again.select("page_id", "sha1", "refers_to").distinct(), "revisits")
 
 
 def write_archives(pages: DataFrame, folder: str, least: int = 0, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -82,17 +82,24 @@ def write_archives(pages: DataFrame, folder: str, least: int = 0, id_col: str =
 
     The payload is the html in UTF-8 (null: empty).  Of equal payloads of at
     least `least` bytes the smallest page_id is the response and the others are
-    revisits of it; a null page_id is always a response; rows that repeat a
-    page_id and its payload are written like that page each.  An archive gets
-    its name only when it is complete, so that a task that runs again replaces
-    what a lost one left.  An empty table gives no archives.
+    revisits of it; a null page_id is always a response; a page_id with several
+    payloads is judged for each, and rows that repeat a page_id and its payload
+    are written like that page each.  An archive gets its name only when it is
+    complete, so that a task that runs again replaces what a lost one left.  An
+    empty table gives no archives; other columns are not read.
+
+    Payloads are written where they are read: a bounded filter tells the rows
+    that are surely no revisits, and only the others meet the list of revisits.
     """
     import pyarrow.fs as pafs
 
     scratch = Scratch(pages.sparkSession, "warc-plan")
     revisits = plan_revisits(pages, scratch, least, id_col, html_col)
-    rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.coalesce(F.col(html_col), F.lit("")).cast("binary").alias("payload"))
-    rows = rows.join(revisits, "page_id", "left")
+    payload = F.coalesce(F.col(html_col), F.lit("")).cast("binary")
+    rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), payload.alias("payload"), F.sha1(payload).alias("sha1"))
+    rows = rows.withColumn("key", F.xxhash64("page_id", "sha1"))
+    maybe, sure = IdFilter(revisits.select(F.xxhash64("page_id", "sha1").alias("key")), scratch, "revisit-filter").split(rows, "key")
+    rows = sure.withColumn("refers_to", F.lit(None).cast("long")).unionByName(maybe.join(revisits, ["page_id", "sha1"], "left").select(*rows.columns, "refers_to"))
     files, root = pafs.FileSystem.from_uri(folder)
     files.create_dir(root, recursive=True)
 
@@ -117,6 +124,7 @@ def write_archives(pages: DataFrame, folder: str, least: int = 0, id_col: str =
             out.close()
             files.move(part, name)
             yield pa.RecordBatch.from_pydict({"path": [name], "records": [n], "bytes": [files.get_file_info(name).size]})
+        give_back()
 
     done = scratch.save(rows.select("page_id", "url", "payload", "refers_to").mapInArrow(work, "path string, records long, bytes long"), "archives")
     return done
@@ -194,6 +202,7 @@ def read_chunks(archives: DataFrame, folder: str, chunk: int = CHUNK) -> DataFra
                 stream.close()
         if rows:
             yield flush()
+        give_back()
 
     schema = (
         "record_id string, chunk_no long, record_type string, url string, refers_to string, data binary, offset long, payload_bytes long, "
