@@ -10,7 +10,7 @@ from noticeflow.llm.license_scan import TEMPLATES, license_scan, template_bigram
 from noticeflow.llm.near_dedup import near_dedup
 from noticeflow.llm.packing import pack_documents
 from noticeflow.llm.piece_bpe import encode_pieces
-from noticeflow.llm.quality import fit_quality, score_quality, training_sample
+from noticeflow.llm.quality import fit_quality, score_quality
 from noticeflow.llm.shared import Scratch
 from noticeflow.llm.token_orc import span_checksums, token_spans, write_token_orc
 from noticeflow.llm.tokens import vocabulary
@@ -63,7 +63,7 @@ def op9_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return score_quality(docs, fit_quality(training_sample(docs, table(spark, sf_dir, "labels"))))
+    return score_quality(docs, fit_quality(docs, table(spark, sf_dir, "labels")))
 
 
 #: Canonical links and refreshes are reached with the same patterns in RE2.

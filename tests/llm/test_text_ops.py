@@ -1,11 +1,13 @@
 import base64
 import hashlib
+import json
 import random
 import re
 import zlib
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -13,6 +15,8 @@ from noticeflow.llm import fingerprints, packing, quality, token_orc, warc
 from noticeflow.llm.license_scan import TEMPLATES, license_scan, template_bigrams
 from noticeflow.llm.piece_bpe import encode_pieces, encoder
 from noticeflow.llm.queries import table
+from noticeflow.llm.shared import Scratch
+from noticeflow.llm.spans import SpanIds
 from noticeflow.llm.tokens import SegmentEncoder, vocabulary
 from noticeflow.llm.url_filter import judge_urls
 
@@ -75,10 +79,15 @@ def test_license_scan_equals_brute_force(spark):
     assert license_scan(df.where("false")).count() == 0
 
 
+def ids_of(enc, texts):
+    """Ids of each text, from the slices that an encoder gives out."""
+    return [ids[a:b].tolist() for _, _, ids, at in enc.encode_batch(pa.array(texts, pa.string())) for a, b in zip(at[:-1], at[1:])]
+
+
 def test_pieces_equal_the_library(spark, docs, plain):
     path = vocabulary("piece_bpe_32k.model")
     enc, texts = encoder(path), fuzz(4000)
-    assert [np.frombuffer(b, "<u4").tolist() for b in enc.encode_batch(texts)] == enc.library.encode(texts)
+    assert ids_of(enc, texts) == enc.library.encode(texts)
     rows = {r["doc_id"]: r for r in encode_pieces(docs, path).collect()}
     for i, text in zip(plain.doc_id, plain.text):
         ids = enc.library.encode(text, add_bos=True, add_eos=True)
@@ -95,8 +104,34 @@ def test_tokens_equal_the_library(name, plain):
     library = Tokenizer.from_file(vocabulary(name))
     library.encode_special_tokens = True
     texts = fuzz(4000) + plain.text.tolist()
-    got = SegmentEncoder(vocabulary(name)).encode_batch(texts)
-    assert [np.frombuffer(b, "<u4").tolist() for b in got] == [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
+    want = [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
+    enc = SegmentEncoder(vocabulary(name))
+    assert enc.known and ids_of(enc, texts) == want
+    enc.kept = SpanIds(enc._encode, most=300)  # a cache that is too small
+    for i in range(0, 2000, 50):
+        assert ids_of(enc, texts[i : i + 50]) == want[i : i + 50] and len(enc.kept.count) < 3000
+
+
+def test_other_vocabularies_are_not_cut(tmp_path):
+    built = json.loads(open(vocabulary("byte_bpe_50k.json"), encoding="utf-8").read())
+    built["pre_tokenizer"]["use_regex"] = False  # merges may cross words
+    (tmp_path / "other.json").write_text(json.dumps(built), encoding="utf-8")
+    enc, texts = SegmentEncoder(str(tmp_path / "other.json")), fuzz(300)
+    assert not enc.known and ids_of(enc, texts) == [e.ids for e in enc.library.encode_batch(texts, add_special_tokens=False)]
+
+
+def test_spans_with_equal_hashes_stay_apart(monkeypatch):
+    from noticeflow.llm import spans
+
+    monkeypatch.setattr(spans, "mix", lambda x: x & np.uint64(3))
+    raw = b"ab cd ef gh ij kl ab ef " + b"x" * 40
+    words = [w for w in raw.split(b" ") if w]
+    starts = np.array([raw.index(w) if w != words[-2] else 21 for w in words])
+    starts[6] = 18
+    kept = SpanIds(lambda found: (np.array([int.from_bytes(f[:2], "big") for f in found], np.uint32), np.ones(len(found), np.int64)))
+    for _ in range(2):
+        ids, count = kept.ids(np.frombuffer(raw, np.uint8), starts, starts + np.array([len(w) for w in words]))
+        assert ids.tolist() == [int.from_bytes(w[:2], "big") for w in words] and set(count.tolist()) == {1}
 
 
 def slow_winnow(text, k, w):
@@ -179,6 +214,16 @@ def test_warc_round_trip(spark, least):
     assert warc.round_trip(pages.where("false")).count() == 0
 
 
+def test_warc_repeated_page_ids(spark):
+    """A page_id with several payloads: each payload has a response, and a revisit refers to the page that has its own payload."""
+    rows = [(3, "a", "AAA"), (5, "b", "AAA"), (5, "b", "BBB"), (5, "b", "CCC"), (6, "c", "CCC"), (6, "c", "BBB"), (7, "d", "AAA"), (7, "d", "AAA")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    sha = lambda t: base64.b32encode(hashlib.sha1(t.encode()).digest()).decode()
+    first = {t: min(i for i, _, h in rows if h == t) for _, _, t in rows}
+    want = sorted(((i, sha(t), "response" if i == first[t] else "revisit", None if i == first[t] else first[t]) for i, _, t in rows), key=str)
+    assert sorted(((r["page_id"], r["payload_digest"], r["record_type"], r["refers_to"]) for r in warc.round_trip(pages).collect()), key=str) == want
+
+
 def test_warc_chunks(spark):
     from noticeflow.llm.shared import Scratch
 
@@ -249,8 +294,9 @@ def test_token_files(spark, docs, plain):
 def test_quality_on_held_out_rows(spark):
     sf = SF.replace("0.001", "0.1")
     docs, labels = table(spark, sf, "documents"), table(spark, sf, "labels")
-    model = quality.fit_quality(quality.training_sample(docs, labels))
+    model = quality.fit_quality(docs, labels)
     rows = quality.score_quality(docs, model).join(labels, "doc_id").where("held_out").toPandas()
+    assert ((rows.score - rows.quality) ** 2).mean() < 0.03
     assert (rows.predicted == rows.quality).mean() > 0.97 and rows.score.between(0, 1).all()
     assert (rows.loc[rows.quality == 1, "predicted"] == 1).mean() > 0.985 and (rows.loc[rows.quality == 0, "predicted"] == 0).mean() > 0.9
     held = {r["doc_id"]: r["held_out"] for r in quality.score_quality(docs, model).select("doc_id", "held_out").collect()}
@@ -261,23 +307,56 @@ def test_quality_on_held_out_rows(spark):
     assert kept.columns == docs.columns and 0.7 * docs.count() < kept.count() < docs.count()
 
 
-def test_dictionaries_are_made_of_all_texts():
-    sample = pd.DataFrame({"doc_id": range(4000), "text": [f"<{i}>" * 900 for i in range(4000)], "quality": [i // 2 % 2 for i in range(4000)]})
-    model = quality.fit_quality(sample)
-    for name, q in (("good", 1), ("bad", 0)):
-        ids = sample.doc_id[(sample.index % 2 == 0) & (sample.quality == q)]
-        assert all(f"<{i}>".encode() in model[name] for i in ids) and len(ids) == 1000
-        assert 0.9 * quality.DICTIONARY_BYTES < len(model[name]) <= quality.DICTIONARY_BYTES
+def test_dictionaries_are_made_of_all_texts(spark):
+    rows = [(i, i % 2, f"<{i}>" * 900) for i in range(2000)]
+    made = quality.build_dictionaries(spark.createDataFrame(rows, "doc_id long, quality int, text string"), most=256 * 1024)
+    for q in (0, 1):
+        assert all(f"<{i}>".encode() in made[q] for i, own, _ in rows if own == q)
+        assert 0.9 * 256 * 1024 < len(made[q]) <= 256 * 1024
     places = "".join(f"({i:05})" for i in range(2800))
-    got = sorted({int(x) for x in re.findall(rb"\((\d{5})\)", quality.dictionary(range(1000), [places] * 1000))})
+    share = quality.shares([(i, len(places)) for i in range(1000)], 256 * 1024)
+    assert len(set(share.values())) == 1 and len(share) == 1000
+    got = sorted({int(x) for i in range(1000) for x in re.findall(rb"\((\d{5})\)", quality.cut_to(places.encode(), zlib.crc32(str(i).encode()), share[i]))})
     assert got[0] < 50 and got[-1] > 2750 and max(np.diff(got)) < 50
-    assert sorted(quality.dictionary([1, 2, 3], ["a", "", "b" * 5000]).split(b"\n")) == [b"a", b"b" * 5000]
-    assert quality.dictionary([], []) == b""
+    assert quality.shares([(1, 1), (2, 0), (3, 5000)], 256 * 1024) == {1: 2, 3: 5001} and quality.cut_to(b"b" * 5000, 3, 5001) == b"b" * 5000
+    assert quality.shares([]) == {} and quality.build_dictionaries(spark.createDataFrame([], "doc_id long, quality int, text string")) == {0: b"", 1: b""}
+
+
+def test_scores_equal_brute_force(spark, docs):
+    """Each score, worked out again from the two compressed sizes."""
+    import math
+
+    import zstandard
+
+    model = quality.fit_quality(docs, table(spark, SF, "labels"))
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    got = {r["doc_id"]: r["score"] for r in quality.score_quality(docs, model).collect()}
+
+    def size(raw, body):
+        held = zstandard.ZstdCompressionDict(body, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        return len(zstandard.ZstdCompressor(level=quality.LEVEL, dict_data=held, write_content_size=False, write_checksum=False, write_dict_id=False).compress(raw))
+
+    for i, text in list(texts.items())[:60]:
+        raw = (text or "").encode()
+        good, bad = size(raw, model["good"]), size(raw, model["bad"])
+        d, e, s = (bad - good) / (bad + good), (bad - good) / (len(raw) + 16), math.log(1 + len(raw)) / 10
+        terms = [d, e, d * s, e * s, d**2, e**2, d * e, d * s**2, e * s**2, s]
+        z = model["weights"][0] + sum(w * (t - m) / v for w, t, m, v in zip(model["weights"][1:], terms, model["mean"], model["spread"]))
+        assert abs(got[i] - 1 / (1 + math.exp(-max(-40, min(40, z))))) < 1e-9
+
+
+def test_labels_that_count_for_nothing(spark):
+    docs = spark.createDataFrame([(i, f"text {i}") for i in range(50)] * 2 + [(None, "x"), (3, None)], "doc_id long, text string").withColumns({"quality": F.lit("clash"), "half": F.lit(1)})
+    labels = spark.createDataFrame([(i, q) for i in range(40) for q in {i % 2, (i // 20) % 2}] + [(1, None), (None, 1), (49, 7)], "doc_id long, quality int")
+    rows, share = quality.labelled_sample(docs, labels, Scratch(spark, "t"))
+    found = {r["doc_id"]: (r["quality"], r["text"]) for r in rows.collect()}
+    want = {i: i % 2 for i in range(40) if i % 2 == (i // 20) % 2 and zlib.crc32(str(i).encode()) % 5}
+    assert {i: q for i, (q, _) in found.items()} == want and rows.count() == len(want) and abs(share - sum(want.values()) / len(want)) < 1e-9
 
 
 def test_quality_without_labels(spark, docs):
     none = table(spark, SF, "labels").where("false")
-    model = quality.fit_quality(quality.training_sample(docs, none))
+    model = quality.fit_quality(docs, none)
     assert {r["score"] for r in quality.score_quality(docs, model).collect()} == {0.5} and quality.keep_good(docs, none).count() == docs.count()
 
 
