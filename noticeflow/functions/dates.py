@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from noticeflow.functions.text import strip
+
 #: Month names, full and short.
 MONTHS = ["january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december"]
 EXPORT_ZONE = "America/Chicago"
@@ -20,6 +22,7 @@ def parse_date(c: Column) -> Column:
     def part(pattern: str, *order: int) -> list[Column]:
         return [F.regexp_extract(c, pattern, i) for i in order]
 
+    # fixed values: the forms of a date
     us, iso, short, words = r"(\d{1,2})/(\d{1,2})/(\d{4})", r"(\d{4})-(\d{2})-(\d{2})", r"(\d{1,2})/(\d{1,2})/(\d{2})(?!\d)", r"([A-Za-z]+)\s+(\d{1,2}),?\s+(\d{4})"
     y2, m2, d2 = part(short, 3, 1, 2)
     y4, name, d4 = part(words, 3, 1, 2)
@@ -39,13 +42,13 @@ def parse_iso_date(c: Column) -> Column:
 
 
 def parse_float(c: Column) -> Column:
-    plain = F.trim(c)
+    plain = strip(c)
     return F.when(plain.rlike(r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"), plain.try_cast("double"))
 
 
 def epoch_ms_to_date(c: Column) -> Column:
     """UTC date of epoch milliseconds given as text or number; blank or bad gives null."""
-    return F.to_date(F.timestamp_millis(F.trim(c.cast("string")).try_cast("bigint")))
+    return F.to_date(F.timestamp_millis(strip(c.cast("string")).try_cast("bigint")))
 
 
 def local_date(ts: Column, zone: str = EXPORT_ZONE) -> Column:

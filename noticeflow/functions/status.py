@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from noticeflow.functions.text import SPACES, strip
+
 #: Fixed values: (row status, last response) -> state of a utility.
 UTILITY_STATES = [
     ("open", None, "pending"),
@@ -43,7 +45,7 @@ FAILURE_LABELS = {
 
 
 def tidy(c: Column) -> Column:
-    return F.trim(F.regexp_replace(F.lower(c), r"\s+", " "))
+    return F.trim(F.regexp_replace(F.lower(c), SPACES, " "))
 
 
 def lookup(table: dict[str, str], key: Column, default: Column) -> Column:
@@ -52,8 +54,8 @@ def lookup(table: dict[str, str], key: Column, default: Column) -> Column:
 
 
 def utility_status(row_status: Column, response: Column) -> Column:
-    """State of a utility from its row status and last response; a missing response is a key of its own."""
-    key = F.concat_ws("|", F.lower(F.trim(row_status)), F.coalesce(F.nullif(tidy(response), F.lit("")), F.lit("∅")))
+    """State of a utility from its row status and last response; a missing or empty response is a key of its own, one of white space is unknown."""
+    key = F.concat_ws("|", F.lower(strip(row_status)), F.when(F.coalesce(response, F.lit("")) == "", "∅").otherwise(tidy(response)))
     return lookup({f"{s}|{r or '∅'}": state for s, r, state in UTILITY_STATES}, key, F.lit("unknown"))
 
 

@@ -12,9 +12,18 @@ STOP_WORDS = ["the", "and", "or", "of", "in", "at", "to", "a", "an", "for", "tn"
 SPACES = r"(?U)\s+"
 
 
+#: The characters that count as white space at the ends of a text.
+WHITE_SPACE = " \t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+
+
+def strip(c: Column) -> Column:
+    """Text without white space of any kind at its ends."""
+    return F.btrim(c, F.lit(WHITE_SPACE))
+
+
 def blank_to_null(c: Column) -> Column:
-    """Trimmed text, null when nothing is left."""
-    return F.nullif(F.trim(c), F.lit(""))
+    """Text without white space at its ends, null when nothing is left."""
+    return F.nullif(strip(c), F.lit(""))
 
 
 def best_str(*candidates: Column) -> Column:
@@ -40,7 +49,7 @@ def slugify(c: Column) -> Column:
 
 
 def ticket_key(c: Column) -> Column:
-    return F.upper(F.trim(c))
+    return F.upper(strip(c))
 
 
 def safe_file_key(c: Column) -> Column:
@@ -48,7 +57,7 @@ def safe_file_key(c: Column) -> Column:
 
 
 def valid_ticket_number(c: Column) -> Column:
-    return F.coalesce(F.trim(c).rlike(r"(?i)^(\d{10,}|TN\d{8}-\d{6})$"), F.lit(False))
+    return F.coalesce(strip(c).rlike(r"(?i)^(\d{10,}|TN\d{8}-\d{6})$"), F.lit(False))
 
 
 def looks_cancelled(c: Column) -> Column:
@@ -111,7 +120,7 @@ def subject_line(n: Column, lead_days: int) -> Column:
 
 def group_key(company: Column, work: Column, county: Column) -> Column:
     """First 16 hexadecimal digits of the SHA-256 of COMPANY|WORK|COUNTY."""
-    upper = lambda c, default: F.upper(F.trim(F.coalesce(c, F.lit(default))))
+    upper = lambda c, default: F.upper(strip(F.coalesce(c, F.lit(default))))
     return F.left(F.sha2(F.concat_ws("|", upper(company, "UNKNOWN"), upper(work, ""), upper(county, "")), 256), F.lit(16))
 
 

@@ -6,28 +6,85 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from noticeflow.functions.text import fallback_label, normalize_company, tokens
+from noticeflow.graph import connected_components
 from noticeflow.scratch import Scratch, spread_join
 
 DEFAULT_FIELDS = ["excavator_name", "work_type", "location_text"]
 
 
+#: Rows of a block of a token's list: a token that m rows hold in their prefixes is joined in (m / BLOCK)**2 / 2 pairs of blocks.
+BLOCK = 2000
+#: Edges of a component of undecided rows that one task settles at most.
+LOCAL_EDGES = 1 << 20
+
+
+def _prefixes(sets: DataFrame, key: str, items: str, threshold: float) -> DataFrame:
+    """(k, s, n, p, r, t): for each of a set's rarest tokens t, which p lists, its place r and all of the set, in order of rarity."""
+    rows = sets.select(F.col(key).alias("k"), F.array_distinct(items).alias("s")).where(F.size("s") > 0)
+    flat = rows.select("k", F.explode("s").alias("t"))
+    frequency = flat.groupBy("t").agg(F.count("*").alias("f"))
+    # one shuffle puts a set together again, with its tokens from rare to common
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("f", "t"))), lambda x: x["t"])
+    ranked = spread_join(flat, frequency, "t").groupBy("k").agg(ordered.alias("s")).withColumn("n", F.size("s"))
+    keep = (F.col("n") - F.ceil(F.col("n") * F.lit(threshold) - 1e-9) + 1).cast("int")
+    return ranked.withColumn("p", F.slice("s", F.lit(1), keep)).select("*", F.posexplode("p").alias("r", "t"))
+
+
 def jaccard_pairs(sets: DataFrame, key: str, items: str, threshold: float) -> DataFrame:
     """(a, b, jaccard) of all pairs a < b of rows whose distinct non-empty token arrays have Jaccard >= threshold > 0.
 
     Prefix filter: two such sets share one of the rarest n - ceil(t*n) + 1 tokens
-    of each, so only those are joined, and sizes prune before sets are compared.
+    of each, so only those are joined.  Sizes and the places of the shared token
+    bound the overlap before sets are compared, and a pair is taken at the first
+    token that both prefixes hold, so it comes out once.  The list of a token
+    that very many rows hold is dealt into blocks, of which every pair meets in
+    a task of its own.  `key` must be unique; rows without tokens are in no pair.
     """
-    rows = sets.select(F.col(key).alias("k"), F.array_distinct(items).alias("s")).where(F.size("s") > 0)
-    flat = rows.select("k", F.size("s").alias("n"), F.explode("s").alias("t"))
-    frequency = flat.groupBy("t").agg(F.count("*").alias("f"))
-    ranked = spread_join(flat, frequency, "t").withColumn("r", F.row_number().over(Window.partitionBy("k").orderBy("f", "t")))
-    prefix = ranked.where(F.col("r") <= F.col("n") - F.ceil(F.col("n") * F.lit(threshold) - 1e-9) + 1).select("k", "n", "t")
-    a, b = prefix.toDF("a", "na", "t"), prefix.toDF("b", "nb", "t")
-    fits = (F.col("a") < F.col("b")) & (F.least("na", "nb") >= F.greatest("na", "nb") * F.lit(threshold) - 1e-9)
-    pairs = a.join(b, "t").where(fits).select("a", "b").distinct()
-    wide = pairs.join(rows.toDF("a", "sa"), "a").join(rows.toDF("b", "sb"), "b")
+    scratch = Scratch(sets.sparkSession, "jaccard")
+    entries = scratch.save(_prefixes(sets, key, items, threshold), "prefixes")
+    blocks = entries.groupBy("t").agg(F.ceil(F.count("*") / F.lit(float(BLOCK))).cast("int").alias("blocks"))
+    dealt = spread_join(entries, blocks, "t").withColumn("own", F.pmod(F.xxhash64("k", "t"), F.col("blocks").cast("long")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("t", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "k", "s", "n", "p", "r")
+    a, b = (dealt.select("t", "i", "j", *[F.col(c).alias(f"{c}{x}") for c in ("own", "k", "s", "n", "p", "r")]) for x in "ab")
+    least = F.ceil(F.lit(threshold / (1 + threshold)) * (F.col("na") + F.col("nb")) - 1e-9)
+    fits = (
+        (F.col("ka") < F.col("kb")) & ((F.col("i") == F.col("j")) | (F.col("owna") != F.col("ownb")))
+        & (F.least(F.col("na") - F.col("ra"), F.col("nb") - F.col("rb")) >= least)  # the shared token and what follows it
+        & (F.col("t") == F.try_element_at(F.array_intersect("pa", "pb"), F.lit(1)))
+    )
     both = F.size(F.array_intersect("sa", "sb"))
-    return wide.select("a", "b", (both / (F.size("sa") + F.size("sb") - both)).alias("jaccard")).where(F.col("jaccard") >= threshold)
+    pairs = a.join(b, ["t", "i", "j"]).where(fits)
+    return pairs.select(F.col("ka").alias("a"), F.col("kb").alias("b"), (both / (F.col("na") + F.col("nb") - both)).alias("jaccard")).where(F.col("jaccard") >= threshold)
+
+
+def _elected(undecided: DataFrame, edges: DataFrame, scratch: Scratch, turn: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """One round: (leaders found, rows still undecided, edges among them).  A row without an earlier undecided neighbour leads."""
+    led = scratch.save(undecided.join(edges.select(F.col("b").alias("o")).distinct(), "o", "left_anti"), f"led-{turn}")
+    settled = scratch.save(led.unionByName(edges.join(led.withColumnRenamed("o", "a"), "a", "left_semi").select(F.col("b").alias("o"))).distinct(), f"settled-{turn}")
+    left = scratch.save(undecided.join(settled, "o", "left_anti"), f"undecided-{turn}")
+    live = edges.join(settled.withColumnRenamed("o", "a"), "a", "left_anti").join(settled.withColumnRenamed("o", "b"), "b", "left_anti")
+    live = scratch.save(live.select("a", "b"), f"live-{turn}")
+    scratch.drop(f"settled-{turn}", f"undecided-{turn - 1}", f"live-{turn - 1}")
+    return led, left, live
+
+
+def _settled_locally(edges: DataFrame) -> DataFrame:
+    """(o): the leaders of whole components (comp, a, b), each settled in one task in ascending order."""
+
+    def work(pdf):
+        import pandas as pd
+
+        led = set()
+        earlier = {}
+        for a, b in zip(pdf["a"], pdf["b"]):
+            earlier.setdefault(b, []).append(a)
+        for o in sorted({*pdf["a"], *pdf["b"]}):
+            if not any(a in led for a in earlier.get(o, ())):
+                led.add(o)
+        return pd.DataFrame({"o": pd.Series(sorted(led), dtype=pdf["a"].dtype)})
+
+    return edges.groupBy("comp").applyInPandas(work, f"o {edges.schema['a'].dataType.simpleString()}")
 
 
 def leader_cluster(df: DataFrame, order: str, items: str, threshold: float = 0.6) -> DataFrame:
@@ -35,9 +92,12 @@ def leader_cluster(df: DataFrame, order: str, items: str, threshold: float = 0.6
 
     Rows in ascending order join the earliest cluster whose leader has Jaccard
     >= threshold with them, or lead a new one.  The leaders are the first
-    maximal independent set of the similarity graph in that order; each round
-    settles every row whose earlier neighbours are settled.  Equal token sets
-    are one node; rows without tokens form one cluster.  `order` must be unique.
+    maximal independent set of the similarity graph in that order.  Two rounds
+    of election settle most rows; what is left falls into components, of which
+    those of at most LOCAL_EDGES edges are settled by one task each (so a chain
+    of any such length takes no more rounds), and only larger ones go on with
+    rounds.  Equal token sets are one node; rows without tokens form one
+    cluster.  `order` must be unique.
     """
     spark = df.sparkSession
     scratch = Scratch(spark, "leaders")
@@ -45,19 +105,30 @@ def leader_cluster(df: DataFrame, order: str, items: str, threshold: float = 0.6
     nodes = scratch.save(keyed.groupBy("__set").agg(F.min(order).alias("o")), "nodes")
     parted = nodes.withColumn("s", F.when(F.col("__set") == "", F.array().cast("array<string>")).otherwise(F.split("__set", " ")))
     edges = scratch.save(jaccard_pairs(parted, "o", "s", threshold).select("a", "b"), "edges")
-    state = scratch.save(nodes.select("o", F.lit(None).cast("string").alias("role")), "roles-0")
-    turn = 0
-    while not state.where("role IS NULL").isEmpty():
-        seen = edges.join(state.toDF("a", "role_a"), "a").groupBy("b").agg(
-            F.max(F.coalesce(F.col("role_a") == "leader", F.lit(False))).alias("led"), F.max(F.col("role_a").isNull()).alias("waits")
-        )
-        role = F.when(F.col("role").isNotNull(), F.col("role")).when(F.coalesce("led", F.lit(False)), "member").when(~F.coalesce("waits", F.lit(False)), "leader")
+    # rows without any edge lead; only the others are elected
+    touched = scratch.save(edges.select(F.col("a").alias("o")).union(edges.select("b")).distinct(), "undecided-0")
+    leaders = scratch.save(nodes.select("o").join(touched, "o", "left_anti"), "alone")
+    left, live, turn = touched, edges, 0
+    while not left.isEmpty():
         turn += 1
-        state = scratch.save(state.join(seen, F.col("o") == F.col("b"), "left").select("o", role.alias("role")), f"roles-{turn}")
-    leaders = state.where("role = 'leader'").select(F.col("o").alias("a"))
-    joined = edges.join(leaders, "a").groupBy("b").agg(F.min("a").alias("by"))
-    placed = nodes.join(joined, F.col("o") == F.col("b"), "left").join(state, "o")
-    placed = placed.select("__set", F.when(F.col("role") == "leader", F.col("o")).otherwise(F.col("by")).alias("leader"))
+        led, left, live = _elected(left, live, scratch, turn)
+        leaders = leaders.unionByName(led)
+        if turn % 2 or live.isEmpty():
+            continue
+        # rows without undecided neighbours lead in the next round; the others are settled by component
+        comp = connected_components(live, scratch, f"comp-{turn}")
+        held = spread_join(live.withColumnRenamed("a", "node"), comp, "node").select("component", F.col("node").alias("a"), "b")
+        held = scratch.save(held.withColumnRenamed("component", "comp"), f"held-{turn}")
+        small = held.groupBy("comp").agg(F.count("*").alias("n")).where(F.col("n") <= LOCAL_EDGES).select("comp")
+        small = scratch.save(small, f"small-{turn}")
+        leaders = leaders.unionByName(scratch.save(_settled_locally(held.join(small, "comp", "left_semi")), f"local-{turn}"))
+        inside = comp.join(small, comp["component"] == small["comp"], "left_semi").select(F.col("node").alias("o"))
+        left = scratch.save(left.join(inside, "o", "left_anti"), f"outside-{turn}")
+        live = scratch.save(held.join(small, "comp", "left_anti").select("a", "b"), f"large-{turn}")
+    leaders = scratch.save(leaders, "leaders")
+    joined = edges.join(leaders.withColumnRenamed("o", "a"), "a", "left_semi").groupBy("b").agg(F.min("a").alias("by"))
+    placed = nodes.join(joined, F.col("o") == F.col("b"), "left").join(leaders.withColumn("__leads", F.lit(True)), "o", "left")
+    placed = placed.select("__set", F.when(F.col("__leads"), F.col("o")).otherwise(F.col("by")).alias("leader"))
     return spread_join(keyed, scratch.save(placed, "placed"), "__set").drop("__set")
 
 

@@ -1,7 +1,8 @@
 """Extraction from pages and texts.
 
-One mapInPandas job reads each page once and gives out long rows; mapping,
-precedence and pivots are Spark's.  Texts need built-in expressions only.
+One mapInArrow pass parses each page once and gives out one row with all that it
+found; mapping, precedence and states are expressions over that row, so nothing
+is shuffled.  Texts need built-in expressions only.
 """
 
 from __future__ import annotations
@@ -56,6 +57,7 @@ MENTION_RUN = r"(?<![A-Za-z\s&,])([A-Za-z\s&,]++)[:\-]"
 MENTION_TRADES = r"(?is)^.+(?:electric|gas|water|sewer|telecom|cable|fiber)"
 KEY_FIELDS = ["ticket_number", "county", "call_date", "expiration_date", "excavator_name"]
 DATE_FIELDS = ("call_date", "legal_start_date", "expiration_date")
+#: Words that mark a cancelled notice.
 CANCEL_WORDS = ["cancelled", "canceled", "void"]
 VOID_TAGS = {"br", "img", "hr", "meta", "link", "input", "area", "base", "col", "embed", "source", "track", "wbr"}
 
@@ -172,78 +174,120 @@ def _page_rows(html: str):
     return out
 
 
+RESPONSE_FIELDS = ("row_status", "code", "name", "facility", "last_response", "response_timestamp", "notes", "response_count")
+ITEMS = (
+    "labels array<struct<pos:int,kind:string,label:string,value:string>>, responses array<struct<" + ",".join(f"{c}:string" for c in RESPONSE_FIELDS) + ">>, "
+    "codes array<string>, raw_text string, mark string"
+)
+
+
 def page_items(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
-    """(key, kind, pos, v1..v8): everything the page job finds, one pass over the pages; a null page gives its empty text."""
+    """(key, labels, responses, codes, raw_text, mark): everything the page parser finds, one row per page.
 
-    def work(frames):
-        import pandas as pd
+    A null page is an empty one; repeated rows are parsed alike; other columns
+    are not read; an empty table gives an empty result.
+    """
 
-        for frame in frames:
-            rows = [(k, *row) for k, h in zip(frame[key], frame[html]) for row in _page_rows(h or "")]
-            yield pd.DataFrame(rows, columns=[key, "kind", "pos", *[f"v{i}" for i in range(1, 9)]])
+    def work(batches):
+        import pyarrow as pa
+
+        text = pa.string()
+        label = pa.struct([("pos", pa.int32()), ("kind", text), ("label", text), ("value", text)])
+        response = pa.struct([(c, text) for c in RESPONSE_FIELDS])
+        kinds = [pa.list_(label), pa.list_(response), pa.list_(text), text, text]
+        for whole in batches:
+            for at in range(0, whole.num_rows, 500):
+                batch = whole.slice(at, 500)
+                rows = []
+                for html in batch.column(1):
+                    found = _page_rows(html.as_py() or "")
+                    of = lambda *wanted: [r for r in found if r[0] in wanted]  # noqa: B023, E731
+                    labels = [{"pos": r[1], "kind": r[0], "label": r[2], "value": r[3]} for r in of("th", "td", "dt")]
+                    responses = [dict(zip(RESPONSE_FIELDS, r[2:])) for r in of("response")]
+                    rows.append((labels, responses, [r[2] for r in of("code")], of("text")[0][2], next((r[2] for r in of("cancel")), None)))
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0), *[pa.array(list(c), k) for c, k in zip(zip(*rows), kinds)]], [key, "labels", "responses", "codes", "raw_text", "mark"]
+                )
 
     kind = pages.schema[key].dataType.simpleString()
-    values = ", ".join(f"v{i} string" for i in range(1, 9))
-    return pages.select(key, html).mapInPandas(work, f"{key} {kind}, kind string, pos int, {values}")
+    return pages.select(key, html).mapInArrow(work, f"{key} {kind}, {ITEMS}")
+
+
+def chosen_labels() -> Column:
+    """array<(pos, label, value)>: header rows, or plain rows on pages where no header label is known, then definition lists."""
+    known = [label for names in LABELS.values() for label in names]
+    clean = F.transform("labels", lambda x: F.struct(
+        (x["pos"] + F.when(x["kind"] == "dt", 1_000_000).otherwise(0)).alias("pos"), x["kind"].alias("kind"), F.regexp_replace(F.lower(x["label"]), ":+$", "").alias("label"), x["value"].alias("value")
+    ))
+    headed = F.exists(clean, lambda x: (x["kind"] == "th") & x["label"].isin(known))
+    used = F.filter(clean, lambda x: (x["kind"] != "td") | ~headed)
+    return F.transform(F.array_sort(used), lambda x: x.dropFields("kind"))
+
+
+def _fields(labels: str) -> list[Column]:
+    """The canonical fields from chosen labels: unknown labels go, the last occurrence wins."""
+    last = lambda names: F.try_element_at(F.filter(labels, lambda x: x["label"].isin(names)), F.lit(-1))["value"]
+    return [last(names).alias(field) for field, names in LABELS.items()]
 
 
 def page_labels(items: DataFrame, key: str = "page_id") -> DataFrame:
-    """(key, label, value, pos): header rows, or plain rows on pages where no header label is known, then definition lists."""
-    known = F.col("label").isin([label for names in LABELS.values() for label in names])
-    found = items.where(F.col("kind").isin("th", "td", "dt")).select(key, "kind", "pos", F.regexp_replace(F.lower("v1"), ":+$", "").alias("label"), F.col("v2").alias("value"))
-    headed = found.where((F.col("kind") == "th") & known).select(key).distinct()
-    return found.where("kind = 'th'").unionByName(found.where("kind = 'td'").join(headed, key, "left_anti")).unionByName(found.where("kind = 'dt'")).select(
-        key, "label", "value", (F.col("pos") + F.when(F.col("kind") == "dt", 1_000_000).otherwise(0)).alias("pos")
-    )
+    """(key, pos, label, value): the labels that count, a row each."""
+    return items.select(key, F.inline(chosen_labels()))
 
 
-def map_labels(labels: DataFrame, key: str = "page_id") -> DataFrame:
+def map_labels(items: DataFrame, key: str = "page_id") -> DataFrame:
     """One row per page with the canonical fields; unknown labels go, the last occurrence wins."""
-    spark = labels.sparkSession
-    names = F.broadcast(spark.createDataFrame([(label, field) for field, all_ in LABELS.items() for label in all_], "label string, field string"))
-    return labels.join(names, "label").groupBy(key).pivot("field", list(LABELS)).agg(F.max_by("value", "pos"))
+    return items.withColumn("__labels", chosen_labels()).select(key, *_fields("__labels"))
+
+
+def states_of_responses() -> Column:
+    """array of utility responses with their derived state, in order of the page."""
+    return F.transform("responses", lambda r: F.struct(
+        r["code"].alias("code"), r["name"].alias("name"), r["facility"].alias("facility"), r["row_status"].alias("row_status"), r["last_response"].alias("last_response"),
+        r["response_timestamp"].alias("response_timestamp"), r["response_count"].cast("int").alias("response_count"), r["notes"].alias("notes"),
+        utility_status(r["row_status"], r["last_response"]).alias("status"),
+    ))
 
 
 def page_responses(items: DataFrame, key: str = "page_id") -> DataFrame:
     """One row per utility response with its derived state."""
-    rows = items.where("kind = 'response'")
-    return rows.select(
-        key, "pos", F.col("v2").alias("code"), F.col("v3").alias("name"), F.col("v4").alias("facility"), F.col("v1").alias("row_status"), F.col("v5").alias("last_response"),
-        F.col("v6").alias("response_timestamp"), F.col("v8").cast("int").alias("response_count"), F.col("v7").alias("notes"), utility_status(F.col("v1"), F.col("v5")).alias("status"),
-    )
+    return items.select(key, F.posexplode(states_of_responses()).alias("pos", "r")).select(key, "pos", "r.*")
 
 
+#: Fixed value: a code beside one of these words.
 CODE_NEAR_WORD = r"(?i)\b([A-Z]{2,8})\b(?=\s*[-:|\s]?\s*(?:utility|notified|response|locate|marked))"
 
 
-def page_codes(items: DataFrame, key: str = "page_id") -> DataFrame:
-    """(key, utility_codes): of the code table, else of the responses, else of the text; distinct, upper-cased, in order."""
-    ordered = lambda kind, value: F.transform(F.array_sort(F.collect_list(F.when(F.col("kind") == kind, F.struct("pos", value.alias("v"))))), lambda s: s["v"])
-    found = items.groupBy(key).agg(
-        ordered("code", F.col("v1")).alias("a"), ordered("response", F.col("v2")).alias("b"), F.max(F.when(F.col("kind") == "text", F.col("v1"))).alias("text")
-    )
-    scan = F.transform(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(CODE_NEAR_WORD), 1), lambda c: F.upper(c))
+def codes_of_page() -> Column:
+    """Codes of the code table, else of the responses, else of the text; distinct, upper-cased, in order."""
+    scan = F.transform(F.regexp_extract_all("raw_text", F.lit(CODE_NEAR_WORD), 1), lambda c: F.upper(c))
     clean = lambda c: F.array_distinct(F.filter(c, lambda x: x != ""))
-    pick = F.when(F.size(clean(F.col("a"))) > 0, clean(F.col("a"))).when(F.size(clean(F.col("b"))) > 0, clean(F.col("b"))).otherwise(clean(scan))
-    return found.select(key, pick.alias("utility_codes"))
+    own, said = clean(F.col("codes")), clean(F.transform("responses", lambda r: r["code"]))
+    return F.when(F.size(own) > 0, own).when(F.size(said) > 0, said).otherwise(clean(scan))
 
 
-def page_flags(items: DataFrame, key: str = "page_id", word_boundary: bool = False) -> DataFrame:
-    """(key, raw_text, is_cancelled); by default 'avoid' contains 'void', with word_boundary it does not."""
-    found = items.where(F.col("kind").isin("text", "cancel")).groupBy(key).agg(
-        F.max(F.when(F.col("kind") == "text", F.col("v1"))).alias("raw_text"), F.max(F.when(F.col("kind") == "cancel", F.col("v1"))).alias("mark")
-    )
+def page_codes(items: DataFrame, key: str = "page_id") -> DataFrame:
+    return items.select(key, codes_of_page().alias("utility_codes"))
+
+
+def cancelled_page(word_boundary: bool = False) -> Column:
+    """By default 'avoid' contains 'void', with word_boundary it does not."""
     sure = F.col("raw_text").rlike(r"(?i)\b(cancelled|canceled|void)\b") if word_boundary else F.lit(True)
-    return found.select(key, "raw_text", (F.col("mark").isNotNull() & sure).alias("is_cancelled"))
+    return F.col("mark").isNotNull() & sure
+
+
+def page_flags(items: DataFrame, key: str = "page_id", word_boundary: bool = False) -> DataFrame:
+    return items.select(key, "raw_text", cancelled_page(word_boundary).alias("is_cancelled"))
 
 
 def page_details(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
     """Everything a page tells about its notice, one row per page, ready for normalize_tickets once ticket_number is set."""
-    items = page_items(pages, key, html)
-    order = F.array_sort(F.collect_list(F.struct("pos", *[c for c in ("code", "name", "facility", "row_status", "last_response", "response_timestamp", "response_count", "notes", "status")])))
-    statuses = page_responses(items, key).groupBy(key).agg(F.transform(order, lambda s: s.dropFields("pos")).alias("utility_statuses"))
-    out = page_flags(items, key).join(map_labels(page_labels(items, key), key), key, "left").join(page_codes(items, key), key, "left").join(statuses, key, "left")
-    return out
+    rows = page_items(pages, key, html).withColumn("__labels", chosen_labels())
+    states = states_of_responses()
+    return rows.select(
+        key, "raw_text", cancelled_page().alias("is_cancelled"), *_fields("__labels"), codes_of_page().alias("utility_codes"),
+        F.when(F.size("responses") > 0, states).alias("utility_statuses"),
+    )
 
 
 # -- texts -------------------------------------------------------------------
@@ -268,6 +312,7 @@ def extract_fields(docs: DataFrame, text_col: str = "text", county_hint: str = "
     fields = {f: parse_date(c) if f in DATE_FIELDS else F.left(F.trim(F.regexp_replace(c, SPACES, " ")), F.lit(500)) for f, c in raw.items()}
     out = docs.withColumns(fields)
     few = sum(F.col(f).isNotNull().cast("int") for f in KEY_FIELDS) < 2
+    # fixed value: how a date is written that counts by position
     dates = F.filter(F.transform(F.regexp_extract_all(text, F.lit(r"\d{1,2}/\d{1,2}/\d{4}"), 0), parse_date), lambda d: d.isNotNull())
     last = F.when(F.size(dates) >= 2, F.try_element_at(dates, F.lit(-1)))
     number = F.nullif(F.upper(F.regexp_extract(text, r"(?i)\bTN[\d\-]{8,}\b", 0)), F.lit(""))

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from noticeflow.functions.text import normalize_text
+from noticeflow.functions.text import normalize_text, strip
 
 
 def _yes(c: Column) -> Column:
@@ -107,7 +107,7 @@ def enabled_counties(config: DataFrame, name: str = "") -> DataFrame:
 
 
 def usable_text(c: Column, least: int = 50) -> Column:
-    return F.char_length(F.trim(F.coalesce(c, F.lit("")))) >= least
+    return F.char_length(strip(F.coalesce(c, F.lit("")))) >= least
 
 
 def domain_allowed(allowed: Column, customer: Column) -> Column:

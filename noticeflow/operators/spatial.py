@@ -83,39 +83,62 @@ def point_segment_m(px: Column, py: Column, x1: Column, y1: Column, x2: Column,
     return F.sqrt(F.pow(px - (x1 + t * dx), 2) + F.pow(py - (y1 + t * dy), 2))
 
 
+def _crossed_cells(lines: DataFrame, width: float) -> DataFrame:
+    """The lines with every grid cell (cx, cy) that each crosses: column by column of the grid, not its whole box."""
+    cell = lambda c: F.floor(c / F.lit(width))
+    low, high = F.least("x1", "x2"), F.greatest("x1", "x2")
+    columns = lines.withColumn("cx", F.explode(F.sequence(cell(low), cell(high))))
+    span = F.col("x2") - F.col("x1")
+    # a sliver more than the line has in the column, so that rounding loses no cell
+    at = lambda x: F.when(span == 0, F.lit(None)).otherwise(F.col("y1") + (x - F.col("x1")) / span * (F.col("y2") - F.col("y1")))
+    a = F.coalesce(at(F.greatest(low, F.col("cx") * width)), F.col("y1"))
+    b = F.coalesce(at(F.least(high, (F.col("cx") + 1) * width)), F.col("y2"))
+    sliver = F.lit(width * 1e-6)
+    return columns.withColumn("cy", F.explode(F.sequence(cell(F.least(a, b) - sliver), cell(F.greatest(a, b) + sliver))))
+
+
 def nearest_line(points: DataFrame, lines: DataFrame, key: str, zone: int = 16, cell_m: float = 150.0, growth: float = 8.0) -> DataFrame:
     """(key, project_id, project_name, distance_m): the nearest segment of each located point, of equally near ones the smallest id.
 
-    Rings of growing grid cells: a point meets the segments of its own and the
-    eight cells around it; what it finds within one cell's width is final, and
-    only points that found nothing go on to cells `growth` times as wide.  There
-    is no cross join, and segments are never broadcast by hand.
+    Rings of growing grid cells: a point meets the segments that cross its own
+    and the eight cells around it; what it finds within one cell's width is
+    final, and only points that found nothing go on to cells `growth` times as
+    wide, until the cells are as wide as all the data, so the number of rounds
+    is bounded.  There is no cross join, and segments are never broadcast by
+    hand; a cell that very many points share is split by AQE.  Points and
+    segments whose coordinates are null, NaN or beyond the projection are left
+    out; an empty side gives an empty result.
     """
     spark = points.sparkSession
     scratch = Scratch(spark, "nearest")
+    real = lambda *cols: " AND ".join(f"abs({c}) < 1e9" for c in cols)  # noqa: E731  false for NaN, which is beyond every number
     x, y = to_utm(F.col("longitude"), F.col("latitude"), zone)
-    left = scratch.save(points.where("latitude IS NOT NULL AND longitude IS NOT NULL").select(F.col(key), x.alias("px"), y.alias("py")), "points-0")
+    left = points.where("latitude IS NOT NULL AND longitude IS NOT NULL").select(F.col(key), x.alias("px"), y.alias("py")).where(real("px", "py"))
+    left = scratch.save(left, "points-0")
     a, b = to_utm(F.col("x1"), F.col("y1"), zone), to_utm(F.col("x2"), F.col("y2"), zone)
-    metric = scratch.save(lines.select("project_id", "project_name", a[0].alias("x1"), a[1].alias("y1"), b[0].alias("x2"), b[1].alias("y2")), "segments")
-    if metric.isEmpty():
+    metric = lines.select("project_id", "project_name", a[0].alias("x1"), a[1].alias("y1"), b[0].alias("x2"), b[1].alias("y2"))
+    metric = scratch.save(metric.where(real("x1", "y1", "x2", "y2")), "segments")
+    ends = metric.select(F.col("x1").alias("x"), F.col("y1").alias("y")).unionByName(metric.select(F.col("x2").alias("x"), F.col("y2").alias("y")))
+    box = ends.unionByName(left.select(F.col("px").alias("x"), F.col("py").alias("y"))).agg(*[f(c) for c in ("x", "y") for f in (F.min, F.max)]).first()
+    if metric.isEmpty() or left.isEmpty():
         return left.limit(0).select(key, F.lit(None).cast(lines.schema["project_id"].dataType).alias("project_id"), F.lit(None).cast("string").alias("project_name"), F.lit(0.0).alias("distance_m"))
-    found, turn, width = [], 0, cell_m
+    reach = max(cell_m, 1.01 * ((box[1] - box[0]) ** 2 + (box[3] - box[2]) ** 2) ** 0.5)  # no distance is longer
+    found, turn, width = None, 0, cell_m
     while True:
-        cell = lambda c: F.floor(c / F.lit(width))
-        spans = metric.withColumn("cx", F.explode(F.sequence(cell(F.least("x1", "x2")), cell(F.greatest("x1", "x2"))))).withColumn("cy", F.explode(F.sequence(cell(F.least("y1", "y2")), cell(F.greatest("y1", "y2")))))
-        probes = left.withColumn("cx", F.explode(F.sequence(cell(F.col("px")) - 1, cell(F.col("px")) + 1))).withColumn("cy", F.explode(F.sequence(cell(F.col("py")) - 1, cell(F.col("py")) + 1)))
-        near = probes.join(spans, ["cx", "cy"]).withColumn("d", point_segment_m(*map(F.col, ("px", "py", "x1", "y1", "x2", "y2"))))
+        cell = lambda c: F.floor(c / F.lit(width))  # noqa: B023, E731
+        around = lambda c: F.explode(F.sequence(cell(F.col(c)) - 1, cell(F.col(c)) + 1))  # noqa: B023, E731
+        probes = left.withColumn("cx", around("px")).withColumn("cy", around("py"))
+        near = probes.join(_crossed_cells(metric, width), ["cx", "cy"]).withColumn("d", point_segment_m(*map(F.col, ("px", "py", "x1", "y1", "x2", "y2"))))
         best = near.groupBy(key).agg(F.min(F.struct("d", "project_id", "project_name")).alias("m")).where(F.col("m.d") <= F.lit(width))
         best = scratch.save(best.select(key, "m.project_id", "m.project_name", F.col("m.d").alias("distance_m")), f"found-{turn}")
-        found.append(best)
-        turn, width = turn + 1, width * growth
+        found = best if found is None else found.unionByName(best)
+        if width >= reach:
+            return found
+        turn, width = turn + 1, min(width * growth, reach)
         left = scratch.save(left.join(best, key, "left_anti"), f"points-{turn}")
+        scratch.drop(f"points-{turn - 1}")
         if left.isEmpty():
-            break
-    out = found[0]
-    for more in found[1:]:
-        out = out.unionByName(more)
-    return out
+            return found
 
 
 def match_projects(tickets: DataFrame, lines: DataFrame, key: str = "ticket_number", zone: int = 16) -> DataFrame:

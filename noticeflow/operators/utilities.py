@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from noticeflow.functions.dates import days_until
 from noticeflow.functions.status import REASON_ORDER, blocked_reason
+from noticeflow.functions.text import strip
 
 LATE_AFTER_HOURS = 72
 
@@ -39,7 +40,7 @@ def utility_summary(statuses: Column) -> Column:
     settled = lambda s: s["status"].isin("clear", "located")
     late = lambda s: ~settled(s) & F.coalesce(s["is_late"], F.lit(False))
     open_ = lambda s: ~settled(s) & ~F.coalesce(s["is_late"], F.lit(False))
-    code = lambda s: F.trim(F.coalesce(s["code"], F.lit("")))
+    code = lambda s: strip(F.coalesce(s["code"], F.lit("")))
 
     def named(test, label: str) -> Column:
         found = F.transform(F.filter(all_, lambda s: test(s) & (code(s) != "")), code)

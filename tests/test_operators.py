@@ -112,18 +112,69 @@ def test_leader_cluster_equals_the_plain_loop(spark):
     rnd = random.Random(5)
     for t in (0.5, 0.6):
         sets = [sorted({rnd.choice("abcdefgh") for _ in range(rnd.randint(0, 5))}) for _ in range(150)]
-        leaders, want = [], []
-        for i, s in enumerate(sets):
-            like = lambda a: 1.0 if not s and not sets[a] else len(set(s) & set(sets[a])) / len(set(s) | set(sets[a]))
-            home = next((a for a in leaders if like(a) >= t), None)
-            if home is None:
-                leaders.append(i)
-            want.append(i if home is None else home)
+        want = plain_leaders([set(s) for s in sets], t)
         df = spark.createDataFrame(list(enumerate(sets)), "k long, w array<string>")
         got = {r["k"]: r["leader"] for r in cluster.leader_cluster(df, "k", "w", t).collect()}
         assert [got[i] for i in range(len(sets))] == want
 
 
+def plain_leaders(sets, t):
+    leaders, out = [], []
+    for i, s in enumerate(sets):
+        home = next((a for a in leaders if (len(s & sets[a]) / len(s | sets[a]) if s | sets[a] else 1.0) >= t), None)
+        if home is None:
+            leaders.append(i)
+        out.append(i if home is None else home)
+    return out
+
+
+def test_leaders_of_a_chain_and_of_a_crowd(spark, monkeypatch):
+    """A chain of 2,000 parties, each like the next, takes no more rounds than a short one; 600 alike are one cluster."""
+    chain = [{f"w{i + j}" for j in range(9)} for i in range(2000)]
+    crowd = [{"common", "party", "name", "of", "all", "the", "same", f"x{i}"} for i in range(600)]
+    sets = chain + crowd
+    df = spark.createDataFrame([(i, sorted(s)) for i, s in enumerate(sets)], "k long, w array<string>")
+    rounds = []
+    elected = cluster._elected
+    monkeypatch.setattr(cluster, "_elected", lambda *a: rounds.append(1) or elected(*a))
+    monkeypatch.setattr(cluster, "BLOCK", 100)
+    got = {r["k"]: r["leader"] for r in cluster.leader_cluster(df, "k", "w", 0.6).collect()}
+    assert [got[i] for i in range(len(sets))] == plain_leaders(sets, 0.6) and len(rounds) <= 3
+    monkeypatch.setattr(cluster, "LOCAL_EDGES", 3)  # components too large for one task go on with rounds
+    short = [{f"w{i + j}" for j in range(9)} for i in range(30)]
+    few = spark.createDataFrame([(i, sorted(s)) for i, s in enumerate(short)], "k long, w array<string>")
+    got = {r["k"]: r["leader"] for r in cluster.leader_cluster(few, "k", "w", 0.6).collect()}
+    assert [got[i] for i in range(30)] == plain_leaders(short, 0.6)
+
+
+def test_jaccard_pairs_equal_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(cluster, "BLOCK", 7)
+    rnd = random.Random(8)
+    sets = [{rnd.choice("abcdefghij") for _ in range(rnd.randint(0, 7))} for _ in range(90)]
+    df = spark.createDataFrame([(i, sorted(s)) for i, s in enumerate(sets)], "k long, w array<string>")
+    for t in (0.3, 0.5, 0.8, 1.0):
+        like = {(a, b): len(sets[a] & sets[b]) / len(sets[a] | sets[b]) for a in range(90) for b in range(a) if sets[a] and sets[b]}
+        want = {(b, a): round(v, 9) for (a, b), v in like.items() if v >= t}
+        rows = cluster.jaccard_pairs(df, "k", "w", t).collect()
+        assert {(r["a"], r["b"]): round(r["jaccard"], 9) for r in rows} == want and len(rows) == len(want)
+
+
+def test_nearest_line_far_long_and_odd(spark):
+    """NaN and far points, and a segment of 100 km, against every distance."""
+    lines = [(1, "P1", -87.0, 36.0, -86.0, 36.4), (2, "P2", -86.5, 36.1, -86.5, 36.1), (3, "P3", -86.2, 35.9, -86.2, 36.05), (4, "P4", float("nan"), 36.0, -86.0, 36.0)]
+    rnd = random.Random(3)
+    points = [(i, 35.0 + rnd.random() * 3, -88.0 + rnd.random() * 3) for i in range(60)] + [(100, float("nan"), -86.5), (101, None, -86.5), (102, 36.1, -86.5), (103, 40.0, -80.0)]
+    df = spark.createDataFrame(points, "k long, latitude double, longitude double")
+    segs = spark.createDataFrame(lines, "project_id long, project_name string, x1 double, y1 double, x2 double, y2 double")
+    got = {r["k"]: (r["project_id"], r["distance_m"]) for r in spatial.nearest_line(df, segs, "k").collect()}
+    a, b = spatial.to_utm(F.col("x1"), F.col("y1")), spatial.to_utm(F.col("x2"), F.col("y2"))
+    p = spatial.to_utm(F.col("longitude"), F.col("latitude"))
+    d = spatial.point_segment_m(p[0], p[1], a[0], a[1], b[0], b[1])
+    every = df.where("k < 100 OR k > 101").crossJoin(segs.where("project_id < 4")).groupBy("k").agg(F.min(F.struct(d.alias("d"), "project_id")).alias("m")).collect()
+    assert {r["k"]: (r["m"]["project_id"], round(r["m"]["d"], 3)) for r in every} == {k: (i, round(v, 3)) for k, (i, v) in got.items()}
+    assert spatial.nearest_line(df, segs.where("false"), "k").count() == 0 and spatial.nearest_line(df.where("false"), segs, "k").count() == 0
+
+
 def test_work_groups(spark):
     rows = [("1", "Acme Fiber LLC", "fiber", "Main St"), ("2", "Acme Fiber LLC", "fiber", "Main St"), ("3", "Metro Inc.", "water", "Oak")]
     df = spark.createDataFrame(rows, "ticket_number string, excavator_name string, work_type string, location_text string").withColumns({"probable_company": F.lit(None).cast("string"), "probable_work_group": F.lit(None).cast("string")})
@@ -209,7 +260,7 @@ PLAIN = "<table><tr><td>County:</td><td>Knox</td><td>Expire Date:</td><td>04/08/
 def test_pages(spark):
     df = spark.createDataFrame([(1, PAGE), (2, PLAIN), (3, None), (4, "<p>avoid</p>")], "page_id long, html string")
     items = extract.page_items(df)
-    fields = {r["page_id"]: r for r in extract.map_labels(extract.page_labels(items)).collect()}
+    fields = {r["page_id"]: r for r in extract.map_labels(items).collect()}
     assert (fields[1]["ticket_number"], fields[1]["county"], fields[1]["remarks"]) == ("TN1", "Davidson", "deep & wide")
     assert (fields[2]["county"], fields[2]["expiration_date"]) == ("Knox", "04/08/2026")
     got = [(r["code"], r["name"], r["status"], r["response_count"], r["last_response"]) for r in extract.page_responses(items).orderBy("pos").collect()]
