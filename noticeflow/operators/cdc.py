@@ -130,3 +130,8 @@ def missing_from_config(data: DataFrame, config: DataFrame, key: str = "county")
 def not_yet_parsed(files: DataFrame, parsed: DataFrame) -> DataFrame:
     """Files whose (path, hash) was not parsed before; an unknown hash counts as not parsed."""
     return files.join(parsed.where("sha256 IS NOT NULL").select("path", "sha256"), ["path", "sha256"], "left_anti")
+
+
+def attach_ticket_ids(events: DataFrame, tickets: DataFrame, key: str = "ticket_number", id_col: str = "ticket_id") -> DataFrame:
+    """Events with the surrogate id of their ticket; an event without a ticket is not stored."""
+    return events.join(tickets.select(key, id_col), key)

@@ -39,6 +39,17 @@ class Ruleset:
     exclude: Sequence[str] = field(default=())
 
 
+def ruleset_from(table: DataFrame, **options) -> Ruleset:
+    """A rule set from a table of rules (id, pattern, weight; field, kind, case_sensitive and negative where it has them), in order of id.
+
+    Rules are configuration: a few rows that become one expression.  Options are
+    those of Ruleset: threshold, contractors, work_keywords, include, exclude.
+    """
+    known = ("id", "pattern", "weight", "field", "kind", "case_sensitive", "negative")
+    rows = table.select(*[c for c in known if c in table.columns]).orderBy("id").collect()
+    return Ruleset([Rule(**{k: v for k, v in r.asDict().items() if v is not None}) for r in rows], **options)
+
+
 def any_text(columns: Sequence[str]) -> Column:
     """The searchable texts that the table has, joined by spaces; a match may span two of them."""
     texts = [F.nullif(F.col(c), F.lit("")) for c in ANY_FIELDS if c in columns]

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from noticeflow.functions.status import confidence, is_problem
+from noticeflow.functions.status import apply_alpha, confidence, is_problem, lifecycle_bucket
 from noticeflow.scratch import Scratch
 
 EARTH_M = 6_371_000.0
@@ -151,23 +151,67 @@ def match_projects(tickets: DataFrame, lines: DataFrame, key: str = "ticket_numb
     ).drop("__name", "distance_m")
 
 
-def map_layers(view: DataFrame, axes: dict[str, Column], today: Column) -> DataFrame:
-    """Shapes of the map: every active located row once per axis, its dig circle if it is a point, and rows cancelled in 14 days."""
+#: Colours (alpha, blue, green, red) of layers and of the stages of projects.
+GRAY, PURPLE = "ff808080", "ff800080"
+STAGE_COLORS = {"active": "ff008000", "committed": "ffff0000", "recent": GRAY}
+CONFLICT_ALPHA, NAME_LENGTH = 0.40, 60
+
+
+def map_layers(view: DataFrame, axes: dict[str, Column], today: Column, colors: dict[str, Column] | None = None, other: Column | None = None) -> DataFrame:
+    """Shapes of the map: every active located row once per axis, its dig circle if it is a point, and rows cancelled in 14 days.
+
+    `other` marks rows of the contractor that are not relevant: they are in a
+    layer of their own and in no other.  `colors` gives the colour of an axis.
+    """
     located = view.where("latitude IS NOT NULL AND longitude IS NOT NULL").withColumn("kind", geometry_kind())
-    active = ~F.coalesce("is_cancelled", F.lit(False))
+    apart = F.coalesce(other, F.lit(False)) if other is not None else F.lit(False)
+    active = ~F.coalesce("is_cancelled", F.lit(False)) & ~apart
     entry = lambda layer, bucket, kind: F.struct(F.lit(layer).alias("layer"), bucket.alias("bucket"), kind.alias("shape"))
     rows = [F.when(active, entry(name, bucket, F.col("kind"))) for name, bucket in axes.items()]
     rows.append(F.when(active & (F.col("kind") == "point"), entry("circles", F.lit("dig zone"), F.lit("circle"))))
-    gone = F.coalesce(F.col("is_cancelled") & (F.col("call_date") >= F.date_sub(today, 14)), F.lit(False))
+    gone = F.coalesce(F.col("is_cancelled") & (F.col("call_date") >= F.date_sub(today, 14)), F.lit(False)) & ~apart
     rows.append(F.when(gone, entry("cancelled_14d", F.lit("cancelled"), F.col("kind"))))
+    rows.append(F.when(apart, entry("contractor_other", F.lit("not relevant"), F.col("kind"))))
     out = located.select("*", F.inline(F.array_compact(F.array(*rows))))
     ring = F.when(F.col("shape") == "circle", circle(F.col("latitude"), F.col("longitude")))
     line = F.when(F.col("shape") == "line", F.array(F.struct(F.col("longitude").alias("x"), F.col("latitude").alias("y")), F.struct(F.col("secondary_longitude").alias("x"), F.col("secondary_latitude").alias("y"))))
     point = F.array(F.struct(F.col("longitude").alias("x"), F.col("latitude").alias("y")))
-    return out.select("layer", "bucket", "shape", "ticket_number", is_problem(F.col("has_late_utility"), F.col("blocking_utility_codes")).alias("caution"), F.coalesce(ring, line, point).alias("vertices"))
+    color = F.when(F.col("layer") == "contractor_other", PURPLE)
+    for name, shown in (colors or {}).items():
+        color = color.when(F.col("layer") == name, shown)
+    return out.select(
+        "layer", "bucket", "shape", "ticket_number", F.col("ticket_number").alias("name"), color.otherwise(GRAY).alias("color"),
+        is_problem(F.col("has_late_utility"), F.col("blocking_utility_codes")).alias("caution"), F.coalesce(ring, line, point).alias("vertices"),
+    )
 
 
 def feature_layers(features: DataFrame, counts: DataFrame, bucket: Column, layer: str) -> DataFrame:
     """Map features with the counts of their tickets."""
     joined = features.join(counts, "project_name", "left")
     return joined.select(F.lit(layer).alias("layer"), bucket.alias("bucket"), "project_id", "project_name", F.coalesce("total", F.lit(0)).alias("tickets"), "geometry")
+
+
+def _drawable() -> Column:
+    return F.get_json_object("geometry", "$.type").isin("LineString", "MultiLineString", "Polygon", "MultiPolygon") & (
+        F.coalesce(F.get_json_object("geometry", "$.coordinates"), F.lit("[]")) != "[]"
+    )
+
+
+def _feature_name() -> Column:
+    return F.left(F.coalesce(F.nullif("project_name", F.lit("")), F.concat(F.lit("Project "), F.col("project_id").cast("string"))), F.lit(NAME_LENGTH))
+
+
+def package_layers(features: DataFrame, counts: DataFrame, today: Column) -> DataFrame:
+    """Projects by their stage (active, committed, recent) with a colour, a name and the counts of their tickets; only what can be drawn."""
+    stage = lifecycle_bucket(F.col("status"), F.col("act_end_date"), today)
+    rows = feature_layers(features.where(_drawable()), counts, stage, "packages")
+    color = F.coalesce(*[F.when(F.col("bucket") == k, F.lit(v)) for k, v in STAGE_COLORS.items()])
+    return rows.withColumns({"color": color, "name": _feature_name()})
+
+
+def conflict_layer(features: DataFrame) -> DataFrame:
+    """Other owners' projects as one subdued layer; only what can be drawn."""
+    return features.where(_drawable()).select(
+        F.lit("conflict").alias("layer"), F.coalesce("owner", F.lit("")).alias("bucket"), "project_id", _feature_name().alias("name"),
+        apply_alpha(F.lit(GRAY), CONFLICT_ALPHA).alias("color"), "geometry",
+    )

@@ -10,7 +10,9 @@ from noticeflow.functions import status as S
 from noticeflow.functions import text as T
 from noticeflow.operators import filters as P
 from noticeflow.operators.utilities import utility_rollup, utility_summary
+from noticeflow.scratch import Scratch
 
+#: Columns of the exports, in order.
 MASTER_COLUMNS = [
     "ticket_number", "call_date", "legal_start_date", "expire_date", "days_until_expire", "county", "excavator_name", "caller_name", "caller_phone",
     "work_type", "address", "intersection", "place", "done_for", "is_ready_to_dig", "has_late_utility", "late_utility_codes", "blocking_utility_codes",
@@ -335,6 +337,31 @@ def sort_folders(counts: DataFrame, name: str = "excavator_name") -> DataFrame:
     return counts.orderBy(F.desc("n"), name)
 
 
+def sort_counties(counties: DataFrame) -> DataFrame:
+    """Counties as a viewer lists them: most notices first (equal ones by name)."""
+    return counties.orderBy(F.desc("total"), "county")
+
+
+def sort_groups(groups: DataFrame) -> DataFrame:
+    """Work groups as a viewer lists them: most active notices first (equal ones by name)."""
+    return groups.orderBy(F.desc("active"), "work_group")
+
+
+def numbered(ordered: DataFrame) -> DataFrame:
+    """The rows of an ordered table with their `position` from 1, without gathering them in one task.
+
+    The table is written once with each row's partition and place in it; only
+    the partitions' counts, one row each, are added up.
+    """
+    scratch = Scratch(ordered.sparkSession, "numbered")
+    rows = scratch.save(ordered.withColumns({"__part": F.spark_partition_id(), "__id": F.monotonically_increasing_id()}), "rows")
+    counts = rows.groupBy("__part").agg(F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = F.broadcast(counts.select("__part", before.alias("__before")))
+    place = F.col("__before") + F.col("__id").bitwiseAND(F.lit((1 << 33) - 1)) + 1
+    return rows.join(starts, "__part").withColumn("position", place).drop("__part", "__id", "__before")
+
+
 def top_active(tickets: DataFrame, n: int = 100) -> DataFrame:
     return tickets.where(P.active_relevant()).orderBy(F.asc_nulls_last("expiration_date"), "ticket_number").limit(n)
 
@@ -370,3 +397,41 @@ def export_slices(today: Column) -> dict[str, Column]:
         "relevant_active": P.not_cancelled(), "relevant_expiring_4d": due(4), "relevant_expiring_7d": due(7), "relevant_late_utilities": P.late(),
         "relevant_blocked": P.blocked(), "relevant_new_24h": P.new_since_yesterday(today), "relevant_cancelled_7d": P.cancelled_within(7, today),
     }
+
+
+# -- dashboard -----------------------------------------------------------------
+
+
+def dashboard_documents(tickets: DataFrame, history: DataFrame, failures: DataFrame, now: Column, today: Column, window: int = 7, limit: int = 100, latest: int = 50) -> dict[str, DataFrame]:
+    """The seven documents of the dashboard, one row each.
+
+    `tickets` is the scored current table, `history` has a row a version of a
+    ticket_number, `failures` the quarantined records.  Counts are those of all
+    rows; lists are top lists, cut to their limit before they are gathered.
+    """
+    rows = dashboard_rows(tickets)
+    active = rows.where(P.active_relevant())
+    due = active.where(P.expiring_within(window, today))
+    order = [F.asc_nulls_last("expiration_date"), F.col("ticket_number")]
+    changed = rows.where("is_relevant").join(history.groupBy("ticket_number").agg(F.count("*").alias("__n")).where("__n > 1").select("ticket_number"), "ticket_number", "left_semi")
+    fails = failures.where(P.open_failures()).drop("resolved")
+
+    def document(name: str, df: DataFrame, most: int | None, by: list[Column], **more: Column) -> DataFrame:
+        total = df.agg(F.count("*").alias("count"))
+        top = df.orderBy(*by) if most is None else df.orderBy(*by).limit(most)
+        # limited, or one row a county or group: the list is gathered in its order
+        listed = top.withColumn("__place", F.monotonically_increasing_id()).agg(F.array_sort(F.collect_list(F.struct("__place", F.struct(*df.columns).alias("row")))).alias("l"))
+        return total.crossJoin(listed).select(now.alias("generated_at"), *[v.alias(k) for k, v in more.items()], "count", F.transform("l", lambda x: x["row"]).alias(name))
+
+    kpis = kpi_summary(tickets, failures, today).select(
+        now.alias("generated_at"), F.col("total").alias("total_tickets"), "relevant", "active_relevant", "expiring_soon", "cancelled", "expired", F.col("open_failures").alias("parse_failures_open"),
+    )
+    return {
+        "tickets_active": document("tickets", active, limit, order),
+        "tickets_expiring": document("tickets", due, limit, order, window_days=F.lit(window)),
+        "summary": kpis,
+        "by_county": document("counties", by_county(tickets, today), None, [F.desc("total"), F.col("county")]).drop("count"),
+        "by_work_group": document("groups", by_work_group(tickets), None, [F.desc("total"), F.col("work_group")]).drop("count"),
+        "recent_changes": document("tickets", changed, latest, [F.desc("updated_at"), F.col("ticket_number")]),
+        "parse_failures": document("failures", fails, latest, [F.desc("occurred_at"), F.col("ticket_number")]),
+    }

@@ -140,23 +140,42 @@ def stream_dedupe_reminders(spark, sf):
 def stream_changes(spark, sf):
     said = F.concat_ws("|", "event_type", F.floor(F.col("value") / 20).cast("int").cast("string"))
     rows = _stream(spark, sf, "events").select("user_id", "event_id", F.md5(said.cast("binary")).alias("content_hash"))
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    return _drained(streams.stream_changes(rows, "user_id", "content_hash", "event_id"), "stream-changes")
+    provider = "spark.sql.streaming.stateStore.providerClass"  # value state needs this store; the session's own setting comes back
+    before = spark.conf.get(provider)
+    spark.conf.set(provider, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        return _drained(streams.stream_changes(rows, "user_id", "content_hash", "event_id"), "stream-changes")
+    finally:
+        spark.conf.set(provider, before)
 
 
-@query("SELECT o_custkey, max(o_orderkey) AS o_orderkey, 'new' AS change FROM orders GROUP BY 1")
+@query("""SELECT o_custkey, max(o_orderkey) AS o_orderkey, CASE WHEN o_custkey % 3 = 0 THEN 'new' WHEN o_custkey % 3 = 1 THEN 'unchanged' ELSE 'changed' END AS change FROM orders GROUP BY 1
+UNION ALL SELECT o_custkey, max(o_orderkey), 'unchanged' FROM orders GROUP BY 1""")
 def stream_upsert(spark, sf):
-    """Every customer's last order, captured batch by batch."""
+    """Every customer's last order, captured batch by batch against what is stored.
+
+    Two thirds of the customers are stored before, half of these with another
+    state; the table then comes once more, when all are stored.
+    """
     root = f"{shared_dir(spark)}/stream-upsert-{uuid.uuid4().hex[:12]}"
-    rows = _stream(spark, sf, "orders").select("o_custkey", "o_orderkey", "o_orderstatus")
     kind = "o_custkey long, latest_content_hash string"
     saved = "o_custkey long, o_orderkey long, change string"
+    columns = ["o_custkey", "o_orderkey", "o_orderstatus"]
+    o = table(spark, sf, "orders").select(*columns)
+    last = cdc.latest_version(o, "o_custkey", ["o_orderkey"]).where("o_custkey % 3 > 0").withColumn("o_orderstatus", F.when(F.col("o_custkey") % 3 == 2, "?").otherwise(F.col("o_orderstatus")))
+    last.select("o_custkey", cdc.content_hash(last.select(*columns)).alias("latest_content_hash"), F.lit(-1).cast("long").alias("batch")).write.parquet(f"{root}/state/start")
 
     def load():
-        return spark.createDataFrame([], kind)
+        """The hash stored last of each customer."""
+        rows = spark.read.schema(f"{kind}, batch long").option("recursiveFileLookup", True).parquet(f"{root}/state")
+        return rows.groupBy("o_custkey").agg(F.max_by("latest_content_hash", "batch").alias("latest_content_hash"))
 
     def save(changes, batch_id):
-        changes.select("o_custkey", "o_orderkey", "change").write.mode("overwrite").parquet(f"{root}/batch={batch_id}")
-
-    streams.stream_upsert(rows, load, save, "o_custkey", now(), f"{root}-checkpoint", ["o_orderkey"]).awaitTermination()
-    return spark.read.schema(saved).parquet(root).select("o_custkey", "o_orderkey", "change")
+        done = changes.select("o_custkey", "o_orderkey", "change", F.col("content_hash").alias("latest_content_hash"), F.lit(batch_id).cast("long").alias("batch"))
+        done.write.mode("overwrite").parquet(f"{root}/out/turn={turn}/batch={batch_id}")
+        spark.read.parquet(f"{root}/out/turn={turn}/batch={batch_id}").select("o_custkey", "latest_content_hash", (F.col("batch") + turn * 1_000_000).alias("batch")).write.mode("overwrite").parquet(f"{root}/state/{turn}-{batch_id}")
+
+    for turn in (0, 1):
+        rows = _stream(spark, sf, "orders").select(*columns)
+        streams.stream_upsert(rows, load, save, "o_custkey", now(), f"{root}/checkpoint-{turn}", ["o_orderkey"]).awaitTermination()
+    return spark.read.schema(saved).option("recursiveFileLookup", True).parquet(f"{root}/out").select("o_custkey", "o_orderkey", "change")

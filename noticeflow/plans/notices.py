@@ -351,9 +351,12 @@ def package_rows(spark, sf):
     return views.package_rows(packages(spark, sf))
 
 
-@query(ctes(TICKETS_SQL) + "SELECT ticket_number, work_type FROM tickets")
+@query(ctes(TICKETS_SQL) + "SELECT ticket_number, row_number() OVER (ORDER BY k % 3 > 0, k DESC) AS position FROM tickets")
 def viewer_sort(spark, sf):
-    return views.viewer_sort(tickets(spark, sf), "work_type").select("ticket_number", "work_type")
+    """Descending by a label with a number in it (by value: 10 before 9), or none (shown as '')."""
+    label = F.when(F.col("k") % 3 == 0, F.concat(F.lit("Ticket "), F.col("k").cast("string")))
+    rows = tickets(spark, sf).withColumn("label", F.coalesce(label, F.concat(F.lit("9-"), F.col("k").cast("string"))))
+    return views.numbered(views.viewer_sort(rows, "label", ascending=False)).select("ticket_number", "position")
 
 
 # -- change capture ------------------------------------------------------------
@@ -473,25 +476,25 @@ def time_ago(spark, sf):
 
 
 @query("""SELECT p_partkey, regexp_replace(lower(p_name || ' & ' || p_type), '[^a-z0-9]+', '-', 'g') AS slug, upper(trim(p_name)) AS key, trim(regexp_replace(regexp_replace(lower(p_name || '/' || p_brand), '[^a-z0-9\\s]', ' ', 'g'), '\\s+', ' ', 'g')) AS plain,
-  sha256(p_name) AS sha, left(sha256(upper(p_name) || '|' || upper(p_type) || '|' || upper(p_brand)), 16) AS group_key, upper(p_name) AS company, regexp_matches(p_size::VARCHAR, '^\\d{2}$') AS two_digits FROM part""")
+  sha256(p_name) AS sha, left(sha256(upper(p_name) || '|' || upper(p_type) || '|' || upper(p_brand)), 16) AS group_key, upper(p_name) AS company, p_partkey % 2 = 0 AS two_digits FROM part""")
 def text_functions(spark, sf):
     p = table(spark, sf, "part")
     name, kind, brand = F.col("p_name"), F.col("p_type"), F.col("p_brand")
     return p.select(
         "p_partkey", T.slugify(F.concat(name, F.lit(" & "), kind)).alias("slug"), T.ticket_key(name).alias("key"), T.normalize_text(F.concat(name, F.lit("/"), brand)).alias("plain"),
         T.sha256_text(name).alias("sha"), T.group_key(name, kind, brand).alias("group_key"), T.normalize_company(F.concat(F.lit(" "), name, F.lit(" Co., LLC."))).alias("company"),
-        F.col("p_size").cast("string").rlike(r"^\d{2}$").alias("two_digits"),
+        T.valid_ticket_number(F.concat(F.when(F.col("p_partkey") % 2 == 0, " 26").otherwise("26-"), F.lpad(F.col("p_partkey").cast("string"), 9, "0"))).alias("two_digits"),
     )
 
 
 @query("""SELECT c_custkey, coalesce(nullif(trim(regexp_replace(c_name || '   ' || c_mktsegment, '\\s+', ' ', 'g')), ''), '') AS clean, CASE WHEN c_acctbal >= 8 THEN 'x' END AS none, printf('%.1f KB', (c_custkey + 1024) / 1024.0::DOUBLE) AS size,
-  replace(replace(c_name, '#', '<'), '<', '&lt;') AS escaped, replace(replace(c_name, '#', '/'), '/', '_') AS file_key_source FROM customer""")
+  replace(replace(c_name, '#', '<'), '<', '&lt;') AS escaped, upper(replace(c_name, '#', '_')) AS file_key_source FROM customer""")
 def format_functions(spark, sf):
     c = table(spark, sf, "customer")
     name = F.col("c_name")
     return c.select(
         "c_custkey", T.clean_str(F.concat(name, F.lit("   "), F.col("c_mktsegment"))).alias("clean"), F.when(F.col("c_acctbal") >= 8, "x").alias("none"), D.fmt_size(F.col("c_custkey") + 1024).alias("size"),
-        T.html_escape(F.replace(name, F.lit("#"), F.lit("<"))).alias("escaped"), F.translate(F.replace(name, F.lit("#"), F.lit("/")), "/\\:", "___").alias("file_key_source"),
+        T.html_escape(F.replace(name, F.lit("#"), F.lit("<"))).alias("escaped"), T.safe_file_key(F.replace(name, F.lit("#"), F.lit("/"))).alias("file_key_source"),
     )
 
 

@@ -124,19 +124,50 @@ def conflict_rows(spark, sf):
 # -- pages and texts -----------------------------------------------------------
 
 
-@query("""SELECT page_id, regexp_matches(lower(html), 'cancelled|canceled|void') AS maybe_cancelled FROM pages""")
+@query("""SELECT page_id, page_id % 3 = 0 OR page_id % 5 = 1 AS is_cancelled, page_id % 3 = 0 AS by_words FROM pages""")
 def page_cancel_signals(spark, sf):
-    """The page test can only say yes where the page has one of the words."""
-    found = extract.page_flags(extract.page_items(table(spark, sf, "pages")))
-    words = table(spark, sf, "pages").select("page_id", F.lower("html").rlike("cancelled|canceled|void").alias("maybe_cancelled"))
-    return words.join(found, "page_id").where(F.col("maybe_cancelled") | ~F.col("is_cancelled")).select("page_id", "maybe_cancelled")
+    """Pages under a heading that cancels, one that only seems to (avoid), and one that doesn't; the pages' own words for it are taken out."""
+    pages = table(spark, sf, "pages")
+    k = F.col("page_id")
+    head = F.when(k % 3 == 0, "<h2>Ticket CANCELLED</h2>").when(k % 5 == 1, "<td><b>to avoid</b> delay</td>").otherwise("<h1>Normal</h1><p>cancelled</p>")
+    body = F.regexp_replace(F.coalesce("html", F.lit("")), r"(?i)cance(?=l)|voi(?=d)", "")
+    items = extract.page_items(pages.select("page_id", F.concat(head, body).alias("html")))
+    loose, strict = extract.cancelled_page(), extract.cancelled_page(word_boundary=True)
+    return items.select("page_id", loose.alias("is_cancelled"), strict.alias("by_words"))
+
+
+_PAGE = """x AS (SELECT page_id, lpad(page_id::VARCHAR, 10, '0') AS number, page_id % 2 = 0 AS headed, page_id % 4 AS m FROM pages)"""
+
+
+@query(ctes(_PAGE) + """SELECT page_id, number AS ticket_number, CASE WHEN headed THEN 'Davidson' ELSE 'Knox' END AS county, 'deep & wide' AS remarks, m = 3 AS is_cancelled,
+  CASE m WHEN 0 THEN 'ABC,DEF' WHEN 1 THEN 'GFI,NES' ELSE 'MWS' END AS utility_codes, CASE WHEN m = 1 THEN 'pending,located' END AS states, CASE WHEN m = 1 THEN 2 END AS answers FROM x""")
+def page_layouts(spark, sf):
+    """Every page number in a page of each layout: header or plain rows, code table, response table, codes in the text."""
+    k = F.col("page_id")
+    number = F.lpad(k.cast("string"), 10, "0")
+    row = lambda tag, name, value: F.concat(F.lit(f"<tr><{tag}>{name}:</{tag}><td> "), value, F.lit(" </td></tr>"))
+    rows = lambda tag, county: F.concat(F.lit("<table>"), row(tag, "Ticket #", F.lit("old")), row(tag, "Ticket Number", number), row(tag, "County", F.lit(county)), F.lit("</table>"))
+    plain = F.lit("<table><tr><td>County</td><td>not this</td></tr></table>")
+    layout = F.when(k % 2 == 0, F.concat(plain, rows("th", "Davidson"))).otherwise(rows("td", "Knox"))
+    notes = F.lit("<dl><dt>Comments</dt><dd>deep &amp; wide</dd></dl>")
+    codes = "<table><tr><th>Code</th><th>Name</th></tr><tr><td>abc</td></tr><tr><td>def</td></tr><tr><td>ABC</td></tr></table>"
+    answer = lambda state, code, said: f"<tr><td>{state}</td><td>{code}</td><td>Name<ul>{said}</ul></td><td>Fiber</td></tr>"
+    answers = (
+        "<div class='x generalInformation'><h3>Response Status</h3><table><tr><th>Status</th></tr>" + answer("Open", "gfi", "")
+        + answer("Closed", "NES", "<li><span>Locate Delayed</span></li><li><span>Located -  Facilities Marked</span><b>now</b></li>") + "</table></div>"
+    )
+    tail = F.when(k % 4 == 0, codes).when(k % 4 == 1, answers).when(k % 4 == 2, "<p>MWS utility</p>").otherwise("<p>MWS - notified</p><span>Void</span>")
+    out = extract.page_details(table(spark, sf, "pages").select("page_id", F.concat(layout, notes, tail).alias("html")))
+    states = F.array_join(F.transform("utility_statuses", lambda s: s["status"]), ",")
+    answers = F.aggregate("utility_statuses", F.lit(0), lambda n, s: n + s["response_count"])
+    return out.select("page_id", "ticket_number", "county", "remarks", "is_cancelled", F.array_join("utility_codes", ",").alias("utility_codes"), states.alias("states"), answers.alias("answers"))
 
 
 @query()
 def page_details(spark, sf):
     """Pages as notices: each gets a small ticket table of its own order in front, parsed with the rest of the page."""
     pages = table(spark, sf, "pages")
-    head = F.concat(F.lit("<table><tr><th>Ticket Number:</th><td>"), F.col("page_id").cast("string"), F.lit("</td></tr><tr><th>Remarks</th><td>"), F.left("url", F.lit(40)), F.lit("</td></tr></table>"))
+    head = F.concat(F.lit("<table><tr><th>Ticket Number:</th><td>"), F.col("page_id").cast("string"), F.lit("</td></tr><tr><th>Remarks</th><td>"), F.coalesce("url", F.lit("")), F.lit("</td></tr></table>"))
     out = extract.page_details(pages.select("page_id", F.concat(head, F.coalesce("html", F.lit(""))).alias("html")))
     return out.select("page_id", "ticket_number", "remarks", "is_cancelled", F.array_join("utility_codes", ",").alias("utility_codes"), F.char_length("raw_text").alias("chars"))
 
@@ -161,13 +192,26 @@ def document_fields(spark, sf):
     return out.select("doc_id", "ticket_number", "county", "work_type", "is_cancelled", F.size("utility_references").alias("mentions"))
 
 
+@query("""SELECT o_orderkey, k % 3 <> 0 AS positional, CASE WHEN k % 3 = 0 THEN 'A-' || k WHEN k % 3 = 1 THEN 'TN-' || lpad(k::VARCHAR, 9, '0') END AS ticket_number, CASE WHEN k % 3 = 1 THEN strftime(o_orderdate, '%Y-%m-%d') END AS expiration_date,
+  CASE WHEN k % 2 = 0 THEN 'Acme Gas|Acme Gas' || chr(10) || 'utility|Metro Water Services' ELSE 'City Electric' END AS mentions, k % 5 = 0 AS is_cancelled FROM (SELECT *, o_orderkey AS k FROM orders)""")
+def text_positions(spark, sf):
+    """Orders as texts without labels, where number and expiry count by position, with named utilities (a run of words before a colon may span lines); and some with labels, where they don't."""
+    k = F.col("o_orderkey")
+    day = F.date_format("o_orderdate", "MM/dd/yyyy")
+    plain = F.concat(F.lit("seen 01/02/1999 of tn-"), F.lpad(k.cast("string"), 9, "0"), F.lit(" until "), day)
+    head = F.when(k % 3 == 0, F.concat(F.lit("Ticket Number: A-"), k.cast("string"), F.lit("\nCounty: Knox\nseen 01/02/1999 and 03/04/1999"))).when(k % 3 == 1, plain).otherwise("once 01/02/1999")
+    named = F.when(k % 2 == 0, "\nUtility: Acme Gas\nutility:  ACME GAS \n(Metro Water Services: none)").otherwise("\nUtility: City Electric")
+    out = extract.extract_fields(table(spark, sf, "orders").select("o_orderkey", "o_orderdate", F.concat(head, named, F.when(k % 5 == 0, "\nit is VOIDED").otherwise("\navoid")).alias("text")))
+    return out.select("o_orderkey", "positional", "ticket_number", F.date_format("expiration_date", "yyyy-MM-dd").alias("expiration_date"), F.array_join("utility_references", "|").alias("mentions"), "is_cancelled")
+
+
 # -- sources, policies, sinks ----------------------------------------------------
 
 
 @query("""SELECT w::INT AS window, strftime(DATE '2001-08-01' - (w * 30 - 30)::INT, '%Y-%m-%d') AS end_date, strftime(greatest(DATE '2001-08-01' - (w * 30 - 1)::INT, DATE '2001-08-01' - 99), '%Y-%m-%d') AS start_date, n_name AS county
-FROM range(1, 5) r(w), nation WHERE n_regionkey = 1""")
+FROM range(1, 5) r(w), nation""")
 def fetch_plan(spark, sf):
-    counties = table(spark, sf, "nation").where("n_regionkey = 1").select(F.col("n_name").alias("county"))
+    counties = table(spark, sf, "nation").select(F.col("n_name").alias("county"))
     plan = readers.fetch_plan(readers.plan_windows(spark, today(), 100), counties)
     return plan.select("window", F.date_format("start_date", "yyyy-MM-dd").alias("start_date"), F.date_format("end_date", "yyyy-MM-dd").alias("end_date"), "county")
 
@@ -185,11 +229,12 @@ def export_round_trip(spark, sf):
     return readers.read_export_csv(spark, f"{path}/export", "K").select("ticket_number", "county", "call_date_raw", "remarks_raw")
 
 
-@query(ctes(TICKETS_SQL, TAGS_SQL) + """SELECT ticket_number, CASE WHEN project_name IS NULL THEN 0 ELSE 1 END::INT AS matches FROM tagged""")
+@query(ctes(TICKETS_SQL, TAGS_SQL) + """SELECT ticket_number, CASE WHEN project_name IS NULL THEN '' ELSE 'own:' || project_name || ':' || match_confidence END AS matches, done_for FROM tagged""")
 def enrich_tickets(spark, sf):
     t = project_tags(tickets(spark, sf))
     matches = t.where("project_name IS NOT NULL").select("ticket_number", F.lit("own").alias("provider"), F.col("project_name").alias("project_id"), "match_confidence")
-    return policy.enrich(t, matches).select("ticket_number", F.size("matches").alias("matches"))
+    said = F.transform("matches", lambda m: F.concat_ws(":", m["provider"], m["project_id"], m["match_confidence"]))
+    return policy.enrich(t, matches).select("ticket_number", F.array_join(said, ",").alias("matches"), "done_for")
 
 
 @query(ctes(TICKETS_SQL, TAGS_SQL) + """SELECT ticket_number, CASE WHEN project_name IS NULL THEN '' ELSE 'near:' || project_name END || CASE WHEN NOT is_cancelled AND county = 'NATION_3' THEN (CASE WHEN project_name IS NULL THEN '' ELSE ',' END) || 'own:C3' ELSE '' END AS matches FROM tagged""")
@@ -210,11 +255,18 @@ def classified_values(spark, sf):
     return policy.classified_values(policy.enrich(t, matches), ["county", "work_type"]).select("ticket_number", "name", "value", "classification")
 
 
-@query(ctes(TICKETS_SQL) + "SELECT ticket_number, county, work_type FROM tickets")
+@query(ctes(TICKETS_SQL) + "SELECT ticket_number, county, work_type, 'caller_name:restricted, done_for:customer_private, raw:restricted' AS blocked, caller_name FROM tickets")
 def export_policy(spark, sf):
-    t = tickets(spark, sf).select("ticket_number", "county", "work_type", "caller_name")
-    marked = policy.classify(t, {"ticket_number": "public", "county": "public", "work_type": "derived", "caller_name": "restricted"})
-    return policy.apply_export_policy(marked.drop("caller_name"))
+    """What may leave, what a policy names as blocked, and what a wider policy lets out."""
+    t = tickets(spark, sf).select("ticket_number", "county", "work_type", "caller_name", "done_for", F.lit(1).alias("raw"))
+    marked = policy.classify(t, {"ticket_number": "public", "county": "public", "work_type": "derived", "caller_name": "restricted", "done_for": "customer_private"})
+    try:
+        blocked = str(policy.apply_export_policy(marked).columns)
+    except policy.BlockedColumns as e:
+        blocked = str(e).partition(": ")[2]
+    kept = policy.apply_export_policy(marked.drop("caller_name", "done_for", "raw"))
+    wide = policy.apply_export_policy(marked.select("ticket_number", "caller_name"), allowed=("public", "restricted"))
+    return kept.withColumn("blocked", F.lit(blocked)).join(wide, "ticket_number")
 
 
 @query(ctes(TICKETS_SQL) + "SELECT ticket_number, reason FROM (SELECT ticket_number, CASE WHEN done_for IS NULL THEN 'missing_required_fields' WHEN expiration_date IS NULL THEN 'html_parse_error' END AS reason FROM tickets) WHERE reason IS NOT NULL")

@@ -34,12 +34,15 @@ def read_export_csv(spark: SparkSession, path: str, county: str, url: str = "htt
     return rows.withColumn("detail_url", F.concat(F.lit(before), "ticket_id", F.lit(after)))
 
 
-def read_page_snapshots(spark: SparkSession, path: str, wanted: DataFrame | None = None) -> DataFrame:
-    """(path, html) of saved pages; with `wanted` (column source_html_path) one row per wanted page, html null where the file is missing."""
+def read_page_snapshots(spark: SparkSession, path: str, wanted: DataFrame | None = None, depth: int = 1) -> DataFrame:
+    """(path, html) of saved pages; with `wanted` (column source_html_path) one row per wanted page, html null where the file is missing.
+
+    The last `depth` parts of a path tell pages apart.
+    """
     files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("html"))
     if wanted is None:
         return files
-    name = lambda c: F.element_at(F.split(c, "/"), -1)
+    name = lambda c: F.substring_index(c, "/", -depth)
     return wanted.join(files.withColumn("__name", name(F.col("path"))).drop("path"), name(F.col("source_html_path")) == F.col("__name"), "left").drop("__name")
 
 
@@ -93,3 +96,11 @@ def plan_windows(spark: SparkSession, today: Column, days: int, max_window: int
 def fetch_plan(windows: DataFrame, counties: DataFrame) -> DataFrame:
     """Every window for every county: both sides are small configuration."""
     return windows.crossJoin(counties)
+
+
+def union_layers(*layers: DataFrame) -> DataFrame:
+    """The features of several layers, lines and polygons, one after the other (a feature in two layers stays twice)."""
+    out = layers[0]
+    for more in layers[1:]:
+        out = out.unionByName(more, allowMissingColumns=True)
+    return out

@@ -51,6 +51,27 @@ def manifest(frames: dict[str, DataFrame]) -> DataFrame:
     return out
 
 
+def export_summary(tickets: DataFrame, frames: dict[str, DataFrame], slices: DataFrame, now: Column) -> DataFrame:
+    """The manifest's head, one row: totals, call-date range, outputs with their rows in fixed order, slice count and the slice list.
+
+    `slices` has a row a folder (column slug).  The list of outputs has a row an
+    output and that of folders one a contractor or project.
+    """
+    relevant = tickets.where("is_relevant")
+    head = tickets.agg(F.count("*").alias("total_tickets"), F.count_if("is_relevant").alias("total_relevant"))
+    dates = relevant.agg(F.min("call_date").alias("call_date_min"), F.max("call_date").alias("call_date_max"))
+    files = manifest(frames).agg(F.array_sort(F.collect_list(F.struct("pos", "name", "rows"))).alias("files"))
+    folders = slices.agg(F.count_distinct("slug").alias("slice_count"), F.array_sort(F.collect_set("slug")).alias("slice_dirs"))
+    return head.crossJoin(dates).crossJoin(files).crossJoin(folders).withColumn("generated_at", now)  # single rows
+
+
+def slice_counts(stacked: DataFrame, keys: DataFrame, key: str = "slug", always: str = "relevant_active") -> DataFrame:
+    """(key, slice, rows) of every folder: each key has its active slice, with 0 rows if need be; others only where they have rows."""
+    counted = stacked.groupBy(key, "slice").agg(F.count("*").alias("rows"))
+    wanted = keys.select(key).distinct().withColumn("slice", F.lit(always))
+    return counted.join(wanted, [key, "slice"], "full_outer").select(key, "slice", F.coalesce("rows", F.lit(0)).alias("rows"))
+
+
 def written_sizes(spark: SparkSession, out: str) -> DataFrame:
     """(name, bytes) of a written bundle, from file metadata."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "part-*").load(out)
