@@ -3,8 +3,8 @@
 The histogram has at most `capacity` entries whatever the corpus holds, so the
 plan is made on the driver: few-document patterns that fill a sequence exactly
 are enumerated, their repeat counts fitted to the histogram by non-negative
-least squares and rounded down, and what they leave is packed best-fit in
-decreasing length, on counts.  Spark ranks the pieces of each length and looks
+least squares and rounded, and what they leave is packed best-fit in decreasing
+length, on counts.  Spark ranks the pieces of each length and looks
 their places up in the plan.
 """
 
@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 
 from noticeflow.llm.shared import Scratch, give_back, shuffle_parts
 
-#: Fitted patterns that are used at most; the residual packing takes the rest, so that the plan stays small.
-MAX_PATTERNS = 20_000
+#: Fitted patterns that a plan uses at most, so that it stays small: about 10 MB at 2048 tokens.  What they leave is packed best-fit.
+MOST_PATTERNS = 100_000
 
 
 def enumerate_patterns(lengths: np.ndarray, capacity: int) -> np.ndarray:
@@ -104,8 +104,13 @@ def best_fit(counts: dict[int, int], capacity: int) -> Counter:
     return total
 
 
-def plan_patterns(histogram: dict[int, int], capacity: int) -> Counter:
-    """Sequences (tuples of lengths) and how often each is used; they use up the histogram."""
+def plan_patterns(histogram: dict[int, int], capacity: int, most: int = MOST_PATTERNS) -> Counter:
+    """Sequences (tuples of lengths) and how often each is used; they use up the histogram.
+
+    Fitted counts are rounded to the nearest whole number, those below one to
+    one, in descending order and as far as pieces are left: every pattern fills
+    its sequence exactly, so none is wasted.
+    """
     left = np.zeros(capacity + 1, np.int64)
     for length, n in histogram.items():
         left[length] = n
@@ -114,9 +119,11 @@ def plan_patterns(histogram: dict[int, int], capacity: int) -> Counter:
     patterns = enumerate_patterns(lengths, capacity) if len(lengths) else np.zeros((0, 3), np.int64)
     if len(patterns):
         fitted = fit_counts(patterns, left.astype(float))
-        for k in np.argsort(-fitted, kind="stable")[:MAX_PATTERNS]:
+        for k in np.argsort(-fitted, kind="stable"):
+            if fitted[k] <= 0 or len(plan) >= most:
+                break
             pattern = tuple(int(x) for x in patterns[k] if x)
-            times = min(int(fitted[k]), *(int(left[x]) // m for x, m in Counter(pattern).items())) if fitted[k] >= 1 else 0
+            times = min(max(1, round(fitted[k])), *(int(left[x]) // m for x, m in Counter(pattern).items()))
             if times:
                 plan[pattern] += times
                 for x in pattern:
@@ -139,8 +146,8 @@ def slot_table(plan: Counter) -> list[tuple]:
     return rows
 
 
-def pack(pieces: DataFrame, capacity: int, order: list[str]) -> DataFrame:
-    """Give every row of `pieces` (column length, 1 to capacity) a sequence_id and an offset.
+def pack(pieces: DataFrame, capacity: int, order: list[str], most: int = MOST_PATTERNS) -> DataFrame:
+    """Give every row of `pieces` (column length, 1 to capacity) a sequence_id and an offset; the plan uses at most `most` patterns.
 
     Each length is ranked in parts dealt by the `order` columns, so a length
     that a third of all rows have is no single group.  Other columns pass
@@ -149,7 +156,7 @@ def pack(pieces: DataFrame, capacity: int, order: list[str]) -> DataFrame:
     spark = pieces.sparkSession
     histogram = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most `capacity` rows
     by_length = defaultdict(list)
-    for length, *slot in slot_table(plan_patterns(histogram, capacity)):
+    for length, *slot in slot_table(plan_patterns(histogram, capacity, most)):
         by_length[length].append(tuple(slot))
     # at most `capacity` rows and three slots a pattern: small enough to send to every executor, whatever the corpus holds
     tables = F.broadcast(spark.createDataFrame(list(by_length.items()), "length long, __slots array<struct<low:long,high:long,first:long,each:long,at:long>>"))
