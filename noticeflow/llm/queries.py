@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from noticeflow.llm.exact_dedup import exact_dedup
 from noticeflow.llm.fingerprints import fingerprint_edits
-from noticeflow.llm.license_scan import TEMPLATES, license_scan, template_bigrams
+from noticeflow.llm.license_scan import SPAN, TEMPLATES, license_scan, template_bigrams
 from noticeflow.llm.near_dedup import near_dedup
 from noticeflow.llm.packing import pack_documents
 from noticeflow.llm.piece_bpe import encode_pieces
@@ -118,15 +118,17 @@ def _op2_sql() -> str:
     return rf"""
 WITH templates(t, license_id, grams) AS (VALUES
     {rows}
+), parts AS (
+  SELECT doc_id, coalesce(text, '') AS text, regexp_split_to_array(coalesce(text, ''), '\n[^A-Za-z0-9\n]*\n') AS p FROM documents
 ), units AS (
-  SELECT doc_id, unnest(list_distinct(list_concat(string_split(coalesce(text, ''), chr(10)),
-                                                  regexp_split_to_array(coalesce(text, ''), '\n[ \t\r]*\n')))) AS unit FROM documents
+  SELECT doc_id, unnest(list_distinct(flatten([string_split(text, chr(10)), p, regexp_split_to_array(text, '[.!?]\s+'),
+    flatten(list_transform(range(1, len(p) + 1), lambda i: list_transform(range(2, {SPAN + 1}), lambda n: array_to_string(p[i:i + n - 1], ' '))))]))) AS unit FROM parts
 ), words AS (
   SELECT doc_id, row_number() OVER () AS u,
          string_split(trim(regexp_replace(translate(unit, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^a-z0-9]+', ' ', 'g')), ' ') AS w
   FROM units
 ), grams AS (
-  SELECT doc_id, u, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS g FROM words WHERE len(w) BETWEEN 2 AND 300
+  SELECT doc_id, u, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS g FROM words WHERE len(w) >= 2
 ), scored AS (
   SELECT doc_id, u, license_id, 2.0 * len(list_intersect(g, grams)) / (len(g) + len(grams)) AS dice
   FROM grams JOIN templates ON len(g) BETWEEN len(grams) / 1.5 - 1 AND len(grams) * 1.5 + 1

@@ -64,10 +64,15 @@ def test_url_rules_and_aliases(spark):
 
 def test_license_scan_equals_brute_force(spark):
     texts = {1: None, 2: "", 3: "Foo\nReleased under the MIT License!\nbar", 4: "\n\n".join([TEMPLATES[1][1].replace("License,", "License,\n"), "tail"]), 5: "released under the mit licence", 6: "x " * 50_000, 7: "word"}
+    whole = {name: text for name, text in TEMPLATES if len(text) > 700}
+    texts |= {20 + i: "/*\n * " + re.sub(r"(?<=[.:]) ", "\n *\n * ", text.replace("1. ", "- ")) + "\n */\nint main() {}" for i, text in enumerate(whole.values())}
+    texts |= {40: "Some words. This work is licensed under the GNU General Public License, version 3. And more of them.", 41: "see (Licensed under CC BY-SA\n4.0.) here", 42: "MIT MIT " * 200}
     df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").withColumns({"unit": F.lit(1), "words": F.lit(1)})
     want = {}
     for i, t in texts.items():
-        for unit in {*(t or "").split("\n"), *re.split(r"\n[ \t\r]*\n", t or "")}:
+        parts = re.split(r"\n[^A-Za-z0-9\n]*\n", t or "")
+        spans = {" ".join(parts[i : i + n]) for i in range(len(parts)) for n in range(2, 7)}
+        for unit in {*(t or "").split("\n"), *parts, *re.split(r"[.!?]\s+", t or ""), *spans}:
             grams = set(template_bigrams(unit))
             for name, text in TEMPLATES:
                 other = set(template_bigrams(text))
@@ -76,7 +81,8 @@ def test_license_scan_equals_brute_force(spark):
                     best, n = want.get((i, name), (0, 0))
                     want[i, name] = (max(best, dice), n + 1)
     assert {(r["doc_id"], r["license_id"]): (r["dice"], r["units"]) for r in license_scan(df).collect()} == want and len(want) >= 2
-    assert license_scan(df.where("false")).count() == 0
+    assert {i for i, _ in want} >= {3, 4, 40, *range(20, 20 + len(whole))}
+    assert license_scan(df.where("false")).count() == 0 and license_scan(df, templates=[]).count() == 0
 
 
 def ids_of(enc, texts):
