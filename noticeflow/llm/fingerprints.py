@@ -102,7 +102,9 @@ def fingerprint_documents(docs: DataFrame, gram: int | None = None, window: int
 
 
 def fingerprint_edits(docs: DataFrame, gram: int | None = None, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Fingerprints of every text, of its edit with the next document, and their likeness.
+    """Fingerprints of every text with their positions, of its edit with the next document, and their likeness.
+
+    positions are those of the hashes chosen from the text, in ascending order.
 
     The next document is the one before it by doc_id (the last one's is the
     first); the edit replaces the last floor(n/3) code points by as many first
@@ -134,9 +136,9 @@ def fingerprint_edits(docs: DataFrame, gram: int | None = None, window: int = WI
 
         import pyarrow as pa
 
-        names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
-        kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
-        out, last = [], None
+        names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "positions"]
+        kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64(), pa.list_(pa.int32())]
+        out, held, last = [], 0, None
 
         def pair(now, after):
             doc_id, text, hashes = now[1:4]
@@ -146,7 +148,7 @@ def fingerprint_edits(docs: DataFrame, gram: int | None = None, window: int = WI
             other = np.unique(winnow(edited, gram, window)[0])
             return (
                 doc_id, n, hashlib.sha256(edited.encode("utf-8", "surrogatepass")).hexdigest(), to_string(hashes), to_string(other),
-                likeness(hashes, other), likeness(hashes, after[3]),
+                likeness(hashes, other), likeness(hashes, after[3]), now[4],
             )
 
         def emit():
@@ -155,16 +157,18 @@ def fingerprint_edits(docs: DataFrame, gram: int | None = None, window: int = WI
         for batch in batches:
             for doc_id, text, number in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist()):
                 text = text.as_py()
-                now = (number, doc_id, text, np.unique(winnow(text, gram, window)[0]))
+                hashes, at = winnow(text, gram, window)
+                now = (number, doc_id, text, np.unique(hashes), at.astype(np.int32))
                 if last is not None and last[0] == number:
                     out.append(pair(last, now))
+                    held += len(text)
                 last = now
-                if len(out) >= 500:
+                if len(out) >= 500 or held > 2_000_000:
                     yield emit()
-                    out = []
+                    out, held = [], 0
         if out:
             yield emit()
         give_back()
 
-    schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+    schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, positions array<int>"
     return dealt.select("doc_id", "text", "range").mapInArrow(work, schema)

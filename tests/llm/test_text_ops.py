@@ -44,6 +44,44 @@ def odd_docs(spark):
     return spark.createDataFrame(rows, "doc_id long, text string").withColumns({c: F.lit("clash") for c in ("range", "length", "ids", "score", "piece", "guest")})
 
 
+def test_url_components_equal_union_find(spark):
+    """Thousands of canonical links and refreshes (chains, cycles, a hub of 20,000), with allow rules inside blocked components."""
+    rnd = random.Random(21)
+    links, n = [], 0
+
+    def url(i, lang="xx"):
+        return f"http://h{i % 97}.net/{lang}/{i}"
+
+    for _ in range(300):  # chains and cycles
+        size = rnd.randint(2, 9)
+        links += [(n + j, n + j + 1) for j in range(size - 1)] + ([(n + size - 1, n)] if rnd.random() < 0.5 else [])
+        n += size
+    hub = n
+    links += [(hub, hub + 1 + j) if j % 2 else (hub + 1 + j, hub) for j in range(20_000)]
+    n = hub + 20_001
+    langs = {i: "de" for i in rnd.sample(range(hub), 60)} | {hub + 77: "de"} | {i: "fr" for i in rnd.sample(range(n), 400)}
+    name = lambda i: url(i, langs.get(i, "xx")).replace(".net", ".com" if i in langs else ".net")
+    tag = lambda k, t: f'<link rel="canonical" href="{t}">' if k % 2 else f'<meta http-equiv="refresh" content="0; url={t}">'
+    html = {}
+    for k, (a, b) in enumerate(links):
+        html.setdefault(a, []).append(tag(k, name(b)))
+    pages = [(i, name(i), "".join(html.get(i, []))) for i in range(n)]
+    home = list(range(n))
+
+    def root(i):
+        while home[i] != i:
+            home[i] = home[home[i]]
+            i = home[i]
+        return i
+
+    for a, b in links:
+        home[root(a)] = root(b)
+    bad = {root(i) for i, lang in langs.items() if lang == "de"}
+    got = {r["page_id"]: r["verdict"] for r in judge_urls(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    want = {i: "allow" if langs.get(i) == "fr" else "block" if langs.get(i) == "de" or root(i) in bad else "allow" for i in range(n)}
+    assert got == want and sum(v == "block" for v in want.values()) > 19_000 and any(langs.get(i) == "fr" and root(i) in bad for i in range(n))
+
+
 def test_url_rules_and_aliases(spark):
     pages = spark.createDataFrame(
         [(1, "http://a.Example.org/es/1", '<LINK href="https://c.net/x" rel=canonical>'), (2, "http://C.net/x#z", '<meta http-equiv="refresh" content="0; url=/y">'), (3, "http://c.net/y", None),
@@ -140,14 +178,24 @@ def test_spans_with_equal_hashes_stay_apart(monkeypatch):
         assert ids.tolist() == [int.from_bytes(w[:2], "big") for w in words] and set(count.tolist()) == {1}
 
 
-def slow_winnow(text, k, w):
-    from noticeflow.llm.text_arrays import mix, span_hashes
+def plain_hash(text):
+    """The hash of a run of code points, in whole numbers: a polynomial of scrambled code points, scrambled again, of which the upper half counts."""
+
+    def scramble(x):
+        x = ((x ^ (x >> 31)) * 0x7FB5D329728EA185) % 2**64
+        x = ((x ^ (x >> 27)) * 0x81DADEF4BC2DD44D) % 2**64
+        return x ^ (x >> 33)
 
+    total = sum(scramble((ord(c) + 0x5851F42D4C957F2D) % 2**64) * pow(0x9E3779B97F4A7C15, i, 2**64) for i, c in enumerate(text))
+    return scramble(total % 2**64) >> 32
+
+
+def slow_winnow(text, k, w):
+    """(position, hash) of the least hash of each window, of equal ones the rightmost; plain loops and a hash of its own."""
     if not text:
         return []
     k = min(k, len(text))
-    points = mix(np.array([ord(c) for c in text], np.uint64) + np.uint64(0x5851F42D4C957F2D))
-    hashes = [int(span_hashes(points[i : i + k], np.array([0]), np.array([k]))[0] >> np.uint64(32)) for i in range(len(text) - k + 1)]
+    hashes = [plain_hash(text[i : i + k]) for i in range(len(text) - k + 1)]
     chosen = set()
     for i in range(max(1, len(hashes) - w + 1)):
         window = hashes[i : i + w]
@@ -156,6 +204,37 @@ def slow_winnow(text, k, w):
     return sorted(chosen)
 
 
+def slow_fingerprint(text):
+    """What a text keeps: short ones every run of 2, 4, 8 and 16 code points (as far as there are under four of them), others 16-grams in windows of 8."""
+    if 2 <= len(text) < 64:
+        return sorted((i, plain_hash(text[i : i + g])) for g in (2, 4, 8, 16) if g <= len(text) < 4 * g for i in range(len(text) - g + 1))
+    return slow_winnow(text, 16, 8)
+
+
+def test_fingerprints_of_a_query_equal_brute_force(spark, plain):
+    """Fingerprints, positions, edits and likenesses of the query's rows, worked out by plain loops."""
+    some = plain.sort_values("doc_id", ascending=False).head(40).reset_index(drop=True)
+    some.loc[3, "text"], some.loc[7, "text"], some.loc[9, "text"] = None, "", "ab"
+    df = spark.createDataFrame([(int(i), t) for i, t in zip(some.doc_id, some.text)], "doc_id long, text string").withColumns({"positions": F.lit("clash"), "range": F.lit(1)})
+    rows = {r["doc_id"]: r for r in fingerprints.fingerprint_edits(df).collect()}
+    texts = [t or "" for t in some.text]
+    text_of = lambda pairs: "".join(f"{h:08x}" for h in sorted({h for _, h in pairs}))
+
+    def alike(a, b):
+        a, b = {h for _, h in a}, {h for _, h in b}
+        return len(a & b) / len(a | b) if a | b else 1.0
+
+    for k, i in enumerate(some.doc_id):
+        text, after, r = texts[k], texts[(k + 1) % len(texts)], rows[i]
+        cut = len(text) // 3
+        edited = text[: len(text) - cut] + after[:cut]
+        mine, other, following = slow_fingerprint(text), slow_fingerprint(edited), slow_fingerprint(after)
+        assert r["n_chars"] == len(text) and r["edited_sha256"] == hashlib.sha256(edited.encode()).hexdigest()
+        assert r["fingerprint"] == text_of(mine) and r["edited_fingerprint"] == text_of(other)
+        assert sorted(r["positions"]) == [p for p, _ in mine] == r["positions"]
+        assert abs(r["near_edited"] - alike(mine, other)) < 1e-12 and abs(r["near_next"] - alike(mine, following)) < 1e-12
+
+
 def test_winnow_equals_brute_force():
     rnd = random.Random(1)
     for text in ["", "a", "abcdefg", "a" * 100, "".join(rnd.choice("ab") for _ in range(300)), "".join(rnd.choice("abc😀é ") for _ in range(200))]:
