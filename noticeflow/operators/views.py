@@ -181,7 +181,8 @@ def contractor_rollup(view: DataFrame, today: Column, order: str = "ticket_numbe
     """Counts and dates per contractor slug; contractors without an active notice are left out.
 
     One aggregation to (slug, name, county) is the only pass over the notices;
-    everything else, the usual names and counties too, works on its few rows.
+    it is written once, and everything else, the usual names and counties too,
+    works on its few rows.
     """
     active = P.not_cancelled()
     due = lambda n: active & P.expiring_within(n, today)
@@ -192,6 +193,7 @@ def contractor_rollup(view: DataFrame, today: Column, order: str = "ticket_numbe
         F.count_if(P.cancelled_within(7, today)).alias("cancelled_last_7d_count"),
         F.min(F.when(active, F.col("expiration_date"))).alias("earliest_expire_date"), F.max("call_date").alias("latest_call_date"),
     )
+    base = Scratch(view.sparkSession, "contractors").save(base, "base")
 
     def pick(column: str) -> DataFrame:
         counts = base.where(F.coalesce(F.col(column), F.lit("")) != "").groupBy("slug", column).agg(F.sum("n").alias("n"), F.min("first").alias("first"))
@@ -293,7 +295,8 @@ def county_share(counties: DataFrame) -> DataFrame:
 
 
 def group_share(groups: DataFrame) -> DataFrame:
-    """Each total as a share of the largest (at least 1); the largest is one row, joined back."""
+    """Each total as a share of the largest (at least 1): the groups are made once, and the largest is one row, joined back."""
+    groups = Scratch(groups.sparkSession, "groups").save(groups, "groups")
     top = groups.agg(F.greatest(F.max("total"), F.lit(1)).alias("top"))
     return groups.crossJoin(F.broadcast(top)).withColumn("share", F.col("total") / F.col("top")).drop("top")
 
@@ -407,9 +410,12 @@ def dashboard_documents(tickets: DataFrame, history: DataFrame, failures: DataFr
 
     `tickets` is the scored current table, `history` has a row a version of a
     ticket_number, `failures` the quarantined records.  Counts are those of all
-    rows; lists are top lists, cut to their limit before they are gathered.
+    rows; lists are top lists, cut to their limit before they are gathered.  The
+    projection that all documents share is made once.
     """
-    rows = dashboard_rows(tickets)
+    scratch = Scratch(tickets.sparkSession, "dashboard")
+    rows = scratch.save(dashboard_rows(tickets), "rows")
+    failures = scratch.save(failures, "failures")
     active = rows.where(P.active_relevant())
     due = active.where(P.expiring_within(window, today))
     order = [F.asc_nulls_last("expiration_date"), F.col("ticket_number")]
@@ -423,15 +429,15 @@ def dashboard_documents(tickets: DataFrame, history: DataFrame, failures: DataFr
         listed = top.withColumn("__place", F.monotonically_increasing_id()).agg(F.array_sort(F.collect_list(F.struct("__place", F.struct(*df.columns).alias("row")))).alias("l"))
         return total.crossJoin(listed).select(now.alias("generated_at"), *[v.alias(k) for k, v in more.items()], "count", F.transform("l", lambda x: x["row"]).alias(name))
 
-    kpis = kpi_summary(tickets, failures, today).select(
+    kpis = kpi_summary(rows, failures, today).select(
         now.alias("generated_at"), F.col("total").alias("total_tickets"), "relevant", "active_relevant", "expiring_soon", "cancelled", "expired", F.col("open_failures").alias("parse_failures_open"),
     )
     return {
         "tickets_active": document("tickets", active, limit, order),
         "tickets_expiring": document("tickets", due, limit, order, window_days=F.lit(window)),
         "summary": kpis,
-        "by_county": document("counties", by_county(tickets, today), None, [F.desc("total"), F.col("county")]).drop("count"),
-        "by_work_group": document("groups", by_work_group(tickets), None, [F.desc("total"), F.col("work_group")]).drop("count"),
+        "by_county": document("counties", by_county(rows, today), None, [F.desc("total"), F.col("county")]).drop("count"),
+        "by_work_group": document("groups", by_work_group(rows), None, [F.desc("total"), F.col("work_group")]).drop("count"),
         "recent_changes": document("tickets", changed, latest, [F.desc("updated_at"), F.col("ticket_number")]),
         "parse_failures": document("failures", fails, latest, [F.desc("occurred_at"), F.col("ticket_number")]),
     }
