@@ -49,6 +49,10 @@ class DigestIndex:
     def table(self) -> DataFrame:
         return self.spark.table(self.name)
 
+    def close(self) -> None:
+        """Forget the catalog entry; the index itself stays at its path."""
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
+
     def append(self, digests: DataFrame, batch: str | None = None) -> DataFrame:
         """Add the digests that the index lacks, and return them.
 
@@ -76,8 +80,9 @@ def exact_dedup(docs: DataFrame, index_path: str | None = None, buckets: int = 6
     Texts are equal when identical without the characters of [\\x20\\x09-\\x0D];
     all empty or null texts are one group.  Rows repeated outright form a group
     like others: one of them stays.  An empty table gives an empty result.  With
-    an existing `index_path`, texts already indexed lose to the indexed row: a batch that
-    is read again keeps none.
+    an existing `index_path`, texts already indexed lose to the indexed row: a
+    batch that is read again keeps none, and group_size is that of the batch in
+    which a text was first seen.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "exact-dedup")
@@ -86,11 +91,19 @@ def exact_dedup(docs: DataFrame, index_path: str | None = None, buckets: int = 6
     batch = uuid.uuid4().hex
     index.append(digests, batch)
     first = (F.col("row") == F.col("keep_row")) & F.col("batch").eqNullSafe(F.lit(batch))
-    return spread_join(digests, index.table(), "text_sha256").select("doc_id", "keep_id", "group_size", first.alias("kept"), "text_sha256")
+    found = spread_join(digests, index.table(), "text_sha256").select("doc_id", "keep_id", "group_size", first.alias("kept"), "text_sha256")
+    found = scratch.save(found, "found")
+    index.close()
+    return found
 
 
 def keep_first_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The input's rows and columns without the rows that `exact_dedup` drops."""
+    """The input's rows and columns without the rows that `exact_dedup` drops.
+
+    Rows go by id and text: null ids and ids with several texts are judged text
+    by text, of rows repeated outright one stays, of null and empty texts one
+    stays.  Columns of any name pass through; an empty table stays empty.
+    """
     scratch = Scratch(docs.sparkSession, "exact-kept")
     found = scratch.save(exact_dedup(docs, id_col=id_col, text_col=text_col), "found")
     # ids with a row that goes; only their rows are looked at again, and only those are shuffled

@@ -324,8 +324,10 @@ def near_rows(docs: DataFrame, shingle: int, percent: int, id_col: str = "doc_id
 def keep_one_of_each(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The input's rows and columns without the rows that repeat another of their component.
 
-    Rows go by their own key, never by their id; of rows repeated outright one
-    stays.  Rows with an empty shingle set all stay.
+    Rows go by their own key, never by their id, so rows with null or repeated
+    ids are judged each by itself; of rows repeated outright one stays.  Rows
+    with an empty shingle set (null, empty or wordless texts) all stay.  Columns
+    of any name pass through; an empty table stays empty.
     """
     scratch = Scratch(docs.sparkSession, "near-kept")
     rows = scratch.save(near_rows(docs, shingle, percent, id_col, text_col).select("row_key", "n_shingles", "kept"), "rows")

@@ -170,3 +170,21 @@ def test_near_dedup_decides_by_row(spark):
     fives = [t for i, t in kept if i == 8]
     assert len(fives) == 1 and fives[0] in (five, near(five))
     assert sorted((i or 0, t or "") for i, t in kept if i != 8) == sorted([(1, one), (0, two), (5, four), (3, near(three)), (0, ""), (9, "x y z u v w")])
+
+
+def test_ranges(spark):
+    """Range numbers equal a binary search, for bounds of any number and keys on and between them."""
+    import bisect
+
+    from noticeflow.llm.shared import range_of
+
+    keys = [*range(-3, 120), None]
+    df = spark.createDataFrame([(k,) for k in keys], "k long")
+    for bounds in ([], [5], [0, 1], list(range(0, 110, 7)), list(range(0, 100, 4)), list(range(100))):
+        got = {r["k"]: r["n"] for r in df.select("k", range_of("k", bounds).alias("n")).collect()}
+        assert got == {k: 0 if k is None else bisect.bisect_left(bounds, k) for k in keys}
+
+
+def test_no_table_is_left_behind(spark):
+    before = len(spark.catalog.listTables())
+    assert exact_dedup(frame(spark, [(1, "a"), (2, "a")])).count() == 2 and len(spark.catalog.listTables()) == before
