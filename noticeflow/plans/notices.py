@@ -189,11 +189,19 @@ def utility_bucket_counts(spark, sf):
 _SHOWN = f"CASE WHEN is_cancelled THEN 'cancelled' WHEN expiration_date IS NULL THEN 'unknown' WHEN expiration_date < {TODAY_SQL} THEN 'expired' WHEN expiration_date <= {TODAY_SQL} + 7 THEN 'expiring_soon' ELSE 'active' END"
 
 
-@query(ctes(TICKETS_SQL) + f"""SELECT ticket_number, strftime(call_date, '%Y-%m-%d') AS call_date, coalesce(strftime(expiration_date, '%Y-%m-%d'), '') AS expire_date, coalesce((expiration_date - {TODAY_SQL})::VARCHAR, '') AS days_until_expire,
-  county, coalesce(done_for, '') AS done_for, CASE WHEN is_cancelled THEN 'TRUE' ELSE 'FALSE' END AS is_cancelled, {_SHOWN} AS status, coalesce(printf('%.6f', latitude), '') AS latitude FROM tickets""")
+_LISTED = "coalesce((SELECT string_agg(code, ', ' ORDER BY l_linenumber, l_suppkey, l_partkey, l_quantity) FROM marked m WHERE m.k = t.k AND {}), '')"
+_FLAG = "CASE WHEN {} THEN 'TRUE' ELSE 'FALSE' END"
+
+
+@query(ctes(TICKETS_SQL, UTILITIES_SQL) + f"""SELECT ticket_number, strftime(call_date, '%Y-%m-%d') AS call_date, strftime(legal_start_date, '%Y-%m-%d') AS legal_start_date, coalesce(strftime(expiration_date, '%Y-%m-%d'), '') AS expire_date,
+  coalesce((expiration_date - {TODAY_SQL})::VARCHAR, '') AS days_until_expire, county, excavator_name, caller_name, '' AS caller_phone, work_type, '' AS address, '' AS intersection, '' AS place, coalesce(done_for, '') AS done_for,
+  {_FLAG.format("is_ready_to_dig")} AS is_ready_to_dig, {_FLAG.format("has_late_utility")} AS has_late_utility, {_LISTED.format("is_late")} AS late_utility_codes, {_LISTED.format("status IN ('delayed', 'not_clear')")} AS blocking_utility_codes,
+  {_LISTED.format("status = 'pending'")} AS pending_utility_codes, {_FLAG.format("is_cancelled")} AS is_cancelled, {_SHOWN} AS status, remarks, coalesce(printf('%.6f', latitude), '') AS latitude, coalesce(printf('%.6f', longitude), '') AS longitude
+FROM tickets t LEFT JOIN rolled r USING (k)""")
 def master_rows(spark, sf):
+    """All columns but the summary, which has a query of its own."""
     view = views.ticket_view(rolled(spark, sf).withColumn("caller_phone", F.lit(None).cast("string")), today())
-    return views.master_rows(view).select("ticket_number", "call_date", "expire_date", "days_until_expire", "county", "done_for", "is_cancelled", "status", "latitude")
+    return views.master_rows(view).drop("utility_summary")
 
 
 @query(ctes(TICKETS_SQL, HITS_SQL) + "SELECT ticket_number, county, status, is_relevant, relevance_score, work_type FROM scored")

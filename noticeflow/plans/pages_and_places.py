@@ -87,10 +87,11 @@ def match_stats(spark, sf):
 _HAV = "2 * 6371000.0::DOUBLE * asin(sqrt(sin(radians(secondary_latitude - latitude) / 2) ** 2 + cos(radians(latitude)) * cos(radians(secondary_latitude)) * sin(radians(secondary_longitude - longitude) / 2) ** 2))"
 
 
-@query(ctes(TICKETS_SQL) + f"SELECT ticket_number, round({_HAV}, 4) AS meters, CASE WHEN latitude IS NULL THEN NULL WHEN secondary_latitude IS NOT NULL AND {_HAV} > 50 THEN 'line' ELSE 'point' END AS kind FROM tickets")
+@query(ctes(TICKETS_SQL) + f"SELECT ticket_number, round({_HAV}, 4) AS meters, round((longitude + secondary_longitude) / 2, 7) AS mid_x, round((latitude + secondary_latitude) / 2, 7) AS mid_y, CASE WHEN latitude IS NULL THEN NULL WHEN secondary_latitude IS NOT NULL AND {_HAV} > 50 THEN 'line' ELSE 'point' END AS kind FROM tickets")
 def haversine(spark, sf):
     m = spatial.haversine_m(F.col("latitude"), F.col("longitude"), F.col("secondary_latitude"), F.col("secondary_longitude"))
-    return tickets(spark, sf).select("ticket_number", F.round(m, 4).alias("meters"), spatial.geometry_kind().alias("kind"))
+    middle = lambda axis: F.round(spatial.midpoint()[axis], 7)
+    return tickets(spark, sf).select("ticket_number", F.round(m, 4).alias("meters"), middle("x").alias("mid_x"), middle("y").alias("mid_y"), spatial.geometry_kind().alias("kind"))
 
 
 @query(ctes(TICKETS_SQL) + """SELECT ticket_number, i::INT AS vertex, round(longitude + 25 / 111320.0::DOUBLE / cos(radians(latitude)) * cos(2 * pi() * (i % 32) / 32), 8) AS x, round(latitude + 25 / 111320.0::DOUBLE * sin(2 * pi() * (i % 32) / 32), 8) AS y

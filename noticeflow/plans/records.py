@@ -326,6 +326,45 @@ def provider_projects(spark, sf):
     return policy.list_projects(spark, "any").select("c_custkey", "provider", "name")
 
 
+@query("""WITH p AS (SELECT *, min(p_partkey) OVER (PARTITION BY p_size) AS leader FROM part), c AS (SELECT leader, p_type, count(*) AS n FROM p GROUP BY ALL),
+label AS (SELECT leader, p_type FROM (SELECT *, row_number() OVER (PARTITION BY leader ORDER BY n DESC, p_type) AS r FROM c) WHERE r = 1)
+SELECT p.leader, left(sha256(upper(arg_min(p.p_type, p_partkey)) || '|' || upper(arg_min(p_name, p_partkey)) || '|' || upper(arg_min(p_brand, p_partkey))), 16) AS group_key, count(*) AS tickets,
+  strftime(min(DATE '2001-01-01' + (p_partkey % 300)::INT), '%Y-%m-%d') AS first_seen, strftime(max(DATE '2001-01-01' + (p_partkey % 300)::INT), '%Y-%m-%d') AS last_seen, min(p_partkey) AS representative, any_value(label.p_type) AS label
+FROM p JOIN label ON p.leader = label.leader GROUP BY p.leader""")
+def cluster_rows(spark, sf):
+    """Clusters that are given (parts of one size) summed up: key, usual company, dates and representative."""
+    from noticeflow.operators import cluster
+
+    p = table(spark, sf, "part")
+    led = p.join(p.groupBy("p_size").agg(F.min("p_partkey").alias("leader")), "p_size")
+    led = led.withColumns({"probable_company": F.col("p_type"), "call_date": F.date_add(F.lit("2001-01-01").cast("date"), (F.col("p_partkey") % 300).cast("int"))})
+    out = cluster.cluster_summary(led, T.group_key(F.col("p_type"), F.col("p_name"), F.col("p_brand")), "p_partkey")
+    return out.withColumns({c: D.fmt_date_or_null(F.col(c)) for c in ("first_seen", "last_seen")})
+
+
+_KINDS = [(0, [(0, 0, 3, 1)]), (1, [(0, 0, 3, 1), (5, 5, 6, 7), (6, 7, 8, 8)]), (2, [(0, 0, 4, 0), (4, 0, 4, 4), (4, 4, 0, 0)]), (3, [(0, 0, 4, 0), (4, 0, 4, 4), (4, 4, 0, 0), (1, 1, 2, 1), (2, 1, 1, 2), (1, 2, 1, 1)])]
+
+
+@query(f"""SELECT s_suppkey AS project_id, x1 + s_suppkey AS x1, y1::DOUBLE AS y1, x2 + s_suppkey AS x2, y2::DOUBLE AS y2 FROM supplier JOIN (VALUES
+  {", ".join(str((m, *c)) for m, segments in _KINDS for c in segments)}) k(m, x1, y1, x2, y2) ON s_suppkey % 5 = m""".replace("x1 + s_suppkey", "(x1 + s_suppkey)::DOUBLE").replace("x2 + s_suppkey", "(x2 + s_suppkey)::DOUBLE"))
+def segments_of_kinds(spark, sf):
+    """Segments of lines, multiple lines, polygons and multiple polygons; points have none."""
+    k = F.col("s_suppkey")
+
+    def points(*xy):
+        return F.concat(F.lit("["), F.concat_ws(",", *[F.concat(F.lit("["), (k + x).cast("string"), F.lit(f",{y}]")) for x, y in xy]), F.lit("]"))
+
+    wrap = lambda kind, *parts: F.concat(F.lit(f'{{"type":"{kind}","coordinates":'), *parts, F.lit("}"))
+    many = lambda *parts: F.concat(F.lit("["), F.concat_ws(",", *parts), F.lit("]"))
+    ring, hole = points((0, 0), (4, 0), (4, 4), (0, 0)), points((1, 1), (2, 1), (1, 2), (1, 1))
+    shape = (
+        F.when(k % 5 == 0, wrap("LineString", points((0, 0), (3, 1)))).when(k % 5 == 1, wrap("MultiLineString", many(points((0, 0), (3, 1)), points((5, 5), (6, 7), (8, 8)))))
+        .when(k % 5 == 2, wrap("Polygon", many(ring))).when(k % 5 == 3, wrap("MultiPolygon", many(many(ring), many(hole)))).otherwise(wrap("Point", F.lit("[1,2]")))
+    )
+    features = table(spark, sf, "supplier").select(k.alias("project_id"), F.col("s_name").alias("project_name"), shape.alias("geometry"))
+    return spatial.segments(features).select("project_id", "x1", "y1", "x2", "y2")
+
+
 # -- scalar functions ----------------------------------------------------------
 
 

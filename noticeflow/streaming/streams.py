@@ -28,7 +28,11 @@ def stream_upsert(stream: DataFrame, load_current: Callable[[], DataFrame], save
 
 
 def stream_changes(stream: DataFrame, key: str, hash_col: str, order: str) -> DataFrame:
-    """(key, content_hash, change): emits a row when a key's hash is new or differs from the last one; state is one hash a key."""
+    """(key, content_hash, change): emits a row when a key's hash is new or differs from the last one; state is one hash a key.
+
+    A key's rows of one micro-batch are put in order together, so the source's
+    rate limit (maxFilesPerTrigger and the like) bounds what a task holds.
+    """
     import pandas as pd
     from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
