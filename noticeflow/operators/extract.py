@@ -329,12 +329,15 @@ def extract_fields(docs: DataFrame, text_col: str = "text", county_hint: str = "
 def extract_mentions(text: Column, most: int = 20) -> Column:
     """Utilities that a text names: at most 100 characters each, longer than two, first spelling of each, the first 20."""
     given = F.coalesce(text, F.lit(""))
-    # a run of letters before a colon or hyphen that names a trade after its first character: found at run starts only, in linear time
-    runs = F.filter(F.regexp_extract_all(given, F.lit(MENTION_RUN), 1), lambda m: m.rlike(MENTION_TRADES))
-    found = F.concat(F.regexp_extract_all(given, F.lit(MENTION_LABEL), 1), runs)
+    found = F.concat(F.regexp_extract_all(given, F.lit(MENTION_LABEL), 1), trade_runs(given))
     tidy = F.filter(F.transform(found, lambda m: F.left(F.trim(F.regexp_replace(m, r"^\s+|\s+$", "")), F.lit(100))), lambda m: F.char_length(m) > 2)
     return F.slice(first_seen_distinct(tidy, ignore_case=True), 1, most)
 
 
+def trade_runs(text: Column) -> Column:
+    """Runs of letters before a colon or hyphen that name a trade after their first character: found at run starts only, in linear time."""
+    return F.filter(F.regexp_extract_all(text, F.lit(MENTION_RUN), 1), lambda m: m.rlike(MENTION_TRADES))
+
+
 def cancelled_in_text(text: Column) -> Column:
     return F.coalesce(text.rlike(r"(?i)\b(?:cancelled|canceled|void(?:ed)?)\b"), F.lit(False))

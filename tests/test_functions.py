@@ -61,8 +61,21 @@ def test_colors_keep_their_distance(spark):
     for name, color in zip(names, got):
         b, g, r = (int(color[i : i + 2], 16) for i in (0, 2, 4))
         assert all((r - x) ** 2 + (g - y) ** 2 + (b - z) ** 2 >= 6400 for x, y, z in S.RESERVED_RGB)
-    first = hashlib.md5(b"name 0|0").hexdigest()
-    assert got[0] == first[4:6] + first[2:4] + first[:2] or len(got[0]) == 6
+    for name, color in zip(names, got):
+        for seed in range(65):  # the first seed whose colour is far from all reserved ones
+            h = hashlib.md5(f"{name}|{seed}".encode()).hexdigest()
+            if all(sum((int(h[2 * i : 2 * i + 2], 16) - v) ** 2 for i, v in enumerate(rgb)) >= 6400 for rgb in S.RESERVED_RGB):
+                assert color == h[4:6] + h[2:4] + h[:2]
+                break
+        else:
+            raise AssertionError("no seed gives a colour")
+
+
+def test_white_space_of_any_kind(spark):
+    rows = spark.createDataFrame([("\u00a0\t x y \n\u3000",), (" \u2028\n",), (None,)], "v string")
+    assert [r[0] for r in rows.select(T.blank_to_null(F.col("v"))).collect()] == ["x y", None, None]
+    states = spark.createDataFrame([("Open", None), ("Open", ""), ("Open", " \n"), (" open\t", "Locate  \u00a0 Delayed ")], "s string, r string")
+    assert [r[0] for r in states.select(S.utility_status(F.col("s"), F.col("r"))).collect()] == ["pending", "pending", "unknown", "delayed"]
 
 
 def test_day_arithmetic(spark):

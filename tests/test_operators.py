@@ -286,3 +286,32 @@ def test_normalize(spark):
     got = {r["ticket_number"]: r for r in views.normalize_tickets(rows, details, F.lit("2026-04-01 00:00:00").cast("timestamp")).collect()}
     assert (got["A1"]["excavator_name"], got["A1"]["latitude"], got["A1"]["longitude"], got["A1"]["status"], got["A1"]["parse_method"]) == ("Page Co", 36.5, None, "active", "html")
     assert (got["A2"]["status"], got["A2"]["parse_method"], got["A2"]["is_ready_to_dig"]) == ("cancelled", "row_only", False)
+
+
+def test_trade_runs_equal_the_single_pattern(spark):
+    """The runs that are found in linear time are those that one pattern with the trades inside finds, on hard texts too."""
+    import re
+
+    whole = re.compile(r"([A-Za-z\s&,]+(?:electric|gas|water|sewer|telecom|cable|fiber)[A-Za-z\s&,]*)\s*[:\-]", re.IGNORECASE)
+    rnd = random.Random(13)
+    bits = ["gas", "Gas", "water", "a", " ", "\n", ":", "-", ",", "&", "1", "fiber", "electric", "x gas y", "sewer:", "(", "cable -", "Metro Water"]
+    texts = ["".join(rnd.choice(bits) for _ in range(rnd.randint(0, 14))) for _ in range(1500)] + ["gas " * 20_000, "gas:" * 5000, "a" * 50_000 + " water:"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i long, t string")
+    got = {r["i"]: r["r"] for r in df.select("i", extract.trade_runs(F.col("t")).alias("r")).collect()}
+    for i, t in enumerate(texts):
+        if len(t) < 1000:  # the single pattern takes quadratic time on the others
+            assert got[i] == whole.findall(t), t
+    assert got[1500] == [] and got[1501] == [] and len(got[1502]) == 1
+
+
+def test_positions_of_an_order(spark):
+    df = spark.createDataFrame([(i, (i * 7919) % 1000) for i in range(3000)], "i long, v long")
+    got = {r["i"]: r["position"] for r in views.numbered(df.orderBy("v", "i")).collect()}
+    assert [i for i, _ in sorted(got.items(), key=lambda x: x[1])] == [i for i, _ in sorted(((i, (i * 7919) % 1000) for i in range(3000)), key=lambda x: (x[1], x[0]))]
+    assert sorted(got.values()) == list(range(1, 3001)) and views.numbered(df.where("false").orderBy("v")).count() == 0
+
+
+def test_rules_from_a_table(spark):
+    table = spark.createDataFrame([("b", "fiber", 0.3, None, None), ("a", "^x", 0.2, "remarks", "regex")], "id string, pattern string, weight double, field string, kind string")
+    rules = score.ruleset_from(table, threshold=0.1)
+    assert rules == Ruleset([Rule("a", "^x", 0.2, "remarks", "regex"), Rule("b", "fiber", 0.3)], threshold=0.1)
