@@ -48,9 +48,11 @@ def upsert_current(changes: DataFrame, current: DataFrame, key: str) -> DataFram
     return rest.unionByName(moved, allowMissingColumns=True)
 
 
-def run_stats(changes: DataFrame) -> DataFrame:
+def run_stats(changes: DataFrame, failures: DataFrame | None = None) -> DataFrame:
+    """One row of counters; with `failures` (quarantined records) their number, too."""
     kind = lambda c: F.count_if(F.col("change") == c).alias(c)
-    return changes.agg(F.count("*").alias("found"), kind("new"), kind("changed"), kind("unchanged"))
+    counted = changes.agg(F.count("*").alias("found"), kind("new"), kind("changed"), kind("unchanged"))
+    return counted if failures is None else counted.crossJoin(failures.agg(F.count("*").alias("failed")))  # two single rows
 
 
 def latest_version(versions: DataFrame, key: str, order: Sequence[str]) -> DataFrame:

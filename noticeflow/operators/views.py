@@ -309,6 +309,12 @@ def reminder_digest(eligible: DataFrame) -> DataFrame:
     )
 
 
+def reminder_lines(eligible: DataFrame) -> DataFrame:
+    """The digest's tickets, a row each under their group: for groups too large for one row."""
+    key = T.fallback_label(F.col("probable_work_group"), F.col("probable_company"))
+    return eligible.select(key.alias("work_group"), "ticket_number", F.col("expiration_date").alias("target_date"))
+
+
 def lifecycle_counts(packages: DataFrame, today: Column) -> DataFrame:
     return bucket_counts(packages, S.lifecycle_bucket(F.col("status"), F.col("act_end_date"), today), ["active", "committed", "recent"])
 

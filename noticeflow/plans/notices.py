@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from noticeflow.functions import dates as D
 from noticeflow.functions import status as S
 from noticeflow.functions import text as T
-from noticeflow.operators import cdc, filters, score, views
+from noticeflow.operators import cdc, filters, policy, score, views
 from noticeflow.operators import utilities as U
 from noticeflow.plans.adapters import (
     PACKAGES_SQL, RULES, TAGS_SQL, TICKETS_SQL, TODAY, UTILITIES_SQL, now, packages, project_tags, table, tickets, today, utility_rows, with_utilities,
@@ -386,11 +386,12 @@ def capture_changes(spark, sf):
     return cdc.capture_changes(incoming, stored, "ticket_number", now()).select("k", "change")
 
 
-@query(ctes(TICKETS_SQL) + f"SELECT count(*) AS found, count(*) FILTER (change = 'new') AS new, count(*) FILTER (change = 'changed') AS changed, count(*) FILTER (change = 'unchanged') AS unchanged FROM ({_CHANGES})")
+@query(ctes(TICKETS_SQL) + f"SELECT count(*) AS found, count(*) FILTER (change = 'new') AS new, count(*) FILTER (change = 'changed') AS changed, count(*) FILTER (change = 'unchanged') AS unchanged, (SELECT count(*) FROM tickets WHERE done_for IS NULL) AS failed FROM ({_CHANGES})")
 def run_stats(spark, sf):
     incoming, stored = _incoming(spark, sf)
     stored = stored.withColumn("latest_content_hash", cdc.content_hash(stored))
-    return cdc.run_stats(cdc.capture_changes(incoming, stored, "ticket_number", now()))
+    failures = policy.quarantine(incoming, {"missing_required_fields": F.col("done_for").isNotNull()}, now())[1]
+    return cdc.run_stats(cdc.capture_changes(incoming, stored, "ticket_number", now()), failures)
 
 
 @query(ctes(TICKETS_SQL) + "SELECT ticket_number, done_for, k % 7 = 0 OR k % 11 = 0 AS touched FROM tickets")

@@ -290,6 +290,13 @@ def stored_reminders(spark, sf):
     return cdc.attach_ticket_ids(events, stored).select("ticket_id", "ticket_number")
 
 
+@query(ctes(TICKETS_SQL, HITS_SQL) + f"SELECT excavator_name AS work_group, ticket_number, strftime(expiration_date, '%Y-%m-%d') AS target_date FROM scored WHERE is_relevant AND expiration_date = {TODAY_SQL} + 14 AND status NOT IN ('cancelled', 'expired')")
+def reminder_lines(spark, sf):
+    t = scored(spark, sf).withColumns({"probable_company": F.col("excavator_name"), "probable_work_group": F.lit("")})
+    out = views.reminder_lines(t.where(filters.reminder_eligible(D.target_date(now(), 14))))
+    return out.withColumn("target_date", D.fmt_date_or_null(F.col("target_date")))
+
+
 @query(ctes(TICKETS_SQL, HITS_SQL) + f"""SELECT ticket_number, relevance_score, is_relevant, CASE WHEN ticket_number IN ('0000000005', '0000000010') THEN 'manual_exclude_override'
   WHEN ticket_number IN ('0000000007', '0000000077') THEN 'manual_include_override' ELSE {REASONS} END AS reasons FROM scored""")
 def score_rules_table(spark, sf):

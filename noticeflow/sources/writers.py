@@ -23,9 +23,17 @@ def write_bundle(frames: dict[str, DataFrame], out: str, single_file: bool = Tru
         df.write.mode("overwrite").option("header", True).option("escape", '"').csv(f"{out}/{name}")
 
 
-def write_slices(stacked: DataFrame, out: str, key: str = "slug") -> None:
-    """Folders by key and slice from one stacked table; a slice without rows has no folder, and the subtree is rebuilt."""
+def write_slices(stacked: DataFrame, out: str, key: str = "slug", keys: DataFrame | None = None, always: str = "relevant_active") -> None:
+    """Folders by key and slice from one stacked table; a slice without rows has no folder, and the subtree is rebuilt.
+
+    With `keys` (contractors or projects) each has its active slice: a header
+    alone where it has no rows.
+    """
     stacked.write.mode("overwrite").partitionBy(key, "slice").option("header", True).csv(out)
+    if keys is not None:
+        bare = keys.select(key).distinct().join(stacked.where(F.col("slice") == always).select(key), key, "left_anti")
+        header = ",".join(c for c in stacked.columns if c not in (key, "slice"))
+        bare.select(key, F.lit(always).alias("slice"), F.lit(header).alias("value")).write.mode("append").partitionBy(key, "slice").text(out)
 
 
 def json_document(df: DataFrame, now: Column, limit: int | None = None, order: list[Column] | None = None) -> DataFrame:

@@ -39,6 +39,11 @@ def test_sinks(spark, tmp_path):
     assert spark.read.option("header", True).csv(str(tmp_path / "b" / "none")).columns == ["slug", "slice", "v"]
     writers.write_slices(df, str(tmp_path / "s"))
     assert os.path.isdir(tmp_path / "s" / "slug=a" / "slice=x")
+    keys = spark.createDataFrame([("a",), ("b",), ("c",)], "slug string")
+    writers.write_slices(df, str(tmp_path / "t"), keys=keys.where("slug <> 'a'"), always="x")
+    bare = spark.read.option("header", True).csv(str(tmp_path / "t" / "slug=c" / "slice=x"))
+    assert bare.columns == ["v"] and bare.count() == 0 and spark.read.option("header", True).csv(str(tmp_path / "t")).count() == 2
+    assert {(r["slug"], r["slice"], r["rows"]) for r in writers.slice_counts(df, keys, always="x").collect()} == {("a", "x", 1), ("b", "x", 1), ("c", "x", 0)}
     assert [r["rows"] for r in writers.manifest({"one": df, "none": df.where("false")}).orderBy("pos").collect()] == [2, 0]
     doc = writers.json_document(df, F.lit("2026-04-24").cast("timestamp"), 1, [F.col("v").desc()]).first()
     assert doc["count"] == 2 and len(doc["rows"]) == 1 and doc["rows"][0]["v"] == 2
