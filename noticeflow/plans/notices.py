@@ -165,10 +165,11 @@ def utility_summary(spark, sf):
     return rolled(spark, sf).select("ticket_number", U.utility_summary(F.col("utility_statuses")).alias("utility_summary"))
 
 
-@query(ctes(TICKETS_SQL, UTILITIES_SQL) + f"""SELECT ticket_number, code AS utility_code, ({TODAY_SQL} - call_date)::INT AS days_since_call, status, last_response, is_late FROM tickets JOIN marked USING (k) WHERE NOT is_cancelled""")
+@query(ctes(TICKETS_SQL, UTILITIES_SQL) + f"""SELECT ticket_number, strftime(call_date, '%Y-%m-%d') AS call_date, code AS utility_code, ({TODAY_SQL} - call_date)::INT AS days_since_call, county, excavator_name, '' AS address, '' AS intersection,
+  '' AS place, done_for, '' AS utility_name, '' AS facility, status, last_response, is_late, false AS ticket_is_cancelled FROM tickets JOIN marked USING (k) WHERE NOT is_cancelled""")
 def utility_detail(spark, sf):
     t = rolled(spark, sf).withColumns({"location_text": F.lit(""), "intersection_text": F.lit("")})
-    return U.utility_detail(t, today()).select("ticket_number", "utility_code", "days_since_call", "status", "last_response", "is_late")
+    return U.utility_detail(t, today()).drop("response_timestamp").withColumn("call_date", D.fmt_date_or_null(F.col("call_date")))
 
 
 _UBUCKET = """CASE WHEN conflict > 0 THEN 'Blocked — conflict/other' WHEN delayed > 0 THEN 'Blocked — delayed' WHEN has_late_utility THEN 'Has late utilities' WHEN is_ready_to_dig THEN 'Ready to dig' ELSE 'Pending utilities' END"""
@@ -204,15 +205,24 @@ def master_rows(spark, sf):
     return views.master_rows(view).drop("utility_summary")
 
 
-@query(ctes(TICKETS_SQL, HITS_SQL) + "SELECT ticket_number, county, status, is_relevant, relevance_score, work_type FROM scored")
+@query(ctes(TICKETS_SQL, HITS_SQL) + f"""SELECT ticket_number, county, strftime(call_date, '%Y-%m-%d') AS call_date, strftime(legal_start_date, '%Y-%m-%d') AS legal_start_date, strftime(expiration_date, '%Y-%m-%d') AS expiration_date, excavator_name, caller_name,
+  work_type, remarks, done_for, status, is_cancelled, is_relevant, relevance_score, CASE WHEN ticket_number IN ('0000000005', '0000000010') THEN 'manual_exclude_override' WHEN ticket_number IN ('0000000007', '0000000077') THEN 'manual_include_override'
+  ELSE {REASONS} END AS relevance_reasons FROM scored""")
 def dashboard_rows(spark, sf):
-    return views.dashboard_rows(scored(spark, sf)).select("ticket_number", "county", "status", "is_relevant", "relevance_score", "work_type")
+    """The public projection with the caller's name, which it has on request only; columns that these notices lack are left out here."""
+    plain = views.dashboard_rows(scored(spark, sf))
+    if "caller_name" in plain.columns:
+        raise ValueError("the caller's name is in the plain projection")
+    out = views.dashboard_rows(scored(spark, sf), contact=True).withColumns({c: D.fmt_date_or_null(F.col(c)) for c in ("call_date", "legal_start_date", "expiration_date")})
+    out = out.withColumn("relevance_reasons", F.array_join("relevance_reasons", ";"))
+    return out.drop("state", "location_text", "utility_codes", "probable_company", "probable_work_group", "probable_crew", "parsed_at", "updated_at")
 
 
-@query(ctes(TICKETS_SQL, UTILITIES_SQL, TAGS_SQL) + """SELECT ticket_number, project_name AS candidate_project_name, printf('%.1f', match_distance_m) AS distance_m FROM tagged WHERE match_confidence = 'low' AND NOT is_cancelled""")
+@query(ctes(TICKETS_SQL, UTILITIES_SQL, TAGS_SQL) + f"""SELECT ticket_number, strftime(call_date, '%Y-%m-%d') AS call_date, strftime(expiration_date, '%Y-%m-%d') AS expire_date, (expiration_date - {TODAY_SQL})::INT AS days_until_expire, county, excavator_name,
+  '' AS address, '' AS intersection, latitude, longitude, project_name AS candidate_project_name, printf('%.1f', match_distance_m) AS distance_m, coalesce(done_for, '') AS done_for, remarks FROM tagged WHERE match_confidence = 'low' AND NOT is_cancelled""")
 def review_rows(spark, sf):
     view = views.ticket_view(project_tags(rolled(spark, sf)), today())
-    return views.sort_review(views.review_rows(view)).select("ticket_number", "candidate_project_name", "distance_m")
+    return views.sort_review(views.review_rows(view)).drop("utility_summary").withColumns({c: D.fmt_date_or_null(F.col(c)) for c in ("call_date", "expire_date")})
 
 
 _ROLLUP_SQL = ctes(TICKETS_SQL, UTILITIES_SQL) + f""", v AS (

@@ -12,7 +12,7 @@ from noticeflow.functions import text as T
 from noticeflow.operators import cdc, filters, policy, score, spatial, views
 from noticeflow.operators import utilities as U
 from noticeflow.plans.adapters import PACKAGES_SQL, RULES, TAGS_SQL, TICKETS_SQL, TODAY, UTILITIES_SQL, now, packages, project_tags, table, tickets, today
-from noticeflow.plans.notices import _CHANGES, HITS_SQL, REASONS, _features, _incoming, rolled, scored
+from noticeflow.plans.notices import _CHANGES, _ROLLUP_SQL, HITS_SQL, REASONS, _features, _incoming, rolled, scored
 from noticeflow.plans.pages_and_places import _HAV, project_lines
 from noticeflow.plans.registry import ctes, query
 from noticeflow.scratch import shared_dir
@@ -440,3 +440,8 @@ def sorted_review(spark, sf):
 def sorted_packages(spark, sf):
     out = views.sort_packages(views.packages_view(packages(spark, sf), project_tags(rolled(spark, sf)), today()))
     return views.numbered(out).select(F.col("package_name").alias("project_name"), "position")
+
+
+@query(ctes(_ROLLUP_SQL.removeprefix("WITH ").partition("SELECT slug, excavator_name, count(*) FILTER")[0]) + "SELECT slug, row_number() OVER (ORDER BY active DESC, excavator_name) AS position FROM (SELECT v.slug, any_value(names.excavator_name) AS excavator_name, count(*) FILTER (NOT is_cancelled) AS active FROM v JOIN names USING (slug) GROUP BY v.slug) WHERE active > 0")
+def sorted_rollup(spark, sf):
+    return views.numbered(views.sort_rollup(views.contractor_rollup(rolled(spark, sf), today(), "k"))).select("slug", "position")
