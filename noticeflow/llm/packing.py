@@ -4,7 +4,7 @@ The histogram has at most `capacity` entries whatever the corpus holds, so the
 plan is made on the driver: few-document patterns that fill a sequence exactly
 are enumerated, their repeat counts fitted to the histogram by non-negative
 least squares and rounded, and what they leave is packed best-fit in decreasing
-length, on counts.  Spark ranks the pieces of each length and looks
+length, on counts.  Of several roundings the one with the fewest sequences is taken.  Spark ranks the pieces of each length and looks
 their places up in the plan.
 """
 
@@ -18,8 +18,9 @@ from pyspark.sql import functions as F
 
 from noticeflow.llm.shared import Scratch, give_back, shuffle_parts
 
-#: Fitted patterns that a plan uses at most, so that it stays small: about 10 MB at 2048 tokens.  What they leave is packed best-fit.
-MOST_PATTERNS = 100_000
+#: Patterns that are fitted at most, chosen evenly from all: several for each length, so that their counts can meet any
+#: histogram, while the plan stays small (about 4 MB) whatever the corpus holds.  What they leave is packed best-fit.
+MOST_PATTERNS = 20_000
 
 
 def enumerate_patterns(lengths: np.ndarray, capacity: int) -> np.ndarray:
@@ -104,32 +105,45 @@ def best_fit(counts: dict[int, int], capacity: int) -> Counter:
     return total
 
 
+#: How fitted counts become whole: the nearest number but one at least, the nearest, or the whole part of this share of them.
+ROUNDINGS = (lambda x: max(1, round(x)), round, int, lambda x: int(0.9 * x), lambda x: int(0.5 * x))
+
+
 def plan_patterns(histogram: dict[int, int], capacity: int, most: int = MOST_PATTERNS) -> Counter:
     """Sequences (tuples of lengths) and how often each is used; they use up the histogram.
 
-    Fitted counts are rounded to the nearest whole number, those below one to
-    one, in descending order and as far as pieces are left: every pattern fills
-    its sequence exactly, so none is wasted.
+    Every pattern fills its sequence exactly, but taking many of them may leave
+    a residue that packs badly.  So the fitted counts are rounded in several
+    ways, in descending order and as far as pieces are left, each residue is
+    packed best-fit, and the plan with the fewest sequences is taken (of equal
+    ones that in which patterns place more).
     """
-    left = np.zeros(capacity + 1, np.int64)
+    whole = np.zeros(capacity + 1, np.int64)
     for length, n in histogram.items():
-        left[length] = n
-    plan: Counter = Counter()
-    lengths = np.flatnonzero(left)
+        whole[length] = n
+    lengths = np.flatnonzero(whole)
     patterns = enumerate_patterns(lengths, capacity) if len(lengths) else np.zeros((0, 3), np.int64)
-    if len(patterns):
-        fitted = fit_counts(patterns, left.astype(float))
-        for k in np.argsort(-fitted, kind="stable"):
-            if fitted[k] <= 0 or len(plan) >= most:
-                break
-            pattern = tuple(int(x) for x in patterns[k] if x)
-            times = min(max(1, round(fitted[k])), *(int(left[x]) // m for x, m in Counter(pattern).items()))
+    if len(patterns) > most:
+        patterns = patterns[np.linspace(0, len(patterns) - 1, most).astype(int)]
+    if not len(patterns):
+        return best_fit({int(k): int(whole[k]) for k in lengths}, capacity)
+    fitted = fit_counts(patterns, whole.astype(float))
+    order = [k for k in np.argsort(-fitted, kind="stable").tolist() if fitted[k] > 0]
+    shapes = {k: tuple(int(x) for x in patterns[k] if x) for k in order}
+    best = None
+    for rounding in ROUNDINGS:
+        left, plan = whole.tolist(), Counter()
+        for k in order:
+            wanted = rounding(float(fitted[k]))
+            times = min(wanted, *(left[x] // m for x, m in Counter(shapes[k]).items())) if wanted else 0
             if times:
-                plan[pattern] += times
-                for x in pattern:
+                plan[shapes[k]] += times
+                for x in shapes[k]:
                     left[x] -= times
-    plan.update(best_fit({int(k): int(left[k]) for k in np.flatnonzero(left)}, capacity))
-    return plan
+        plan.update(best_fit({k: n for k, n in enumerate(left) if n}, capacity))
+        if best is None or sum(plan.values()) < sum(best.values()):
+            best = plan
+    return best
 
 
 def slot_table(plan: Counter) -> list[tuple]:
@@ -147,7 +161,7 @@ def slot_table(plan: Counter) -> list[tuple]:
 
 
 def pack(pieces: DataFrame, capacity: int, order: list[str], most: int = MOST_PATTERNS) -> DataFrame:
-    """Give every row of `pieces` (column length, 1 to capacity) a sequence_id and an offset; the plan uses at most `most` patterns.
+    """Give every row of `pieces` (column length, 1 to capacity) a sequence_id and an offset; at most `most` patterns are fitted.
 
     Each length is ranked in parts dealt by the `order` columns, so a length
     that a third of all rows have is no single group.  Other columns pass
