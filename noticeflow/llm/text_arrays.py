@@ -9,8 +9,8 @@ _SEED = np.random.default_rng(20240611)
 _BYTE = _SEED.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BASE = 0x9E3779B97F4A7C15 | 1
 _BACK = pow(_BASE, -1, 2**64)
-#: Bytes of text that are worked on at once.
-SLICE = 1 << 20
+#: Bytes of text that are worked on at once, and where eight-byte values are made of each byte.
+SLICE, SHINGLE_SLICE = 1 << 20, 1 << 18
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -47,11 +47,11 @@ def span_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.
     return mix((total[ends] - total[starts]) * down[starts])
 
 
-def slices(offsets: np.ndarray):
-    """(first, last) text numbers of consecutive slices of about SLICE bytes."""
+def slices(offsets: np.ndarray, size: int = SLICE):
+    """(first, last) text numbers of consecutive slices of about `size` bytes."""
     first, n = 0, len(offsets) - 1
     while first < n:
-        last = max(first + 1, int(np.searchsorted(offsets, offsets[first] + SLICE, side="right")) - 1)
+        last = max(first + 1, int(np.searchsorted(offsets, offsets[first] + size, side="right")) - 1)
         yield first, min(last, n)
         first = min(last, n)
 
@@ -77,7 +77,7 @@ def shingle_sets(texts, size: int):
     """
     data, offsets = buffers(texts)
     factors = _SEED_FACTORS[: size + 1]
-    for first, last in slices(offsets):
+    for first, last in slices(offsets, SHINGLE_SLICE):
         at = offsets[first : last + 1] - offsets[first]
         raw = data[offsets[first] : offsets[last]]
         n = len(raw)
