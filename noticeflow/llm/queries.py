@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from noticeflow.llm.divergence import source_divergence
 from noticeflow.llm.exact_dedup import exact_dedup
 from noticeflow.llm.fingerprints import fingerprint_edits
 from noticeflow.llm.license_scan import SPAN, TEMPLATES, license_scan, template_bigrams
+from noticeflow.llm.merkle import as_text, fold, merkle_manifest, proof_digest, row_digest
 from noticeflow.llm.near_dedup import near_dedup
 from noticeflow.llm.packing import pack_documents
 from noticeflow.llm.piece_bpe import encode_pieces
@@ -66,6 +69,23 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_quality(docs, fit_quality(docs, table(spark, sf_dir, "labels")))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    columns = ["doc_id", "source", "lang", "n_chars", "text"]
+    touched = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 0
+    lowered = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    tampered = F.when(touched, row_digest(*columns[:-1], lowered))
+    found = merkle_manifest(table(spark, sf_dir, "documents"), columns, carry={"tampered": tampered})
+    found = found.withColumn("folded", fold(F.coalesce("tampered", "node"), F.col("path")))
+    return found.select(
+        "doc_id", as_text(F.col("node")).alias("leaf"), as_text(F.col("subroot")).alias("subroot"), as_text(F.col("root")).alias("root"), proof_digest(F.col("path")).alias("proof_sha256"),
+        as_text(F.col("folded")).alias("folded_root"), (F.col("folded") == F.col("root")).alias("verified"),
+    )
+
+
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_divergence(table(spark, sf_dir, "documents"))
+
+
 #: Canonical links and refreshes are reached with the same patterns in RE2.
 OP1_SQL = r"""
 WITH RECURSIVE tags AS (
@@ -152,6 +172,79 @@ SELECT doc_id, keep_id, group_size, place = 1 AS kept, text_sha256 FROM r
 """
 
 
+#: crc32 is worked out byte by byte: DuckDB has none.
+OP11_SQL = r"""
+WITH RECURSIVE crc_table AS (
+  SELECT list(c ORDER BY i) AS t FROM (SELECT i, list_reduce(range(8), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END, i) AS c FROM range(256) r(i))
+), rows_ AS (
+  SELECT doc_id, CASE WHEN lang IS NULL THEN '' ELSE '=' || lang END AS g,
+         [doc_id::VARCHAR, source, lang, n_chars::VARCHAR] AS head, text, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS lowered,
+         xor(4294967295, list_reduce(list_transform(range(1, length(doc_id::VARCHAR) + 1), lambda k: ascii(substr(doc_id::VARCHAR, k, 1))::BIGINT),
+             lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]), 4294967295)) % 3 = 0 AS touched
+  FROM documents, crc_table
+), texts AS (
+  SELECT *, list_transform(head || [text], lambda v: CASE WHEN v IS NULL THEN '-' ELSE strlen(v) || ':' || v END) AS values_,
+         list_transform(head || [lowered], lambda v: CASE WHEN v IS NULL THEN '-' ELSE strlen(v) || ':' || v END) AS touched_values FROM rows_
+), leaves AS (
+  SELECT doc_id, g, leaf, start, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, leaf) - 1 AS idx, count(*) OVER (PARTITION BY g) AS n FROM (
+    SELECT doc_id, g, sha256(array_to_string(values_, '')) AS leaf, CASE WHEN touched THEN sha256(array_to_string(touched_values, '')) ELSE sha256(array_to_string(values_, '')) END AS start FROM texts)
+), low(level, g, idx, n, node) AS (
+  SELECT 0, g, idx, n, leaf FROM leaves
+  UNION ALL
+  SELECT level + 1, g, idx // 8, (any_value(n) + 7) // 8, sha256(string_agg(node, '' ORDER BY idx)) FROM low WHERE n > 1 GROUP BY level, g, idx // 8
+), subroots AS (SELECT g, node AS subroot FROM low WHERE n = 1),
+high(level, g, idx, n, node) AS (
+  SELECT 1000, '', row_number() OVER (ORDER BY g) - 1, count(*) OVER (), subroot FROM subroots
+  UNION ALL
+  SELECT level + 1, g, idx // 8, (any_value(n) + 7) // 8, sha256(string_agg(node, '' ORDER BY idx)) FROM high WHERE n > 1 GROUP BY level, g, idx // 8
+), places AS (SELECT g, row_number() OVER (ORDER BY g) - 1 AS place FROM subroots),
+nodes AS (
+  SELECT *, coalesce(string_agg(node, '') OVER (run ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS before_,
+         coalesce(string_agg(node, '') OVER (run ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS after_
+  FROM (SELECT * FROM low WHERE n > 1 UNION ALL SELECT * FROM high WHERE n > 1) WINDOW run AS (PARTITION BY level, g, idx // 8 ORDER BY idx)
+), steps AS (
+  SELECT l.doc_id, l.g AS home, l.idx AS leaf_idx, l.leaf, l.start, list((before_, after_) ORDER BY level) FILTER (WHERE level IS NOT NULL) AS path
+  FROM leaves l JOIN places p USING (g) LEFT JOIN nodes s ON (s.level < 1000 AND s.g = l.g AND s.idx = l.idx // (8 ** s.level)::BIGINT) OR (s.level >= 1000 AND s.idx = p.place // (8 ** (s.level - 1000))::BIGINT)
+  GROUP BY ALL
+), folded AS (
+  SELECT *, coalesce(list_reduce(path, lambda h, s: (sha256(s[1] || h[1] || s[2]), ''), (start, ''))[1], start) AS folded_root,
+         sha256(coalesce(array_to_string(list_transform(path, lambda s: s[1] || s[2]), ''), '')) AS proof_sha256 FROM steps
+)
+SELECT doc_id, leaf, subroot, root, proof_sha256, folded_root, folded_root = root AS verified
+FROM folded JOIN subroots ON g = home CROSS JOIN (SELECT node AS root FROM high WHERE n = 1)
+"""
+
+#: HUGEINT keeps all products exact.
+OP13_SQL = r"""
+WITH docs AS (
+  SELECT row_number() OVER () AS d, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+         translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents
+), words AS (
+  SELECT d, lang, source, unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM docs
+), kept AS (SELECT lang, term, count(*) AS total FROM words GROUP BY ALL HAVING count(DISTINCT d) >= 3),
+counts AS (SELECT lang, source, term, count(*) AS n FROM words SEMI JOIN kept USING (lang, term) GROUP BY ALL),
+langs AS (SELECT lang, count(*) AS v, sum(total) AS lang_n FROM kept GROUP BY lang),
+groups AS (
+  SELECT lang, source, coalesce(v, 0) AS v, coalesce(lang_n, 0) AS lang_n, coalesce(big_n, 0) AS big_n
+  FROM (SELECT DISTINCT lang, source FROM docs) LEFT JOIN langs USING (lang) LEFT JOIN (SELECT lang, source, sum(n) AS big_n FROM counts GROUP BY ALL) USING (lang, source)
+), shares AS (
+  SELECT lang, source, term, coalesce(n, 0) AS n, 1 + 1000000000::HUGEINT * (coalesce(n, 0) + 1) // (big_n + v)::HUGEINT AS p,
+         1 + 1000000000::HUGEINT * (total + 1) // (lang_n + v)::HUGEINT AS q
+  FROM groups JOIN kept USING (lang) LEFT JOIN counts USING (lang, source, term)
+), pairs AS (
+  SELECT lang, source, 'pair' AS part, item, coalesce(value, 0) AS value FROM (
+    SELECT a.lang, a.source, b.source AS item FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source
+  ) LEFT JOIN (
+    SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS value
+    FROM shares a JOIN shares b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL
+  ) USING (lang, source, item)
+), terms AS (SELECT lang, source, 'term' AS part, term AS item, (p - q) * (p - q) // q AS value FROM shares WHERE n > 0 AND p > q)
+SELECT lang, source, part, item, value::BIGINT AS value, rank::INTEGER AS rank FROM (
+  SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM (SELECT * FROM pairs UNION ALL SELECT * FROM terms)
+) WHERE part = 'pair' OR rank <= 200
+"""
+
+
 def queries() -> dict:
     return {
         "op1_url_filter": op1_url_filter,
@@ -164,8 +257,10 @@ def queries() -> dict:
         "op8_pattern_packing": op8_pattern_packing,
         "op9_token_orc": op9_token_orc,
         "op10_quality_classifier": op10_quality_classifier,
+        "op11_merkle_manifest": op11_merkle_manifest,
+        "op13_source_divergence": op13_source_divergence,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_url_filter": OP1_SQL, "op2_license_scan": _op2_sql(), "op7_exact_dedup": OP7_SQL}
+    return {"op1_url_filter": OP1_SQL, "op2_license_scan": _op2_sql(), "op7_exact_dedup": OP7_SQL, "op11_merkle_manifest": OP11_SQL, "op13_source_divergence": OP13_SQL}
