@@ -13,6 +13,7 @@ from noticeflow.llm.merkle import as_text, fold, merkle_manifest, proof_digest,
 from noticeflow.llm.near_dedup import near_dedup
 from noticeflow.llm.packing import pack_documents
 from noticeflow.llm.piece_bpe import encode_pieces
+from noticeflow.llm.pitman_yor import language_scores
 from noticeflow.llm.quality import fit_quality, score_quality
 from noticeflow.llm.shared import Scratch
 from noticeflow.llm.token_orc import span_checksums, token_spans, write_token_orc
@@ -82,6 +83,10 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_scores(table(spark, sf_dir, "documents"))
+
+
 def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_divergence(table(spark, sf_dir, "documents"))
 
@@ -258,6 +263,7 @@ def queries() -> dict:
         "op9_token_orc": op9_token_orc,
         "op10_quality_classifier": op10_quality_classifier,
         "op11_merkle_manifest": op11_merkle_manifest,
+        "op12_pitman_yor": op12_pitman_yor,
         "op13_source_divergence": op13_source_divergence,
     }
 
