@@ -40,7 +40,7 @@ def count_terms(docs: DataFrame) -> DataFrame:
         def emit():
             for (lang, source), terms in count.items():
                 keys, within = list(terms), seen[lang, source]
-                columns = [pa.array([lang] * len(keys)), pa.array([source] * len(keys)), pa.array(keys, pa.string()), pa.array(list(terms.values()), pa.int64()), pa.array([within[k] for k in keys], pa.int64())]
+                columns = [pa.array([lang] * len(keys), pa.string()), pa.array([source] * len(keys), pa.string()), pa.array(keys, pa.string()), pa.array(list(terms.values()), pa.int64()), pa.array([within[k] for k in keys], pa.int64())]
                 yield pa.RecordBatch.from_arrays(columns, names)
 
         for batch in batches:
