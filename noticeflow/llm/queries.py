@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from noticeflow.llm.divergence import source_divergence
 from noticeflow.llm.exact_dedup import exact_dedup
 from noticeflow.llm.fingerprints import fingerprint_edits
-from noticeflow.llm.license_scan import SPAN, TEMPLATES, license_scan, template_bigrams
+from noticeflow.llm.license_scan import TEMPLATES, anchors, license_scan, template_bigrams
 from noticeflow.llm.merkle import as_text, fold, merkle_manifest, proof_digest, row_digest
 from noticeflow.llm.near_dedup import near_dedup
 from noticeflow.llm.packing import pack_documents
@@ -140,25 +140,31 @@ def _op2_sql() -> str:
     rows = ",\n    ".join(
         f"({i}, {quote(name)}, [{', '.join(map(quote, template_bigrams(text)))}])" for i, (name, text) in enumerate(TEMPLATES)
     )
+    laid = ",\n    ".join(f"({quote(g)}, {at}, {n})" for g, places in anchors(TEMPLATES, 0.8).items() for at, n in places)
     return rf"""
 WITH templates(t, license_id, grams) AS (VALUES
     {rows}
-), parts AS (
-  SELECT doc_id, coalesce(text, '') AS text, regexp_split_to_array(coalesce(text, ''), '\n[^A-Za-z0-9\n]*\n') AS p FROM documents
-), units AS (
-  SELECT doc_id, unnest(list_distinct(flatten([string_split(text, chr(10)), p, regexp_split_to_array(text, '[.!?]\s+'),
-    flatten(list_transform(range(1, len(p) + 1), lambda i: list_transform(range(2, {SPAN + 1}), lambda n: array_to_string(p[i:i + n - 1], ' '))))]))) AS unit FROM parts
+), laid(gram, place, n) AS (VALUES
+    {laid}
+), texts AS (SELECT row_number() OVER () AS d, doc_id, coalesce(text, '') AS text FROM documents),
+raw AS (
+  SELECT doc_id, unnest(flatten([string_split(text, chr(10)), regexp_split_to_array(text, '\n[^A-Za-z0-9\n]*\n'), regexp_split_to_array(text, '[.!?]\s+'), [text]])) AS unit,
+         unnest(list_concat(list_transform(flatten([string_split(text, chr(10)), regexp_split_to_array(text, '\n[^A-Za-z0-9\n]*\n'), regexp_split_to_array(text, '[.!?]\s+')]), lambda u: NULL::BIGINT), [d])) AS d FROM texts
 ), words AS (
-  SELECT doc_id, row_number() OVER () AS u,
-         string_split(trim(regexp_replace(translate(unit, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^a-z0-9]+', ' ', 'g')), ' ') AS w
-  FROM units
+  SELECT doc_id, d, string_split(trim(regexp_replace(translate(unit, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^a-z0-9]+', ' ', 'g')), ' ') AS w FROM raw
+), whole AS (SELECT * FROM words WHERE d IS NOT NULL),
+starts AS (
+  SELECT DISTINCT d, i - 1 - place AS s, n FROM (SELECT d, w[i] || ' ' || w[i + 1] AS gram, i FROM whole, range(1, len(w)) r(i)) JOIN laid USING (gram)
+), units AS (
+  SELECT DISTINCT doc_id, w FROM (
+    SELECT doc_id, w FROM words WHERE d IS NULL UNION ALL SELECT doc_id, list_slice(w, greatest(s, 0) + 1, s + n) FROM starts JOIN whole USING (d)) WHERE len(w) >= 2
 ), grams AS (
-  SELECT doc_id, u, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS g FROM words WHERE len(w) >= 2
+  SELECT doc_id, w, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS g FROM units
 ), scored AS (
-  SELECT doc_id, u, license_id, 2.0 * len(list_intersect(g, grams)) / (len(g) + len(grams)) AS dice
+  SELECT doc_id, w, license_id, 2.0 * len(list_intersect(g, grams)) / (len(g) + len(grams)) AS dice
   FROM grams JOIN templates ON len(g) BETWEEN len(grams) / 1.5 - 1 AND len(grams) * 1.5 + 1
 )
-SELECT doc_id, license_id, max(dice)::DOUBLE AS dice, count(*) AS units FROM scored WHERE dice >= 0.8 GROUP BY ALL
+SELECT doc_id, license_id, max(dice)::DOUBLE AS dice, count(DISTINCT w) AS units FROM scored WHERE dice >= 0.8 GROUP BY ALL
 """
 
 

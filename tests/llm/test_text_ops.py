@@ -3,6 +3,7 @@ import hashlib
 import json
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -12,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from noticeflow.llm import fingerprints, packing, quality, token_orc, warc
-from noticeflow.llm.license_scan import TEMPLATES, license_scan, template_bigrams
+from noticeflow.llm.license_scan import TEMPLATES, anchors, license_scan, read_templates, template_bigrams, template_words
 from noticeflow.llm.piece_bpe import encode_pieces, encoder
 from noticeflow.llm.queries import table
 from noticeflow.llm.shared import Scratch
@@ -106,11 +107,13 @@ def test_license_scan_equals_brute_force(spark):
     texts |= {20 + i: "/*\n * " + re.sub(r"(?<=[.:]) ", "\n *\n * ", text.replace("1. ", "- ")) + "\n */\nint main() {}" for i, text in enumerate(whole.values())}
     texts |= {40: "Some words. This work is licensed under the GNU General Public License, version 3. And more of them.", 41: "see (Licensed under CC BY-SA\n4.0.) here", 42: "MIT MIT " * 200}
     df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").withColumns({"unit": F.lit(1), "words": F.lit(1)})
-    want = {}
+    want, laid = {}, anchors(TEMPLATES, 0.8)
     for i, t in texts.items():
-        parts = re.split(r"\n[^A-Za-z0-9\n]*\n", t or "")
-        spans = {" ".join(parts[i : i + n]) for i in range(len(parts)) for n in range(2, 7)}
-        for unit in {*(t or "").split("\n"), *parts, *re.split(r"[.!?]\s+", t or ""), *spans}:
+        words = template_words(t or "")
+        at = {(k - place, n) for k, g in enumerate(f"{a} {b}" for a, b in zip(words, words[1:])) for place, n in laid.get(g, ())}
+        windows = {" ".join(words[max(s, 0) : max(s + n, 0)]) for s, n in at}
+        plain = {*(t or "").split("\n"), *re.split(r"\n[^A-Za-z0-9\n]*\n", t or ""), *re.split(r"[.!?]\s+", t or "")}
+        for unit in {" ".join(template_words(u)) for u in plain} | windows:
             grams = set(template_bigrams(unit))
             for name, text in TEMPLATES:
                 other = set(template_bigrams(text))
@@ -123,6 +126,26 @@ def test_license_scan_equals_brute_force(spark):
     assert license_scan(df.where("false")).count() == 0 and license_scan(df, templates=[]).count() == 0
 
 
+def test_license_scan_of_long_texts(spark, tmp_path):
+    """Whole licences in many paragraphs, embedded notices, and work in proportion to a text of very many paragraphs."""
+    opening = {name: text for name, text in TEMPLATES if name in ("Apache-2.0", "GPL-3.0", "MPL-2.0", "AGPL-3.0")}
+    texts = ["head\n\n" + text.replace(" ", "\n\n") + "\n\nmore\n\n" * 300 for text in opening.values()]
+    texts.append("We note that this work is licensed under the GNU General Public License, version 3, or so we hope, and nothing else matters here")
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {(r["doc_id"], r["license_id"]) for r in license_scan(df).collect()}
+    assert {*enumerate(opening), (len(opening), "GPL-3.0")} <= found
+    (tmp_path / "Own-1.0.txt").write_text("one two three four five\n\nsix seven eight nine ten")
+    own = read_templates(spark, f"file://{tmp_path}")
+    assert [n for n, _ in own] == ["Own-1.0"] and license_scan(df.limit(1).select(F.lit(1).alias("doc_id"), F.lit("a one two three\n\nfour five six seven eight nine ten b").alias("text")), own).first()["dice"] == 1.0
+    took = []
+    for n in (1, 20_000):
+        long = spark.createDataFrame([(1, "a license of ours, short\n\n" * n), (2, "Released under the MIT License.\n\n" * n)], "doc_id long, text string")
+        start = time.time()
+        assert [(r["doc_id"], r["license_id"], r["units"]) for r in license_scan(long).collect()] == [(2, "MIT", 1)]
+        took.append(time.time() - start)
+    assert took[1] < took[0] + 20
+
+
 def ids_of(enc, texts):
     """Ids of each text, from the slices that an encoder gives out."""
     return [ids[a:b].tolist() for _, _, ids, at in enc.encode_batch(pa.array(texts, pa.string())) for a, b in zip(at[:-1], at[1:])]
