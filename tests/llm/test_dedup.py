@@ -4,7 +4,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from noticeflow.llm.exact_dedup import DigestIndex, exact_dedup, keep_first_copies, text_digests
+from noticeflow.llm.exact_dedup import DigestIndex, exact_dedup, first_rows, keep_first_copies, text_digests
 from noticeflow.graph import connected_components
 from noticeflow.llm.near_dedup import band_plan, keep_one_of_each, near_dedup
 from noticeflow.llm.shared import IdFilter, Scratch, drop_ids
@@ -140,21 +140,46 @@ def test_exact_dedup_repeated_rows(spark):
 
 def test_index_persists(spark, tmp_path):
     path = f"file://{tmp_path}/index"
-    first = DigestIndex(spark, path, 4)
-    first.append(text_digests(frame(spark, [(1, "a"), (2, "b")])))
-    again = DigestIndex(spark, path, 4)
-    new = again.append(text_digests(frame(spark, [(3, "b"), (4, "c"), (5, "c ")])))
-    assert again.table().count() == 3
-    late = {r["doc_id"]: r["keep_id"] for r in exact_dedup(frame(spark, [(6, "c"), (7, "d")]), path, 4).collect()}
-    assert late == {6: 5, 7: 7} and new.columns[0] == "text_sha256"
+    groups = lambda *texts: first_rows(text_digests(frame(spark, texts)))
+    DigestIndex(spark, path).append(groups((1, "a"), (2, "b")), "one")
+    again = DigestIndex(spark, path, expected=10**9)
+    again.append(groups((3, "b"), (4, "c"), (5, "c ")), "two")
+    assert again.table().count() == 3 and again.buckets == 4  # as it was made
+    late = {r["doc_id"]: r["keep_id"] for r in exact_dedup(frame(spark, [(6, "c"), (7, "d")]), path).collect()}
+    assert late == {6: 5, 7: 7} and DigestIndex(spark, f"{path}-2", expected=10**9).buckets == 1024
+
+
+def test_index_is_read_in_place(spark, tmp_path):
+    """No exchange stands over the index, neither before what is new is found nor after."""
+    index = DigestIndex(spark, f"file://{tmp_path}/index")
+    groups = first_rows(text_digests(frame(spark, [(i, f"t{i}") for i in range(1000)])))
+    index.append(groups, "one")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = index.entries(groups)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    side = plan[plan.index("Scan ExistingRDD") :]  # what stands behind the groups' own side
+    assert "SortMergeJoin" in plan and "Bucketed: true" in side and "Exchange" not in side and "Exchange" in plan
 
 
 def test_indexed_rows_stay_only_once(spark, tmp_path):
     path, docs = f"file://{tmp_path}/index", frame(spark, [(1, "a"), (2, "b"), (3, "b"), (None, "c")]).coalesce(1)
-    assert sum(r["kept"] for r in exact_dedup(docs, path, 4).collect()) == 3
-    assert not any(r["kept"] for r in exact_dedup(docs, path, 4).collect())
-    later = exact_dedup(frame(spark, [(7, "a"), (8, "d")]).coalesce(1), path, 4).collect()
-    assert {r["doc_id"]: (r["keep_id"], r["kept"]) for r in later} == {7: (1, False), 8: (8, True)}
+    rows = lambda df, batch: sorted(((r["doc_id"], r["keep_id"], r["group_size"], r["kept"]) for r in exact_dedup(df, path, batch).collect()), key=str)
+    first = rows(docs, "one")
+    assert sum(kept for *_, kept in first) == 3
+    later = rows(frame(spark, [(7, "a"), (8, "d"), (8, "d")]), "two")
+    assert sorted(later) == [(7, 1, 1, False), (8, 8, 2, False), (8, 8, 2, True)]
+    # the same batches once more, dealt otherwise, as after a lost driver
+    assert rows(docs.repartition(3), "one") == first and rows(frame(spark, [(7, "a"), (8, "d"), (8, "d")]), "two") == later
+    assert not any(kept for *_, kept in rows(docs, "three"))
+
+
+def test_index_takes_up_where_a_batch_broke_off(spark, tmp_path):
+    path, texts = f"file://{tmp_path}/index", [(i, f"t{i}") for i in range(1000)]
+    DigestIndex(spark, path).append(first_rows(text_digests(frame(spark, texts[:400]))), "one")  # as far as it came
+    assert sum(r["kept"] for r in exact_dedup(frame(spark, texts), path, "one").collect()) == 1000
 
 
 def test_near_dedup_decides_by_row(spark):
