@@ -1,9 +1,9 @@
 """Token ids in ORC: run-length encoded integers, row indexes and Bloom filters on document ids.
 
-One folder per range of doc_id (`range=0`, `range=1`, ... in ascending order),
-each holding its documents in ascending order.  A reader takes stripes in
-parallel, skips folders by range, stripes and row groups by the doc_id
-statistics, and row groups by the Bloom filter.
+One file per range of doc_id, each holding its documents in ascending order;
+column `range` numbers the ranges in ascending order.  A reader takes stripes in
+parallel, skips files, stripes and row groups by the statistics of doc_id and
+range, and row groups by the Bloom filter.
 """
 
 from __future__ import annotations
@@ -12,9 +12,29 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from noticeflow.llm.shared import give_back, shuffle_parts
+from noticeflow.llm.shared import Scratch, give_back, shuffle_parts
 
-SCHEMA = "doc_id long, ids array<int>, n_tokens long, range_start long, range int"
+SCHEMA = "range int, doc_id long, ids array<int>, n_tokens long, range_start long"
+
+
+def encode_texts(docs: DataFrame, path: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, h, ids): the ids of every whole text and the end id; h is a hash of the text."""
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("h"), text.alias("text"))
+
+    def work(batches):
+        import pyarrow as pa
+
+        from noticeflow.llm.tokens import encoder
+
+        enc = encoder(path)
+        for batch in batches:
+            for first, last, ids, at in enc.encode_batch(batch.column(2), (end_id,)):
+                lists = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(ids.view(np.int32)))
+                yield pa.RecordBatch.from_arrays([batch.column(0)[first:last], batch.column(1)[first:last], lists], ["doc_id", "h", "ids"])
+        give_back()
+
+    return rows.mapInArrow(work, "doc_id long, h long, ids array<int>")
 
 
 def write_token_orc(
@@ -22,38 +42,35 @@ def write_token_orc(
 ) -> None:
     """Tokenise whole texts, append the end id, and write them in ascending doc_id order.
 
-    Texts move once, to ranges of doc_id, and are encoded there in order.  Null
-    texts count as empty (the end id alone); rows that repeat a doc_id, nulls
-    (which come first) included, are ordered by a hash of the text, so that a
-    doc_id of very many rows may take several ranges; an empty table gives no
-    files; columns besides id and text are not read.
+    Texts are encoded where they are read; their ids are written once and moved
+    to ranges of doc_id, which are sorted and written by one task each, with
+    nothing behind the sort that could change the order.  Null texts count as
+    empty (the end id alone); rows that repeat a doc_id, nulls (which come first)
+    included, are ordered by a hash of the text and their ids, so that a doc_id
+    of very many rows may take several ranges; an empty table gives no rows; ids
+    that are not numbers are an error; columns besides id and text are not read.
     """
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("h"))
-    order = ["doc_id", "h", "text"]
-    dealt = rows.repartitionByRange(shuffle_parts(docs.sparkSession), "doc_id", "h").sortWithinPartitions(*order)
-    dealt = dealt.select("doc_id", "text", F.spark_partition_id().alias("range"))  # ranges are numbered in ascending order
+    scratch = Scratch(docs.sparkSession, "token-ids")
+    rows = scratch.save(encode_texts(docs, path, end_id, id_col, text_col), "ids")
+    dealt = rows.repartitionByRange(shuffle_parts(docs.sparkSession), "doc_id", "h").sortWithinPartitions("doc_id", "h", "ids")
+    dealt = dealt.select(F.spark_partition_id().alias("range"), "doc_id", "ids", F.size("ids").cast("long").alias("n_tokens"))  # ranges are numbered in ascending order
 
     def work(batches):
         import pyarrow as pa
 
-        from noticeflow.llm.tokens import encoder
-
-        enc, total = encoder(path), 0  # a task has one range
+        total = 0  # a task has one range
         for batch in batches:
-            for first, last, ids, at in enc.encode_batch(batch.column(1), (end_id,)):
-                lists = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(ids.view(np.int32)))
-                columns = [batch.column(0)[first:last], lists, pa.array(np.diff(at)), pa.array(at[:-1] + total), batch.column(2)[first:last]]
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "ids", "n_tokens", "range_start", "range"])
-                total += int(at[-1])
-        give_back()
+            after = total + np.cumsum(batch.column(3).to_numpy())
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.append(total, after[:-1]).astype(np.int64))], ["range", "doc_id", "ids", "n_tokens", "range_start"])
+            total = int(after[-1])
 
     (
-        dealt.mapInArrow(work, SCHEMA).write.partitionBy("range")
+        dealt.mapInArrow(work, "range int, doc_id long, ids array<int>, n_tokens long, range_start long").write
         .option("orc.bloom.filter.columns", "doc_id").option("orc.bloom.filter.fpp", "0.01")
         .option("orc.stripe.size", str(stripe_mb << 20)).option("orc.row.index.stride", str(index_stride)).option("compression", "zstd")
         .orc(folder)
     )
+    scratch.drop("ids")
 
 
 def read_token_orc(spark: SparkSession, folder: str) -> DataFrame:

@@ -294,6 +294,25 @@ def test_fingerprint_edits(spark, docs, plain):
     assert len(spans["hashes"]) == len(spans["positions"])
 
 
+def test_fingerprint_ranges_part_hot_ids(spark, docs):
+    """A doc_id that a third of the rows have, and a third without one, take several ranges, in order."""
+    i = F.col("doc_id")
+    rows = docs.withColumn("doc_id", F.when(i % 3 == 0, 100).when(i % 3 == 1, i)).withColumn("h", F.xxhash64("text"))
+    number, count = fingerprints.ordered_ranges(rows, 16)
+    found = rows.withColumn("range", number).select("doc_id", "h", "range").collect()
+    in_order = sorted(found, key=lambda r: (r["doc_id"] is None, -(r["doc_id"] or 0), r["h"]))
+    numbers = [r["range"] for r in in_order]
+    assert numbers == sorted(numbers, reverse=True) and 0 <= min(numbers) and max(numbers) < count
+    sizes = np.bincount(numbers)
+    assert sizes.max() < 40 and len({r["range"] for r in found if r["doc_id"] == 100}) > 3 < len({r["range"] for r in found if r["doc_id"] is None})
+    edits = fingerprints.fingerprint_edits(rows).collect()
+    assert len(edits) == docs.count()
+    following = in_order[1:] + in_order[:1]
+    texts = {r["h"]: r["text"] for r in rows.select("h", "text").collect()}
+    want = sorted(hashlib.sha256((t[: len(t) - len(t) // 3] + n[: len(t) // 3]).encode()).hexdigest() for t, n in ((texts[a["h"]], texts[b["h"]]) for a, b in zip(in_order, following)))
+    assert sorted(r["edited_sha256"] for r in edits) == want
+
+
 def test_winnow_shares_hashes_with_every_edit():
     """Texts of any length share a hash with an edit that keeps two thirds, also if the edit is shorter."""
     rnd = random.Random(5)
@@ -399,6 +418,19 @@ def test_token_files(spark, docs, plain):
     assert token_orc.token_spans(spark, none).count() == 0
 
 
+def test_token_files_are_in_order(spark, docs, plain, tmp_path):
+    """Every file ascends by doc_id and files don't overlap, also where a doc_id has a third of the rows; no sort stands behind the encoder."""
+    from pyarrow import orc
+
+    rows = docs.withColumn("doc_id", F.when(F.col("doc_id") % 3 == 0, 7).otherwise(F.col("doc_id")))
+    token_orc.write_token_orc(rows, f"file://{tmp_path}/orc", vocabulary("word_bpe_49k.json"), end_id=1)
+    files = sorted((orc.ORCFile(str(f)).read().to_pandas() for f in tmp_path.glob("orc/*.orc")), key=lambda t: t["range"].iloc[0])
+    assert len(files) == 4 and sum(map(len, files)) == len(plain)
+    whole = [i for t in files for i in t.doc_id]
+    assert whole == sorted(whole) and all((t.range_start == t.n_tokens.cumsum() - t.n_tokens).all() and (t["range"] == t["range"].iloc[0]).all() for t in files)
+    assert sum(7 in set(t.doc_id) for t in files) > 1
+
+
 def test_quality_on_held_out_rows(spark):
     sf = SF.replace("0.001", "0.1")
     docs, labels = table(spark, sf, "documents"), table(spark, sf, "labels")
