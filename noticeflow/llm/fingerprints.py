@@ -9,11 +9,13 @@ hashes with an edit of themselves, too.
 
 from __future__ import annotations
 
+from collections import Counter
+
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from noticeflow.llm.shared import deal_ranges, give_back, range_bounds, range_of, shuffle_parts
+from noticeflow.llm.shared import deal_ranges, give_back, range_of, shuffle_parts
 
 GRAM, WINDOW = 16, 8
 #: A text of n < 4 * GRAM code points keeps every run of each of these lengths g with g <= n < 4 * g.  As they double, one
@@ -101,6 +103,29 @@ def fingerprint_documents(docs: DataFrame, gram: int | None = None, window: int
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(work, schema)
 
 
+def ordered_ranges(rows: DataFrame, parts: int) -> tuple[Column, int]:
+    """(number of a row's range, how many ranges there are), ascending by doc_id (null lowest), then descending by h.
+
+    A doc_id with more than a range's share of the rows, or no doc_id, is parted
+    by the hash h.
+    """
+    points = F.percentile_approx("doc_id", F.array(*[F.lit(i / parts) for i in range(1, parts)] or [F.lit(0.5)]), 20 * parts)
+    found = rows.agg(points.alias("p"), F.count_if(F.col("doc_id").isNull()).alias("lone"), F.count("*").alias("n")).first()
+    times = Counter(found["p"] or [])
+    bounds = sorted(times)
+    # a bound that comes m > 1 times has m ranges of its own besides that of the ids below it
+    own = [times[b] if times[b] > 1 else 0 for b in bounds] + [0]
+    lone = 1 + found["lone"] * parts // max(1, found["n"])
+    base = [lone + i + sum(own[:i]) for i in range(len(own))]
+    longs = lambda values: f"array({', '.join(f'{v}L' for v in values)})"
+    place = range_of("doc_id", bounds).cast("int")
+    at = lambda values: F.element_at(F.expr(longs(values)), place + 1)
+    part = lambda m: m - 1 - F.floor(F.least((F.col("h") / F.lit(2.0**64) + 0.5) * m, m - 1))
+    hot = (at(own) > 0) & (F.col("doc_id") == at([*bounds, 0]))
+    number = F.when(F.col("doc_id").isNull(), part(F.lit(lone))).when(hot, at(base) + 1 + part(at(own))).otherwise(at(base))
+    return number.cast("int"), base[-1] + own[-1] + 1
+
+
 def fingerprint_edits(docs: DataFrame, gram: int | None = None, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Fingerprints of every text with their positions, of its edit with the next document, and their likeness.
 
@@ -110,26 +135,25 @@ def fingerprint_edits(docs: DataFrame, gram: int | None = None, window: int = WI
     first); the edit replaces the last floor(n/3) code points by as many first
     ones of the next text.  Texts move once: to ranges of doc_id, each with the
     first document of the following range as a guest.  Rows that repeat a doc_id
-    are ordered by text; null texts are empty; a null doc_id comes last; a table
+    are ordered by a hash of the text, by which a doc_id of very many rows takes
+    several ranges, then by text; ids that are not numbers are an error; null texts are empty; a null doc_id comes last; a table
     of one row has itself as the next; an empty table gives an empty result.
     """
     spark = docs.sparkSession
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    parts = shuffle_parts(spark)
-    bounds = range_bounds(rows, "doc_id", parts)
-    placed = rows.withColumn("range", range_of("doc_id", bounds))
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("h"))
+    number, count = ordered_ranges(rows, shuffle_parts(spark))
+    placed = rows.withColumn("range", number)
     # the first document of each range, at most one a range
-    tops = {r["range"]: r["top"] for r in placed.groupBy("range").agg(F.max("doc_id").alias("top")).collect()}
+    top = F.max(F.struct(F.col("doc_id").isNotNull().alias("known"), "doc_id", F.bitwise_not("h").alias("below"))).alias("top")
+    tops = {r["range"]: (r["top"]["doc_id"], ~r["top"]["below"]) for r in placed.groupBy("range").agg(top).collect()}
     order = sorted(tops, reverse=True)
-    guest_of = {tops[r]: order[(i - 1) % len(order)] for i, r in enumerate(order)}
-    known = [(top, home) for top, home in guest_of.items() if top is not None]
-    guests = spark.createDataFrame(known, "doc_id long, range int")  # at most `parts` rows
-    first = rows.join(F.broadcast(guests), "doc_id").groupBy("doc_id", "range").agg(F.min("text").alias("text"))
-    if None in guest_of:  # a range of null ids only
-        lone = rows.where("doc_id IS NULL").agg(F.min("text").alias("text")).select(F.lit(None).cast("long").alias("doc_id"), F.lit(guest_of[None]).alias("range"), "text")
-        first = first.unionByName(lone)
-    both = placed.withColumn("guest", F.lit(0)).unionByName(first.withColumn("guest", F.lit(1)).select("doc_id", "text", "range", "guest"))
-    dealt = deal_ranges(both, parts).sortWithinPartitions(F.col("range"), F.col("guest"), F.col("doc_id").desc_nulls_last(), F.col("text"))
+    guests = [(*tops[r], order[(i - 1) % len(order)]) for i, r in enumerate(order)]
+    guests = spark.createDataFrame(guests, "guest_id long, h long, range int")  # at most `count` rows
+    first = rows.join(F.broadcast(guests), (rows["h"] == guests["h"]) & rows["doc_id"].eqNullSafe(guests["guest_id"]))
+    first = first.groupBy(rows["doc_id"], rows["h"], "range").agg(F.min("text").alias("text"))
+    both = placed.withColumn("guest", F.lit(0)).unionByName(first.withColumn("guest", F.lit(1)))
+    dealt = deal_ranges(both, count).sortWithinPartitions(F.col("range"), F.col("guest"), F.col("doc_id").desc_nulls_last(), F.col("h"), F.col("text"))
 
     def work(batches):
         import hashlib

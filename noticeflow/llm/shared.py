@@ -61,15 +61,6 @@ def text_or_empty(column: str = "text"):
     return F.coalesce(F.col(column), F.lit(""))
 
 
-def range_bounds(df: DataFrame, key: str, ranges: int) -> list:
-    """At most ranges-1 ascending split points of a numeric key (driver memory is bounded by `ranges`)."""
-    if ranges < 2:
-        return []
-    points = [i / ranges for i in range(1, ranges)]
-    found = df.agg(F.percentile_approx(key, F.array(*[F.lit(p) for p in points]), 20 * ranges).alias("p")).first()["p"]
-    return sorted(set(found or []))
-
-
 def range_of(key: str, bounds: list):
     """Range number of a key, ascending: the number of bounds below it; a null key goes to range 0.
 
