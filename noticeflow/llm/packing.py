@@ -239,4 +239,5 @@ def pack_documents(docs: DataFrame, path: str, end_id: int = 0, capacity: int =
     """
     scratch = Scratch(docs.sparkSession, "packing")
     pieces = scratch.save(cut_documents(docs, path, end_id, capacity, ids), "pieces")
-    return pack(pieces, capacity, ["doc_id", "piece"])
+    # rows of one doc_id and length are told apart by what they hold: equal ones may change places
+    return pack(pieces, capacity, ["doc_id", "piece", "start", "ids_crc32"])
