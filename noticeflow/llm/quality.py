@@ -8,6 +8,8 @@ is fitted on labelled documents the dictionaries have not seen.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -221,7 +223,9 @@ def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD)
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("double")
-    def score(texts: pd.Series) -> pd.Series:
-        return pd.Series(scores(texts, sent.value, compressors(sent.value)))
+    def score(slices: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        made = compressors(sent.value)  # once a task
+        for texts in slices:
+            yield pd.Series(scores(texts, sent.value, made))
 
     return docs.where(score(F.col("text")) >= threshold)
