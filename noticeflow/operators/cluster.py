@@ -18,44 +18,139 @@ BLOCK = 2000
 LOCAL_EDGES = 1 << 20
 
 
+def plain_set(items: str | Column) -> Column:
+    """An array's distinct tokens in ascending order, without nulls; a null array is an empty one."""
+    items = F.col(items) if isinstance(items, str) else items
+    return F.array_sort(F.array_distinct(F.array_compact(F.coalesce(items, F.array().cast("array<string>")))))
+
+
+def _signature(items: str, half: int) -> Column:
+    """64 of 128 bits, of which each token of a set sets one: sets differ in at least as many tokens as their bits differ."""
+    bit = "cast(pmod(xxhash64(x), 128) as int)"
+    return F.expr(f"aggregate({items}, 0L, (a, x) -> a | if({bit} div 64 = {half}, shiftleft(1L, {bit} % 64), 0L))")
+
+
 def _prefixes(sets: DataFrame, key: str, items: str, threshold: float) -> DataFrame:
-    """(k, s, n, p, r, t): for each of a set's rarest tokens t, which p lists, its place r and all of the set, in order of rarity."""
-    rows = sets.select(F.col(key).alias("k"), F.array_distinct(items).alias("s")).where(F.size("s") > 0)
+    """(k, s, n, p, b0, b1, r, t): for each of a set's rarest tokens t, which p lists, its place r and all of the set, in order of rarity, with its bits."""
+    rows = sets.select(F.col(key).alias("k"), plain_set(items).alias("s")).where(F.size("s") > 0)
     flat = rows.select("k", F.explode("s").alias("t"))
     frequency = flat.groupBy("t").agg(F.count("*").alias("f"))
     # one shuffle puts a set together again, with its tokens from rare to common
     ordered = F.transform(F.array_sort(F.collect_list(F.struct("f", "t"))), lambda x: x["t"])
-    ranked = spread_join(flat, frequency, "t").groupBy("k").agg(ordered.alias("s")).withColumn("n", F.size("s"))
+    ranked = spread_join(flat, frequency, "t").groupBy("k").agg(ordered.alias("s")).withColumns({"n": F.size("s"), "b0": _signature("s", 0), "b1": _signature("s", 1)})
     keep = (F.col("n") - F.ceil(F.col("n") * F.lit(threshold) - 1e-9) + 1).cast("int")
     return ranked.withColumn("p", F.slice("s", F.lit(1), keep)).select("*", F.posexplode("p").alias("r", "t"))
 
 
+def _block_pairs(entries: DataFrame) -> DataFrame:
+    """Entries with their block `own` of the token's list, once for each pair (i, j) of blocks it is in; tokens of one entry are left out."""
+    blocks = entries.groupBy("t").agg(F.ceil(F.count("*") / F.lit(float(BLOCK))).cast("int").alias("blocks"), F.count("*").alias("m")).where("m > 1").drop("m")
+    dealt = spread_join(entries, blocks, "t").withColumn("own", F.pmod(F.xxhash64("k", "t"), F.col("blocks").cast("long")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
+    return dealt.withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")}).drop("other")
+
+
 def jaccard_pairs(sets: DataFrame, key: str, items: str, threshold: float) -> DataFrame:
     """(a, b, jaccard) of all pairs a < b of rows whose distinct non-empty token arrays have Jaccard >= threshold > 0.
 
     Prefix filter: two such sets share one of the rarest n - ceil(t*n) + 1 tokens
-    of each, so only those are joined.  Sizes and the places of the shared token
-    bound the overlap before sets are compared, and a pair is taken at the first
-    token that both prefixes hold, so it comes out once.  The list of a token
-    that very many rows hold is dealt into blocks, of which every pair meets in
-    a task of its own.  `key` must be unique; rows without tokens are in no pair.
+    of each, so only those are joined.  Sizes, the places of the shared token and
+    the bits in which the sets' signatures differ bound the overlap before sets
+    are compared, and a pair is taken at the first token that both prefixes hold,
+    so it comes out once.  The list of a token that very many rows hold is dealt
+    into blocks, of which every pair meets in a task of its own.  `key` must be
+    unique; null tokens are none; rows without tokens are in no pair.
     """
     scratch = Scratch(sets.sparkSession, "jaccard")
     entries = scratch.save(_prefixes(sets, key, items, threshold), "prefixes")
-    blocks = entries.groupBy("t").agg(F.ceil(F.count("*") / F.lit(float(BLOCK))).cast("int").alias("blocks"))
-    dealt = spread_join(entries, blocks, "t").withColumn("own", F.pmod(F.xxhash64("k", "t"), F.col("blocks").cast("long")).cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("t", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "k", "s", "n", "p", "r")
-    a, b = (dealt.select("t", "i", "j", *[F.col(c).alias(f"{c}{x}") for c in ("own", "k", "s", "n", "p", "r")]) for x in "ab")
-    least = F.ceil(F.lit(threshold / (1 + threshold)) * (F.col("na") + F.col("nb")) - 1e-9)
+    dealt = _block_pairs(entries)
+    a, b = (dealt.select("t", "i", "j", *[F.col(c).alias(f"{c}{x}") for c in ("own", "k", "s", "n", "p", "r", "b0", "b1")]) for x in "ab")
+    total = F.col("na") + F.col("nb")
+    least = F.ceil(F.lit(threshold / (1 + threshold)) * total - 1e-9)
+    apart = F.bit_count(F.expr("b0a ^ b0b")) + F.bit_count(F.expr("b1a ^ b1b"))
     fits = (
         (F.col("ka") < F.col("kb")) & ((F.col("i") == F.col("j")) | (F.col("owna") != F.col("ownb")))
         & (F.least(F.col("na") - F.col("ra"), F.col("nb") - F.col("rb")) >= least)  # the shared token and what follows it
+        & (total - apart >= 2 * least)
         & (F.col("t") == F.try_element_at(F.array_intersect("pa", "pb"), F.lit(1)))
     )
     both = F.size(F.array_intersect("sa", "sb"))
     pairs = a.join(b, ["t", "i", "j"]).where(fits)
-    return pairs.select(F.col("ka").alias("a"), F.col("kb").alias("b"), (both / (F.col("na") + F.col("nb") - both)).alias("jaccard")).where(F.col("jaccard") >= threshold)
+    return pairs.select(F.col("ka").alias("a"), F.col("kb").alias("b"), (both / (total - both)).alias("jaccard")).where(F.col("jaccard") >= threshold)
+
+
+def similar_groups(sets: DataFrame, key: str, items: str, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """(pairs of representatives (a, b, jaccard), membership (key, representative)): `jaccard_pairs` without listing equal sets.
+
+    Equal sets have one representative, the smallest key, so a crowd of equal
+    rows is as many rows of the membership and no pair; two rows are alike
+    exactly if their representatives are the same or a pair.  Rows without
+    tokens are in no group.
+    """
+    scratch = Scratch(sets.sparkSession, "groups")
+    keyed = sets.select(F.col(key).alias("k"), plain_set(items).alias("s")).where(F.size("s") > 0)
+    nodes = scratch.save(keyed.groupBy("s").agg(F.min("k").alias("representative")), "nodes")
+    members = spread_join(keyed, nodes, "s").select(F.col("k").alias(key), "representative")
+    return jaccard_pairs(nodes, "representative", "s", threshold), members
+
+
+def _first_alike(entries: DataFrame, probes: DataFrame, index: DataFrame | None, threshold: float) -> DataFrame:
+    """(o, b): for each probe row the earliest row of the index before it that is alike, if any; without an index of the probes.
+
+    `entries` are those of `_prefixes`; the others are tables of o, without rows
+    in common.  A row is compared with earlier ones in ascending order until one
+    is alike, so a crowd costs a comparison a row and not one a pair; no pair is
+    given out but the one found.
+    """
+    kind = entries.schema["k"].dataType.simpleString()
+    sides = [probes.select(F.col("o").alias("k"), F.lit(1).alias("probe"), F.lit(0 if index is not None else 1).alias("index"))]
+    if index is not None:
+        sides.append(index.select(F.col("o").alias("k"), F.lit(0).alias("probe"), F.lit(1).alias("index")))
+    chosen = entries.select("k", "t", "s", "n", "b0", "b1").join(sides[0] if index is None else sides[0].unionByName(sides[1]), "k")
+    groups = 8 * int(entries.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # of whole lists or pairs of blocks
+    dealt = _block_pairs(chosen).withColumn("deal", F.pmod(F.xxhash64("t", "i", "j"), F.lit(groups)))
+
+    def work(pdf):
+        import numpy as np
+        import pandas as pd
+
+        pdf = pdf.sort_values(["t", "i", "j", "k"], ignore_index=True)
+        change = (pdf[["t", "i", "j"]] != pdf[["t", "i", "j"]].shift()).any(axis=1).to_numpy()
+        bounds = np.append(np.flatnonzero(change), len(pdf))
+        keys, own, n = pdf["k"].tolist(), pdf["own"].to_numpy(), pdf["n"].to_numpy().astype(float)
+        bits = pdf[["b0", "b1"]].to_numpy(np.int64).view(np.uint64)
+        probe, known, sets = pdf["probe"].to_numpy() > 0, pdf["index"].to_numpy() > 0, [None] * len(pdf)
+        split, out = (pdf["i"] != pdf["j"]).to_numpy(), []
+
+        def tokens_of(k):
+            if sets[k] is None:
+                sets[k] = set(pdf["s"].iloc[k])
+            return sets[k]
+
+        def found(k, earlier):
+            start, step = 0, 32
+            while start < len(earlier):
+                some = earlier[start : start + step]
+                apart = np.bitwise_count(bits[some] ^ bits[k]).sum(axis=1)
+                for x in some[apart * (1 + threshold) <= (1 - threshold) * (n[some] + n[k]) + 1e-6]:
+                    shared = len(tokens_of(x) & tokens_of(k))
+                    if shared / (n[x] + n[k] - shared) >= threshold:
+                        return x
+                start, step = start + step, step * 8
+            return None
+
+        for low, high in zip(bounds[:-1], bounds[1:]):
+            rows = np.arange(low, high)
+            sides = {b: rows[known[low:high] & (own[low:high] != b)] for b in set(own[low:high])} if split[low] else {own[low]: rows[known[low:high]]}
+            for k in rows[probe[low:high]]:
+                earlier = sides[own[k]]
+                x = found(k, earlier[: np.searchsorted(earlier, k)])
+                if x is not None:
+                    out.append((keys[k], keys[x]))
+        return pd.DataFrame({"o": pd.Series([a for a, _ in out], dtype=pdf["k"].dtype), "b": pd.Series([b for _, b in out], dtype=pdf["k"].dtype)})
+
+    hits = dealt.groupBy("deal").applyInPandas(work, f"o {kind}, b {kind}")
+    return hits.groupBy("o").agg(F.min("b").alias("b"))
 
 
 def _elected(undecided: DataFrame, edges: DataFrame, scratch: Scratch, turn: int) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -92,28 +187,55 @@ def leader_cluster(df: DataFrame, order: str, items: str, threshold: float = 0.6
 
     Rows in ascending order join the earliest cluster whose leader has Jaccard
     >= threshold with them, or lead a new one.  The leaders are the first
-    maximal independent set of the similarity graph in that order.  Two rounds
-    of election settle most rows; what is left falls into components, of which
-    those of at most LOCAL_EDGES edges are settled by one task each (so a chain
-    of any such length takes no more rounds), and only larger ones go on with
-    rounds.  Equal token sets are one node; rows without tokens form one
-    cluster.  `order` must be unique.
+    maximal independent set of the similarity graph in that order, of which only
+    what is needed is looked at: in a round, rows without an earlier undecided
+    row like them lead, and those like a new leader are decided, so that a crowd
+    of m rows costs m comparisons.  Rounds go on while they decide half of the
+    rows; the edges of the few that are left are listed, and their components,
+    of which those of at most LOCAL_EDGES edges are settled by one task each (so
+    a chain of any such length takes no more rounds), go on with rounds of
+    election only where they are larger.  Equal token sets are one node; null
+    tokens are none; rows without tokens, null arrays included, form one
+    cluster.  `order` must be unique and not null.
     """
-    spark = df.sparkSession
-    scratch = Scratch(spark, "leaders")
-    keyed = df.withColumn("__set", F.array_join(F.array_sort(F.array_distinct(items)), " "))
+    scratch = Scratch(df.sparkSession, "leaders")
+    keyed = df.withColumn("__set", plain_set(items))
     nodes = scratch.save(keyed.groupBy("__set").agg(F.min(order).alias("o")), "nodes")
-    parted = nodes.withColumn("s", F.when(F.col("__set") == "", F.array().cast("array<string>")).otherwise(F.split("__set", " ")))
-    edges = scratch.save(jaccard_pairs(parted, "o", "s", threshold).select("a", "b"), "edges")
+    entries = scratch.save(_prefixes(nodes, "o", "__set", threshold), "entries")
+    leaders = nodes.where(F.size("__set") == 0).select("o")
+    left, count, turn = nodes.where(F.size("__set") > 0).select("o"), None, 0
+    while count is None or count:
+        alike = scratch.save(_first_alike(entries, left, None, threshold), f"alike-{turn}")
+        led = scratch.save(left.join(alike, "o", "left_anti"), f"first-{turn}")
+        leaders = leaders.unionByName(led)
+        waiting = alike.join(led.withColumnRenamed("o", "b"), "b", "left_anti").select("o")
+        waiting = scratch.save(waiting, f"waiting-{turn}")
+        decided = _first_alike(entries, waiting, led, threshold)
+        left = scratch.save(waiting.join(decided, "o", "left_anti"), f"left-{turn}")
+        before, count, turn = count, left.count(), turn + 1
+        if before is not None and 2 * count > before:
+            break
+    if count:
+        rest = nodes.join(left, "o", "left_semi")
+        edges = scratch.save(jaccard_pairs(rest, "o", "__set", threshold).select("a", "b"), "edges")
+        leaders = leaders.unionByName(_settled(left, edges, scratch))
+    leaders = scratch.save(leaders, "leaders")
+    joined = _first_alike(entries, nodes.select("o").join(leaders, "o", "left_anti"), leaders, threshold)
+    placed = nodes.join(joined, "o", "left").select("__set", F.coalesce("b", "o").alias("leader"))
+    return spread_join(keyed, scratch.save(placed, "placed"), "__set").drop("__set")
+
+
+def _settled(undecided: DataFrame, edges: DataFrame, scratch: Scratch) -> DataFrame:
+    """(o): the leaders among undecided rows, from all edges between them."""
     # rows without any edge lead; only the others are elected
     touched = scratch.save(edges.select(F.col("a").alias("o")).union(edges.select("b")).distinct(), "undecided-0")
-    leaders = scratch.save(nodes.select("o").join(touched, "o", "left_anti"), "alone")
+    leaders = scratch.save(undecided.join(touched, "o", "left_anti"), "alone")
     left, live, turn = touched, edges, 0
     while not left.isEmpty():
         turn += 1
         led, left, live = _elected(left, live, scratch, turn)
         leaders = leaders.unionByName(led)
-        if turn % 2 or live.isEmpty():
+        if live.isEmpty():
             continue
         # rows without undecided neighbours lead in the next round; the others are settled by component
         comp = connected_components(live, scratch, f"comp-{turn}")
@@ -125,11 +247,7 @@ def leader_cluster(df: DataFrame, order: str, items: str, threshold: float = 0.6
         inside = comp.join(small, comp["component"] == small["comp"], "left_semi").select(F.col("node").alias("o"))
         left = scratch.save(left.join(inside, "o", "left_anti"), f"outside-{turn}")
         live = scratch.save(held.join(small, "comp", "left_anti").select("a", "b"), f"large-{turn}")
-    leaders = scratch.save(leaders, "leaders")
-    joined = edges.join(leaders.withColumnRenamed("o", "a"), "a", "left_semi").groupBy("b").agg(F.min("a").alias("by"))
-    placed = nodes.join(joined, F.col("o") == F.col("b"), "left").join(leaders.withColumn("__leads", F.lit(True)), "o", "left")
-    placed = placed.select("__set", F.when(F.col("__leads"), F.col("o")).otherwise(F.col("by")).alias("leader"))
-    return spread_join(keyed, scratch.save(placed, "placed"), "__set").drop("__set")
+    return leaders
 
 
 def cluster_label(clustered: DataFrame, company: str = "probable_company") -> DataFrame:

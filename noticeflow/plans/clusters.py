@@ -38,9 +38,21 @@ def jaccard_pairs(spark, sf):
     return cluster.jaccard_pairs(sets, "o", "s", 0.6).withColumn("jaccard", F.round("jaccard", 6))
 
 
-@query()
+def leaders_sql(sets: str) -> str:
+    """CTEs: the sequential loop over `sets` (o, s), a step a leader, and (o, leader) of every set."""
+    alike = "(len(s) + len(ls) = 0 OR len(list_intersect(s, ls))::DOUBLE / nullif(len(s) + len(ls) - len(list_intersect(s, ls)), 0) >= 0.6)"
+    return f"""steps AS (
+  SELECT 0 AS step, o, s, min(o) OVER () AS leader, arg_min(s, o) OVER () AS ls FROM {sets}
+  UNION ALL SELECT step + 1, o, s, min(o) OVER (), arg_min(s, o) OVER () FROM steps WHERE NOT {alike}
+), led AS (SELECT o, arg_max(s, step) AS s, arg_max(leader, step) AS leader FROM steps GROUP BY o)"""
+
+
+_LED = "WITH RECURSIVE " + SETS_SQL + ", " + leaders_sql("sets") + f", parts AS (SELECT *, list_sort({_WORDS}) AS s FROM part), clustered AS (SELECT parts.*, leader FROM parts JOIN led USING (s))"
+
+
+@query(_LED + " SELECT p_partkey, leader FROM clustered")
 def leader_cluster(spark, sf):
-    """Sequential by nature: checked in the tests against the plain loop."""
+    """Leaders of the parties, row by row in the SQL."""
     return cluster.leader_cluster(_parts(spark, sf), "p_partkey", "words", 0.6).select("p_partkey", "leader")
 
 

@@ -147,6 +147,26 @@ def test_leaders_of_a_chain_and_of_a_crowd(spark, monkeypatch):
     assert [got[i] for i in range(30)] == plain_leaders(short, 0.6)
 
 
+def test_leaders_of_odd_rows(spark):
+    """Null arrays, null tokens, tokens with spaces and empty arrays: no row is lost or joined to another's tokens."""
+    rows = [(1, ["a", "b"]), (2, ["a b"]), (3, None), (4, []), (5, ["c", None]), (6, ["c"]), (7, ["b", "a", "a"]), (8, [None])]
+    df = spark.createDataFrame(rows, "k long, w array<string>").withColumns({"o": F.lit(1), "s": F.lit("s"), "leads": F.lit(0)})
+    got = {r["k"]: r["leader"] for r in cluster.leader_cluster(df, "k", "w", 0.6).collect()}
+    assert got == {1: 1, 2: 2, 3: 3, 4: 3, 5: 5, 6: 5, 7: 1, 8: 3}
+    assert cluster.leader_cluster(df.where("false"), "k", "w").count() == 0
+    pairs, members = cluster.similar_groups(df, "k", "w", 0.6)
+    assert pairs.count() == 0 and {(r["k"], r["representative"]) for r in members.collect()} == {(1, 1), (2, 2), (5, 5), (6, 5), (7, 1)}
+
+
+def test_leaders_of_a_crowd_without_its_pairs(spark, monkeypatch):
+    """20,000 parties alike behind 500 others: no list of pairs is made."""
+    sets = [{f"w{i}", f"v{i}", "of"} for i in range(500)] + [{"common", "party", "name", "of", "all", "the", "same", f"x{i}"} for i in range(20_000)]
+    df = spark.createDataFrame([(i, sorted(s)) for i, s in enumerate(sets)], "k long, w array<string>")
+    monkeypatch.setattr(cluster, "jaccard_pairs", None)
+    got = {r["k"]: r["leader"] for r in cluster.leader_cluster(df, "k", "w", 0.6).collect()}
+    assert got == {i: min(i, 500) for i in range(len(sets))}
+
+
 def test_jaccard_pairs_equal_brute_force(spark, monkeypatch):
     monkeypatch.setattr(cluster, "BLOCK", 7)
     rnd = random.Random(8)
@@ -157,6 +177,11 @@ def test_jaccard_pairs_equal_brute_force(spark, monkeypatch):
         want = {(b, a): round(v, 9) for (a, b), v in like.items() if v >= t}
         rows = cluster.jaccard_pairs(df, "k", "w", t).collect()
         assert {(r["a"], r["b"]): round(r["jaccard"], 9) for r in rows} == want and len(rows) == len(want)
+        pairs, members = cluster.similar_groups(df, "k", "w", t)
+        home = {r["k"]: r["representative"] for r in members.collect()}
+        near = {(r["a"], r["b"]) for r in pairs.collect()}
+        alike = lambda a, b: home[a] == home[b] or (min(home[a], home[b]), max(home[a], home[b])) in near  # noqa: B023, E731
+        assert {(a, b) for a in home for b in home if a < b and alike(a, b)} == set(want) and set(home) == {k for k in range(90) if sets[k]}
 
 
 def test_nearest_line_far_long_and_odd(spark):
