@@ -9,13 +9,11 @@ hashes with an edit of themselves, too.
 
 from __future__ import annotations
 
-from collections import Counter
-
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from noticeflow.llm.shared import deal_ranges, give_back, range_of, shuffle_parts
+from noticeflow.llm.shared import deal_ranges, give_back, ordered_ranges, shuffle_parts
 
 GRAM, WINDOW = 16, 8
 #: A text of n < 4 * GRAM code points keeps every run of each of these lengths g with g <= n < 4 * g.  As they double, one
@@ -103,29 +101,6 @@ def fingerprint_documents(docs: DataFrame, gram: int | None = None, window: int
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(work, schema)
 
 
-def ordered_ranges(rows: DataFrame, parts: int) -> tuple[Column, int]:
-    """(number of a row's range, how many ranges there are), ascending by doc_id (null lowest), then descending by h.
-
-    A doc_id with more than a range's share of the rows, or no doc_id, is parted
-    by the hash h.
-    """
-    points = F.percentile_approx("doc_id", F.array(*[F.lit(i / parts) for i in range(1, parts)] or [F.lit(0.5)]), 20 * parts)
-    found = rows.agg(points.alias("p"), F.count_if(F.col("doc_id").isNull()).alias("lone"), F.count("*").alias("n")).first()
-    times = Counter(found["p"] or [])
-    bounds = sorted(times)
-    # a bound that comes m > 1 times has m ranges of its own besides that of the ids below it
-    own = [times[b] if times[b] > 1 else 0 for b in bounds] + [0]
-    lone = 1 + found["lone"] * parts // max(1, found["n"])
-    base = [lone + i + sum(own[:i]) for i in range(len(own))]
-    longs = lambda values: f"array({', '.join(f'{v}L' for v in values)})"
-    place = range_of("doc_id", bounds).cast("int")
-    at = lambda values: F.element_at(F.expr(longs(values)), place + 1)
-    part = lambda m: m - 1 - F.floor(F.least((F.col("h") / F.lit(2.0**64) + 0.5) * m, m - 1))
-    hot = (at(own) > 0) & (F.col("doc_id") == at([*bounds, 0]))
-    number = F.when(F.col("doc_id").isNull(), part(F.lit(lone))).when(hot, at(base) + 1 + part(at(own))).otherwise(at(base))
-    return number.cast("int"), base[-1] + own[-1] + 1
-
-
 def fingerprint_edits(docs: DataFrame, gram: int | None = None, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Fingerprints of every text with their positions, of its edit with the next document, and their likeness.
 

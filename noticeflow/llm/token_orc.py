@@ -12,7 +12,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from noticeflow.llm.shared import Scratch, give_back, shuffle_parts
+from noticeflow.llm.shared import deal_ranges, give_back, ordered_ranges, shuffle_parts
 
 SCHEMA = "range int, doc_id long, ids array<int>, n_tokens long, range_start long"
 
@@ -42,27 +42,38 @@ def write_token_orc(
 ) -> None:
     """Tokenise whole texts, append the end id, and write them in ascending doc_id order.
 
-    Texts are encoded where they are read; their ids are written once and moved
-    to ranges of doc_id, which are sorted and written by one task each, with
-    nothing behind the sort that could change the order.  Null texts count as
-    empty (the end id alone); rows that repeat a doc_id, nulls (which come first)
-    included, are ordered by a hash of the text and their ids, so that a doc_id
-    of very many rows may take several ranges; an empty table gives no rows; ids
-    that are not numbers are an error; columns besides id and text are not read.
+    Texts are encoded where they are read; only their ids move, to ranges of
+    doc_id, which are sorted and written by one task each, with nothing behind
+    the sort that could change the order.  Null texts count as empty (the end id
+    alone); rows that repeat a doc_id, nulls (which come first) included, are
+    ordered by a hash of the text and their ids, so that a doc_id of very many
+    rows takes several ranges; an empty table gives no rows; ids that are not
+    numbers are an error; columns besides id and text are not read.
     """
-    scratch = Scratch(docs.sparkSession, "token-ids")
-    rows = scratch.save(encode_texts(docs, path, end_id, id_col, text_col), "ids")
-    dealt = rows.repartitionByRange(shuffle_parts(docs.sparkSession), "doc_id", "h").sortWithinPartitions("doc_id", "h", "ids")
-    dealt = dealt.select(F.spark_partition_id().alias("range"), "doc_id", "ids", F.size("ids").cast("long").alias("n_tokens"))  # ranges are numbered in ascending order
+    number, count = ordered_ranges(docs.select(F.col(id_col).cast("long").alias("doc_id")), shuffle_parts(docs.sparkSession))
+    rows = encode_texts(docs, path, end_id, id_col, text_col).withColumn("range", number)
+    dealt = deal_ranges(rows, count).sortWithinPartitions("range", "doc_id", F.desc("h"), "ids")
+    dealt = dealt.select("range", "doc_id", "ids", F.size("ids").cast("long").alias("n_tokens"))
 
     def work(batches):
         import pyarrow as pa
 
-        total = 0  # a task has one range
+        last, total = None, 0
         for batch in batches:
-            after = total + np.cumsum(batch.column(3).to_numpy())
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.append(total, after[:-1]).astype(np.int64))], ["range", "doc_id", "ids", "n_tokens", "range_start"])
-            total = int(after[-1])
+            if not batch.num_rows:
+                continue
+            of, n = batch.column(0).to_numpy(), batch.column(3).to_numpy()
+            starts = np.cumsum(n) - n
+            # each range begins at 0; a partition has one as a rule
+            for at in np.flatnonzero(np.append(of[0] != last, of[1:] != of[:-1])):
+                starts[at:] -= starts[at] if at or of[0] != last else 0
+                total = 0 if at == 0 else total
+            first = of == of[0]
+            starts[first] += total
+            total = int(starts[-1] + n[-1])
+            last = of[-1]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(starts)], ["range", "doc_id", "ids", "n_tokens", "range_start"])
+        give_back()
 
     (
         dealt.mapInArrow(work, "range int, doc_id long, ids array<int>, n_tokens long, range_start long").write
@@ -70,7 +81,6 @@ def write_token_orc(
         .option("orc.stripe.size", str(stripe_mb << 20)).option("orc.row.index.stride", str(index_stride)).option("compression", "zstd")
         .orc(folder)
     )
-    scratch.drop("ids")
 
 
 def read_token_orc(spark: SparkSession, folder: str) -> DataFrame:

@@ -16,7 +16,7 @@ from noticeflow.llm import fingerprints, packing, quality, token_orc, warc
 from noticeflow.llm.license_scan import TEMPLATES, anchors, license_scan, read_templates, template_bigrams, template_words
 from noticeflow.llm.piece_bpe import encode_pieces, encoder
 from noticeflow.llm.queries import table
-from noticeflow.llm.shared import Scratch
+from noticeflow.llm.shared import Scratch, ordered_ranges
 from noticeflow.llm.spans import SpanIds
 from noticeflow.llm.tokens import SegmentEncoder, vocabulary
 from noticeflow.llm.url_filter import judge_urls
@@ -298,7 +298,7 @@ def test_fingerprint_ranges_part_hot_ids(spark, docs):
     """A doc_id that a third of the rows have, and a third without one, take several ranges, in order."""
     i = F.col("doc_id")
     rows = docs.withColumn("doc_id", F.when(i % 3 == 0, 100).when(i % 3 == 1, i)).withColumn("h", F.xxhash64("text"))
-    number, count = fingerprints.ordered_ranges(rows, 16)
+    number, count = ordered_ranges(rows, 16)
     found = rows.withColumn("range", number).select("doc_id", "h", "range").collect()
     in_order = sorted(found, key=lambda r: (r["doc_id"] is None, -(r["doc_id"] or 0), r["h"]))
     numbers = [r["range"] for r in in_order]
@@ -424,8 +424,9 @@ def test_token_files_are_in_order(spark, docs, plain, tmp_path):
 
     rows = docs.withColumn("doc_id", F.when(F.col("doc_id") % 3 == 0, 7).otherwise(F.col("doc_id")))
     token_orc.write_token_orc(rows, f"file://{tmp_path}/orc", vocabulary("word_bpe_49k.json"), end_id=1)
-    files = sorted((orc.ORCFile(str(f)).read().to_pandas() for f in tmp_path.glob("orc/*.orc")), key=lambda t: t["range"].iloc[0])
-    assert len(files) == 4 and sum(map(len, files)) == len(plain)
+    files = [orc.ORCFile(str(f)).read().to_pandas() for f in tmp_path.glob("orc/*.orc")]
+    files = sorted((t for t in files if len(t)), key=lambda t: t["range"].iloc[0])
+    assert len(files) >= 4 and sum(map(len, files)) == len(plain)
     whole = [i for t in files for i in t.doc_id]
     assert whole == sorted(whole) and all((t.range_start == t.n_tokens.cumsum() - t.n_tokens).all() and (t["range"] == t["range"].iloc[0]).all() for t in files)
     assert sum(7 in set(t.doc_id) for t in files) > 1
