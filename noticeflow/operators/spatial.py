@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from noticeflow.functions.status import apply_alpha, confidence, is_problem, lifecycle_bucket
@@ -97,48 +97,90 @@ def _crossed_cells(lines: DataFrame, width: float) -> DataFrame:
     return columns.withColumn("cy", F.explode(F.sequence(cell(F.least(a, b) - sliver), cell(F.greatest(a, b) + sliver))))
 
 
-def nearest_line(points: DataFrame, lines: DataFrame, key: str, zone: int = 16, cell_m: float = 150.0, growth: float = 8.0) -> DataFrame:
+#: Segments of a cell at most, before it is parted, and into how many columns and rows.
+CELL_SEGMENTS, SPLIT = 64, 8
+#: Metres below which no cell is parted.
+LEAST_CELL_M = 1.0
+
+
+def cell_tree(metric: DataFrame, width: float, scratch: Scratch) -> tuple[list[DataFrame], DataFrame]:
+    """(inner cells of each level, with the cells inside that hold segments; leaf cells with their segments).
+
+    A cell of more than CELL_SEGMENTS segments is parted again and again, so
+    cells are small where segments lie close and large where there are few.
+    """
+    here, level, inner, leaves = metric.withColumns({"cx": F.lit(0).cast("long"), "cy": F.lit(0).cast("long")}), 0, [], None
+    while True:
+        here = scratch.save(here, f"cells-{level}")
+        crowded = F.count("*") > (CELL_SEGMENTS if width > LEAST_CELL_M else 2**62)
+        cells = scratch.save(here.groupBy("cx", "cy").agg(crowded.alias("crowded")), f"sizes-{level}")
+        if level:
+            up = [F.floor(F.col(c) / SPLIT).cast("long").alias(c) for c in ("cx", "cy")]
+            kids = cells.select(*up, F.struct("cx", "cy", "crowded").alias("kid")).groupBy("cx", "cy").agg(F.collect_list("kid").alias("kids"))  # at most SPLIT**2 a cell
+            inner.append(scratch.save(kids, f"inner-{level}"))
+        own = here.join(cells.where("NOT crowded"), ["cx", "cy"]).drop("crowded").withColumn("level", F.lit(level))
+        leaves = own if leaves is None else leaves.unionByName(own)
+        large = cells.where("crowded").select("cx", "cy")
+        if large.isEmpty():
+            return inner, leaves
+        level, width = level + 1, width / SPLIT
+        lines = here.join(large, ["cx", "cy"], "left_semi").drop("cx", "cy").distinct()
+        place = large.select(F.col("cx").alias("ux"), F.col("cy").alias("uy"))
+        finer = _crossed_cells(lines, width).withColumns({"ux": F.floor(F.col("cx") / SPLIT), "uy": F.floor(F.col("cy") / SPLIT)})
+        here = finer.join(place, ["ux", "uy"], "left_semi").drop("ux", "uy")
+
+
+def _reach(x: Column, y: Column, cx: Column, cy: Column, width: float) -> tuple[Column, Column]:
+    """(least, greatest) distance from a point to a cell, a sliver wider than it is."""
+    sides = []
+    for p, c in ((x, cx), (y, cy)):
+        low, high = c * width - width * 1e-6, (c + 1) * width + width * 1e-6
+        sides.append((F.greatest(low - p, p - high, F.lit(0.0)), F.greatest(F.abs(p - low), F.abs(p - high))))
+    return tuple(F.sqrt(a * a + b * b) for a, b in zip(*sides))
+
+
+def nearest_line(points: DataFrame, lines: DataFrame, key: str, zone: int = 16) -> DataFrame:
     """(key, project_id, project_name, distance_m): the nearest segment of each located point, of equally near ones the smallest id.
 
-    Rings of growing grid cells: a point meets the segments that cross its own
-    and the eight cells around it; what it finds within one cell's width is
-    final, and only points that found nothing go on to cells `growth` times as
-    wide, until the cells are as wide as all the data, so the number of rounds
-    is bounded.  There is no cross join, and segments are never broadcast by
-    hand; a cell that very many points share is split by AQE.  Points and
-    segments whose coordinates are null, NaN or beyond the projection are left
-    out; an empty side gives an empty result.
+    Branch and bound over cells that are as dense as the segments (cell_tree): a
+    point goes down from the cell of all data; at each level the farthest corner
+    of the cells it may still choose bounds its distance, and cells that begin
+    beyond the bound are passed over.  In the end it meets the few leaf cells
+    that are left, of at most CELL_SEGMENTS segments each, however far it is from
+    every line and however close the lines lie.  Segments of equal geometry are
+    one.  There is no cross join, and segments are never broadcast by hand; a
+    cell that very many points share is split by AQE.  Points and segments whose
+    coordinates are null, NaN or beyond the projection are left out; an empty
+    side gives an empty result.
     """
-    spark = points.sparkSession
-    scratch = Scratch(spark, "nearest")
+    scratch = Scratch(points.sparkSession, "nearest")
     real = lambda *cols: " AND ".join(f"abs({c}) < 1e9" for c in cols)  # noqa: E731  false for NaN, which is beyond every number
     x, y = to_utm(F.col("longitude"), F.col("latitude"), zone)
     left = points.where("latitude IS NOT NULL AND longitude IS NOT NULL").select(F.col(key), x.alias("px"), y.alias("py")).where(real("px", "py"))
-    left = scratch.save(left, "points-0")
+    left = scratch.save(left, "points")  # the projection is worked out once
     a, b = to_utm(F.col("x1"), F.col("y1"), zone), to_utm(F.col("x2"), F.col("y2"), zone)
-    metric = lines.select("project_id", "project_name", a[0].alias("x1"), a[1].alias("y1"), b[0].alias("x2"), b[1].alias("y2"))
-    metric = scratch.save(metric.where(real("x1", "y1", "x2", "y2")), "segments")
-    ends = metric.select(F.col("x1").alias("x"), F.col("y1").alias("y")).unionByName(metric.select(F.col("x2").alias("x"), F.col("y2").alias("y")))
-    box = ends.unionByName(left.select(F.col("px").alias("x"), F.col("py").alias("y"))).agg(*[f(c) for c in ("x", "y") for f in (F.min, F.max)]).first()
-    if metric.isEmpty() or left.isEmpty():
+    metric = lines.select("project_id", "project_name", a[0].alias("x1"), a[1].alias("y1"), b[0].alias("x2"), b[1].alias("y2")).where(real("x1", "y1", "x2", "y2"))
+    metric = scratch.save(metric.groupBy("x1", "y1", "x2", "y2").agg(F.min(F.struct("project_id", "project_name")).alias("project")), "segments")
+    box = metric.agg(*[f(g(p, q)) for p, q in (("x1", "x2"), ("y1", "y2")) for f, g in ((F.min, F.least), (F.max, F.greatest))]).first()
+    if box[0] is None:
         return left.limit(0).select(key, F.lit(None).cast(lines.schema["project_id"].dataType).alias("project_id"), F.lit(None).cast("string").alias("project_name"), F.lit(0.0).alias("distance_m"))
-    reach = max(cell_m, 1.01 * ((box[1] - box[0]) ** 2 + (box[3] - box[2]) ** 2) ** 0.5)  # no distance is longer
-    found, turn, width = None, 0, cell_m
-    while True:
-        cell = lambda c: F.floor(c / F.lit(width))  # noqa: B023, E731
-        around = lambda c: F.explode(F.sequence(cell(F.col(c)) - 1, cell(F.col(c)) + 1))  # noqa: B023, E731
-        probes = left.withColumn("cx", around("px")).withColumn("cy", around("py"))
-        near = probes.join(_crossed_cells(metric, width), ["cx", "cy"]).withColumn("d", point_segment_m(*map(F.col, ("px", "py", "x1", "y1", "x2", "y2"))))
-        best = near.groupBy(key).agg(F.min(F.struct("d", "project_id", "project_name")).alias("m")).where(F.col("m.d") <= F.lit(width))
-        best = scratch.save(best.select(key, "m.project_id", "m.project_name", F.col("m.d").alias("distance_m")), f"found-{turn}")
-        found = best if found is None else found.unionByName(best)
-        if width >= reach:
-            return found
-        turn, width = turn + 1, min(width * growth, reach)
-        left = scratch.save(left.join(best, key, "left_anti"), f"points-{turn}")
-        scratch.drop(f"points-{turn - 1}")
-        if left.isEmpty():
-            return found
+    width = 1.01 * max(box[1] - box[0], box[3] - box[2], LEAST_CELL_M)
+    shift = {c: F.col(c) - F.lit(box[0 if "x" in c else 2]) for c in ("x1", "y1", "x2", "y2")}
+    inner, leaves = cell_tree(metric.withColumns(shift), width, scratch)
+    here = left.withColumns({"px": F.col("px") - box[0], "py": F.col("py") - box[2], "level": F.lit(0), "cx": F.lit(0).cast("long"), "cy": F.lit(0).cast("long"), "crowded": F.lit(bool(inner)), "near": F.lit(0.0)})
+    columns = [key, "px", "py", "level", "cx", "cy", "crowded", "near"]
+    for level, cells in enumerate(inner, 1):
+        width /= SPLIT
+        near, far = _reach(F.col("px"), F.col("py"), F.col("kid.cx"), F.col("kid.cy"), width)
+        low = here.where(f"crowded AND level = {level - 1}").drop("crowded", "near", "level").join(cells, ["cx", "cy"]).select(key, "px", "py", F.explode("kids").alias("kid"))
+        low = low.select(key, "px", "py", F.lit(level).alias("level"), "kid.cx", "kid.cy", "kid.crowded", near.alias("near"), far.alias("far"))
+        # what was found on other ways bounds it, too
+        both = here.where(f"NOT crowded OR level < {level - 1}").withColumn("far", F.lit(float("inf"))).select(*columns, "far").unionByName(low)
+        here = both.withColumn("far", F.min("far").over(Window.partitionBy(key))).where("near <= far").select(*columns)
+    d = point_segment_m(*map(F.col, ("px", "py", "x1", "y1", "x2", "y2")))
+    met = here.join(leaves, ["level", "cx", "cy"]).select(key, F.struct(d.alias("d"), "project").alias("m"))
+    best = met.groupBy(key).agg(F.min("m").alias("m"))
+    return best.select(key, "m.project.project_id", "m.project.project_name", F.col("m.d").alias("distance_m"))
 
 
 def match_projects(tickets: DataFrame, lines: DataFrame, key: str = "ticket_number", zone: int = 16) -> DataFrame:

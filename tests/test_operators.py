@@ -200,6 +200,25 @@ def test_nearest_line_far_long_and_odd(spark):
     assert spatial.nearest_line(df, segs.where("false"), "k").count() == 0 and spatial.nearest_line(df.where("false"), segs, "k").count() == 0
 
 
+def test_nearest_line_of_far_points_and_dense_lines(spark, monkeypatch):
+    """100,000 points, most of them far from all lines, and 3,000 short segments in one spot: cells stay small, the rest is far away."""
+    monkeypatch.setattr(spatial, "CELL_SEGMENTS", 16)
+    rnd = random.Random(4)
+    spot = [(i, f"P{i}", x := -86.5 + rnd.random() * 0.01, y := 36.1 + rnd.random() * 0.01, x + 0.00005, y + 0.00003) for i in range(3000)]
+    spot += [(9000 + i, "same", -86.4, 36.2, -86.4001, 36.2001) for i in range(500)] + [(9999, "long", -87.0, 36.3, -85.9, 36.0)]
+    segs = spark.createDataFrame(spot, "project_id long, project_name string, x1 double, y1 double, x2 double, y2 double")
+    near = F.rand(1) < 0.2
+    points = spark.range(100_000).select(F.col("id").alias("k"), F.when(near, 36.1 + F.rand(2) * 0.01).otherwise(34 + F.rand(3)).alias("latitude"), F.when(near, -86.5 + F.rand(4) * 0.01).otherwise(-89 + F.rand(5)).alias("longitude"))
+    points = points.unionByName(spark.createDataFrame([(100_001, 36.2, -86.4)], points.schema))
+    got = {r["k"]: (r["project_id"], round(r["distance_m"], 4)) for r in spatial.nearest_line(points, segs, "k").collect()}
+    assert len(got) == 100_001 and got[100_001] == (9000, got[100_001][1])
+    a, b, p = spatial.to_utm(F.col("x1"), F.col("y1")), spatial.to_utm(F.col("x2"), F.col("y2")), spatial.to_utm(F.col("longitude"), F.col("latitude"))
+    some = points.where("k % 997 = 0").select("k", F.array(*p).alias("q")).crossJoin(segs.select("project_id", F.array(*a).alias("a"), F.array(*b).alias("b")))
+    d = spatial.point_segment_m(*[F.col(c)[i] for c in "qab" for i in (0, 1)])
+    for r in some.groupBy("k").agg(F.min(F.struct(d.alias("d"), "project_id")).alias("m")).collect():
+        assert got[r["k"]] == (r["m"]["project_id"], round(r["m"]["d"], 4))
+
+
 def test_work_groups(spark):
     rows = [("1", "Acme Fiber LLC", "fiber", "Main St"), ("2", "Acme Fiber LLC", "fiber", "Main St"), ("3", "Metro Inc.", "water", "Oak")]
     df = spark.createDataFrame(rows, "ticket_number string, excavator_name string, work_type string, location_text string").withColumns({"probable_company": F.lit(None).cast("string"), "probable_work_group": F.lit(None).cast("string")})
@@ -231,7 +250,7 @@ def test_nearest_line_equals_brute_force(spark):
     pts = [(i, 36 + rnd.random() * 1.5, -87 + rnd.random() * 1.5) for i in range(60)]
     lines = spark.createDataFrame(segs, "project_id long, project_name string, x1 double, y1 double, x2 double, y2 double")
     points = spark.createDataFrame(pts, "k long, latitude double, longitude double")
-    got = {r["k"]: (r["project_id"], round(r["distance_m"], 3)) for r in spatial.nearest_line(points, lines, "k", cell_m=5000).collect()}
+    got = {r["k"]: (r["project_id"], round(r["distance_m"], 3)) for r in spatial.nearest_line(points, lines, "k").collect()}
     a, b = spatial.to_utm(F.col("x1"), F.col("y1")), spatial.to_utm(F.col("x2"), F.col("y2"))
     p = spatial.to_utm(F.col("longitude"), F.col("latitude"))
     every = points.crossJoin(lines).withColumn("d", spatial.point_segment_m(*p, *a, *b)).groupBy("k").agg(F.min(F.struct("d", "project_id")).alias("m"))
