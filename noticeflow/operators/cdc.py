@@ -137,3 +137,27 @@ def not_yet_parsed(files: DataFrame, parsed: DataFrame) -> DataFrame:
 def attach_ticket_ids(events: DataFrame, tickets: DataFrame, key: str = "ticket_number", id_col: str = "ticket_id") -> DataFrame:
     """Events with the surrogate id of their ticket; an event without a ticket is not stored."""
     return events.join(tickets.select(key, id_col), key)
+
+
+# -- rollups kept up to date -------------------------------------------------------
+
+
+def replaced_rows(changes: DataFrame, before: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    """(rows as they were stored, rows as they came) of what is new or changed: what a rollup has to take out and to put in."""
+    moved = changes.where("change <> 'unchanged'")
+    return before.join(moved.select(key), key, "left_semi"), moved
+
+
+def group_sums(rows: DataFrame, by: Sequence[str], measures: dict[str, Column]) -> DataFrame:
+    """(by..., rows, measures...): sums that can be taken back; a null counts as 0."""
+    return rows.groupBy(*by).agg(F.count("*").alias("rows"), *[F.sum(F.coalesce(m.cast("long"), F.lit(0))).alias(k) for k, m in measures.items()])
+
+
+def maintained(sums: DataFrame, out: DataFrame, into: DataFrame, by: Sequence[str], measures: dict[str, Column]) -> DataFrame:
+    """The `group_sums` after rows went out and others came in, from these alone; groups without rows are gone.
+
+    Null group values are groups like others.
+    """
+    names = ["rows", *measures]
+    less = group_sums(out, by, measures).select(*by, *[(-F.col(n)).alias(n) for n in names])
+    return sums.unionByName(less).unionByName(group_sums(into, by, measures)).groupBy(*by).agg(*[F.sum(n).alias(n) for n in names]).where("rows > 0")

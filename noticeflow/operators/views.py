@@ -253,10 +253,12 @@ def by_county(tickets: DataFrame, today: Column) -> DataFrame:
 def by_work_group(tickets: DataFrame, order: str = "ticket_number") -> DataFrame:
     key = T.fallback_label(F.col("probable_work_group"), F.col("probable_company"))
     company = F.nullif("probable_company", F.lit(""))
-    return tickets.where("is_relevant").groupBy(key.alias("work_group")).agg(
-        F.count("*").alias("total"), F.count_if(F.col("status") == "active").alias("active"),
-        F.sort_array(F.collect_set(F.nullif("county", F.lit("")))).alias("counties"), F.min_by(company, F.when(company.isNotNull(), F.col(order))).alias("company"),
+    own = F.col("is_relevant")  # a filter on it would be pushed below the scoring, which would then be worked out twice
+    found = tickets.groupBy(key.alias("work_group")).agg(
+        F.count_if(own).alias("total"), F.count_if(own & (F.col("status") == "active")).alias("active"),
+        F.sort_array(F.collect_set(F.when(own, F.nullif("county", F.lit(""))))).alias("counties"), F.min_by(company, F.when(own & company.isNotNull(), F.col(order))).alias("company"),
     )
+    return found.where("total > 0")
 
 
 def bucket_counts(view: DataFrame, bucket: Column, buckets: list[str]) -> DataFrame:

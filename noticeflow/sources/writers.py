@@ -114,6 +114,57 @@ def run_audit(spark: SparkSession, watch: Observation, started, finished, status
     )
 
 
+AUDIT = "run string, started_at timestamp, finished_at timestamp, status string, found long, new long, changed long, unchanged long, error string"
+
+
+class AuditedRun:
+    """An audit of a run in slices: a row when it starts, one when it ends, also when it dies.
+
+        with AuditedRun(spark, path, "nightly") as run:
+            for rows in slices:
+                changes, watch = observed(capture_changes(rows, ...))
+                ...write changes...
+                run.add(watch)
+
+    The last row has the counters of all slices that were finished and, if an
+    error ended the run, the error; the error goes on to the caller.  A run
+    whose process is killed has its first row alone, by which it is found.
+    """
+
+    COUNTERS = ("found", "new", "changed", "unchanged")
+
+    def __init__(self, spark: SparkSession, path: str, run: str, clock=None):
+        import datetime
+
+        self.spark, self.path, self.run = spark, path, run
+        self.clock = clock or (lambda: datetime.datetime.now(datetime.timezone.utc))
+        self.counters = dict.fromkeys(self.COUNTERS, 0)
+
+    def _append(self, finished, status: str, error: str | None) -> None:
+        counters = [self.counters[c] if finished else None for c in self.COUNTERS]
+        append(self.spark.createDataFrame([(self.run, self.started, finished, status, *counters, error)], AUDIT).coalesce(1), self.path)
+
+    def __enter__(self) -> AuditedRun:
+        self.started = self.clock()
+        self._append(None, "started", None)
+        return self
+
+    def add(self, watch: Observation) -> None:
+        """Count a slice whose changes are written."""
+        for c in self.COUNTERS:
+            self.counters[c] += watch.get[c]
+
+    def __exit__(self, kind, error, trace) -> bool:
+        self._append(self.clock(), "ok" if error is None else "failed", None if error is None else f"{kind.__name__}: {error}"[:4000])
+        return False
+
+
+def last_audits(audits: DataFrame) -> DataFrame:
+    """One row a run: its end if it has one, else its start (status 'started': running, or lost without a word)."""
+    rest = [c for c in audits.columns if c != "run"]
+    return audits.groupBy("run").agg(F.max_by(F.struct(*rest), F.struct("started_at", F.col("finished_at").isNotNull(), "finished_at")).alias("r")).select("run", "r.*")
+
+
 def write_map_layers(layers: DataFrame, out: str) -> None:
     """GeoJSON-like lines by layer."""
     layers.write.mode("overwrite").partitionBy("layer").json(out)

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from noticeflow.operators.cdc import capture_changes
+from noticeflow.operators.cdc import capture_changes, latest_version
 from noticeflow.operators.score import Ruleset, score
+from noticeflow.sources.versions import VersionedTable
 
 
 def stream_upsert(stream: DataFrame, load_current: Callable[[], DataFrame], save: Callable[[DataFrame, int], None], key: str, now: Column, checkpoint: str, order: list[str]):
@@ -19,8 +20,6 @@ def stream_upsert(stream: DataFrame, load_current: Callable[[], DataFrame], save
     that saving under the id is idempotent.  Of several rows of a key in one
     batch the last by `order` counts.
     """
-    from noticeflow.operators.cdc import latest_version
-
     def batch(rows: DataFrame, batch_id: int) -> None:
         save(capture_changes(latest_version(rows, key, order), load_current(), key, now), batch_id)
 
@@ -73,6 +72,44 @@ def stream_score(stream: DataFrame, rules: Ruleset, key: str = "ticket_number")
     return score(stream, rules, key)
 
 
-def late_windows(stream: DataFrame, ts: str, size: str = "1 hour", delay: str = "30 minutes") -> DataFrame:
-    """Counts per window with a bounded wait for late rows."""
-    return stream.withWatermark(ts, delay).groupBy(F.window(ts, size).alias("w")).agg(F.count("*").alias("n")).select(F.col("w.start").alias("window_start"), "n")
+def stream_into(stream: DataFrame, table: VersionedTable, now: Column, order: list[str], checkpoint: str, name: str):
+    """Start a query that upserts each batch into a versioned table: readers see whole batches, and a batch that comes again changes nothing.
+
+    Of several rows of a key in one batch the last by `order` counts.
+    """
+
+    def batch(rows: DataFrame, batch_id: int) -> None:
+        table.upsert(latest_version(rows, table.key, order), now, name, batch_id)
+
+    return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def ordered_changes(rows: DataFrame, last: DataFrame, key: str, hash_col: str, order: str) -> DataFrame:
+    """(key, order, content_hash, change) of a batch's rows whose hash is new for its key or differs from the one before it.
+
+    A key's rows are put in order by an external sort and read one by one, so a
+    key of any number of rows takes bounded memory; `last` holds the hash stored
+    last of each key.
+    """
+    first = rows.join(last.select(key, F.col("latest_content_hash").alias("__last")), key, "left")
+    before = F.coalesce(F.lag(hash_col).over(Window.partitionBy(key).orderBy(order)), F.col("__last"))
+    found = first.withColumn("__before", before).where(~F.col("__before").eqNullSafe(F.col(hash_col)))
+    return found.select(key, order, F.col(hash_col).alias("content_hash"), F.when(F.col("__before").isNull(), "new").otherwise("changed").alias("change"))
+
+
+def stream_ordered_changes(stream: DataFrame, state: VersionedTable, out: str, hash_col: str, order: str, now: Column, checkpoint: str, name: str):
+    """Start a query that writes the `ordered_changes` of every batch to `out`, against the last hash a key in a versioned table.
+
+    A batch's rows go to a folder of their own that a batch that comes again
+    replaces; its state is committed after it, once, so what it is compared with
+    is the same each time.
+    """
+
+    def batch(rows: DataFrame, batch_id: int) -> None:
+        done = state.commit_of()["batches"].get(name, -1)
+        if done >= batch_id:
+            return
+        ordered_changes(rows, state.read(), state.key, hash_col, order).write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+        state.upsert(latest_version(rows.select(state.key, order, hash_col), state.key, [order]), now, name, batch_id)
+
+    return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
