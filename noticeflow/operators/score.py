@@ -104,12 +104,22 @@ def score(df: DataFrame, rules: Ruleset, key: str = "ticket_number") -> DataFram
     """
     hit, named = _with_hits(df, rules)
     plus, minus = [x for x in named if not x[0].negative], [x for x in named if x[0].negative]
-    raw = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.least(_weights(plus), F.lit(1.0)) - _weights(minus)))
+    fired = [F.when(F.col(name), F.lit(_reason(r))) for r, name in plus + minus]
+    return _decided(hit, rules, key, _weights(plus), _weights(minus), F.array(*fired)).drop("__any", *[name for _, name in named])
+
+
+def _reason(r: Rule) -> str:
+    return f"{'-' if r.negative else '+'}{r.id}(w={'-' if r.negative else ''}{abs(r.weight):.2f})"
+
+
+def _decided(hit: DataFrame, rules: Ruleset, key: str, plus: Column, minus: Column, fired: Column) -> DataFrame:
+    """Score, verdict and reasons from the weights of the rules that fire, lifts and overrides."""
+    raw = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.least(plus, F.lit(1.0)) - minus))
     lift = F.lit(False)
     if rules.contractors and rules.work_keywords:
         hit = hit.withColumns({
             "__who": normalize_text(F.col("excavator_name")),
-            "__what": normalize_text(F.concat_ws(" ", *[c for c in ("work_type", "remarks") if c in df.columns])),
+            "__what": normalize_text(F.concat_ws(" ", *[c for c in ("work_type", "remarks") if c in hit.columns])),
         })
         by = work = F.lit(False)
         for k in rules.contractors:
@@ -121,15 +131,14 @@ def score(df: DataFrame, rules: Ruleset, key: str = "ticket_number") -> DataFram
     put = F.upper(F.col(key).cast("string")).isin([k.upper() for k in rules.include]) if rules.include else F.lit(False)
     scored = hit.withColumns({"__raw": raw, "__lift": lift, "__out": out, "__put": put}).withColumn("__lifted", (F.col("__raw") < rules.threshold) & F.col("__lift"))
     scored = scored.withColumn("__final", F.when(F.col("__lifted"), F.lit(rules.threshold)).otherwise(F.col("__raw")))
-    fired = [F.when(F.col(name), F.lit(f"{'-' if r.negative else '+'}{r.id}(w={'-' if r.negative else ''}{abs(r.weight):.2f})")) for r, name in plus + minus]
-    reasons = F.array_compact(F.array(*fired, F.when(F.col("__lifted"), F.lit("+contractor_rule_match"))))
+    reasons = F.array_compact(F.concat(fired, F.array(F.when(F.col("__lifted"), F.lit("+contractor_rule_match")))))
     given = lambda excluded, included, other: F.when(F.col("__out"), excluded).when(F.col("__put"), included).otherwise(other)
     done = scored.withColumns({
         "relevance_score": given(F.lit(0.0), F.lit(1.0), F.bround("__final", 4)),
         "is_relevant": given(F.lit(False), F.lit(True), F.col("__final") >= rules.threshold),
         "relevance_reasons": given(F.array(F.lit("manual_exclude_override")), F.array(F.lit("manual_include_override")), reasons),
     })
-    return done.drop("__any", "__who", "__what", "__raw", "__lift", "__out", "__put", "__lifted", "__final", *[name for _, name in named])
+    return done.drop("__who", "__what", "__raw", "__lift", "__out", "__put", "__lifted", "__final")
 
 
 def explain(df: DataFrame, rules: Ruleset, key: str = "ticket_number") -> DataFrame:

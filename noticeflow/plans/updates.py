@@ -7,10 +7,11 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from noticeflow.operators import cdc
-from noticeflow.plans.adapters import TICKETS_SQL, now
+from noticeflow.operators import cdc, rule_index
+from noticeflow.operators.score import Rule
+from noticeflow.plans.adapters import RULES, TICKETS_SQL, now, table, tickets
 from noticeflow.plans.clusters import _HISTORY, _stream
-from noticeflow.plans.notices import _CHANGES, _incoming
+from noticeflow.plans.notices import _CHANGES, HITS_SQL, _incoming
 from noticeflow.plans.records import folder
 from noticeflow.plans.registry import ctes, query
 from noticeflow.sources import writers
@@ -108,3 +109,17 @@ def stream_reminders_in_time(spark, sf):
     once = streams.stream_dedupe_reminders(rows, ["user_id", "event_type"], ("ts", "3650 days")).select("user_id", "event_type")
     once.writeStream.format("parquet").option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start(f"{root}/rows").awaitTermination()
     return spark.read.schema(once.schema).parquet(f"{root}/rows")
+
+
+@query(ctes(TICKETS_SQL, HITS_SQL) + "SELECT ticket_number, relevance_score, is_relevant FROM scored")
+def score_indexed(spark, sf):
+    """The rules found by the index of their anchors: the same scores."""
+    return rule_index.score_many(tickets(spark, sf), RULES).select("ticket_number", "relevance_score", "is_relevant")
+
+
+@query(ctes(TICKETS_SQL) + "SELECT ticket_number, c_name AS rule_id, -0.25::DOUBLE AS weight FROM tickets JOIN customer ON c_name = caller_name WHERE c_acctbal < 0")
+def rules_of_debtors(spark, sf):
+    """A rule for every customer in debt, a list that grows with the tables."""
+    debtors = table(spark, sf, "customer").where("c_acctbal < 0").select("c_name").collect()
+    rules = [Rule(r["c_name"], r["c_name"], 0.25, field="caller_name", negative=True) for r in debtors]
+    return rule_index.explain_many(tickets(spark, sf), rules)

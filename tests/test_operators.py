@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from noticeflow.functions.text import tokens
-from noticeflow.operators import cdc, cluster, extract, filters, policy, score, spatial, views
+from noticeflow.operators import cdc, cluster, extract, filters, policy, rule_index, score, spatial, views
 from noticeflow.operators import utilities as U
 from noticeflow.operators.score import Rule, Ruleset
 
@@ -101,6 +101,31 @@ def test_scores(spark):
         score.score(df, Ruleset([Rule("x", "a", 1.0, "place")]))
 
 
+def test_indexed_rules_equal_one_by_one(spark):
+    """3,000 rules of all kinds and fields by the index; 120 of them against the expressions of each."""
+    rnd = random.Random(11)
+    words = ["fiber", "drop bury", "FTTH", "water main", "Ünï", "a", "it's", "main st", "50%", "back\\slash"] + ["w%d x" % i for i in range(40)]
+    text = lambda: rnd.choice([None, "", " ".join(rnd.choice(words) for _ in range(rnd.randint(1, 6)))])
+    rows = [(str(i), text(), text(), text(), [rnd.choice(words)] if i % 3 else None) for i in range(150)]
+    df = spark.createDataFrame(rows, "ticket_number string, excavator_name string, work_type string, remarks string, utility_codes array<string>")
+    regexes = [r"fiber\s+drop", r"^w1", r"(drop|main) ?st", r"w[0-9]+ x w", r"ma?in st", "bury+", r"w\d{2} x", "50%", r"it's.*fiber", r"x{1,2} drop"]
+    rules = []
+    for i in range(120):
+        kind = rnd.choice(["contains", "exact", "regex"])
+        pattern = rnd.choice(regexes) if kind == "regex" else rnd.choice(words) if rnd.random() < 0.7 else f"{rnd.choice(words)} {rnd.choice(words)}"
+        rules.append(Rule(f"r{i}", pattern, rnd.choice([0.05, 0.1, 0.3]), rnd.choice(["any", "remarks", "work_type", "utility_codes", "done_for"]), kind, rnd.random() < 0.4, rnd.random() < 0.3))
+    given = {"contractors": ["fiber"], "work_keywords": ["main"], "include": ["3"], "exclude": ["4"]}
+    want = sorted(map(str, score.score(df, Ruleset(rules, 0.45, **given)).collect()))
+    assert sorted(map(str, rule_index.score_many(df, Ruleset(rules, 0.45, **given)).collect())) == want
+    fired = sorted((r["ticket_number"], r["rule_id"], r["weight"]) for r in score.explain(df, Ruleset(rules)).collect())
+    assert sorted(map(tuple, rule_index.explain_many(df, rules).collect())) == fired and len(fired) > 100
+    more = [Rule(f"m{i}", f"no such party {i}", 0.1) for i in range(2880)]
+    assert sorted(map(tuple, rule_index.explain_many(df, more + rules).collect())) == fired
+    assert [rule_index.fixed_part(Rule("", p, 1.0, kind="regex")) for p in (r"fiber\s+drop", "colou?r bands", "a|bcdef", r"w[0-9]", "(ab)?long part", "((ab)cdef)?gh", "(abc){0,2}defg", r"\\x41bcd", r"\\.{2}abcd")] == ["fiber", "r bands", "", "", "long part", "", "", "", ""]
+    with pytest.raises(ValueError):
+        rule_index.score_many(df, Ruleset([Rule("x", "a", 1.0, "place")]))
+
+
 def test_prefilter(spark):
     rows = [("MERIDIAN CABLE CONSTRUCTION", "", ""), ("NORTHSTAR FIBER 6459663", "", ""), ("", "", "NORTH RIDGE CONTRACTORS"), ("", "FIBER INSTL", ""), ("CENTURY COMMUNITIES", "WATER SEWER REPAIR", "RANDOM PLUMBER"), ("JEFF MERIDIAN", None, None)]
     df = spark.createDataFrame(rows, "d string, w string, e string")
