@@ -7,9 +7,9 @@ import uuid
 from pyspark.sql import functions as F
 
 from noticeflow.functions.text import fallback_label, group_key, token_jaccard, tokens
-from noticeflow.operators import cdc, cluster, views
+from noticeflow.operators import cdc, cluster, filters, views
 from noticeflow.plans.adapters import RULES, VERSIONS_SQL, now, table, tickets, versions
-from noticeflow.plans.notices import HITS_SQL, TICKETS_SQL
+from noticeflow.plans.notices import HITS_SQL, TICKETS_SQL, scored
 from noticeflow.plans.registry import ctes, query
 from noticeflow.scratch import shared_dir
 from noticeflow.streaming import streams
@@ -56,7 +56,27 @@ def leader_cluster(spark, sf):
     return cluster.leader_cluster(_parts(spark, sf), "p_partkey", "words", 0.6).select("p_partkey", "leader")
 
 
-@query()
+_STOP = "('the', 'and', 'or', 'of', 'in', 'at', 'to', 'a', 'an', 'for', 'tn')"
+_GROUPS = f"""own AS (
+  SELECT ticket_number, upper(excavator_name) AS company, list_sort(list_distinct(list_filter(regexp_extract_all(lower(excavator_name || ' ' || work_type), '[a-z0-9]+'), lambda w: w NOT IN {_STOP}))) AS s
+  FROM scored WHERE is_relevant AND status = 'active'
+), sets AS (SELECT min(ticket_number) AS o, s FROM own GROUP BY s), {leaders_sql("sets")}, clustered AS (SELECT own.*, leader FROM own JOIN led USING (s)),
+labels AS (SELECT leader, company AS label FROM (SELECT *, row_number() OVER (PARTITION BY leader ORDER BY n DESC, company) AS r FROM (SELECT leader, company, count(*) AS n FROM clustered GROUP BY ALL)) WHERE r = 1)"""
+
+
+@query(ctes(TICKETS_SQL, HITS_SQL, _GROUPS).replace("WITH", "WITH RECURSIVE", 1) + "SELECT ticket_number, leader, company AS probable_company, label AS probable_work_group FROM clustered JOIN labels USING (leader)")
+def work_groups(spark, sf):
+    """Active relevant notices in groups of like parties."""
+    t = scored(spark, sf).where(filters.active_relevant()).withColumns({c: F.lit(None).cast("string") for c in ("probable_company", "probable_work_group", "location_text")})
+    return cluster.work_groups(t).select("ticket_number", "leader", "probable_company", "probable_work_group")
+
+
+_CALLED = "DATE '2001-01-01' + (p_partkey % 300)::INT"
+
+
+@query(_LED + f""", labels AS (SELECT leader, c AS label FROM (SELECT *, row_number() OVER (PARTITION BY leader ORDER BY n DESC, c) AS r FROM (SELECT leader, upper(p_name) AS c, count(*) AS n FROM clustered GROUP BY ALL)) WHERE r = 1)
+SELECT leader, left(sha256(arg_min(upper(p_name || '|' || p_type || '|' || p_brand), p_partkey)), 16) AS group_key, count(*) AS tickets, strftime(min({_CALLED}), '%Y-%m-%d') AS first_seen,
+  strftime(max({_CALLED}), '%Y-%m-%d') AS last_seen, min(p_partkey) AS representative, any_value(label) AS label FROM clustered JOIN labels USING (leader) GROUP BY leader""")
 def cluster_summary(spark, sf):
     p = _parts(spark, sf).withColumns({"probable_company": F.upper("p_name"), "call_date": F.date_add(F.lit("2001-01-01").cast("date"), (F.col("p_partkey") % 300).cast("int"))})
     led = cluster.leader_cluster(p, "p_partkey", "words", 0.6)

@@ -207,15 +207,22 @@ def master_rows(spark, sf):
 
 @query(ctes(TICKETS_SQL, HITS_SQL) + f"""SELECT ticket_number, county, strftime(call_date, '%Y-%m-%d') AS call_date, strftime(legal_start_date, '%Y-%m-%d') AS legal_start_date, strftime(expiration_date, '%Y-%m-%d') AS expiration_date, excavator_name, caller_name,
   work_type, remarks, done_for, status, is_cancelled, is_relevant, relevance_score, CASE WHEN ticket_number IN ('0000000005', '0000000010') THEN 'manual_exclude_override' WHEN ticket_number IN ('0000000007', '0000000077') THEN 'manual_include_override'
-  ELSE {REASONS} END AS relevance_reasons FROM scored""")
+  ELSE {REASONS} END AS relevance_reasons, 'TN' AS state, county || ' at ' || k AS location_text, CASE WHEN k % 4 <> 0 THEN 'U' || k % 5 || ',NES' END AS utility_codes, upper(excavator_name) AS probable_company,
+  CASE WHEN k % 3 = 0 THEN 'GROUP ' || k % 5 END AS probable_work_group, CASE WHEN k % 6 = 1 THEN 'crew ' || k % 7 END AS probable_crew, strftime(call_date, '%Y-%m-%d') || ' 01:00:00' AS parsed_at, CASE WHEN k % 2 = 0 THEN strftime(call_date + 1, '%Y-%m-%d') || ' 00:00:00' END AS updated_at FROM scored""")
 def dashboard_rows(spark, sf):
-    """The public projection with the caller's name, which it has on request only; columns that these notices lack are left out here."""
-    plain = views.dashboard_rows(scored(spark, sf))
+    """The public projection with the caller's name, which it has on request only, and all columns that it takes from a notice."""
+    k, day = F.col("k"), F.col("call_date").cast("timestamp")
+    full = scored(spark, sf).withColumns({
+        "state": F.lit("TN"), "location_text": F.concat_ws(" at ", "county", k.cast("string")), "utility_codes": F.when(k % 4 != 0, F.array(F.concat(F.lit("U"), (k % 5).cast("string")), F.lit("NES"))),
+        "probable_company": F.upper("excavator_name"), "probable_work_group": F.when(k % 3 == 0, F.concat(F.lit("GROUP "), (k % 5).cast("string"))),
+        "probable_crew": F.when(k % 6 == 1, F.concat(F.lit("crew "), (k % 7).cast("string"))), "parsed_at": day + F.expr("INTERVAL 1 HOUR"), "updated_at": F.when(k % 2 == 0, day + F.expr("INTERVAL 1 DAY")),
+    })
+    plain = views.dashboard_rows(full)
     if "caller_name" in plain.columns:
         raise ValueError("the caller's name is in the plain projection")
-    out = views.dashboard_rows(scored(spark, sf), contact=True).withColumns({c: D.fmt_date_or_null(F.col(c)) for c in ("call_date", "legal_start_date", "expiration_date")})
-    out = out.withColumn("relevance_reasons", F.array_join("relevance_reasons", ";"))
-    return out.drop("state", "location_text", "utility_codes", "probable_company", "probable_work_group", "probable_crew", "parsed_at", "updated_at")
+    out = views.dashboard_rows(full, contact=True).withColumns({c: D.fmt_date_or_null(F.col(c)) for c in ("call_date", "legal_start_date", "expiration_date")})
+    out = out.withColumns({c: F.date_format(c, "yyyy-MM-dd HH:mm:ss") for c in ("parsed_at", "updated_at")})
+    return out.withColumns({"relevance_reasons": F.array_join("relevance_reasons", ";"), "utility_codes": F.array_join("utility_codes", ",")})
 
 
 @query(ctes(TICKETS_SQL, UTILITIES_SQL, TAGS_SQL) + f"""SELECT ticket_number, strftime(call_date, '%Y-%m-%d') AS call_date, strftime(expiration_date, '%Y-%m-%d') AS expire_date, (expiration_date - {TODAY_SQL})::INT AS days_until_expire, county, excavator_name,
@@ -545,12 +552,3 @@ def rescore_samples(spark, sf):
     third = lambda a, b, c: F.when(F.col("k") % 3 == 0, a).when(F.col("k") % 3 == 1, b).otherwise(F.col(c))
     before = old.withColumns({"relevance_score": third(0.0, 0.9, "relevance_score"), "is_relevant": third(False, True, "is_relevant")})
     return score.rescore_samples(score.rescore(before, RULES))
-
-
-@query()
-def work_groups(spark, sf):
-    """Active relevant notices in groups of like parties; sequential by nature, checked in the tests."""
-    from noticeflow.operators import cluster
-
-    t = scored(spark, sf).where(filters.active_relevant()).withColumns({c: F.lit(None).cast("string") for c in ("probable_company", "probable_work_group", "location_text")})
-    return cluster.work_groups(t).select("ticket_number", "leader", "probable_company", "probable_work_group")

@@ -141,7 +141,9 @@ _PAGE = """x AS (SELECT page_id, lpad(page_id::VARCHAR, 10, '0') AS number, page
 
 
 @query(ctes(_PAGE) + """SELECT page_id, number AS ticket_number, CASE WHEN headed THEN 'Davidson' ELSE 'Knox' END AS county, 'deep & wide' AS remarks, m = 3 AS is_cancelled,
-  CASE m WHEN 0 THEN 'ABC,DEF' WHEN 1 THEN 'GFI,NES' ELSE 'MWS' END AS utility_codes, CASE WHEN m = 1 THEN 'pending,located' END AS states, CASE WHEN m = 1 THEN 2 END AS answers FROM x""")
+  CASE m WHEN 0 THEN 'ABC,DEF' WHEN 1 THEN 'GFI,NES' ELSE 'MWS' END AS utility_codes, CASE WHEN m = 1 THEN 'pending,located' END AS states, CASE WHEN m = 1 THEN 2 END AS answers,
+  CASE WHEN headed THEN 'County not this ' ELSE '' END || 'Ticket #: old Ticket Number: ' || number || ' County: ' || CASE WHEN headed THEN 'Davidson' ELSE 'Knox' END || ' Comments deep & wide ' || CASE m WHEN 0 THEN 'Code Name abc def ABC'
+    WHEN 1 THEN 'Response Status Status Open gfi Name Fiber Closed NES Name Locate Delayed Located -  Facilities Marked now Fiber' WHEN 2 THEN 'MWS utility' ELSE 'MWS - notified Void' END AS raw_text FROM x""")
 def page_layouts(spark, sf):
     """Every page number in a page of each layout: header or plain rows, code table, response table, codes in the text."""
     k = F.col("page_id")
@@ -161,7 +163,7 @@ def page_layouts(spark, sf):
     out = extract.page_details(table(spark, sf, "pages").select("page_id", F.concat(layout, notes, tail).alias("html")))
     states = F.array_join(F.transform("utility_statuses", lambda s: s["status"]), ",")
     answers = F.aggregate("utility_statuses", F.lit(0), lambda n, s: n + s["response_count"])
-    return out.select("page_id", "ticket_number", "county", "remarks", "is_cancelled", F.array_join("utility_codes", ",").alias("utility_codes"), states.alias("states"), answers.alias("answers"))
+    return out.select("page_id", "ticket_number", "county", "remarks", "is_cancelled", F.array_join("utility_codes", ",").alias("utility_codes"), states.alias("states"), answers.alias("answers"), "raw_text")
 
 
 @query()

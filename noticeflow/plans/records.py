@@ -186,6 +186,22 @@ def slice_counts(spark, sf):
     return writers.slice_counts(views.stack_slices(view, slices).select("slug", "slice"), view)
 
 
+@query(ctes(TICKETS_SQL, UTILITIES_SQL, _STACKED.replace("lower(caller_name)", "lower(county || ' ' || is_cancelled)")) + """SELECT slug, slice, count(*) AS rows, min(ticket_number) AS first FROM (
+  SELECT slug, 'relevant_active' AS slice, ticket_number FROM v WHERE NOT is_cancelled UNION ALL SELECT slug, 'relevant_cancelled_7d', ticket_number FROM v WHERE is_cancelled AND call_date >= """ + TODAY_SQL + """ - 7) GROUP BY ALL
+UNION ALL SELECT DISTINCT slug, 'relevant_active', 0, NULL FROM v WHERE is_cancelled""")
+def written_slices(spark, sf):
+    """The tree of slices as it is read back from its files: rebuilt over an older one, with a header alone where a folder has no rows."""
+    view = rolled(spark, sf).withColumn("slug", T.slugify(F.concat_ws(" ", "county", F.col("is_cancelled").cast("string"))))
+    slices = {k: v for k, v in views.export_slices(today()).items() if k in ("relevant_active", "relevant_cancelled_7d")}
+    stacked, out = views.stack_slices(view, slices).select("slug", "slice", "ticket_number", "county"), folder(spark, "slices")
+    writers.write_slices(stacked.withColumn("slug", F.lit("old")), out)
+    writers.write_slices(stacked, out, keys=view)
+    lines = spark.read.option("recursiveFileLookup", True).text(out).withColumn("file", F.input_file_name())
+    at = lambda name: F.regexp_extract("file", f"{name}=([^/]*)/", 1).alias(name)
+    row = F.when(F.col("value") != "ticket_number,county", F.split("value", ",")[0])
+    return lines.groupBy(at("slug"), at("slice")).agg(F.count(row).alias("rows"), F.min(row).alias("first"))
+
+
 @query(ctes(TICKETS_SQL, UTILITIES_SQL, HITS_SQL) + f"""SELECT (SELECT count(*) FROM tickets) AS total_tickets, (SELECT count(*) FROM scored WHERE is_relevant) AS total_relevant,
   (SELECT strftime(min(call_date), '%Y-%m-%d') FROM scored WHERE is_relevant) AS call_date_min, (SELECT strftime(max(call_date), '%Y-%m-%d') FROM scored WHERE is_relevant) AS call_date_max,
   (SELECT 'relevant_active=' || count(*) FILTER (NOT is_cancelled) || ',relevant_cancelled_7d=' || count(*) FILTER (is_cancelled AND call_date >= {TODAY_SQL} - 7) FROM tickets) AS files,
