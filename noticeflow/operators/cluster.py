@@ -14,6 +14,8 @@ DEFAULT_FIELDS = ["excavator_name", "work_type", "location_text"]
 
 #: Rows of a block of a token's list: a token that m rows hold in their prefixes is joined in (m / BLOCK)**2 / 2 pairs of blocks.
 BLOCK = 2000
+#: Undecided rows that one task settles at most.
+LOCAL_ROWS = 4096
 #: Edges of a component of undecided rows that one task settles at most.
 LOCAL_EDGES = 1 << 20
 
@@ -191,10 +193,11 @@ def leader_cluster(df: DataFrame, order: str, items: str, threshold: float = 0.6
     what is needed is looked at: in a round, rows without an earlier undecided
     row like them lead, and those like a new leader are decided, so that a crowd
     of m rows costs m comparisons.  Rounds go on while they decide half of the
-    rows; the edges of the few that are left are listed, and their components,
-    of which those of at most LOCAL_EDGES edges are settled by one task each (so
-    a chain of any such length takes no more rounds), go on with rounds of
-    election only where they are larger.  Equal token sets are one node; null
+    rows; LOCAL_ROWS or fewer are settled by the plain loop in one task, and of
+    more the edges are listed, and their components, of which those of at most
+    LOCAL_EDGES edges are settled by one task each (so a chain of any such length
+    takes no more rounds), go on with rounds of election only where they are
+    larger.  All ways give the same leaders.  Equal token sets are one node; null
     tokens are none; rows without tokens, null arrays included, form one
     cluster.  `order` must be unique and not null.
     """
@@ -203,8 +206,9 @@ def leader_cluster(df: DataFrame, order: str, items: str, threshold: float = 0.6
     nodes = scratch.save(keyed.groupBy("__set").agg(F.min(order).alias("o")), "nodes")
     entries = scratch.save(_prefixes(nodes, "o", "__set", threshold), "entries")
     leaders = nodes.where(F.size("__set") == 0).select("o")
-    left, count, turn = nodes.where(F.size("__set") > 0).select("o"), None, 0
-    while count is None or count:
+    left = nodes.where(F.size("__set") > 0).select("o")
+    count, turn = left.count(), 0
+    while count > LOCAL_ROWS:
         alike = scratch.save(_first_alike(entries, left, None, threshold), f"alike-{turn}")
         led = scratch.save(left.join(alike, "o", "left_anti"), f"first-{turn}")
         leaders = leaders.unionByName(led)
@@ -213,18 +217,41 @@ def leader_cluster(df: DataFrame, order: str, items: str, threshold: float = 0.6
         decided = _first_alike(entries, waiting, led, threshold)
         left = scratch.save(waiting.join(decided, "o", "left_anti"), f"left-{turn}")
         before, count, turn = count, left.count(), turn + 1
-        if before is not None and 2 * count > before:
+        if turn > 1 and 2 * count > before:
             break
-    if count:
-        rest = nodes.join(left, "o", "left_semi")
+    rest = nodes.join(left, "o", "left_semi")
+    if count > LOCAL_ROWS:
         edges = scratch.save(jaccard_pairs(rest, "o", "__set", threshold).select("a", "b"), "edges")
         leaders = leaders.unionByName(_settled(left, edges, scratch))
+    elif count:
+        leaders = leaders.unionByName(_in_order(rest, threshold))
     leaders = scratch.save(leaders, "leaders")
     joined = _first_alike(entries, nodes.select("o").join(leaders, "o", "left_anti"), leaders, threshold)
     placed = nodes.join(joined, "o", "left").select("__set", F.coalesce("b", "o").alias("leader"))
     return spread_join(keyed, scratch.save(placed, "placed"), "__set").drop("__set")
 
 
+def _in_order(rows: DataFrame, threshold: float) -> DataFrame:
+    """(o): the leaders among at most LOCAL_ROWS rows (o, __set), by the plain loop in one task."""
+
+    def work(pdf):
+        import numpy as np
+        import pandas as pd
+
+        pdf = pdf.sort_values("o", ignore_index=True)
+        sets, bits = [set(s) for s in pdf["__set"]], pdf[["b0", "b1"]].to_numpy(np.int64).view(np.uint64)
+        n, led = np.array([len(s) for s in sets], float), np.zeros(len(pdf), bool)
+        for k in range(len(pdf)):
+            some = np.flatnonzero(led[:k])
+            apart = np.bitwise_count(bits[some] ^ bits[k]).sum(axis=1)
+            near = some[apart * (1 + threshold) <= (1 - threshold) * (n[some] + n[k]) + 1e-6]
+            led[k] = not any(len(sets[x] & sets[k]) / len(sets[x] | sets[k]) >= threshold for x in near)
+        return pd.DataFrame({"o": pdf["o"][led]})
+
+    marked = rows.select("o", "__set", _signature("__set", 0).alias("b0"), _signature("__set", 1).alias("b1"), F.lit(0).alias("one"))
+    return marked.groupBy("one").applyInPandas(work, f"o {rows.schema['o'].dataType.simpleString()}")
+
+
 def _settled(undecided: DataFrame, edges: DataFrame, scratch: Scratch) -> DataFrame:
     """(o): the leaders among undecided rows, from all edges between them."""
     # rows without any edge lead; only the others are elected

@@ -133,9 +133,10 @@ def test_prefilter(spark):
     assert [r[0] for r in got] == [True, True, True, True, False, False]
 
 
-def test_leader_cluster_equals_the_plain_loop(spark):
+def test_leader_cluster_equals_the_plain_loop(spark, monkeypatch):
     rnd = random.Random(5)
-    for t in (0.5, 0.6):
+    for t, local in ((0.5, 0), (0.6, 0), (0.6, 20), (0.5, 4096)):
+        monkeypatch.setattr(cluster, "LOCAL_ROWS", local)
         sets = [sorted({rnd.choice("abcdefgh") for _ in range(rnd.randint(0, 5))}) for _ in range(150)]
         want = plain_leaders([set(s) for s in sets], t)
         df = spark.createDataFrame(list(enumerate(sets)), "k long, w array<string>")
@@ -163,6 +164,7 @@ def test_leaders_of_a_chain_and_of_a_crowd(spark, monkeypatch):
     elected = cluster._elected
     monkeypatch.setattr(cluster, "_elected", lambda *a: rounds.append(1) or elected(*a))
     monkeypatch.setattr(cluster, "BLOCK", 100)
+    monkeypatch.setattr(cluster, "LOCAL_ROWS", 0)
     got = {r["k"]: r["leader"] for r in cluster.leader_cluster(df, "k", "w", 0.6).collect()}
     assert [got[i] for i in range(len(sets))] == plain_leaders(sets, 0.6) and len(rounds) <= 3
     monkeypatch.setattr(cluster, "LOCAL_EDGES", 3)  # components too large for one task go on with rounds
