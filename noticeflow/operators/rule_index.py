@@ -6,6 +6,10 @@ The runs of a text that are anchors give its candidate rules; only these are
 tested, exactly.  The work of a row grows with its text and its candidates, not
 with the number of rules, and no expression is made for a rule.  Rules without
 an anchor (short patterns, patterns without a fixed part) are tested on every row.
+
+Rules that are a table of any size (explain_table) stay one: their anchors are
+longer, so that long patterns share few, and are joined with the runs of the
+distinct texts.
 """
 
 from __future__ import annotations
@@ -18,8 +22,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from noticeflow.operators.score import ANY_FIELDS, ANY_LISTS, Rule, Ruleset, _decided, _reason, any_text
+from noticeflow.scratch import Scratch, spread_join
 
 GRAM = 4
+#: Lengths of anchors of rules that are a table: the longest that a pattern's fixed part has.
+GRAMS = (64, 32, 16, 8, GRAM)
 
 
 def fixed_part(rule: Rule) -> str:
@@ -75,6 +82,10 @@ def _fired_in(rules: list[tuple[int, Rule]], text: str) -> Column:
     return F.expr(f"if({text} = '', cast(array() as array<int>), transform(filter(array_distinct({candidates}), k -> {test}), k -> {numbers}))")
 
 
+def _text_of(df: DataFrame, field: str) -> Column:
+    return any_text(df.columns) if field == "any" else F.array_join(field, " ") if field in ANY_LISTS else F.coalesce(F.col(field), F.lit(""))
+
+
 def with_fired(df: DataFrame, rules: Sequence[Rule], name: str = "__fired") -> DataFrame:
     """Add the ascending numbers (from 0) of the rules that fire; the same rules as `score` finds one by one.
 
@@ -94,7 +105,7 @@ def with_fired(df: DataFrame, rules: Sequence[Rule], name: str = "__fired") -> D
             fields.setdefault(r.field, []).append((n, r))
     out, made, fired = df, [], []
     for k, (field, own) in enumerate(fields.items()):
-        text = any_text(df.columns) if field == "any" else F.array_join(field, " ") if field in ANY_LISTS else F.coalesce(F.col(field), F.lit(""))
+        text = _text_of(df, field)
         # a generator works its column out once a row, for whatever reads it
         out = out.select("*", F.explode(F.array(text)).alias(f"__t{k}"))
         out = out.select("*", F.explode(F.array(F.lower(f"__t{k}"))).alias(f"__t{k}_low"))
@@ -122,3 +133,70 @@ def explain_many(df: DataFrame, rules: Sequence[Rule], key: str = "ticket_number
     at = lambda values, kind: F.expr(f"element_at({_array(values, kind)}, __rule + 1)")
     hit = with_fired(df, own).select(F.col(key), F.explode("__fired").alias("__rule"))
     return hit.select(key, at((_quoted(r.id) for r in own), "string").alias("rule_id"), at((f"{-abs(r.weight) if r.negative else abs(r.weight)!r}D" for r in own), "double").alias("weight"))
+
+
+def _prepared(tests: DataFrame) -> DataFrame:
+    """The tests with the pattern as it is compared, and the runs of their fixed part that may be their anchor."""
+
+    def work(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            patterns, runs = [], []
+            for t in batch.select(["pattern", "kind", "case_sensitive"]).to_pylist():
+                if t["kind"] == "regex":
+                    re.compile(t["pattern"])
+                    patterns.append(t["pattern"] if t["case_sensitive"] else f"(?i){t['pattern']}")
+                else:
+                    patterns.append(t["pattern"] if t["case_sensitive"] else t["pattern"].lower())
+                part = fixed_part(Rule("", t["pattern"], 0.0, kind=t["kind"]))
+                size = next((g for g in GRAMS if g <= len(part)), 0)
+                runs.append(sorted({part[i : i + size] for i in range(len(part) - size + 1)}) if size else [])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("test", "field", "kind", "case_sensitive")), pa.array(patterns, pa.string()), pa.array(runs, pa.list_(pa.string()))], ["test", "field", "kind", "case_sensitive", "given", "runs"])
+
+    return tests.mapInArrow(work, "test long, field string, kind string, case_sensitive boolean, given string, runs array<string>")
+
+
+def explain_table(df: DataFrame, rules: DataFrame, key: str = "ticket_number") -> DataFrame:
+    """`explain_many` for a table of rules of any size (id, pattern, weight; field, kind, case_sensitive and negative where it has them).
+
+    Rules and texts meet in joins: every distinct text and every distinct test is
+    looked at once, by the hashes of anchors of up to 64 characters, and what
+    meets is tested exactly.  An unknown field or kind is an error before any
+    text is read, a bad pattern one while the rules are prepared.
+    """
+    scratch = Scratch(df.sparkSession, "rules")
+    given = lambda c, kind, other: F.coalesce(F.col(c).cast(kind), F.lit(other)) if c in rules.columns else F.lit(other)
+    weight = F.abs(F.col("weight").cast("double"))
+    test = ["field", "kind", "case_sensitive", "pattern"]
+    own = scratch.save(rules.select(
+        F.col("id").cast("string").alias("rule_id"), F.when(given("negative", "boolean", False), -weight).otherwise(weight).alias("weight"),
+        given("field", "string", "any").alias("field"), given("kind", "string", "contains").alias("kind"), given("case_sensitive", "boolean", False).alias("case_sensitive"), "pattern",
+    ), "rules")
+    bad = own.where(~F.col("field").isin("any", *ANY_FIELDS, *ANY_LISTS) | ~F.col("kind").isin("contains", "exact", "regex")).first()
+    if bad:
+        raise ValueError(f"rule {bad['rule_id']}: field {bad['field']!r} cannot be searched, or kind {bad['kind']!r} is unknown")
+    fields = [r[0] for r in own.select("field").distinct().collect() if r[0] == "any" or r[0] in df.columns]  # at most one a searchable field
+    named = F.array(*[F.struct(F.lit(f).alias("field"), _text_of(df, f).alias("text")) for f in fields]) if fields else F.expr("cast(array() as array<struct<field:string,text:string>>)")
+    rows = df.select(F.col(key), F.inline(named)).where("text <> ''")
+    texts = scratch.save(rows.select("field", "text").distinct().select(F.monotonically_increasing_id().alias("at"), "field", "text", F.lower("text").alias("low")), "texts")
+    named_tests = scratch.save(own.select(*test).distinct().withColumn("test", F.monotonically_increasing_id()), "tests")
+    tests = scratch.save(_prepared(named_tests), "prepared")
+    # a hash that two runs share makes candidates, not matches
+    runs = tests.select("test", "field", F.explode("runs").alias("run")).select("test", F.char_length("run").alias("size"), F.xxhash64("field", "run").alias("run"))
+    shared = spread_join(runs, runs.groupBy("run").agg(F.count("*").alias("n")), "run")
+    anchor = scratch.save(shared.groupBy("test").agg(F.min_by(F.struct("run", "size"), F.struct("n", "run")).alias("a")).select("test", "a.run", "a.size"), "anchors")
+    sizes = [r[0] for r in anchor.select("size").distinct().collect()]  # at most len(GRAMS)
+    every = [F.transform(F.regexp_extract_all("low", F.lit(f"(?s)(?=(.{{{n}}}))"), 1), lambda g: F.xxhash64("field", g)) for n in sizes]
+    held = texts.select("at", F.explode(F.array_distinct(F.concat(*every))).alias("run")) if every else texts.select("at", F.lit(0).cast("long").alias("run")).limit(0)
+    met = spread_join(held, anchor.select("run", "test"), "run").select("at", "test")
+    always = tests.where("size(runs) = 0").select("test", "field")
+    if not always.isEmpty():
+        met = met.unionByName(spread_join(texts.select("at", "field"), always, "field").select("at", "test"))
+    both = met.join(tests.drop("runs", "field"), "test").join(texts, "at")
+    said = F.when(F.col("case_sensitive"), F.col("text")).otherwise(F.col("low"))
+    fires = F.when(F.col("kind") == "contains", F.contains(said, F.col("given"))).when(F.col("kind") == "exact", said == F.col("given")).otherwise(F.regexp_like("text", "given"))
+    fired = scratch.save(both.where(fires).select("field", "text", "test"), "fired")
+    by = fired.join(named_tests, ["field", "test"]).join(own, test).select("field", "text", "rule_id", "weight")
+    spot = F.xxhash64("field", "text")  # a text of very many rows is split by AQE
+    return rows.withColumn("__spot", spot).join(by.withColumn("__spot", spot), ["field", "text", "__spot"]).select(key, "rule_id", "weight")

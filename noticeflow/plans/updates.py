@@ -8,7 +8,6 @@ import uuid
 from pyspark.sql import functions as F
 
 from noticeflow.operators import cdc, rule_index
-from noticeflow.operators.score import Rule
 from noticeflow.plans.adapters import RULES, TICKETS_SQL, now, table, tickets
 from noticeflow.plans.clusters import _HISTORY, _stream
 from noticeflow.plans.notices import _CHANGES, HITS_SQL, _incoming
@@ -120,6 +119,6 @@ def score_indexed(spark, sf):
 @query(ctes(TICKETS_SQL) + "SELECT ticket_number, c_name AS rule_id, -0.25::DOUBLE AS weight FROM tickets JOIN customer ON c_name = caller_name WHERE c_acctbal < 0")
 def rules_of_debtors(spark, sf):
     """A rule for every customer in debt, a list that grows with the tables."""
-    debtors = table(spark, sf, "customer").where("c_acctbal < 0").select("c_name").collect()
-    rules = [Rule(r["c_name"], r["c_name"], 0.25, field="caller_name", negative=True) for r in debtors]
-    return rule_index.explain_many(tickets(spark, sf), rules)
+    name = F.col("c_name")
+    rules = table(spark, sf, "customer").where("c_acctbal < 0").select(name.alias("id"), name.alias("pattern"), F.lit(0.25).alias("weight"), F.lit("caller_name").alias("field"), F.lit(True).alias("negative"))
+    return rule_index.explain_table(tickets(spark, sf), rules)

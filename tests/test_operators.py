@@ -126,6 +126,26 @@ def test_indexed_rules_equal_one_by_one(spark):
         rule_index.score_many(df, Ruleset([Rule("x", "a", 1.0, "place")]))
 
 
+def test_rules_that_are_a_table(spark):
+    """Rules of all kinds and fields as a table, some of them alike, equal the expressions of each; long patterns share no anchor."""
+    rnd = random.Random(12)
+    words = ["fiber", "drop bury", "FTTH", "water main", "Ünï", "a", "it's", "main st", "50%", "back\\slash", "Customer#000000012", "Customer#000000013"]
+    text = lambda: rnd.choice([None, "", "\n".join(rnd.choice(words) for _ in range(rnd.randint(1, 6)))])
+    df = spark.createDataFrame([(str(i), text(), text(), [rnd.choice(words)] if i % 3 else None) for i in range(90)], "ticket_number string, work_type string, remarks string, utility_codes array<string>")
+    rules = [Rule(f"c{i}", f"CUSTOMER#{i:09d}", 0.25, "remarks", negative=True) for i in range(500)]
+    for i in range(60):
+        kind = rnd.choice(["contains", "exact", "regex"])
+        pattern = rnd.choice([r"fiber\s+drop", r"^w", r"(drop|main) ?st", "50%"]) if kind == "regex" else rnd.choice(words)
+        rules.append(Rule(f"r{i % 50}", pattern, rnd.choice([0.05, -0.1]), rnd.choice(["any", "remarks", "utility_codes", "done_for"]), kind, rnd.random() < 0.4, rnd.random() < 0.3))
+    kind = "id string, pattern string, weight double, field string, kind string, case_sensitive boolean, negative boolean"
+    table = spark.createDataFrame([(r.id, r.pattern, r.weight, r.field, r.kind, r.case_sensitive, r.negative) for r in rules], kind)
+    want = sorted((r["ticket_number"], r["rule_id"], r["weight"]) for r in score.explain(df, Ruleset(rules[12:14] + rules[500:])).collect())
+    assert sorted(map(tuple, rule_index.explain_table(df, table).collect())) == want and len(want) > 100
+    assert rule_index.explain_table(df, table.where("false")).count() == 0 and rule_index.explain_table(df.where("false"), table).count() == 0
+    with pytest.raises(ValueError):
+        rule_index.explain_table(df, table.withColumn("field", F.lit("place")))
+
+
 def test_prefilter(spark):
     rows = [("MERIDIAN CABLE CONSTRUCTION", "", ""), ("NORTHSTAR FIBER 6459663", "", ""), ("", "", "NORTH RIDGE CONTRACTORS"), ("", "FIBER INSTL", ""), ("CENTURY COMMUNITIES", "WATER SEWER REPAIR", "RANDOM PLUMBER"), ("JEFF MERIDIAN", None, None)]
     df = spark.createDataFrame(rows, "d string, w string, e string")
