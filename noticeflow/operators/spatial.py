@@ -139,54 +139,77 @@ def _reach(x: Column, y: Column, cx: Column, cy: Column, width: float) -> tuple[
     return tuple(F.sqrt(a * a + b * b) for a, b in zip(*sides))
 
 
-def nearest_line(points: DataFrame, lines: DataFrame, key: str, zone: int = 16) -> DataFrame:
-    """(key, project_id, project_name, distance_m): the nearest segment of each located point, of equally near ones the smallest id.
-
-    Branch and bound over cells that are as dense as the segments (cell_tree): a
-    point goes down from the cell of all data; at each level the farthest corner
-    of the cells it may still choose bounds its distance, and cells that begin
-    beyond the bound are passed over.  In the end it meets the few leaf cells
-    that are left, of at most CELL_SEGMENTS segments each, however far it is from
-    every line and however close the lines lie.  Segments of equal geometry are
-    one.  There is no cross join, and segments are never broadcast by hand; a
-    cell that very many points share is split by AQE.  Points and segments whose
-    coordinates are null, NaN or beyond the projection are left out; an empty
-    side gives an empty result.
-    """
+def _nearest(points: DataFrame, lines: DataFrame, zone: int) -> DataFrame:
+    """(longitude, latitude, project_id, project_name, distance_m) of every distinct place of the points that has a nearest segment."""
     scratch = Scratch(points.sparkSession, "nearest")
     real = lambda *cols: " AND ".join(f"abs({c}) < 1e9" for c in cols)  # noqa: E731  false for NaN, which is beyond every number
     x, y = to_utm(F.col("longitude"), F.col("latitude"), zone)
-    left = points.where("latitude IS NOT NULL AND longitude IS NOT NULL").select(F.col(key), x.alias("px"), y.alias("py")).where(real("px", "py"))
-    left = scratch.save(left, "points")  # the projection is worked out once
+    spots = points.where("latitude IS NOT NULL AND longitude IS NOT NULL").select("longitude", "latitude").distinct()
+    # the projection is worked out once a place: a filter on it would be pushed below the distinct, to every row
+    left = scratch.save(spots.select("longitude", "latitude", x.alias("px"), y.alias("py")), "points").where(real("px", "py"))
     a, b = to_utm(F.col("x1"), F.col("y1"), zone), to_utm(F.col("x2"), F.col("y2"), zone)
-    metric = lines.select("project_id", "project_name", a[0].alias("x1"), a[1].alias("y1"), b[0].alias("x2"), b[1].alias("y2")).where(real("x1", "y1", "x2", "y2"))
+    metric = lines.select("project_id", "project_name", a[0].alias("x1"), a[1].alias("y1"), b[0].alias("x2"), b[1].alias("y2"))
+    metric = scratch.save(metric, "lines").where(real("x1", "y1", "x2", "y2"))
     metric = scratch.save(metric.groupBy("x1", "y1", "x2", "y2").agg(F.min(F.struct("project_id", "project_name")).alias("project")), "segments")
     box = metric.agg(*[f(g(p, q)) for p, q in (("x1", "x2"), ("y1", "y2")) for f, g in ((F.min, F.least), (F.max, F.greatest))]).first()
     if box[0] is None:
-        return left.limit(0).select(key, F.lit(None).cast(lines.schema["project_id"].dataType).alias("project_id"), F.lit(None).cast("string").alias("project_name"), F.lit(0.0).alias("distance_m"))
+        return left.limit(0).select("longitude", "latitude", F.lit(None).cast(lines.schema["project_id"].dataType).alias("project_id"), F.lit(None).cast("string").alias("project_name"), F.lit(0.0).alias("distance_m"))
     width = 1.01 * max(box[1] - box[0], box[3] - box[2], LEAST_CELL_M)
     shift = {c: F.col(c) - F.lit(box[0 if "x" in c else 2]) for c in ("x1", "y1", "x2", "y2")}
     inner, leaves = cell_tree(metric.withColumns(shift), width, scratch)
+    key = ["longitude", "latitude"]
     here = left.withColumns({"px": F.col("px") - box[0], "py": F.col("py") - box[2], "level": F.lit(0), "cx": F.lit(0).cast("long"), "cy": F.lit(0).cast("long"), "crowded": F.lit(bool(inner)), "near": F.lit(0.0)})
-    columns = [key, "px", "py", "level", "cx", "cy", "crowded", "near"]
+    columns = [*key, "px", "py", "level", "cx", "cy", "crowded", "near"]
     for level, cells in enumerate(inner, 1):
         width /= SPLIT
-        near, far = _reach(F.col("px"), F.col("py"), F.col("kid.cx"), F.col("kid.cy"), width)
-        low = here.where(f"crowded AND level = {level - 1}").drop("crowded", "near", "level").join(cells, ["cx", "cy"]).select(key, "px", "py", F.explode("kids").alias("kid"))
-        low = low.select(key, "px", "py", F.lit(level).alias("level"), "kid.cx", "kid.cy", "kid.crowded", near.alias("near"), far.alias("far"))
+        reach = lambda kid, width=width: _reach(F.col("px"), F.col("py"), kid["cx"], kid["cy"], width)
+        low = here.where(f"crowded AND level = {level - 1}").drop("crowded", "near", "level").join(cells, ["cx", "cy"])
+        low = low.withColumn("kids", F.transform("kids", lambda kid: F.struct(kid["cx"].alias("cx"), kid["cy"].alias("cy"), kid["crowded"].alias("crowded"), reach(kid)[0].alias("near"), reach(kid)[1].alias("far"))))
+        # the cells of one parent bound each other before they become rows
+        low = low.withColumn("bound", F.array_min(F.col("kids.far"))).select(*key, "px", "py", F.explode(F.filter("kids", lambda kid: kid["near"] <= F.col("bound"))).alias("kid"))
+        low = low.select(*key, "px", "py", F.lit(level).alias("level"), "kid.cx", "kid.cy", "kid.crowded", "kid.near", "kid.far")
         # what was found on other ways bounds it, too
         both = here.where(f"NOT crowded OR level < {level - 1}").withColumn("far", F.lit(float("inf"))).select(*columns, "far").unionByName(low)
-        here = both.withColumn("far", F.min("far").over(Window.partitionBy(key))).where("near <= far").select(*columns)
+        here = both.withColumn("far", F.min("far").over(Window.partitionBy(*key))).where("near <= far").select(*columns)
     d = point_segment_m(*map(F.col, ("px", "py", "x1", "y1", "x2", "y2")))
-    met = here.join(leaves, ["level", "cx", "cy"]).select(key, F.struct(d.alias("d"), "project").alias("m"))
-    best = met.groupBy(key).agg(F.min("m").alias("m"))
-    return best.select(key, "m.project.project_id", "m.project.project_name", F.col("m.d").alias("distance_m"))
+    met = here.join(leaves, ["level", "cx", "cy"]).select(*key, F.struct(d.alias("d"), "project").alias("m"))
+    best = met.groupBy(*key).agg(F.min("m").alias("m"))
+    return scratch.save(best.select(*key, "m.project.project_id", "m.project.project_name", F.col("m.d").alias("distance_m")), "best")
+
+
+def _at_places(rows: DataFrame, near: DataFrame, how: str, key: str) -> DataFrame:
+    """The rows with what is nearest to their place; places that very many rows share, and rows without one, are spread."""
+    spot = F.xxhash64("longitude", "latitude")
+    located = F.col("longitude").isNotNull() & F.col("latitude").isNotNull()
+    left = rows.withColumn("__spread", F.when(located, spot).otherwise(F.xxhash64(key)))
+    right = near.select(F.col("longitude").alias("__x"), F.col("latitude").alias("__y"), spot.alias("__at"), *near.columns[2:])
+    on = (F.col("longitude") == F.col("__x")) & (F.col("latitude") == F.col("__y")) & (F.col("__spread") == F.col("__at"))
+    return left.join(right, on, how).drop("__spread", "__x", "__y", "__at")
+
+
+def nearest_line(points: DataFrame, lines: DataFrame, key: str, zone: int = 16) -> DataFrame:
+    """(key, project_id, project_name, distance_m): the nearest segment of each located point, of equally near ones the smallest id.
+
+    Branch and bound over cells that are as dense as the segments (cell_tree): a
+    point goes down from the cell of all data; at each level the farthest corner
+    of the cells it may still choose bounds its distance, and cells that begin
+    beyond the bound are passed over.  In the end it meets the few leaf cells
+    that are left, of at most CELL_SEGMENTS segments each, however far it is from
+    every line and however close the lines lie.  Points of one place are one, and
+    so are segments of equal geometry.  There is no cross join, and segments are
+    never broadcast by hand; a cell that very many points share is split by AQE.
+    Points and segments whose coordinates are null, NaN or beyond the projection
+    are left out; an empty side gives an empty result.
+    """
+    near = _nearest(points, lines, zone)
+    located = points.where("latitude IS NOT NULL AND longitude IS NOT NULL").select(F.col(key), "longitude", "latitude")
+    return _at_places(located, near, "inner", key).select(key, "project_id", "project_name", "distance_m")
 
 
 def match_projects(tickets: DataFrame, lines: DataFrame, key: str = "ticket_number", zone: int = 16) -> DataFrame:
     """Add project_name (null beyond low confidence), match_confidence and match_distance_m (kept at any distance, two decimals)."""
-    near = nearest_line(tickets, lines, key, zone).withColumnRenamed("project_name", "__name")
-    joined = tickets.join(near.select(key, "__name", "distance_m"), key, "left")
+    near = _nearest(tickets, lines, zone).select("longitude", "latitude", F.col("project_name").alias("__name"), "distance_m")
+    joined = _at_places(tickets, near, "left", key)
     tier = F.when(F.col("distance_m").isNull(), "none").otherwise(confidence(F.col("distance_m")))
     return joined.withColumns({"match_confidence": tier, "match_distance_m": F.bround("distance_m", 2)}).withColumn(
         "project_name", F.when(F.col("match_confidence") != "none", F.col("__name"))
