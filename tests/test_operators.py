@@ -247,6 +247,17 @@ def test_nearest_line_far_long_and_odd(spark):
     assert spatial.nearest_line(df, segs.where("false"), "k").count() == 0 and spatial.nearest_line(df.where("false"), segs, "k").count() == 0
 
 
+def test_places_that_rows_share_are_matched_once(spark, monkeypatch):
+    """The projection runs on places, not on rows, and the rows of a place, and those of no place, come back whole."""
+    seen, saved = [], spatial.Scratch.save
+    monkeypatch.setattr(spatial.Scratch, "save", lambda self, df, name: seen.append((name, saved(self, df, name))) or seen[-1][1])
+    df = spark.range(600).selectExpr("cast(id as string) AS ticket_number", "if(id % 10 = 0, null, 36 + (id % 3) / 1000D) AS latitude", "if(id % 20 = 0, null, -86.9D) AS longitude")
+    lines = spark.createDataFrame([("p%d" % i, "P%d" % i, -86.9 + i / 1e5, 36.0, -86.9 + i / 1e5, 36.001) for i in range(100)], "project_id string, project_name string, x1 double, y1 double, x2 double, y2 double")
+    got = spatial.match_projects(df, lines).groupBy("latitude", "project_name", "match_confidence").count().collect()
+    assert sorted((r["latitude"] or 0, r["project_name"], r["match_confidence"], r["count"]) for r in got) == [(0, None, "none", 60), (36.0, "P0", "high", 180), (36.001, "P0", "high", 180), (36.002, "P0", "low", 180)]
+    assert dict(seen)["points"].count() == 3
+
+
 def test_nearest_line_of_far_points_and_dense_lines(spark, monkeypatch):
     """100,000 points, most of them far from all lines, and 3,000 short segments in one spot: cells stay small, the rest is far away."""
     monkeypatch.setattr(spatial, "CELL_SEGMENTS", 16)
