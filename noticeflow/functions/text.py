@@ -127,5 +127,6 @@ def group_key(company: Column, work: Column, county: Column) -> Column:
 def natural_sort_key(c: Column) -> Column:
     """Text whose digit runs are padded to 18 places, so that plain order is numeric-aware."""
     low = F.lower(F.coalesce(c, F.lit("")))
-    padded = F.transform(F.regexp_extract_all(low, F.lit(r"\d+|\D+"), 0), lambda p: F.when(p.rlike(r"^\d"), F.lpad(p, 18, "0")).otherwise(p))
-    return F.array_join(padded, "")
+    # 17 zeros before each run; then of longer runs the first 18 digits stay, of others the last 18
+    more = F.regexp_replace(low, r"\d+", "0" * 17 + "$0")
+    return F.regexp_replace(more, r"0{17}(\d{18})\d+|\d{0,17}(\d{18})(?!\d)", "$1$2")

@@ -393,7 +393,8 @@ def list_tickets(tickets: DataFrame, n: int = 50, **filters) -> DataFrame:
 def viewer_sort(df: DataFrame, key: str, ascending: bool = True) -> DataFrame:
     """Order by one column as a viewer shows it: null as '', digits by value."""
     shown = T.natural_sort_key(F.col(key).cast("string"))
-    return df.orderBy(shown.asc() if ascending else shown.desc())
+    # a column of its own: a sort works an expression out again for every comparison
+    return df.withColumn("__shown", shown).orderBy(F.asc("__shown") if ascending else F.desc("__shown")).drop("__shown")
 
 
 def stack_slices(df: DataFrame, slices: dict[str, Column]) -> DataFrame:

@@ -380,7 +380,7 @@ def package_rows(spark, sf):
 def viewer_sort(spark, sf):
     """Descending by a label with a number in it (by value: 10 before 9), or none (shown as '')."""
     label = F.when(F.col("k") % 3 == 0, F.concat(F.lit("Ticket "), F.col("k").cast("string")))
-    rows = tickets(spark, sf).withColumn("label", F.coalesce(label, F.concat(F.lit("9-"), F.col("k").cast("string"))))
+    rows = tickets(spark, sf).select("ticket_number", F.coalesce(label, F.concat(F.lit("9-"), F.col("k").cast("string"))).alias("label"))
     return views.numbered(views.viewer_sort(rows, "label", ascending=False)).select("ticket_number", "position")
 
 

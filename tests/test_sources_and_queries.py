@@ -1,10 +1,12 @@
 import os
+import re
 
 import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from noticeflow.functions import text
 from noticeflow.operators import views
 from noticeflow.sources import readers, writers
 
@@ -84,3 +86,13 @@ def test_queries_match_sql(spark, name):
 def test_viewer_sort(spark):
     rows = views.viewer_sort(spark.createDataFrame([("a10",), ("a9",), (None,)], "v string"), "v").collect()
     assert [r["v"] for r in rows] == [None, "a9", "a10"]
+
+
+def test_viewer_sort_works_its_key_out_once(spark):
+    """The sort is by a column, not by an expression that every comparison repeats; keys are those of padded runs."""
+    odd = ["", "a", "a10b007", "9", "x" + "1234567890" * 2, "0" * 30 + "5-é12\n3", "1" * 18, "1" * 19, "2 " + "7" * 40]
+    df = spark.createDataFrame([(v,) for v in odd] + [(None,)], "v string")
+    plan = views.viewer_sort(df, "v")._jdf.queryExecution().optimizedPlan().toString()
+    assert not [line for line in plan.splitlines() if "Sort [" in line and "regexp" in line]
+    want = {v: "".join(p.rjust(18, "0")[:18] if p.isdigit() else p for p in re.findall(r"[0-9]+|[^0-9]+", (v or "").lower())) for v in [*odd, None]}
+    assert {r[0]: r[1] for r in df.select("v", text.natural_sort_key(F.col("v"))).collect()} == want
