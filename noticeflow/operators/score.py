@@ -57,6 +57,12 @@ def any_text(columns: Sequence[str]) -> Column:
     return F.concat_ws(" ", *texts, *lists)
 
 
+def worked_once(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """Add columns that are worked out once a row, whatever reads them: filters on them stop at the generator, and nothing is copied below it."""
+    made = F.struct(*[c.alias(name) for name, c in columns.items()])
+    return df.select("*", F.explode(F.array(made)).alias("__made")).select(*df.columns, "__made.*")
+
+
 def rule_matches(rule: Rule, columns: Sequence[str], searched: Column | None = None) -> Column:
     """Whether a rule fires; an unknown field or a bad pattern is an error before any data is read."""
     if rule.field != "any" and rule.field not in (*ANY_FIELDS, *ANY_LISTS):
@@ -83,9 +89,9 @@ def rule_matches(rule: Rule, columns: Sequence[str], searched: Column | None = N
 
 def _with_hits(df: DataFrame, rules: Ruleset) -> tuple[DataFrame, list[tuple[Rule, str]]]:
     """The searched text and each rule's verdict as columns of their own, so that each is computed once a row."""
-    base = df.withColumn("__any", any_text(df.columns))
+    base = worked_once(df, {"__any": any_text(df.columns)})
     named = [(r, f"__hit{i}") for i, r in enumerate(rules.rules)]
-    return base.withColumns({name: rule_matches(r, df.columns, F.col("__any")) for r, name in named}), named
+    return worked_once(base, {name: rule_matches(r, df.columns, F.col("__any")) for r, name in named}) if named else base, named
 
 
 def _weights(hits: Sequence[tuple[Rule, str]]) -> Column:
@@ -126,7 +132,8 @@ def _decided(hit: DataFrame, rules: Ruleset, key: str, plus: Column, minus: Colu
             by = by | F.col("__who").contains(k.lower())
         for k in rules.work_keywords:
             work = work | F.col("__what").contains(k.lower())
-        lift = by & work
+        hit = worked_once(hit, {"__named": by & work})
+        lift = F.col("__named")
     out = F.upper(F.col(key).cast("string")).isin([k.upper() for k in rules.exclude]) if rules.exclude else F.lit(False)
     put = F.upper(F.col(key).cast("string")).isin([k.upper() for k in rules.include]) if rules.include else F.lit(False)
     scored = hit.withColumns({"__raw": raw, "__lift": lift, "__out": out, "__put": put}).withColumn("__lifted", (F.col("__raw") < rules.threshold) & F.col("__lift"))
@@ -138,7 +145,7 @@ def _decided(hit: DataFrame, rules: Ruleset, key: str, plus: Column, minus: Colu
         "is_relevant": given(F.lit(False), F.lit(True), F.col("__final") >= rules.threshold),
         "relevance_reasons": given(F.array(F.lit("manual_exclude_override")), F.array(F.lit("manual_include_override")), reasons),
     })
-    return done.drop("__who", "__what", "__raw", "__lift", "__out", "__put", "__lifted", "__final")
+    return done.drop("__named", "__who", "__what", "__raw", "__lift", "__out", "__put", "__lifted", "__final")
 
 
 def explain(df: DataFrame, rules: Ruleset, key: str = "ticket_number") -> DataFrame:

@@ -126,6 +126,15 @@ def test_indexed_rules_equal_one_by_one(spark):
         rule_index.score_many(df, Ruleset([Rule("x", "a", 1.0, "place")]))
 
 
+def test_a_filter_on_scores_copies_no_rule(spark):
+    df = spark.createDataFrame([("1", "FIBER Co", "conduit", "x")], "ticket_number string, excavator_name string, work_type string, remarks string")
+    rules = Ruleset([Rule("a", "needle one", 0.5), Rule("b", "needle two", 0.5, kind="regex")], 0.45, contractors=["fiber"], work_keywords=["conduit"])
+    found = score.score(df, rules)
+    plan = views.by_county(found.withColumns({"county": F.lit("K"), "status": F.lit("active"), "expiration_date": today()}), today())._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("needle one") == 1 and plan.count("needle two") == 1 and plan.count("fiber") == 1
+    assert [(r["is_relevant"], r["relevance_score"], r["relevance_reasons"]) for r in found.where("is_relevant").collect()] == [(True, 0.45, ["+contractor_rule_match"])]
+
+
 def test_rules_that_are_a_table(spark):
     """Rules of all kinds and fields as a table, some of them alike, equal the expressions of each; long patterns share no anchor."""
     rnd = random.Random(12)
