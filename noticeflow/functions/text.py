@@ -83,6 +83,11 @@ def token_jaccard(a: Column, b: Column) -> Column:
     return F.when(union == 0, F.lit(1.0)).otherwise(F.size(F.array_intersect(a, b)) / union)
 
 
+def once(value: Column, then) -> Column:
+    """What `then` makes of a value that it reads time and again: the value is worked out once."""
+    return F.element_at(F.transform(F.array(value), then), 1)
+
+
 def first_seen_distinct(items: Column, ignore_case: bool = False) -> Column:
     """Distinct items in order of first appearance; case may be ignored, the first spelling stays."""
     if not ignore_case:

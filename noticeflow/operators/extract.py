@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 
 from noticeflow.functions.dates import parse_date
 from noticeflow.functions.status import utility_status
-from noticeflow.functions.text import SPACES, first_seen_distinct
+from noticeflow.functions.text import SPACES, first_seen_distinct, once
+from noticeflow.operators.score import worked_once
 
 #: Page labels -> canonical fields.
 LABELS = {
@@ -307,14 +308,15 @@ def extract_fields(docs: DataFrame, text_col: str = "text", county_hint: str = "
     ends the search for its field.  With fewer than two key fields, number and
     expiry are filled by position: a TN number anywhere, the last of two or more dates.
     """
-    text = F.regexp_replace(F.coalesce(F.col(text_col), F.lit("")), "\r\n?", "\n")
+    plain = F.regexp_replace(F.coalesce(F.col(text_col), F.lit("")), "\r\n?", "\n")
+    docs, text = worked_once(docs, {"__plain": plain}), F.col("__plain")
     raw = {f: _first(text, p) for f, p in TEXT_PATTERNS.items()}
-    fields = {f: parse_date(c) if f in DATE_FIELDS else F.left(F.trim(F.regexp_replace(c, SPACES, " ")), F.lit(500)) for f, c in raw.items()}
+    fields = {f: once(c, parse_date) if f in DATE_FIELDS else F.left(F.trim(F.regexp_replace(c, SPACES, " ")), F.lit(500)) for f, c in raw.items()}
     out = docs.withColumns(fields)
     few = sum(F.col(f).isNotNull().cast("int") for f in KEY_FIELDS) < 2
     # fixed value: how a date is written that counts by position
     dates = F.filter(F.transform(F.regexp_extract_all(text, F.lit(r"\d{1,2}/\d{1,2}/\d{4}"), 0), parse_date), lambda d: d.isNotNull())
-    last = F.when(F.size(dates) >= 2, F.try_element_at(dates, F.lit(-1)))
+    last = once(dates, lambda d: F.when(F.size(d) >= 2, F.try_element_at(d, F.lit(-1))))
     number = F.nullif(F.upper(F.regexp_extract(text, r"(?i)\bTN[\d\-]{8,}\b", 0)), F.lit(""))
     out = out.withColumn("positional", few)
     return out.withColumns({
@@ -323,7 +325,7 @@ def extract_fields(docs: DataFrame, text_col: str = "text", county_hint: str = "
         "county": F.coalesce("county", F.nullif(F.lit(county_hint), F.lit(""))),
         "utility_references": extract_mentions(F.col(text_col)),
         "is_cancelled": cancelled_in_text(F.col(text_col)),
-    })
+    }).drop("__plain")
 
 
 def extract_mentions(text: Column, most: int = 20) -> Column:
@@ -331,7 +333,7 @@ def extract_mentions(text: Column, most: int = 20) -> Column:
     given = F.coalesce(text, F.lit(""))
     found = F.concat(F.regexp_extract_all(given, F.lit(MENTION_LABEL), 1), trade_runs(given))
     tidy = F.filter(F.transform(found, lambda m: F.left(F.trim(F.regexp_replace(m, r"^\s+|\s+$", "")), F.lit(100))), lambda m: F.char_length(m) > 2)
-    return F.slice(first_seen_distinct(tidy, ignore_case=True), 1, most)
+    return once(tidy, lambda found: F.slice(first_seen_distinct(found, ignore_case=True), 1, most))
 
 
 def trade_runs(text: Column) -> Column:

@@ -135,6 +135,16 @@ def test_a_filter_on_scores_copies_no_rule(spark):
     assert [(r["is_relevant"], r["relevance_score"], r["relevance_reasons"]) for r in found.where("is_relevant").collect()] == [(True, 0.45, ["+contractor_rule_match"])]
 
 
+def test_text_fields_copy_no_search(spark):
+    """Each pattern of a labelled text stands in the plan once, however often what it finds is read."""
+    df = spark.createDataFrame([("1", "Call Date: June 1, 2024\r\nCounty: Knox\rUtility: Acme Gas\nutility: ACME GAS")], "id string, text string")
+    found = extract.extract_fields(df)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("date\\s*called") == 1 and plan.count("valid\\s*until") == 1 and plan.count("utility[:") == 1
+    r = found.first()
+    assert (str(r["call_date"]), r["county"], r["utility_references"], found.columns[:2]) == ("2024-06-01", "Knox", ["Acme Gas", "Acme Gas\nutility"], ["id", "text"]) and "__plain" not in found.columns
+
+
 def test_rules_that_are_a_table(spark):
     """Rules of all kinds and fields as a table, some of them alike, equal the expressions of each; long patterns share no anchor."""
     rnd = random.Random(12)
