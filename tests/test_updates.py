@@ -130,3 +130,13 @@ def test_maintained_sums_equal_full_ones(spark):
         stored, sums = (spark.createDataFrame(x.collect(), x.schema) for x in (stored, sums))
         state = cdc.group_sums(stored, by, measures)
         assert sorted(map(str, sums.collect())) == sorted(map(str, state.collect()))
+
+
+def test_an_empty_table_is_joined_with_nothing(spark, tmp_path):
+    """The first version of a table is written without the shuffles of joins."""
+    table = VersionedTable(spark, f"file://{tmp_path}/t", "k", "k string, v string, latest_content_hash string, created_at timestamp, updated_at timestamp", buckets=2)
+    rows = spark.createDataFrame([("a", "x"), ("b", None)], "k string, v string")
+    plan = rows.join(table.read(), "k", "left_anti").join(table.read().select("k", "v"), "k", "left")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan
+    table.upsert(rows, F.lit("2001-08-01 12:00:00").cast("timestamp"))
+    assert sorted((r["k"], r["v"]) for r in table.read().collect()) == [("a", "x"), ("b", None)]
