@@ -216,6 +216,16 @@ def match_projects(tickets: DataFrame, lines: DataFrame, key: str = "ticket_numb
     ).drop("__name", "distance_m")
 
 
+def match_places(tickets: DataFrame, lines: DataFrame, zone: int = 16) -> DataFrame:
+    """(longitude, latitude, n, project_name, match_confidence, match_distance_m) of every distinct place, with the n tickets there.
+
+    The tickets are read once; rows without a place are counted, too.
+    """
+    places = tickets.groupBy("longitude", "latitude").agg(F.count("*").alias("n"))
+    places = Scratch(tickets.sparkSession, "places").save(places, "places")
+    return match_projects(places, lines, "n", zone)
+
+
 #: Colours (alpha, blue, green, red) of layers and of the stages of projects.
 GRAY, PURPLE = "ff808080", "ff800080"
 STAGE_COLORS = {"active": "ff008000", "committed": "ffff0000", "recent": GRAY}

@@ -269,9 +269,15 @@ def bucket_counts(view: DataFrame, bucket: Column, buckets: list[str]) -> DataFr
     return axis.join(counts, "bucket", "left").select("pos", "bucket", F.coalesce("n", F.lit(0)).alias("n"))
 
 
-def match_stats(matched: DataFrame) -> DataFrame:
-    tier = lambda t: F.count_if(F.col("match_confidence") == t).alias(t)
-    return matched.agg(F.count("*").alias("total"), tier("high"), tier("medium"), tier("low"), F.count_if(P.has_coords() & (F.col("match_confidence") == "none")).alias("none"), F.count_if(~P.has_coords()).alias("skipped"))
+def match_stats(matched: DataFrame, n: Column | None = None) -> DataFrame:
+    """Matched rows by confidence; `n` gives the tickets of a row if it stands for several."""
+    times = F.lit(1) if n is None else n
+    count = lambda which: F.coalesce(F.sum(F.when(which, times)), F.lit(0)).cast("long")
+    tier = lambda t: F.col("match_confidence") == t
+    return matched.agg(
+        count(F.lit(True)).alias("total"), *[count(tier(t)).alias(t) for t in ("high", "medium", "low")],
+        count(P.has_coords() & tier("none")).alias("none"), count(~P.has_coords()).alias("skipped"),
+    )
 
 
 def table_stats(tickets: DataFrame) -> DataFrame:

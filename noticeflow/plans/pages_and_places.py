@@ -81,7 +81,7 @@ def nearest_line(spark, sf):
 
 @query(NEAREST_SQL + "SELECT count(*) AS total, count(*) FILTER (match_confidence = 'high') AS high, count(*) FILTER (match_confidence = 'medium') AS medium, count(*) FILTER (match_confidence = 'low') AS low, count(*) FILTER (match_confidence = 'none' AND latitude IS NOT NULL) AS none, count(*) FILTER (latitude IS NULL) AS skipped FROM matched")
 def match_stats(spark, sf):
-    return views.match_stats(spatial.match_projects(tickets(spark, sf), spatial.segments(project_lines(spark, sf))))
+    return views.match_stats(spatial.match_places(tickets(spark, sf), spatial.segments(project_lines(spark, sf))), F.col("n"))
 
 
 _HAV = "2 * 6371000.0::DOUBLE * asin(sqrt(sin(radians(secondary_latitude - latitude) / 2) ** 2 + cos(radians(latitude)) * cos(radians(secondary_latitude)) * sin(radians(secondary_longitude - longitude) / 2) ** 2))"

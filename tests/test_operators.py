@@ -8,6 +8,7 @@ from noticeflow.functions.text import tokens
 from noticeflow.operators import cdc, cluster, extract, filters, policy, rule_index, score, spatial, views
 from noticeflow.operators import utilities as U
 from noticeflow.operators.score import Rule, Ruleset
+from noticeflow.plans import pages_and_places
 
 def today():
     return F.lit("2026-04-24").cast("date")
@@ -277,6 +278,20 @@ def test_places_that_rows_share_are_matched_once(spark, monkeypatch):
     assert dict(seen)["points"].count() == 3
 
 
+def test_match_stats_count_tickets_by_place_first(spark, monkeypatch):
+    """The tickets are read once, into a row a place with its count, and the figures are those of the single rows."""
+    df = spark.range(900).selectExpr("cast(id as string) AS ticket_number", "if(id % 10 = 0, null, if(id % 7 = 0, double('NaN'), 36 + (id % 3) / 1000D)) AS latitude", "if(id % 20 = 0, null, -86.9D) AS longitude")
+    lines = spark.createDataFrame([("p", "P", -86.9, 36.0, -86.9, 36.001)], "project_id string, project_name string, x1 double, y1 double, x2 double, y2 double")
+    single = views.match_stats(spatial.match_projects(df, lines))
+    for rows, segs in ((df, lines), (df, lines.where("false")), (df.where("false"), lines)):
+        assert views.match_stats(spatial.match_places(rows, segs), F.col("n")).collect() == views.match_stats(spatial.match_projects(rows, segs)).collect()
+    assert single.first()["total"] == 900 and single.first()["skipped"] == 90
+    given, match = [], spatial.match_projects
+    monkeypatch.setattr(spatial, "match_projects", lambda tickets, *rest: given.append(tickets) or match(tickets, *rest))
+    pages_and_places.match_stats(spark, "/root/testdata/sf0.001")
+    assert given[0].count() == given[0].select("longitude", "latitude").distinct().count()
+
+
 def test_nearest_line_of_far_points_and_dense_lines(spark, monkeypatch):
     """100,000 points, most of them far from all lines, and 3,000 short segments in one spot: cells stay small, the rest is far away."""
     monkeypatch.setattr(spatial, "CELL_SEGMENTS", 16)
