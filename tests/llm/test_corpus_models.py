@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -207,3 +208,38 @@ def test_probabilities_sum_to_one(spark):
         assert math.isclose(model.probability(np.full(dishes, context), np.arange(dishes)).sum(), 1, rel_tol=1e-9)
     rare = rated.where(F.col("p") < 1).agg(F.sum("p")).first()[0]
     assert math.isclose(rare + model.unseen, 1, rel_tol=1e-9)
+
+
+def test_pairs_of_rare_words_count(spark, monkeypatch):
+    """Every pair of words with a rare one scores by its own exact count, and the chances after a word sum to one."""
+    monkeypatch.setattr(pitman_yor, "OWN", 16)
+    monkeypatch.setattr(pitman_yor, "LOOKUP", 32)
+    rnd = random.Random(5)
+    names = [f"w{k}" for k in range(40)]
+    texts = [" ".join(rnd.choices(names, [1 / (k + 1) for k in range(40)], k=rnd.randint(0, 12))) for _ in range(150)]
+    texts += ["one two"] * 3 + ["two one new", "x" * 50 + " w3 " + "x" * 50]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    model, rated = pitman_yor.fit_model(docs.where(~pitman_yor.held_out()).select(pitman_yor.raw_text().alias("text")), Scratch(spark, "test-pairs"))
+    chance = {bytes(r["word"]): r["p"] for r in rated.collect()}
+    split = lambda t: [b"\n"] + t.encode().split() + [b"\n"]
+    learnt = Counter(p for i, t in enumerate(texts) if zlib.crc32(str(i).encode()) % 7 != 2 for p in zip(split(t), split(t)[1:]))
+    own = [w for w, k in model.codes.index.items() if k < model.codes.own]
+    dish = lambda w: own.index(w) if w in own else len(own)
+    above = {(c, d): model.probability(np.array([c]), np.array([d]))[0] for c in range(len(own) + 1) for d in range(len(own) + 1)}
+    discount, strength = pitman_yor.PAIR_DISCOUNT, pitman_yor.STRENGTH
+
+    def plain(before, word):
+        base = above[dish(before), dish(word)]
+        if before in own and word in own:
+            return base
+        among = [n for (c, w), n in learnt.items() if c == before and not (c in own and w in own)]
+        kept, part = (base, 1.0) if before in own else (1.0, base)
+        part *= chance.get(word, model.unseen) if word not in own else 1.0
+        return kept * ((1 - discount) * learnt[before, word] + (strength + discount * sum(among)) * part) / (strength + sum(among))
+
+    assert 1 < len(own) < len(model.codes.index) < len(chance)
+    for before in (own[0], b"one", b"w30", b"never"):
+        assert math.isclose(sum(plain(before, w) for w in chance) + plain(before, b"never"), 1, rel_tol=1e-9)
+    found = {r["doc_id"]: r["score"] for r in pitman_yor.language_scores(docs.repartition(3)).collect()}
+    for i, t in enumerate(texts):
+        assert math.isclose(found[i], sum(math.log10(plain(c, w)) for c, w in zip(split(t), split(t)[1:])), rel_tol=1e-6)
